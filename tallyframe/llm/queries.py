@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import packing, quality, warc
+from tallyframe.llm import decontaminate, packing, pii, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -22,12 +26,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents")).select("doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.match(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", (F.size("_hits") > 0).alias("contaminated"), F.size("_hits").alias("n_items"), F.array_join(F.transform("_hits", lambda x: x["item_id"].cast("string")), ",").alias("item_ids"), F.array_min(F.transform("_hits", lambda x: x["distance"])).alias("min_distance"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_quality, op10_warc)}
+    return {f.__name__: f for f in (op1_pii, op3_packing, op5_quality, op8_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
