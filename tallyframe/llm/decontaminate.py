@@ -123,7 +123,15 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]
         yield block
 
 
-_built: dict[int, Matcher] = {}
+_built: dict[str, tuple] = {}
+
+
+def matcher_of(items: list[tuple[int, str]], params: DecontaminationParams) -> Matcher:
+    """A worker builds the automaton of the current block once."""
+    held = _built.get("current")
+    if held is None or held[0] != (items, params):
+        held = _built["current"] = ((items, params), Matcher(items, params))
+    return held[1]
 
 
 def match(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
@@ -142,9 +150,7 @@ def match(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams =
         held = spark.sparkContext.broadcast(block)
 
         def task(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            if held.value is not _built.get("of"):
-                _built["of"], _built["matcher"] = held.value, Matcher(held.value, params)
-            matcher = _built["matcher"]
+            matcher = matcher_of(held.value, params)
             for batch in grouped(batches, "_text", 8 << 20):
                 found = []
                 for text, before in zip(batch.column("_text").to_pylist(), batch.column("_hits").to_pylist()):

@@ -180,6 +180,13 @@ WITH_IDS = pa.schema([*SCHEMA, ("ids", pa.binary())])
 _loaded: dict[str | None, Tokenizer] = {}
 
 
+def tokenizer_of(path: str | None) -> Tokenizer:
+    """A worker loads a vocabulary once."""
+    if path not in _loaded:
+        _loaded[path] = Tokenizer(path)
+    return _loaded[path]
+
+
 def pack(docs: DataFrame, params: PackingParams = PackingParams(), *, ids: bool = False) -> DataFrame:
     """Pieces of every document of ``docs`` (doc_id, text); with ``ids``, each piece's token ids (uint32) as well.
 
@@ -190,9 +197,7 @@ def pack(docs: DataFrame, params: PackingParams = PackingParams(), *, ids: bool
     schema = WITH_IDS if ids else SCHEMA
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if params.vocabulary not in _loaded:
-            _loaded[params.vocabulary] = Tokenizer(params.vocabulary)
-        tokenizer, end = _loaded[params.vocabulary], np.array([params.end_id], dtype="<u4").tobytes()
+        tokenizer, end = tokenizer_of(params.vocabulary), np.array([params.end_id], dtype="<u4").tobytes()
         packer = Packer(params, TaskContext.get().partitionId() << 32)
 
         def drain() -> pa.RecordBatch:
