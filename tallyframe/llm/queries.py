@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, jaccard, packing, pii, quality, warc
+from tallyframe.llm import decontaminate, jaccard, packing, pii, quality, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +35,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", (F.size("_hits") > 0).alias("contaminated"), F.size("_hits").alias("n_items"), F.array_join(F.transform("_hits", lambda x: x["item_id"].cast("string")), ",").alias("item_ids"), F.array_min(F.transform("_hits", lambda x: x["distance"])).alias("min_distance"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_packing, op4_jaccard, op5_quality, op8_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_pii, op3_packing, op4_jaccard, op5_quality, op8_decontamination, op9_suffixes, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
