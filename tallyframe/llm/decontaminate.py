@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.shared import grouped, narrow, rows
+from tallyframe.llm.shared import bound_batches, grouped, narrow, rows
 
 # Signs that end a word: ASCII ones and the block of general punctuation.
 _SPACED = str.maketrans({chr(c): " " for c in [*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128), 0xA0, 0xA1, 0xAB, 0xBB, 0xBF, *range(0x2000, 0x2070), 0x3000]})
@@ -142,6 +142,7 @@ def match(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams =
     Texts are read whole. One narrow stage per block of items; nothing is shuffled.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     own = docs.schema.fields
     # Only the text travels through Python beside the row's own columns, which pass untouched.
     out = docs.withColumn("_hits", F.array().cast("array<struct<item_id:long,distance:int>>"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tallyframe.llm.components import components
-from tallyframe.llm.shared import grouped, materialize, partitions, rows
+from tallyframe.llm.shared import bound_batches, grouped, materialize, partitions, rows
 from tallyframe.llm.shingles import mix, powers
 
 
@@ -132,7 +132,7 @@ def occurrences(base: DataFrame, params: LineParams) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("ident", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in grouped(batches, "text", 4 << 20):
+        for batch in grouped(batches, "text", 1 << 20):
             out: list[list] = [[], [], [], []]
             for ident, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("ident", "doc_id", "text"))):
                 for i, line in _lines(text, params.line_chars):
@@ -146,7 +146,7 @@ def occurrences(base: DataFrame, params: LineParams) -> DataFrame:
 def _blocks(batches: Iterator[pa.RecordBatch], params: LineParams, chars: int) -> Iterator[tuple[list[str], list[int]]]:
     """Lines and keys, new ones of a worker only, about ``chars`` characters at a time."""
     lines, keys, size, seen = [], [], 0, set()
-    for batch in grouped(batches, "text", 4 << 20):
+    for batch in grouped(batches, "text", 1 << 20):
         for text in batch.column("text").to_pylist():
             for _, line in _lines(text, params.line_chars):
                 key = line_key(line)
@@ -158,7 +158,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], params: LineParams, chars: int) -
             if size >= chars:
                 yield lines, keys
                 lines, keys, size = [], [], 0
-        if len(seen) > 1_000_000:
+        if len(seen) > 300_000:
             seen.clear()
     if lines:
         yield lines, keys
@@ -166,7 +166,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], params: LineParams, chars: int) -
 
 def index(base: DataFrame, parts: int, params: LineParams) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lines, keys in _blocks(batches, params, 2 << 20):
+        for lines, keys in _blocks(batches, params, 500_000):
             e = entries(lines, keys, params.distance)
             part = ((e["sign"] >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
@@ -236,7 +236,7 @@ def links(base: DataFrame, params: LineParams) -> DataFrame:
     pairs = materialize(candidates(index(base, 4 * partitions(spark), params), params), "line-pairs")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lines, keys in _blocks(batches, params, 4 << 20):
+        for lines, keys in _blocks(batches, params, 1 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.string())], names=["key", "text"])
 
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
@@ -260,6 +260,7 @@ def dedup(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     have a different line in their class. Null or empty text: one empty line, kept. Rows that repeat both id and text
     count as one and get the same answer. Other columns are not read; the empty table gives none.
     """
+    bound_batches(docs.sparkSession)
     base = docs.withColumn("_ident", F.xxhash64("doc_id", "text"))
     slim = base.select(F.col("_ident").alias("ident"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = materialize(occurrences(slim, params).distinct(), "lines")

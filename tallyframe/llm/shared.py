@@ -54,8 +54,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what goes to a Python worker at once by bytes, so that rows with long texts do not add up to a large batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, so extra columns with clashing names never matter; a null text is an empty one."""
+    bound_batches(docs.sparkSession)
     return docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in ("text", "html") else F.col(c) for c in columns])
 
 
