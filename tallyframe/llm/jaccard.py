@@ -29,9 +29,9 @@ class JaccardParams:
     words: int = 5
     percent: int = 75
     frequent: int = 32  # sets that hold a shingle, from which on it may count as frequent
-    locally: int = 8  # and of these within one worker's block of sets
+    locally: int = 4  # and of these within one worker's block of sets
     most_frequent: int = 1_000_000  # so many are broadcast at most (8 MB); the order stays exact with any choice
-    block_tokens: int = 2 << 20
+    block_tokens: int = 1 << 20
 
 
 def overlap_needed(percent: int, m, n):
@@ -52,7 +52,7 @@ class Sets:
     def blocks(self, batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[list[list], list[np.ndarray]]]:
         """Values of ``columns`` and the sets of the texts, about ``block_tokens`` members at a time."""
         held, sets, size = [[] for _ in columns], [], 0
-        for batch in grouped(batches, "text", 2 << 20):
+        for batch in grouped(batches, "text", 900_000):
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text").cast(pa.binary())]
             for values, name in zip(held, columns):
                 values += batch.column(name).to_pylist()
@@ -146,18 +146,66 @@ def _unpacked(blob: bytes) -> np.ndarray:
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("ha", pa.int32()), ("hb", pa.int32()), ("shared", pa.int32()), ("star", pa.int32())])
 
 
-def _list_pairs(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one list that pass the size and position tests; ``e`` is sorted by size, so each set skips to its block."""
-    sizes, at = e["n"].astype(np.int64), e["at"].astype(np.int64)
-    last = np.searchsorted(sizes, sizes * 100 // percent, side="right")
-    left = np.repeat(np.arange(len(e)), np.maximum(last - np.arange(len(e)) - 1, 0))
-    first = np.concatenate([[0], np.cumsum(np.maximum(last - np.arange(len(e)) - 1, 0))])[:-1]
-    right = np.arange(len(left)) - first[left] + left + 1
-    room = np.minimum(at[left], at[right]) + np.minimum(sizes[left] - at[left], sizes[right] - at[right])
-    keep = room >= overlap_needed(percent, sizes[left], sizes[right])
+def _passing(e: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The index pairs that pass the size and position tests."""
+    m, n = e["n"][left].astype(np.int64), e["n"][right].astype(np.int64)
+    i, j = e["at"][left].astype(np.int64), e["at"][right].astype(np.int64)
+    room = np.minimum(i, j) + np.minimum(m - i, n - j)
+    keep = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (room >= overlap_needed(percent, m, n))
     return left[keep], right[keep]
 
 
+def _long_list(e: np.ndarray, start: int, stop: int, percent: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one long list. It is ordered by size, so each set skips to the block of sizes that can match it."""
+    order = start + np.argsort(e["n"][start:stop], kind="stable")
+    sizes = e["n"][order].astype(np.int64)
+    last = np.searchsorted(sizes, sizes * 100 // percent, side="right")
+    many = np.maximum(last - np.arange(len(order)) - 1, 0)
+    cuts = np.searchsorted(np.cumsum(many), np.arange(limit, many.sum() + limit, limit))
+    at = 0
+    for cut in np.unique(np.minimum(cuts + 1, len(order))).tolist():
+        left = np.repeat(np.arange(at, cut), many[at:cut])
+        first = np.cumsum(many[at:cut]) - many[at:cut]
+        right = np.arange(len(left)) - np.repeat(first, many[at:cut]) + left + 1
+        yield order[left], order[right]
+        at = cut
+
+
+def _pairs_of(e: np.ndarray, edges: np.ndarray, percent: int, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of all lists (``edges`` bound them), in blocks; lists of one length are expanded together."""
+    sizes, held, count = np.diff(edges), [], 0
+    for m in np.unique(sizes[sizes > 1]).tolist():
+        starts = edges[:-1][sizes == m]
+        if m > 32:
+            blocks = (pair for a in starts.tolist() for pair in _long_list(e, a, a + m, percent, limit))
+        else:
+            x, y = np.triu_indices(m, 1)
+            step = max(1, limit // len(x))
+            blocks = (((starts[k : k + step, None] + x).ravel(), (starts[k : k + step, None] + y).ravel()) for k in range(0, len(starts), step))
+        for left, right in blocks:
+            held.append(_passing(e, left, right, percent))
+            count += len(held[-1][0])
+            if count > limit:
+                yield tuple(np.concatenate(k) for k in zip(*held))
+                held, count = [], 0
+    if held:
+        yield tuple(np.concatenate(k) for k in zip(*held))
+
+
+def _pair_rows(e: np.ndarray, left: np.ndarray, right: np.ndarray, star: int) -> pa.RecordBatch:
+    """The distinct pairs of a block, the lesser key first, with how often each occurs."""
+    swap = e["key"][left] > e["key"][right]
+    left, right = np.where(swap, right, left), np.where(swap, left, right)
+    order = np.lexsort((e["key"][right], e["key"][left]))
+    left, right = left[order], right[order]
+    a, b = e["key"][left], e["key"][right]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+    counts = np.diff(np.append(first, len(a)))
+    left, right = left[first], right[first]
+    values = [e["key"][left], e["key"][right], e["n"][left], e["n"][right], e["hot"][left], e["hot"][right], (counts * (1 - star)).astype(np.int32), np.full(len(first), star, np.int32)]
+    return rows(PAIRS, [pa.array(np.ascontiguousarray(v)) for v in values])
+
+
 def candidate_pairs(index: DataFrame, hot, params: JaccardParams) -> DataFrame:
     """Pairs of sets that share prefix shingles, with how many; of frequent shingles, pairs with the pivot (star = 1)."""
 
@@ -165,48 +213,37 @@ def candidate_pairs(index: DataFrame, hot, params: JaccardParams) -> DataFrame:
         blobs = [_unpacked(x) for batch in batches for x in batch.column("entries").to_pylist()]
         if not blobs:
             return
-        entries = np.concatenate(blobs)
+        e = np.concatenate(blobs)
         del blobs
-        entries = entries[np.lexsort((entries["key"], entries["token"]))]
-        fresh = np.ones(len(entries), dtype=bool)  # copies of a set from other blocks go
-        fresh[1:] = (entries["token"][1:] != entries["token"][:-1]) | (entries["key"][1:] != entries["key"][:-1])
-        entries = entries[fresh]
-        edges = np.flatnonzero(np.concatenate([[True], entries["token"][1:] != entries["token"][:-1], [True]]))
-        several = np.flatnonzero(np.diff(edges) > 1)
-        frequent = hot.value
-        counted: dict[tuple[int, int], list[int]] = {}
-        stars: dict[tuple[int, int], tuple] = {}
-        for i in several.tolist():
-            e = entries[edges[i] : edges[i + 1]]
-            if _in_sorted(e["token"][:1], frequent)[0]:
-                p = e[0]  # the least key is the pivot
-                for x in e[1:]:
-                    stars[int(p["key"]), int(x["key"])] = (int(p["n"]), int(x["n"]), int(p["hot"]), int(x["hot"]))
-                continue
-            e = e[np.argsort(e["n"], kind="stable")]
-            keys = e["key"].tolist()
-            for x, y in zip(*[k.tolist() for k in _list_pairs(e, params.percent)]):
-                pair = (keys[x], keys[y]) if keys[x] < keys[y] else (keys[y], keys[x])
-                found = counted.get(pair)
-                if found is None:
-                    x, y = (x, y) if keys[x] < keys[y] else (y, x)
-                    counted[pair] = [1, int(e["n"][x]), int(e["n"][y]), int(e["hot"][x]), int(e["hot"][y])]
-                else:
-                    found[0] += 1
-            if len(counted) > 200_000:
-                yield _pair_rows(counted, stars)
-                counted, stars = {}, {}
-        yield _pair_rows(counted, stars)
+        e = e[np.lexsort((e["key"], e["token"]))]
+        new = np.ones(len(e), dtype=bool)
+        new[1:] = e["token"][1:] != e["token"][:-1]
+        fresh = new.copy()  # copies of a set from other blocks go
+        fresh[1:] |= e["key"][1:] != e["key"][:-1]
+        e, new = e[fresh], new[fresh]
+        several = ~new
+        several[:-1] |= ~new[1:]
+        several &= np.concatenate([~new[1:], [False]]) | ~new
+        e, new = e[several], new[several]
+        edges = np.append(np.flatnonzero(new), len(e))
+        frequent = _in_sorted(e["token"][edges[:-1]], hot.value) if len(e) else np.empty(0, bool)
+        of = np.repeat(frequent, np.diff(edges))
+        rest = e[~of]
+        for left, right in _pairs_of(rest, np.concatenate([[0], np.cumsum(np.diff(edges)[~frequent])]), params.percent):
+            yield _pair_rows(rest, left, right, 0)
+        rest = e[of]
+        sizes = np.diff(edges)[frequent]
+        starts = np.cumsum(sizes) - sizes
+        pivot = np.repeat(starts, sizes)  # a list's least key comes first
+        member = np.arange(len(rest))
+        for k in range(0, len(rest), 400_000):
+            part = slice(k, k + 400_000)
+            keep = pivot[part] != member[part]
+            yield _pair_rows(rest, pivot[part][keep], member[part][keep], 1)
 
     return index.repartition(partitions(index.sparkSession), "part").mapInArrow(task, "a long, b long, na int, nb int, ha int, hb int, shared int, star int")
 
 
-def _pair_rows(counted: dict, stars: dict) -> pa.RecordBatch:
-    out = [(a, b, na, nb, ha, hb, c, 0) for (a, b), (c, na, nb, ha, hb) in counted.items()]
-    out += [(a, b, na, nb, ha, hb, 0, 1) for (a, b), (na, nb, ha, hb) in stars.items()]
-    return rows(PAIRS, [[x[i] for x in out] for i in range(8)])
-
-
 def _possible(percent: int, shared):
     """Pairs whose shared prefix shingles allow the overlap: beyond its prefix a set adds its remaining members at most."""
     needed = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
@@ -229,11 +266,11 @@ def verify(pairs: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFra
             found = known.get(key)
             if found is None:
                 found = known[key] = shingle_sets([text.encode()], params.words)[0]
-                if len(known) > 256:
+                if len(known) > 64:
                     known.popitem(last=False)
             return found
 
-        for batch in grouped(batches, "ta", 4 << 20):
+        for batch in grouped(batches, "ta", 1 << 20):
             a, b, ha, hb, star, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ha", "hb", "star", "ta", "tb"))
             na, nb, overlap = [], [], []
             for x, y, s, t in zip(a, b, ta, tb):
