@@ -1,10 +1,14 @@
-"""Corpus pipeline: five stages over ``documents``, each written as Parquet and reread as the next one's input."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet and reread as the next one's input.
+
+Every stage works on all that its predecessor kept, and its decisions take effect. All but the last return the columns of
+``documents``; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import quality
+from tallyframe.llm import decontaminate, jaccard, lines, packing, quality
 from tallyframe.llm.shared import materialize
 
 
@@ -12,9 +16,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.drop_repeated(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", sequence_packing),
+]
 
-#: SQL cannot state a stage that tokenises; the stages are tested against brute force.
+#: SQL cannot state the tokeniser of the last stage; run() is tested against a brute-force version.
 ORACLE_SQL = None
 
 

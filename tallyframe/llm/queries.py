@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, jaccard, lines, packing, pii, quality, suffixes, warc
+from tallyframe.llm import decontaminate, htmltext, jaccard, lines, lmscore, packing, pii, quality, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"_lines.{c}" for c in ("n_lines", "n_removed", "n_linked")], F.array_join(F.transform("_lines.removed", lambda x: x.cast("string")), ",").alias("removed_lines"), F.sha2("_lines.kept", 256).alias("kept_sha256"))
 
 
+def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.match(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", (F.size("_hits") > 0).alias("contaminated"), F.size("_hits").alias("n_items"), F.array_join(F.transform("_hits", lambda x: x["item_id"].cast("string")), ",").alias("item_ids"), F.array_min(F.transform("_hits", lambda x: x["distance"])).alias("min_distance"))
@@ -49,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_packing, op4_jaccard, op5_quality, op6_lines, op8_decontamination, op9_suffixes, op10_warc)}
+    return {f.__name__: f for f in (op1_pii, op2_html, op3_packing, op4_jaccard, op5_quality, op6_lines, op7_lmscore, op8_decontamination, op9_suffixes, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
