@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tallyframe.llm.components import components
-from tallyframe.llm.shared import bound_batches, grouped, materialize, partitions, rows
+from tallyframe.llm.shared import bound_batches, grouped, materialize, partitions, rows, small_side
 from tallyframe.llm.shingles import mix, powers
 
 
@@ -108,19 +109,21 @@ def entries(lines: list[str], keys: list[int], distance: int) -> np.ndarray:
     np.cumsum((data + np.uint64(1)) * up[: len(data)], out=total[1:])
     bits = np.uint32(1) << (mix(data) >> np.uint64(59)).astype(np.uint32)
     parity = np.bitwise_xor.reduceat(bits, starts) if len(lines) else np.empty(0, np.uint32)
-    number = np.array(keys, dtype=np.int64)
-    out = []
-    for length in np.unique(sizes).tolist():
-        who = np.flatnonzero(sizes == length)
-        own = [(length, i, at, size, 0) for i, (at, size) in enumerate(segments(length, distance + 1))]
-        own += [(*x, 1) for x in probes(length, distance)]
-        for other, i, at, size, probe in own:
-            first = starts[who] + at
-            entry = np.empty(len(who), dtype=ENTRY)
-            entry["sign"] = mix(((total[first + size] - total[first]) * down[first]) ^ mix(np.array([other * 64 + i], dtype=np.uint64)))
-            entry["key"], entry["parity"], entry["probe"] = number[who], parity[who], probe
-            out.append(entry)
-    return np.concatenate(out) if out else np.empty(0, dtype=ENTRY)
+    plans = [_plan(n, distance) for n in sizes.tolist()]
+    plan = np.concatenate(plans) if plans else np.empty((0, 4), dtype=np.int64)
+    who = np.repeat(np.arange(len(lines)), [len(x) for x in plans])
+    first = starts[who] + plan[:, 0]
+    out = np.empty(len(plan), dtype=ENTRY)
+    out["sign"] = mix(((total[first + plan[:, 1]] - total[first]) * down[first]) ^ mix(plan[:, 2].astype(np.uint64)))
+    out["key"], out["parity"], out["probe"] = np.array(keys, dtype=np.int64)[who], parity[who], plan[:, 3]
+    return out
+
+
+@lru_cache(maxsize=20_000)
+def _plan(length: int, distance: int) -> np.ndarray:
+    """(place, size, tag of indexed length and segment, probe) of all entries of a line of ``length``."""
+    own = [(at, size, length * 64 + i, 0) for i, (at, size) in enumerate(segments(length, distance + 1))]
+    return np.array(own + [(at, size, other * 64 + i, 1) for other, i, at, size in probes(length, distance)], dtype=np.int64)
 
 
 def _lines(text: str, least: int) -> list[tuple[int, str]]:
@@ -239,7 +242,7 @@ def links(base: DataFrame, params: LineParams) -> DataFrame:
         for lines, keys in _blocks(batches, params, 1 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.string())], names=["key", "text"])
 
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = small_side(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
     texts = base.select("text").mapInArrow(told, "key long, text string").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     texts = materialize(texts, "line-texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")

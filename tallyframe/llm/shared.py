@@ -54,6 +54,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_side(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A narrow key table, broadcast only if it is counted to have ``most`` rows or fewer; else joins shuffle it."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bounds what goes to a Python worker at once by bytes, so that rows with long texts do not add up to a large batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
