@@ -113,7 +113,12 @@ def spelled_digits(traced: Traced) -> Traced:
             digits = len(spelled) + sum(len(p[2]) for p in parts if p[2].isdigit())
             if len(spelled) < 3 or digits < 4 or len(set(spelled)) == 1 and len(spelled) == digits and len(spelled) > 4:  # one word said over and over is no number
                 continue
+            signed = False
             for start, stop, word in parts:
+                if signed and word.isspace():  # a sign and its number are one
+                    yield m.start() + start, m.start() + stop, ""
+                    continue
+                signed = word in ("plus", "+")
                 new = DIGIT_WORDS.get(word, {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": "."}.get(word, word if word.isdigit() or word in "+.- " else " " if word in ",/\t" else ""))
                 if new != m[0][start:stop]:
                     yield m.start() + start, m.start() + stop, new
