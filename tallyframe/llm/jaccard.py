@@ -15,12 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.components import components
-from tallyframe.llm.shared import grouped, materialize, narrow, partitions, rows
+from tallyframe.llm.components import components, find_root, join_roots
+from tallyframe.llm.shared import grouped, materialize, narrow, partitions, rows, small_side
 from tallyframe.llm.shingles import set_key, shingle_sets
 
 
@@ -28,8 +29,8 @@ from tallyframe.llm.shingles import set_key, shingle_sets
 class JaccardParams:
     words: int = 5
     percent: int = 75
-    frequent: int = 32  # sets that hold a shingle, from which on it may count as frequent
-    locally: int = 4  # and of these within one worker's block of sets
+    frequent: int = 16  # sets that hold a shingle, from which on it may count as frequent
+    locally: int = 2  # and of these within one worker's block of sets
     most_frequent: int = 1_000_000  # so many are broadcast at most (8 MB); the order stays exact with any choice
     block_tokens: int = 1 << 20
 
@@ -286,20 +287,27 @@ def verify(pairs: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFra
     return both.mapInArrow(task, "a long, b long, na long, nb long, ha int, hb int, star int, overlap long")
 
 
-def derived_pairs(verified: DataFrame, joined: DataFrame, params: JaccardParams) -> DataFrame:
-    """Pairs of sets compared with one pivot that are still apart and that the pivot's answers leave open."""
+def derived_links(verified: DataFrame, joined: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFrame:
+    """Links (a, b) among sets that were compared with one pivot, are still apart, and that the pivot's answers leave open.
+
+    Only pivots whose sets lie in several components are looked at, and only links that join two of these are put out.
+    """
     p = params.percent
     own = verified.where("star = 1").select(F.col("a").alias("pivot"), F.col("b").alias("key"), F.col("nb").alias("n"), F.col("hb").alias("hot"), "overlap")
     own = own.where("hot > 0").join(joined.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    # A pivot all of whose sets are connected has nothing open.
     apart = own.groupBy("pivot").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("pivot")
-    own = own.join(apart, "pivot", "left_semi").select("pivot", "key", "n", "hot", "overlap", "component")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ha", pa.int32()), ("hb", pa.int32()), ("star", pa.int32())])
+    own = own.join(apart, "pivot", "left_semi").join(texts, "key").select("pivot", "key", "n", "hot", "overlap", "component", "text")
 
-    def group(frame):
+    def group(frame: pd.DataFrame) -> pd.DataFrame:
         order = frame.sort_values(["n", "key"], kind="stable")
         key, n, hot, o, c = (order[x].to_numpy() for x in ("key", "n", "hot", "overlap", "component"))
-        out = []
+        texts, known, parent, out = order["text"].tolist(), {}, {}, []
+
+        def tokens(i: int) -> np.ndarray:
+            if i not in known:
+                known[i] = shingle_sets([texts[i].encode()], params.words)[0]
+            return known[i]
+
         values, counts = np.unique(c, return_counts=True)
         largest = values[np.argmax(counts)]
         for i in np.flatnonzero(c != largest).tolist():
@@ -309,13 +317,16 @@ def derived_pairs(verified: DataFrame, joined: DataFrame, params: JaccardParams)
             needed = overlap_needed(p, n[i], n[j])
             most = np.minimum(o[i], o[j]) + np.minimum(n[i] - o[i], n[j] - o[j])
             held = np.minimum(hot[i], hot[j]) + -(-p * np.maximum(n[i], n[j]) // 100) - 1
-            j = j[(most >= needed) & (held >= needed)]
-            out += [(min(key[i], key[x]), max(key[i], key[x]), 0, 0, 0) for x in j.tolist()]
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=schema.names)
+            keep = (most >= needed) & (held >= needed)
+            for x, need in zip(j[keep].tolist(), needed[keep].tolist()):
+                if find_root(parent, int(c[i])) == find_root(parent, int(c[x])):
+                    continue  # connected by now
+                if int(_in_sorted(tokens(i), tokens(x)).sum()) >= need:
+                    join_roots(parent, int(c[i]), int(c[x]))
+                    out.append((int(key[i]), int(key[x])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return own.groupBy("pivot").applyInPandas(group, "a long, b long, ha int, hb int, star int").distinct()
+    return own.groupBy("pivot").applyInPandas(group, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
@@ -341,10 +352,9 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     links = verified.where(similar).select("a", "b")
     joined = components(links)
     if not verified.where("star = 1").isEmpty():
-        more = materialize(derived_pairs(verified, joined, params), "derived")
+        more = materialize(derived_links(verified, joined, texts, params), "derived")
         if not more.isEmpty():
-            links = links.union(verify(more, texts, params).where(similar).select("a", "b"))
-            joined = components(links)
+            joined = components(links.union(more))
     own = sets.where("n is not null").select("doc_id", "key", "n")
     least = own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = least.join(joined.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -365,7 +375,7 @@ def _texts(base: DataFrame, pairs: DataFrame, params: JaccardParams) -> DataFram
             if len(seen) > 1_000_000:
                 seen.clear()
 
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b"))).distinct()
+    wanted = small_side(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b"))).distinct())
     return materialize(base.mapInArrow(task, "key long, text string").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "texts")
 
 
