@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.contracts import ColumnSpec, GateError, Profile
 from tallyframe.functions import expressions as X
 from tallyframe.operators import audit, distance, fidelity, preprocess, rules, utility
+from tallyframe.plans import reports  # noqa: F401  registers its queries
 from tallyframe.plans.registry import QUERIES, SQL
 
 RULES = {
