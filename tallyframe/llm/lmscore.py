@@ -2,8 +2,10 @@
 
 Words are put into classes: the corpus's most frequent words each have their own, all others share hashed ones. The
 network sees the classes left and right of a word and predicts the word's own class; its parameters are fitted in NumPy to
-the counts of all (left, word, right) triples of the whole corpus, which hold everything the likelihood depends on. A
-document's score is the sum of the conditional log-probabilities of all its words.
+the counts of all (left, word, right) triples of the whole corpus, which hold everything the class likelihood depends on.
+P(word | class) comes from the exact counts of all words, and where the two words on each side of a token stand around
+other tokens too, the counts of the words there are mixed in. Both kinds of counts lie in shards that grow with the corpus.
+A document's score is the sum of the conditional log-probabilities of all its words.
 """
 
 from __future__ import annotations
@@ -11,14 +13,16 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.shared import grouped, narrow, partitions, rows
-from tallyframe.llm.shingles import words
+from tallyframe.llm.shingles import mix, words
 
 
 @dataclass(frozen=True)
@@ -30,6 +34,8 @@ class LmParams:
     epochs: int = 120
     rate: float = 0.03
     seed: int = 5
+    reach: int = 2  # words on either side of a token whose windows are counted
+    prior: float = 1.0  # tokens that the network's probability counts as, against a window's own counts
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -163,25 +169,153 @@ class WindowNetwork:
         return self.log_probabilities(left, right)[0].astype(np.float32).reshape(v, v, v)
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Blocks of texts with their words, under an id that every pass over the same partition gives them again.
+
+    The id holds the texts, so other partitions are noticed. Batches are cut by all columns: each pass has to read the same.
+    """
+    part = TaskContext.get().partitionId()
+    for at, batch in enumerate(grouped(batches, "text", 4 << 20)):
+        texts = [x.as_buffer().to_pybytes() for x in batch.column("text").cast(pa.binary())]
+        named = blake2b(f"{part} {at} {len(texts)} ".encode(), digest_size=8)
+        for text in texts:
+            named.update(text)
+        yield int.from_bytes(named.digest(), "little") >> 1, batch, *words(texts)
+
+
+def windows(hashes: np.ndarray, edges: np.ndarray, params: LmParams) -> np.ndarray:
+    """A key per token: the ``reach`` words on either side (the document's edge counts as one) above, a tag of the word below."""
+    doc = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    context = np.zeros(len(hashes), dtype=np.uint64)
+    for step in [*range(-params.reach, 0), *range(1, params.reach + 1)]:
+        near = np.zeros(len(hashes), dtype=np.uint64)
+        a, b = max(0, -step), min(len(hashes), len(hashes) - step)
+        if a < b:
+            near[a:b] = np.where(doc[a + step : b + step] == doc[a:b], hashes[a + step : b + step], np.uint64(0))
+        context = mix(context + near + np.uint64(step + 64))
+    return context >> np.uint64(TAG) << np.uint64(TAG) | hashes >> np.uint64(64 - TAG)
+
+
+TAG = 18
+ASKED = "part int, block long, words boolean, keys binary, counts binary"
+TOLD = "block long, part int, words boolean, a binary, b binary"
+
+
+def asked(docs: DataFrame, parts: int, params: LmParams) -> DataFrame:
+    """What each block wants to know of each shard: the words it holds, with counts, and the windows of its tokens."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, hashes, edges in _shards(batches):
+            out: list[list] = [[], [], [], [], []]
+            values, counts = np.unique(hashes, return_counts=True)
+            for told, keys, count in ((True, values, counts.astype("<u4")), (False, windows(hashes, edges, params), None)):
+                _, order, cuts = _dealt(keys, parts)
+                for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    if a < b:
+                        for column, value in zip(out, (part, block, told, keys[order[a:b]].tobytes(), count[order[a:b]].tobytes() if told else b"")):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], names=["part", "block", "words", "keys", "counts"])
+
+    return docs.mapInArrow(task, ASKED)
+
+
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The shard of each key (of its context only), the order that puts the keys of a shard together, and where shards begin."""
+    part = (mix(keys >> np.uint64(TAG)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    return part, order, np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+
+
+def told(asking: DataFrame, parts: int) -> DataFrame:
+    """Each shard's answers: a word's count in the whole corpus; of windows whose context occurs elsewhere, both counts there."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bool], list] = {}
+        for batch in batches:
+            for part, block, is_words, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "words", "keys", "counts"))):
+                held.setdefault((part, is_words), []).append((block, np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<u4")))
+        for (part, is_words), found in held.items():
+            keys = np.concatenate([x[1] for x in found])
+            edges = np.cumsum([0, *[len(x[1]) for x in found]])
+            values, where = np.unique(keys, return_inverse=True)
+            if is_words:
+                total = np.bincount(where, weights=np.concatenate([x[2] for x in found])).astype("<u8")[where]
+                answers = [(total[a:b].tobytes(), b"") for a, b in zip(edges, edges[1:])]
+            else:
+                own = np.bincount(where)
+                contexts, inside = np.unique(values >> np.uint64(TAG), return_inverse=True)
+                whole = np.bincount(inside, weights=own).astype(np.int64)[inside]
+                answers = []
+                for a, b in zip(edges, edges[1:]):
+                    at = np.flatnonzero(whole[where[a:b]] > 1)
+                    here = where[a:b][at]
+                    answers.append((at.astype("<u4").tobytes(), np.stack([own[here] - 1, whole[here] - 1]).astype("<u8").tobytes()))
+            for (block, _, _), (x, y) in zip(found, answers):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([is_words]), pa.array([zlib.compress(x, 1)], pa.binary()), pa.array([zlib.compress(y, 1)], pa.binary())], names=["block", "part", "words", "a", "b"])
+
+    return asking.repartition(parts, "part").mapInArrow(task, TOLD)
+
+
 def score(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_tokens, log_likelihood (their sum), mean_log_likelihood.
 
-    Null or blank text: no tokens, a sum of 0 and no mean. A null doc_id and repeated rows are scored like others and count
-    in training. Whole texts are read; the empty table gives none. What is broadcast is fixed by ``classes`` (8 MB).
+    A token's probability: the network's P(class | classes beside it) times P(word | class) from the counts of all words,
+    as the prior (weight ``prior``) of the counts of the word among all other tokens with the same ``reach`` words on both
+    sides. Null or blank text: no tokens, a sum of 0 and no mean. A null doc_id and repeated rows are scored like others and
+    count in training. Whole texts are read; the empty table gives none. What is broadcast is fixed by ``classes`` (8 MB);
+    counts of words and windows lie in shards and grow with the corpus. ``docs`` is read several times and has to give the
+    same partitions each time; else the run fails.
     """
     spark = docs.sparkSession
     base = narrow(docs, "doc_id", "text")
+    parts = partitions(spark)
     frequent = spark.sparkContext.broadcast(frequent_words(base.select("text"), params))
     counts = triple_counts(base.select("text"), frequent, params)
     table = spark.sparkContext.broadcast(WindowNetwork(params).fit(counts, params).table())
+    sizes_of_classes = counts.sum(axis=(0, 1))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("mean_log_likelihood", pa.float64())])
+    names = ["block", "part", "words", "a", "b"]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, hashes, edges in _blocks(batches):
-            left, own, right = _triples(hashes, edges, frequent.value, params)
-            total = np.concatenate([[0.0], np.cumsum(table.value[left, right, own].astype(np.float64))])
-            sums, sizes = total[edges[1:]] - total[edges[:-1]], np.diff(edges)
-            means = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist())]
-            yield rows(schema, [batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(np.where(sizes > 0, sums, 0.0)), means])
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, batch, _, _ in _shards(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([True]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([b""], pa.binary())], names=names)
 
-    return base.mapInArrow(task, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict] = {}
+        for batch in batches:
+            for block, part, is_words, a, b in zip(*(batch.column(c).to_pylist() for c in names)):
+                held.setdefault(block, {})[part, is_words] = a, b
+        for block in list(held):
+            answers = held.pop(block)
+            if (-1, True) not in answers:
+                raise RuntimeError("the documents came in other partitions when they were read again")
+            for batch in pa.ipc.open_stream(answers.pop((-1, True))[0]):
+                hashes, edges = words([x.as_buffer().to_pybytes() for x in batch.column("text").cast(pa.binary())])
+                values, where = np.unique(hashes, return_inverse=True)
+                left, own, right = _triples(hashes, edges, frequent.value, params)
+                everywhere = np.zeros(len(values))
+                log_p = table.value[left, right, own].astype(np.float64)
+                _, order, cuts = _dealt(values, parts)
+                _, at_window, window_cuts = _dealt(windows(hashes, edges, params), parts)
+                again = []
+                for (part, is_words), (a, b) in answers.items():
+                    a = zlib.decompress(a)
+                    if is_words:
+                        everywhere[order[cuts[part] : cuts[part + 1]]] = np.frombuffer(a, "<u8")
+                    else:
+                        again.append((at_window[window_cuts[part] : window_cuts[part + 1]][np.frombuffer(a, "<u4")], *np.frombuffer(zlib.decompress(b), "<u8").reshape(2, -1).astype(np.float64)))
+                if len(values) and everywhere.min() < 1:
+                    raise RuntimeError("the documents came in other partitions when they were read again")
+                log_p += np.log(everywhere)[where] - np.log(sizes_of_classes[own])
+                for at, same, among in again:
+                    log_p[at] = np.log((same + params.prior * np.exp(log_p[at])) / (among + params.prior))
+                total = np.concatenate([[0.0], np.cumsum(log_p)])
+                sums, sizes = total[edges[1:]] - total[edges[:-1]], np.diff(edges)
+                means = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist())]
+                yield rows(schema, [batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(np.where(sizes > 0, sums, 0.0)), means])
+
+    met = base.mapInArrow(home, TOLD).unionByName(told(asked(base, parts, params), parts)).repartition(parts, "block")
+    return met.mapInArrow(finish, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")

@@ -183,6 +183,34 @@ def test_lm_counts_are_the_corpus(spark):
     assert lmscore.triple_counts(df, held, params).sum() == 5
 
 
+def test_lm_scores_words_and_wide_windows(spark):
+    """Against a brute-force version: exact P(word | class), and counts of windows of two words a side, the token itself left out."""
+    params = lmscore.LmParams(classes=8, frequent=2, epochs=20)
+    docs = [(1, "a b c d e f a b a"), (2, "a b x d e a a b"), (3, "a b c d e"), (4, ""), (None, "z a"), (None, "z a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2).cache()
+    got = lmscore.score(df, params).collect()
+    held = spark.sparkContext.broadcast(lmscore.frequent_words(df, params))
+    counts = lmscore.triple_counts(df, held, params)
+    table = lmscore.WindowNetwork(params).fit(counts, params).table().astype(float)
+    number, seen, around = {}, {}, {}
+    split = [t.split() for _, t in docs]
+    context = lambda w, i: tuple(w[j] if 0 <= j < len(w) else None for j in (i - 2, i - 1, i + 1, i + 2))
+    for w in split:
+        for i, x in enumerate(w):
+            number[x] = number.get(x, 0) + 1
+            seen[context(w, i), x] = seen.get((context(w, i), x), 0) + 1
+            around[context(w, i)] = around.get(context(w, i), 0) + 1
+    want = []
+    for (d, t), w in zip(docs, split):
+        left, own, right = lmscore._triples(*lmscore.words([t.encode()]), held.value, params) if w else ([], [], [])
+        total = 0.0
+        for i, x in enumerate(w):
+            p = np.exp(table[left[i], right[i], own[i]]) * number[x] / counts.sum(axis=(0, 1))[own[i]]
+            total += np.log((seen[context(w, i), x] - 1 + params.prior * p) / (around[context(w, i)] - 1 + params.prior))
+        want.append((d, len(w), round(total, 4)))
+    assert sorted(((r.doc_id, r.n_tokens, round(r.log_likelihood, 4)) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_decontamination(spark, docs):
     item = passage(1, 40)
     bench = spark.createDataFrame([(7, item), (8, passage(77, 40)), (9, "tiny"), (None, item)], "item_id long, text string")
