@@ -28,7 +28,9 @@ from tallyframe.llm.shingles import mix, powers
 @dataclass(frozen=True)
 class LineParams:
     distance: int = 2
-    line_chars: int = 24  # shorter lines repeat by chance and are left alone
+    line_chars: int = 24  # shorter lines meet by equality only
+    rare_chars: int = 12  # a line shorter than that may repeat by chance: it goes if it stands in ``documents`` documents
+    documents: int = 3
 
 
 def segments(length: int, count: int) -> list[tuple[int, int]]:
@@ -131,19 +133,25 @@ def _lines(text: str, least: int) -> list[tuple[int, str]]:
 
 
 def occurrences(base: DataFrame, params: LineParams) -> DataFrame:
-    """(key, ident, doc_id, line) of every line that is long enough."""
-    schema = pa.schema([("key", pa.int64()), ("ident", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64())])
+    """(key, ident, doc_id, line, lead, rare) of every line that is not blank.
+
+    lead: the first of its key in the document; rare: so short that it takes several documents to go.
+    """
+    schema = pa.schema([("key", pa.int64()), ("ident", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("lead", pa.bool_()), ("rare", pa.bool_())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, "text", 1 << 20):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for ident, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("ident", "doc_id", "text"))):
-                for i, line in _lines(text, params.line_chars):
-                    for column, value in zip(out, (line_key(line), ident, doc_id, i)):
+                seen = set()
+                for i, line in _lines(text, 1):
+                    key = line_key(line)
+                    for column, value in zip(out, (key, ident, doc_id, i, key not in seen, len(line) < params.rare_chars)):
                         column.append(value)
+                    seen.add(key)
             yield rows(schema, out)
 
-    return base.select("ident", "doc_id", "text").mapInArrow(task, "key long, ident long, doc_id long, line long")
+    return base.select("ident", "doc_id", "text").mapInArrow(task, "key long, ident long, doc_id long, line long, lead boolean, rare boolean")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], params: LineParams, chars: int) -> Iterator[tuple[list[str], list[int]]]:
@@ -258,9 +266,10 @@ def links(base: DataFrame, params: LineParams) -> DataFrame:
 def dedup(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """``docs`` with a struct ``_lines``: n_lines, n_removed, n_linked, removed (line numbers), kept (the text left).
 
-    A line of ``line_chars`` or more goes if a line of its class stands earlier, by doc_id (nulls last) and line number.
-    Classes: lines linked, also over others, by an edit distance of ``distance`` at most. n_linked counts the lines that
-    have a different line in their class. Null or empty text: one empty line, kept. Rows that repeat both id and text
+    A line goes if a line of its class stands earlier, by doc_id (nulls last) and line number; one below ``rare_chars`` only
+    if it stands in ``documents`` documents or more. Blank lines stay. Classes: equal lines; those of ``line_chars`` or more
+    also linked, over others too, by an edit distance of ``distance`` at most. n_linked counts the lines that have a
+    different line in their class. Null or empty text: one empty line, kept. Rows that repeat both id and text
     count as one and get the same answer. Other columns are not read; the empty table gives none.
     """
     bound_batches(docs.sparkSession)
@@ -269,8 +278,9 @@ def dedup(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     found = materialize(occurrences(slim, params).distinct(), "lines")
     near = components(links(slim, params))
     classed = found.join(near.withColumnRenamed("node", "key"), "key", "left")
-    classed = classed.select("ident", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ident", "line").alias("place"), F.coalesce("component", "key").alias("class"), F.col("component").isNotNull().alias("linked"))
-    first = classed.groupBy("class").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first")
+    classed = classed.select("ident", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ident", "line").alias("place"), F.coalesce("component", "key").alias("class"), F.col("component").isNotNull().alias("linked"), "lead", "rare")
+    first = classed.groupBy("class").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.count_if("lead").alias("documents"), F.bool_and("rare").alias("rare"))
+    first = first.where((F.col("n") > 1) & (~F.col("rare") | (F.col("documents") >= params.documents))).select("class", "first")
     lost = classed.join(first, "class").groupBy("ident").agg(
         F.array_sort(F.collect_set(F.when(F.col("place") != F.col("first"), F.col("place.line")))).alias("removed"), F.count_if("linked").alias("n_linked")
     )

@@ -170,6 +170,15 @@ def test_line_dedup(spark):
     assert left[1] == ("short", 5) and None not in left and left[3] == (None, 0)
 
 
+def test_short_lines_are_linked_by_equality(spark):
+    equal, near = "a line of 23 characters", "a line of 23 charakters"
+    texts = [f"{equal}\nMenu\n\n{passage(1, 8)}", f"Menu\n{near}\nonly two\n\nx", f"{equal}\nMenu\n\n{equal}", "only two\ny"]
+    assert len(equal) == 23
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r._lines.removed for r in lines.dedup(df).collect()}
+    assert got == {0: [], 1: [0], 2: [0, 1, 3], 3: []}
+
+
 def test_lm_prefers_what_the_corpus_holds(spark):
     rows = [(i, "the cat sat on the mat and the dog lay by the door " * 3) for i in range(30)] + [(99, "door the by lay dog the and mat the on sat cat the"), (100, None)]
     got = {r.doc_id: r for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string"), lmscore.LmParams(classes=32, frequent=20, epochs=60)).collect()}
