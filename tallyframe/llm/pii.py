@@ -41,13 +41,22 @@ _SPELLED = re.compile(rf"(?i)(?:(?:\bplus\b|\+){_BETWEEN}?)?(?:\b(?:{_WORD})\b|(
 _PART = re.compile(rf"(?i)\b(?:{_WORD}|plus|dot|point|punkt|punto|dash|hyphen|space)\b|[0-9]+|\+|.", re.S)
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_BRACKET_AT = re.compile(rf"(?i)\s?{_OPEN}\s*(?:at|@|arroba|ät)\s*{_CLOSE}\s?")
+_BRACKET_AT = re.compile(rf"(?i)\s?{_OPEN}\s*(?:at|@|arroba|arobase|arrobase|ät)\s*{_CLOSE}\s?")
 _BRACKET_DOT = re.compile(rf"(?i)\s?{_OPEN}\s*(?:dot|point|punkt|punto|\.)\s*{_CLOSE}\s?")
-_ANY_BRACKET = re.compile(rf"(?i){_OPEN}\s*(?:at|@|arroba|ät|dot|point|punkt|punto|\.)\s*{_CLOSE}")
+_ANY_BRACKET = re.compile(rf"(?i){_OPEN}\s*(?:at|@|arroba|arobase|arrobase|ät|dot|point|punkt|punto|\.)\s*{_CLOSE}")
 _NAME = r"[A-Za-z0-9_%+-]+"
-_SAID = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-]){_NAME}(?:(?: dot |\.){_NAME})*(?: at |_at_|-at-|@| @ )[A-Za-z0-9-]+(?:(?: dot |_dot_|-dot-|\.)[A-Za-z0-9-]+)*(?: dot |_dot_|-dot-)[A-Za-z]{{2,12}}(?![A-Za-z0-9])")
+_AT, _DOT = "(?:arroba|arobase|arrobase|ät)", "(?:dot|point|punkt|punto)"
+# "at some point in" is English prose: after a plain "at", "point" counts only before a common top-level domain.
+_SAID = re.compile(
+    rf"(?i)(?<![A-Za-z0-9._%+-]){_NAME}(?:(?: {_DOT} |\.){_NAME})*(?: at |_at_|-at-|@| @ | {_AT} |_{_AT}_|-{_AT}-)[A-Za-z0-9-]+(?:(?: {_DOT} |_{_DOT}_|-{_DOT}-|\.)[A-Za-z0-9-]+)*"
+    rf"(?:(?: dot | punkt | punto |_{_DOT}_|-{_DOT}-)[A-Za-z]{{2,12}}| point (?:com|org|net|info|eu|fr|be|ch|de|es))(?![A-Za-z0-9])"
+)
+_NAMED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<name>{_NAME}(?:\.{_NAME})*)(?: (?i:{_AT}) | at )[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{{2,12}}(?![A-Za-z0-9/])")
+# Words before "at" and a site's name that are prose, not a mailbox.
+_PROSE = frozenset("a all also and any are available be been bought buy by can check courses do find for found free from go here him her hosted i in is it items jobs join look looked looking me meet more now of on online only or order out page people posted published read search see seen shop shopping site sold staff store them there this those to today up us visit was we website were work worked working works you".split())
+_SAID_GATE = re.compile(rf"[ _-](?:{_DOT}|{_AT})[ _-]| @ | at [a-z0-9-]+\.[a-z]")
 _SPACED = re.compile(r"(?<!\S)[A-Za-z0-9._%+-]+( @ )[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)*( ?\. ?)[A-Za-z]{2,12}(?!\S)")
-_SAID_PART = re.compile(r"(?i)(?P<at> at |_at_|-at-| ?@ ?)|(?P<dot> dot |_dot_|-dot-| ?\. ?)")
+_SAID_PART = re.compile(rf"(?i)(?P<at> at |_at_|-at-| ?@ ?| {_AT} |_{_AT}_|-{_AT}-)|(?P<dot> {_DOT} |_{_DOT}_|-{_DOT}-| ?\. ?)")
 
 _SUSPECT = re.compile("[­Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९​-‏‐-―․‪-‮⁠-⁤⁰-₉①-⑨⓪﹒﹫﻿！-～\U0001d400-\U0001d7ff]")
 # Greek and Cyrillic letters that look like ASCII ones, and stand-ins for signs.
@@ -132,7 +141,8 @@ def at_and_dot(traced: Traced) -> Traced:
     at = [0]
 
     def edits():
-        for m in sorted([*_SAID.finditer(traced.text), *_SPACED.finditer(traced.text)], key=lambda m: m.start()):
+        named = (m for m in _NAMED.finditer(traced.text) if m["name"].lower() not in _PROSE)
+        for m in sorted([*_SAID.finditer(traced.text), *_SPACED.finditer(traced.text), *named], key=lambda m: m.start()):
             if m.start() < at[0]:
                 continue
             at[0] = m.end()
@@ -196,10 +206,13 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that show only after rewriting; none overlaps a plain span."""
+    """Spans that show only after rewriting; one may reach over plain spans, which are then fragments of it.
+
+    Left out is what lies within a plain span of its kind, and what overlaps an earlier disguised one.
+    """
     suspect = not text.isascii() and _SUSPECT.search(text)
     lower = text.lower()
-    said = "dot" in lower or " @ " in lower or bool(_ANY_BRACKET.search(text))
+    said = bool(_SAID_GATE.search(lower) or _ANY_BRACKET.search(text))
     spelled = bool(_TWO_WORDS.search(lower))
     if not (suspect or said or spelled):
         return []
@@ -225,7 +238,7 @@ def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[
                 found.append((start, 3, stop))
     out: list[tuple[int, int, int]] = []
     for start, k, stop in sorted(found, key=lambda x: (x[1], x[0])):
-        if not any(start < b and a < stop for a, _, b in plain) and not any(start < b and a < stop for a, _, b in out):
+        if not any(a <= start and stop <= b for a, kind, b in plain if kind == k) and not any(start < b and a < stop for a, _, b in out):
             out.append((start, k, stop))
     return sorted(out)
 

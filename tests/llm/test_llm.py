@@ -55,6 +55,14 @@ def test_pii(docs):
     assert pii.redact("a@b.co and +1 (555) 555-1234") == "<email> and <phone>"
 
 
+def test_disguised_spans_reach_over_plain_fragments():
+    for text in ("jоhn@example.com", "user@mail.exаmple.com", "jo@mail.example (dot) com", "name arroba firma punto com", "name ät firma punkt de", "nom arobase site point fr", "name at example.com", "jo at site dot com"):
+        assert (0, 0, len(text)) in pii.disguised_spans(text, pii.plain_spans(text)), text
+        assert pii.redact(f"to {text}!") == "to <email>!"
+    for text in ("We arrive at some point in May.", "It is at example.com", "Plain jo@example.com stays", "El punto com y la arroba."):
+        assert pii.disguised_spans(text, pii.plain_spans(text)) == []
+
+
 def test_html_labeller_on_held_out_layouts():
     made = htmltext.Layouts(99)
     pages = [made.labelled() for _ in range(60)]
