@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a local folder.
+    A session without that setting gets a temporary folder if it runs in one process, as in tests; on a cluster it is an
+    error, since executors would not see a local folder of the driver.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -86,5 +89,12 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Itera
             start = stop
 
 
+def binary16(values: np.ndarray) -> pa.Array:
+    """Names of 16 bytes as an Arrow array of binary."""
+    data = np.ascontiguousarray(values)
+    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(data), [None, pa.py_buffer(data.tobytes())])
+    return fixed.cast(pa.binary())
+
+
 def rows(schema: pa.Schema, columns: Sequence[Iterable]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -1,6 +1,6 @@
 """Removal of long repeated byte strings by a distributed merge sort of suffixes that knows common prefixes.
 
-Sorting every suffix is not needed. In each window of ``length`` bytes one position, an anchor, is chosen by the least hash
+Sorting every suffix is not needed. In each window of ``passage`` bytes one position, an anchor, is chosen by the least hash
 of the ``gram`` bytes that start there; equal windows choose the same place, so two equal windows meet at an anchor. Only
 suffixes at anchors whose gram occurs twice are sorted: each worker sorts its own into runs, runs are exchanged front-coded
 (the length of the prefix shared with the run's previous suffix, then the rest), and the receiver merges them with a loser
@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.shared import grouped, materialize, narrow, partitions, rows
+from tallyframe.llm.shared import binary16, grouped, materialize, narrow, partitions, rows
 from tallyframe.llm.shingles import mix, powers
 
 
 @dataclass(frozen=True)
 class RepeatParams:
-    length: int = 400
-    gram: int = 100
+    length: int = 400  # bytes of a string that goes where it repeats
+    passage: int = 256  # bytes of a string that is only told where it repeats; at most ``length``
+    gram: int = 64
     block_bytes: int = 1 << 20
 
 
@@ -44,15 +45,15 @@ def _sliding(extreme, values: np.ndarray, span: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, params: RepeatParams) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of a text's anchors and the hashes of their grams; none if the text is shorter than ``length``."""
-    if len(data) < params.length:
+    """Positions of a text's anchors and the hashes of their grams; none if the text is shorter than ``passage``."""
+    if len(data) < params.passage:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
     count = len(data) - params.gram + 1
     hashes = mix((total[params.gram :] - total[:count]) * down[:count])
-    span = params.length - params.gram + 1  # grams in a window
+    span = params.passage - params.gram + 1  # grams in a window
     # A place is chosen if it holds the least hash of a span around it (all places that tie): the largest of the least
     # hashes of its spans is then its own.
     least = _sliding(np.minimum, hashes, span)
@@ -62,11 +63,12 @@ def anchors(data: np.ndarray, params: RepeatParams) -> tuple[np.ndarray, np.ndar
     return at, hashes[at]
 
 
-ANCHOR = np.dtype([("hash", "<u8"), ("key", "<i8"), ("at", "<i4")])
+ANCHOR = np.dtype([("hash", "<u8"), ("key", "V16"), ("at", "<i4")])
 
 
-def text_key(data: bytes) -> int:
-    return int.from_bytes(sha256(data).digest()[:8], "little") >> 1
+def text_key(data: bytes) -> bytes:
+    """128 bits that name a text."""
+    return sha256(data).digest()[:16]
 
 
 def _texts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[bytes]:
@@ -92,12 +94,12 @@ def anchor_index(docs: DataFrame, parts: int, params: RepeatParams) -> DataFrame
 
         for data in _texts(batches, params.block_bytes):
             key = text_key(data)
-            if len(data) < params.length or key in seen:
+            if len(data) < params.passage or key in seen:
                 continue
             seen.add(key)
             at, hashes = anchors(np.frombuffer(data, dtype=np.uint8), params)
             entry = np.empty(len(at), dtype=ANCHOR)
-            entry["hash"], entry["key"], entry["at"] = hashes, key, at
+            entry["hash"], entry["key"], entry["at"] = hashes, np.void(key), at
             made.append(entry)
             size += len(at)
             if size > 500_000:
@@ -127,17 +129,19 @@ def repeated_anchors(index: DataFrame) -> DataFrame:
         if not held:
             return
         e = np.concatenate(held)
-        e = e[np.lexsort((e["at"], e["key"], e["hash"]))]
-        new = np.concatenate([[True], (e["hash"][1:] != e["hash"][:-1]) | (e["key"][1:] != e["key"][:-1]) | (e["at"][1:] != e["at"][:-1])])
+        halves = np.ascontiguousarray(e["key"]).view("<u8").reshape(-1, 2)
+        order = np.lexsort((e["at"], halves[:, 0], halves[:, 1], e["hash"]))
+        e, halves = e[order], halves[order]
+        new = np.concatenate([[True], (e["hash"][1:] != e["hash"][:-1]) | (halves[1:] != halves[:-1]).any(axis=1) | (e["at"][1:] != e["at"][:-1])])
         e = e[new]
         same = e["hash"][1:] == e["hash"][:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         e = e[keep]
         for a in range(0, len(e), 100_000):
             x = e[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x["key"]), pa.array(x["at"].astype(np.int64)), pa.array(x["hash"].view(np.int64))], names=["key", "at", "hash"])
+            yield pa.RecordBatch.from_arrays([binary16(x["key"]), pa.array(x["at"].astype(np.int64)), pa.array(x["hash"].view(np.int64))], names=["key", "at", "hash"])
 
-    return index.repartition(partitions(index.sparkSession), "part").mapInArrow(task, "key long, at long, hash long")
+    return index.repartition(partitions(index.sparkSession), "part").mapInArrow(task, "key binary, at long, hash long")
 
 
 def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
@@ -231,23 +235,24 @@ class LoserTree:
             self.winner = item
 
 
-def reaches(right: list[bytes], shared: list[int], left: list[bytes], length: int) -> tuple[list[int], list[int]]:
-    """How far left and right of each anchor the repeated strings of ``length`` or more that cover it reach.
+def reaches(right: list[bytes], shared: list[int], left: list[bytes], lengths: tuple[int, ...]) -> list[tuple[list[int], list[int]]]:
+    """For each of ``lengths``, how far left and right of each anchor the repeated strings of that length or more reach.
 
     ``right`` holds the sorted suffixes, ``shared`` the prefix lengths of neighbours, ``left`` the reversed bytes before
     the anchors. Suffixes are united from the longest shared prefix down, and each set keeps its left sides sorted, so a
     newcomer meets its two neighbours there; whatever lies further off is outdone by a pair that met before.
     """
     m = len(right)
-    far_left, far_right = [0] * m, [0] * m
+    far = [([0] * m, [0] * m) for _ in lengths]
     owner, members = list(range(m)), [[(left[i], i)] for i in range(m)]
 
     def meet(i: int, j: int, r: int) -> None:
         n = common_prefix(left[i], left[j])
-        if n + r >= length:
-            for x in (i, j):
-                far_left[x] = max(far_left[x], n)
-                far_right[x] = max(far_right[x], r)
+        for length, (to_left, to_right) in zip(lengths, far):
+            if n + r >= length:
+                for x in (i, j):
+                    to_left[x] = max(to_left[x], n)
+                    to_right[x] = max(to_right[x], r)
 
     def root(i: int) -> int:
         while owner[i] != i:
@@ -273,14 +278,14 @@ def reaches(right: list[bytes], shared: list[int], left: list[bytes], length: in
             for item in members[b]:
                 bisect.insort(big, item)
         owner[b], members[b] = a, []
-    return far_left, far_right
+    return far
 
 
 RUNS = pa.schema([("part", pa.int32()), ("run", pa.binary())])
-_HEAD = "<HHHqi"  # shared prefix, rest, left side; key, position
+_HEAD = "<HHH16si"  # shared prefix, rest, left side; key, position
 
 
-def _encoded(items: list[tuple[bytes, bytes, int, int]]) -> bytes:
+def _encoded(items: list[tuple[bytes, bytes, bytes, int]]) -> bytes:
     pack = struct.Struct(_HEAD).pack
     shared, rest = front_code([x[0] for x in items])
     return b"".join(pack(n, len(r), len(x[1]), x[2], x[3]) + r + x[1] for n, r, x in zip(shared, rest, items))
@@ -329,15 +334,16 @@ def _decoded(run: bytes) -> Iterator[tuple[int, bytes, tuple]]:
 
 
 def repeated_spans(runs: DataFrame, params: RepeatParams) -> DataFrame:
-    """(key, start, stop) of the repeated strings around each anchor, from the merged runs."""
-    schema = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+    """(key, kind, start, stop) of the repeated strings around each anchor, from the merged runs; kind 0: of ``length`` bytes or more, 1: of ``passage``."""
+    schema = pa.schema([("key", pa.binary()), ("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
+    lengths = (params.length, params.passage)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}
         for batch in batches:
             for part, run in zip(batch.column("part").to_pylist(), batch.column("run").to_pylist()):
                 parts.setdefault(part, []).append(run)
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[bytes, int, int, int]] = []
 
         def close(group: list) -> None:
             if len(group) < 2:
@@ -354,14 +360,15 @@ def repeated_spans(runs: DataFrame, params: RepeatParams) -> DataFrame:
                 if i in wanted:
                     shared.append(low)
                     low = 1 << 30
-            lefts, rights = reaches([group[i][1] for i in chosen], shared, [group[i][2][0] for i in chosen], params.length)
-            for i, a, b in zip(chosen, lefts, rights):
-                suffix, (side, _, _) = group[i][1], group[i][2]
-                members = alike[suffix, side]
-                if len(members) > 1 and len(suffix) + len(side) >= params.length:
-                    a, b = len(side), len(suffix)
-                if a + b >= params.length:
-                    out.extend((group[j][2][1], group[j][2][2] - a, group[j][2][2] + b) for j in members)
+            far = reaches([group[i][1] for i in chosen], shared, [group[i][2][0] for i in chosen], lengths)
+            for kind, (length, (lefts, rights)) in enumerate(zip(lengths, far)):
+                for i, a, b in zip(chosen, lefts, rights):
+                    suffix, (side, _, _) = group[i][1], group[i][2]
+                    members = alike[suffix, side]
+                    if len(members) > 1 and len(suffix) + len(side) >= length:
+                        a, b = len(side), len(suffix)
+                    if a + b >= length:
+                        out.extend((group[j][2][1], kind, group[j][2][2] - a, group[j][2][2] + b) for j in members)
 
         for blobs in parts.values():
             group: list = []
@@ -371,68 +378,80 @@ def repeated_spans(runs: DataFrame, params: RepeatParams) -> DataFrame:
                     group = []
                 group.append(item)
                 if len(out) > 200_000:
-                    yield rows(schema, [[x[i] for x in out] for i in range(3)])
+                    yield rows(schema, [[x[i] for x in out] for i in range(4)])
                     out.clear()
             close(group)
-        yield rows(schema, [[x[i] for x in out] for i in range(3)])
+        yield rows(schema, [[x[i] for x in out] for i in range(4)])
 
-    return runs.repartition(partitions(runs.sparkSession), "part").mapInArrow(task, "key long, start long, stop long")
+    return runs.repartition(partitions(runs.sparkSession), "part").mapInArrow(task, "key binary, kind int, start long, stop long")
 
 
 def _key(text: Column) -> Column:
-    """``text_key`` as an expression: the first 8 bytes of SHA-256, little-endian, without the lowest bit."""
-    hexed = F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 16)
-    turned = F.concat(*[F.substring(hexed, 15 - 2 * i, 2) for i in range(8)])
-    return F.call_function("shiftrightunsigned", F.conv(turned, 16, -10).cast("long"), F.lit(1))
+    """``text_key`` as an expression: the first 16 bytes of SHA-256."""
+    return F.unhex(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 32))
+
+
+def _covered(size: int, whole: bool, found: list[tuple[int, int]]) -> list[list[int]]:
+    """The maximal runs of spans that overlap or touch."""
+    runs: list[list[int]] = [[0, size]] if whole else []
+    for start, stop in sorted(found) if not whole else []:
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], stop)
+        else:
+            runs.append([start, stop])
+    return runs
 
 
 def removal(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
-    """A row per row of ``docs`` (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes.
+    """A row per row of ``docs`` (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, n_repeated and the kept bytes.
 
-    A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. Null text: no bytes. Rows with
-    equal texts of ``length`` or more repeat one another in full. A null doc_id and repeated rows are answered like
-    others; matches never cross texts; texts are read whole; the empty table gives none.
+    A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. n_repeated counts the bytes that
+    strings of ``passage`` bytes cover in the same way; these are told, not removed. Null text: no bytes. Rows with
+    equal texts repeat one another in full. A null doc_id and repeated rows are answered like others; matches never cross
+    texts; texts are read whole; the empty table gives none. Texts too short for a passage are not shuffled.
     """
     spark = docs.sparkSession
-    base = narrow(docs, "doc_id", "text").withColumn("key", _key(F.col("text")))
+    base = narrow(docs, "doc_id", "text")
     parts = 4 * partitions(spark)
-    long = base.where(F.octet_length("text") >= params.length)
+    enough = F.octet_length("text") >= params.passage
+    long = base.where(enough).withColumn("key", _key(F.col("text")))
     places = materialize(repeated_anchors(anchor_index(long.select("text"), parts, params)), "anchors")
     by_text = places.groupBy("key").agg(F.collect_list(F.struct("at", "hash")).alias("places"))
-    once = long.select("key", "text").mapInArrow(_first_of_each, "key long, text string")
+    once = long.select("key", "text").mapInArrow(_first_of_each, "key binary, text string")
     texts = once.join(by_text, "key").dropDuplicates(["key"])
     spans = materialize(repeated_spans(sorted_runs(texts, parts, params), params), "spans")
     copies = long.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(True).alias("copied"))
-    marks = spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    marks = spans.groupBy("key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("spans"))
     marks = marks.join(copies, "key", "full_outer")
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_repeated", pa.int64()), ("kept", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, "text", 4 << 20):
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
             for text, copied, found in zip(batch.column("text").to_pylist(), batch.column("copied").to_pylist(), batch.column("spans").to_pylist()):
-                data = text.encode()
-                runs: list[list[int]] = [[0, len(data)]] if copied else []
-                for start, stop in sorted((x["start"], x["stop"]) for x in found or []) if not copied else []:
-                    if runs and start <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], stop)
-                    else:
-                        runs.append([start, stop])
+                data, kinds = text.encode(), ([], [])
+                for x in found or []:
+                    kinds[x["kind"]].append((x["start"], x["stop"]))
+                runs = _covered(len(data), bool(copied) and len(data) >= params.length, kinds[0])
+                told = sum(b - a for a, b in _covered(len(data), bool(copied) and len(data) >= params.passage, kinds[1]))
                 kept, at = [], 0
                 for start, stop in runs:
                     kept.append(data[at:start])
                     at = stop
                 kept = b"".join([*kept, data[at:]])
-                for column, value in zip(columns, (len(data), len(data) - len(kept), len(runs), sha256(kept).hexdigest(), kept)):
+                for column, value in zip(columns, (len(data), len(data) - len(kept), len(runs), sha256(kept).hexdigest(), told, kept)):
                     column.append(value)
             yield rows(out, [batch.column("doc_id"), *columns])
 
-    return base.join(marks, "key", "left").select("doc_id", "text", "copied", "spans").mapInArrow(task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    own = long.join(marks, "key", "left").select("doc_id", "text", "copied", "spans")
+    short = base.where(~enough).select("doc_id", "text", F.lit(None).cast("boolean").alias("copied"), F.lit(None).cast(own.schema["spans"].dataType).alias("spans"))
+    names = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, kept binary"
+    return own.union(short).mapInArrow(task, names)
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops a worker's further copies of a text, so a hot text's copies never travel together."""
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     for batch in batches:
         keys = batch.column("key").to_pylist()
         keep = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]

@@ -255,10 +255,12 @@ def brute_removal(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length, gram", [(400, 100), (60, 20)])
-def test_suffix_removal(docs, length, gram):
-    got = [tuple(r) for r in suffixes.removal(docs, suffixes.RepeatParams(length=length, gram=gram)).drop("kept").collect()]
-    assert sorted(got, key=str) == sorted(brute_removal(texts(docs), length), key=str)
+@pytest.mark.parametrize("length, passage_bytes, gram", [(400, 256, 64), (60, 60, 20), (60, 30, 10)])
+def test_suffix_removal(docs, length, passage_bytes, gram):
+    got = [tuple(r) for r in suffixes.removal(docs, suffixes.RepeatParams(length=length, passage=passage_bytes, gram=gram)).drop("kept").collect()]
+    told = brute_removal(texts(docs), passage_bytes)
+    want = [(*x, y[2]) for x, y in zip(brute_removal(texts(docs), length), told)]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_warc_round_trip(spark):
