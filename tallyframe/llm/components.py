@@ -33,26 +33,31 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def stars(parent: dict) -> pa.RecordBatch:
         pairs = [(x, find_root(parent, x)) for x in list(parent)]
         pairs = [(x, r) for x, r in pairs if x != r]
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], kind) for i in (0, 1)], names=["a", "b"])
 
     parent: dict = {}
+    kind = None
     for batch in batches:
+        kind = batch.column(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             join_roots(parent, a, b)
         if len(parent) > 500_000:
             yield stars(parent)
             parent = {}
-    yield stars(parent)
+    if kind is not None:
+        yield stars(parent)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b: long); the component is its least node.
+    """(node, component) for every node of ``links`` (a, b: of one type, long or binary); the component is its least node.
 
     Links are contracted within workers first, then large-star and small-star steps alternate until nothing changes. Each
     step is a partially aggregated minimum and a join, so a hub's links are never gathered in one task; each round is
     written to the shared folder, so a lost executor costs one round. Null ends, loops and repeated links are ignored.
     """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").mapInArrow(_contract, "a long, b long")
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    kind = links.schema["a"].dataType.simpleString()
+    edges = edges.mapInArrow(_contract, f"a {kind}, b {kind}")
     edges = materialize(edges.distinct(), "edges")
     before = None
     while True:

@@ -4,6 +4,10 @@ Two lines within edit distance t share at least one of t + 1 segments exactly, a
 distinct line is indexed under its t + 1 segments and its length, and probes the index with the substrings that a segment
 of a line up to t shorter could be. What meets is verified by a bit-parallel edit distance inside the band of width t.
 Distinct lines go through the join once, however many documents hold them.
+
+Pairs are spelled out for short lists only. The lines of a crowded list are linked where they meet: lines that are connected
+already are not compared again, and only links that connect go out. A list beyond ``crowd`` lines is split first: what
+is left of its lines without the common segment is partitioned anew, for the whole error budget is left to it.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tallyframe.llm.components import components
-from tallyframe.llm.shared import bound_batches, grouped, materialize, partitions, rows, small_side
+from tallyframe.llm.components import components, find_root, join_roots
+from tallyframe.llm.shared import binary16, bound_batches, grouped, materialize, partitions, rows, small_side
 from tallyframe.llm.shingles import mix, powers
 
 
@@ -31,6 +35,7 @@ class LineParams:
     line_chars: int = 24  # shorter lines meet by equality only
     rare_chars: int = 12  # a line shorter than that may repeat by chance: it goes if it stands in ``documents`` documents
     documents: int = 3
+    crowd: int = 4_096  # lines of one list beyond which it is split by a further common segment
 
 
 def segments(length: int, count: int) -> list[tuple[int, int]]:
@@ -94,33 +99,67 @@ def edit_within(a: str, b: str, limit: int) -> int:
     return next((e for e in range(limit + 1) if reached[e] >> last & 1), limit + 1)
 
 
-def line_key(line: str) -> int:
-    return int.from_bytes(blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+def line_key(line: str) -> bytes:
+    """128 bits that name a line."""
+    return blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-ENTRY = np.dtype([("sign", "<u8"), ("key", "<i8"), ("parity", "<u4"), ("probe", "u1")])
+ENTRY = np.dtype([("sign", "<u8"), ("key", "V16"), ("parity", "<u4"), ("probe", "u1")])
 
 
-def entries(lines: list[str], keys: list[int], distance: int) -> np.ndarray:
-    """Index and probe entries of a block of lines, with the parities of their character counts."""
+def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of a block of lines, where each line starts, and the lines' lengths."""
     data = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     sizes = np.array([len(x) for x in lines], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
+    return data, np.cumsum(sizes) - sizes, sizes
+
+
+def parities(lines: list[str]) -> np.ndarray:
+    """For each line, which of 32 classes of characters occur an odd number of times."""
+    data, starts, sizes = _points(lines)
+    bits = np.append(np.uint32(1) << (mix(data) >> np.uint64(59)).astype(np.uint32), np.uint32(0))
+    return np.where(sizes > 0, np.bitwise_xor.reduceat(bits, starts), np.uint32(0)) if lines else np.empty(0, np.uint32)
+
+
+def signs(lines: list[str], distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all entries of a block of lines: the line's number, the plan's row (place, size, tag, probe), the segment's sign."""
+    data, starts, sizes = _points(lines)
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data + np.uint64(1)) * up[: len(data)], out=total[1:])
-    bits = np.uint32(1) << (mix(data) >> np.uint64(59)).astype(np.uint32)
-    parity = np.bitwise_xor.reduceat(bits, starts) if len(lines) else np.empty(0, np.uint32)
     plans = [_plan(n, distance) for n in sizes.tolist()]
     plan = np.concatenate(plans) if plans else np.empty((0, 4), dtype=np.int64)
     who = np.repeat(np.arange(len(lines)), [len(x) for x in plans])
     first = starts[who] + plan[:, 0]
+    return who, plan, mix(((total[first + plan[:, 1]] - total[first]) * down[first]) ^ mix(plan[:, 2].astype(np.uint64)))
+
+
+def entries(lines: list[str], keys: list[bytes], distance: int) -> np.ndarray:
+    """Index and probe entries of a block of lines, with the parities of their character counts."""
+    who, plan, sign = signs(lines, distance)
     out = np.empty(len(plan), dtype=ENTRY)
-    out["sign"] = mix(((total[first + plan[:, 1]] - total[first]) * down[first]) ^ mix(plan[:, 2].astype(np.uint64)))
-    out["key"], out["parity"], out["probe"] = np.array(keys, dtype=np.int64)[who], parity[who], plan[:, 3]
+    out["sign"], out["key"], out["parity"], out["probe"] = sign, np.frombuffer(b"".join(keys), dtype="V16")[who], parities(lines)[who], plan[:, 3]
     return out
 
 
+def split_further(wanted: np.ndarray, lines: list[str], distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, finer sign) of lines that meet in the lists ``wanted`` (a sign per line).
+
+    Without the common segment, what is left of two lines of a list is within the distance as well, so it shares a segment
+    of its own partition. The indexed side's length is one in a list; the probing side seeks that length only.
+    """
+    who, plan, sign = signs(lines, distance)
+    here = np.flatnonzero(sign == wanted[who])
+    who, plan, sign = who[here], plan[here], sign[here]
+    rests = [lines[k][:a] + lines[k][a + n :] for k, (a, n) in zip(who.tolist(), plan[:, :2].tolist())]
+    number, finer, own = signs(rests, distance)
+    tag = finer[:, 2] // 64  # the indexed length that a finer entry is for
+    target = plan[:, 2] // 64 - plan[:, 1]
+    keep = (tag == target[number]) & (finer[:, 3] == plan[number, 3])
+    number, own = number[keep], own[keep]
+    return who[number], mix(own ^ mix(sign[number]))
+
+
 @lru_cache(maxsize=20_000)
 def _plan(length: int, distance: int) -> np.ndarray:
     """(place, size, tag of indexed length and segment, probe) of all entries of a line of ``length``."""
@@ -137,7 +176,7 @@ def occurrences(base: DataFrame, params: LineParams) -> DataFrame:
 
     lead: the first of its key in the document; rare: so short that it takes several documents to go.
     """
-    schema = pa.schema([("key", pa.int64()), ("ident", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("lead", pa.bool_()), ("rare", pa.bool_())])
+    schema = pa.schema([("key", pa.binary()), ("ident", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int64()), ("lead", pa.bool_()), ("rare", pa.bool_())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, "text", 1 << 20):
@@ -151,10 +190,10 @@ def occurrences(base: DataFrame, params: LineParams) -> DataFrame:
                     seen.add(key)
             yield rows(schema, out)
 
-    return base.select("ident", "doc_id", "text").mapInArrow(task, "key long, ident long, doc_id long, line long, lead boolean, rare boolean")
+    return base.select("ident", "doc_id", "text").mapInArrow(task, "key binary, ident binary, doc_id long, line long, lead boolean, rare boolean")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], params: LineParams, chars: int) -> Iterator[tuple[list[str], list[int]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], params: LineParams, chars: int) -> Iterator[tuple[list[str], list[bytes]]]:
     """Lines and keys, new ones of a worker only, about ``chars`` characters at a time."""
     lines, keys, size, seen = [], [], 0, set()
     for batch in grouped(batches, "text", 1 << 20):
@@ -189,8 +228,14 @@ def index(base: DataFrame, parts: int, params: LineParams) -> DataFrame:
     return base.select("text").mapInArrow(task, "part int, entries binary")
 
 
+FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sign", pa.int64()), ("size", pa.int64())])
+
+
 def candidates(indexed: DataFrame, params: LineParams) -> DataFrame:
-    """(a, b): keys of lines that meet at a segment and whose character counts differ in few enough parities."""
+    """What meets at a segment: (a, b) keys of lines whose character counts differ in few enough parities.
+
+    A list whose product is a multiple of its size gives its members instead: (a, null, sign, size).
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -206,52 +251,134 @@ def candidates(indexed: DataFrame, params: LineParams) -> DataFrame:
             return
         e = np.concatenate(held)
         del held
-        e = e[np.lexsort((e["key"], e["probe"], e["sign"]))]
-        new = np.concatenate([[True], (e["sign"][1:] != e["sign"][:-1]) | (e["probe"][1:] != e["probe"][:-1]) | (e["key"][1:] != e["key"][:-1])])
-        e = e[new]
-        change = np.concatenate([[True], e["sign"][1:] != e["sign"][:-1]])
-        edges = np.append(np.flatnonzero(change), len(e))
-        indexed_here = np.add.reduceat((e["probe"] == 0).astype(np.int64), edges[:-1])
+        sign, probe, bits = e["sign"], e["probe"], e["parity"]
+        halves = np.ascontiguousarray(e["key"]).view("<u8").reshape(-1, 2)
+        del e
+        order = np.lexsort((halves[:, 0], halves[:, 1], probe, sign))
+        sign, probe, bits, halves = sign[order], probe[order], bits[order], halves[order]
+        new = np.concatenate([[True], (sign[1:] != sign[:-1]) | (probe[1:] != probe[:-1]) | (halves[1:] != halves[:-1]).any(axis=1)])
+        sign, probe, bits, halves = sign[new], probe[new], bits[new], halves[new]
+        edges = np.append(np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]])), len(sign))
+        indexed_here = np.add.reduceat((probe == 0).astype(np.int64), edges[:-1])
         sizes = np.diff(edges)
         # A line always meets its own probe; lists with nothing else drop out at once.
-        open_lists = np.flatnonzero((indexed_here > 0) & (sizes > indexed_here) & ((sizes > 2) | (e["key"][edges[:-1]] != e["key"][edges[1:] - 1])))
-        out: list[np.ndarray] = []
+        own_only = (halves[edges[:-1]] == halves[edges[1:] - 1]).all(axis=1)
+        open_lists = np.flatnonzero((indexed_here > 0) & (sizes > indexed_here) & ((sizes > 2) | ~own_only))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
         for k in open_lists.tolist():
             a, b, m = int(edges[k]), int(edges[k + 1]), int(indexed_here[k])
-            probe_keys, probe_bits = e["key"][a + m : b], e["parity"][a + m : b]
+            if m * (b - a - m) > 8 * (b - a):
+                members = np.unique(halves[a:b], axis=0)
+                none = pa.nulls(len(members), pa.binary())
+                yield rows(FOUND, [binary16(members.view("V16").ravel()), none, np.full(len(members), sign[a]).view(np.int64).tolist(), [len(members)] * len(members)])
+                continue
             for i in range(a, a + m):  # one row of the product at a time
-                near = np.bitwise_count(probe_bits ^ e["parity"][i]) <= 2 * params.distance
-                near &= probe_keys != e["key"][i]
-                if near.any():
-                    x = probe_keys[near]
-                    out.append(np.stack([np.minimum(x, e["key"][i]), np.maximum(x, e["key"][i])], axis=1))
-                    count += len(x)
+                near = np.bitwise_count(bits[a + m : b] ^ bits[i]) <= 2 * params.distance
+                near &= (halves[a + m : b] != halves[i]).any(axis=1)
+                hits = a + m + np.flatnonzero(near)
+                if len(hits):
+                    out.append((np.full(len(hits), i), hits))
+                    count += len(hits)
             if count > 200_000:
-                yield _distinct(out)
+                yield _pairs(halves, out)
                 out, count = [], 0
         if out:
-            yield _distinct(out)
+            yield _pairs(halves, out)
+
+    return indexed.repartition(partitions(indexed.sparkSession), "part").mapInArrow(task, "a binary, b binary, sign long, size long")
+
+
+def _pairs(halves: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Distinct pairs of keys, each in one order of the two."""
+    i, j = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+    swap = (halves[i, 0] > halves[j, 0]) | (halves[i, 0] == halves[j, 0]) & (halves[i, 1] > halves[j, 1])
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    both = np.unique(np.concatenate([halves[i], halves[j]], axis=1), axis=0)
+    none = pa.nulls(len(both), pa.int64())
+    return rows(FOUND, [binary16(np.ascontiguousarray(both[:, k : k + 2]).view("V16").ravel()) for k in (0, 2)] + [none, none])
+
+
+def link_crowd(keys: list[bytes], lines: list[str], parent: dict, distance: int) -> list[tuple[bytes, bytes]]:
+    """Links that connect the lines of a list, beyond what ``parent`` connects already.
 
-    return indexed.repartition(partitions(indexed.sparkSession), "part").mapInArrow(task, "a long, b long").distinct()
+    A few pivots are compared with all first. Of the components then found, pairs inside the largest are done, so every
+    other line meets what is still apart from it.
+    """
+    bits, sizes, out = parities(lines), np.array([len(x) for x in lines]), []
+    roots: dict[bytes, int] = {}
+    label = np.array([roots.setdefault(find_root(parent, k), len(roots)) for k in keys])
+
+    def meet(i: int, others: np.ndarray) -> None:
+        near = others[(label[others] != label[i]) & (np.abs(sizes[others] - sizes[i]) <= distance) & (np.bitwise_count(bits[others] ^ bits[i]) <= 2 * distance)]
+        for j in near.tolist():
+            if label[j] != label[i] and edit_within(lines[i], lines[j], distance) <= distance:
+                label[label == label[j]] = label[i]
+                join_roots(parent, keys[i], keys[j])
+                out.append((keys[i], keys[j]))
+
+    every = np.arange(len(keys))
+    for i in range(min(8, len(keys))):
+        meet(i, every)
+    found, counts = np.unique(label, return_counts=True)
+    if len(found) > 1:
+        largest = label == found[np.argmax(counts)]
+        for i in np.flatnonzero(~largest).tolist():
+            meet(i, np.flatnonzero(largest | (every > i)))
+    return out
+
+
+LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def crowded_links(members: DataFrame, texts: DataFrame, params: LineParams) -> DataFrame:
+    """(a, b) keys that connect the lines of crowded lists; ``members`` has (key, sign, size), ``texts`` (key, text)."""
+    told = members.join(texts, "key").select("sign", "key", "text", "size")
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            large = np.asarray(batch.column("size").to_numpy(zero_copy_only=False)) > params.crowd
+            batch = batch.select(["sign", "key", "text"])
+            yield batch.filter(pa.array(~large))
+            batch = batch.filter(pa.array(large))
+            who, sign = split_further(batch.column("sign").to_numpy().view(np.uint64), batch.column("text").to_pylist(), params.distance)
+            made = batch.take(pa.array(who))
+            yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), made.column("key"), made.column("text")], names=["sign", "key", "text"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+        sign, held = None, {}
+
+        def done() -> pa.RecordBatch:
+            found = link_crowd(list(held), list(held.values()), parent, params.distance) if len(held) > 1 else []
+            return rows(LINKS, [[x[i] for x in found] for i in (0, 1)])
 
+        for batch in batches:
+            for s, key, text in zip(*(batch.column(c).to_pylist() for c in ("sign", "key", "text"))):
+                if s != sign:
+                    yield done()
+                    sign, held = s, {}
+                    if len(parent) > 1_000_000:
+                        parent.clear()
+                held[key] = text
+        yield done()
 
-def _distinct(pairs: list[np.ndarray]) -> pa.RecordBatch:
-    found = np.unique(np.concatenate(pairs), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], names=["a", "b"])
+    spread = told.mapInArrow(finer, "sign long, key binary, text string").repartition(partitions(members.sparkSession), "sign").sortWithinPartitions("sign")
+    return spread.mapInArrow(task, "a binary, b binary")
 
 
 def links(base: DataFrame, params: LineParams) -> DataFrame:
-    """(a, b) keys of different lines within the edit distance."""
+    """(a, b) keys of different lines that connect what the edit distance connects."""
     spark = base.sparkSession
-    pairs = materialize(candidates(index(base, 4 * partitions(spark), params), params), "line-pairs")
+    found = materialize(candidates(index(base, 4 * partitions(spark), params), params), "line-pairs")
+    pairs, members = found.where("sign is null").select("a", "b").distinct(), found.where("sign is not null").select(F.col("a").alias("key"), "sign", "size")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lines, keys in _blocks(batches, params, 1 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.string())], names=["key", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lines, pa.string())], names=["key", "text"])
 
-    wanted = small_side(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-    texts = base.select("text").mapInArrow(told, "key long, text string").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    wanted = small_side(found.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    texts = base.select("text").mapInArrow(told, "key binary, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"])
     texts = materialize(texts, "line-texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -260,7 +387,42 @@ def links(base: DataFrame, params: LineParams) -> DataFrame:
             near = [edit_within(x, y, params.distance) <= params.distance for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(verified, "a long, b long"), "line-links")
+    near = both.select("a", "b", "ta", "tb").mapInArrow(verified, "a binary, b binary")
+    return materialize(near.union(crowded_links(members, texts, params)), "line-links")
+
+
+def _removals(slim: DataFrame, params: LineParams) -> DataFrame:
+    """(ident, removed, n_linked) of the documents that have a repeated or linked line."""
+    found = materialize(occurrences(slim, params).distinct(), "lines")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ident", "line")
+    keys = found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.count_if("lead").alias("documents"), F.bool_and("rare").alias("rare"))
+    keys = materialize(keys.join(components(links(slim, params)).withColumnRenamed("node", "key"), "key", "left").where("n > 1 or component is not null"), "line-keys")
+    goes = ~F.col("rare") | (F.col("documents") >= params.documents)
+    alone = keys.where(F.col("component").isNull() & goes).select("key", "first", F.lit(False).alias("linked"), "n")
+    of = keys.where("component is not null").groupBy("component").agg(F.min("first").alias("first"))
+    shared = keys.where("component is not null").select("key", "component", "n").join(of, "component").select("key", "first", F.lit(True).alias("linked"), "n")
+    told = materialize(alone.union(shared), "line-told")
+    # At most a thousand lines hold a thousandth of all occurrences each: these are broadcast, the others spread well.
+    hot = told.where(F.col("n") >= F.lit(max(1, found.count() // 1000))).drop("n")
+    marks = found.select("key", "ident", place.alias("place"))
+    often = marks.join(F.broadcast(hot), "key")
+    seldom = marks.join(F.broadcast(hot.select("key")), "key", "left_anti").join(told.drop("n"), "key")
+    return often.unionByName(seldom).groupBy("ident").agg(F.array_sort(F.collect_set(F.when(F.col("place") != F.col("first"), F.col("place.line")))).alias("removed"), F.count_if("linked").alias("n_linked"))
+
+
+def _dedup(docs: DataFrame, params: LineParams) -> DataFrame:
+    """``dedup`` with the rows of ``docs`` as a struct, so that no name of theirs can clash: (own, text, lines)."""
+    bound_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    ident = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text)))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), ident.alias("ident"))
+    lost = _removals(base.select("ident", "doc_id", "text"), params)
+    out = base.drop("doc_id").join(lost, "ident", "left")
+    removed = F.coalesce("removed", F.array().cast("array<bigint>"))
+    # Removed lines are blanked out by position, which stays linear in the text: a map of their numbers is never searched.
+    kept = F.when(F.size(removed) == 0, F.col("text")).otherwise(_without(F.col("text"), removed))
+    of = F.struct(F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), removed.alias("removed"), kept.alias("kept"))
+    return out.select("own", "text", of.alias("lines"))
 
 
 def dedup(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
@@ -272,25 +434,9 @@ def dedup(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     different line in their class. Null or empty text: one empty line, kept. Rows that repeat both id and text
     count as one and get the same answer. Other columns are not read; the empty table gives none.
     """
-    bound_batches(docs.sparkSession)
-    base = docs.withColumn("_ident", F.xxhash64("doc_id", "text"))
-    slim = base.select(F.col("_ident").alias("ident"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = materialize(occurrences(slim, params).distinct(), "lines")
-    near = components(links(slim, params))
-    classed = found.join(near.withColumnRenamed("node", "key"), "key", "left")
-    classed = classed.select("ident", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ident", "line").alias("place"), F.coalesce("component", "key").alias("class"), F.col("component").isNotNull().alias("linked"), "lead", "rare")
-    first = classed.groupBy("class").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.count_if("lead").alias("documents"), F.bool_and("rare").alias("rare"))
-    first = first.where((F.col("n") > 1) & (~F.col("rare") | (F.col("documents") >= params.documents))).select("class", "first")
-    lost = classed.join(first, "class").groupBy("ident").agg(
-        F.array_sort(F.collect_set(F.when(F.col("place") != F.col("first"), F.col("place.line")))).alias("removed"), F.count_if("linked").alias("n_linked")
-    )
-    out = base.join(lost, base["_ident"] == lost["ident"], "left")
-    cut = F.split(F.coalesce("text", F.lit("")), "\n")
-    removed = F.coalesce("removed", F.array().cast("array<bigint>"))
-    # Removed lines are blanked out by position, which stays linear in the text: a map of their numbers is never searched.
-    kept = F.when(F.size(removed) == 0, F.coalesce("text", F.lit(""))).otherwise(_without(F.coalesce("text", F.lit("")), removed))
-    own = [base[f"`{c}`"] for c in docs.columns]
-    return out.select(*own, F.struct(F.size(cut).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), removed.alias("removed"), kept.alias("kept")).alias("_lines"))
+    if "_lines" in docs.columns:
+        raise ValueError("the result's column _lines is taken")
+    return _dedup(docs, params).select("own.*", F.col("lines").alias("_lines"))
 
 
 @F.pandas_udf(StringType())
@@ -304,8 +450,9 @@ def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
 
 def drop_repeated(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text`` and ``n_chars`` told anew; a row goes if nothing is left of it."""
-    done = dedup(docs, params)
-    text = F.when(F.col("_lines.n_removed") == 0, F.col("text")).otherwise(F.col("_lines.kept"))
-    done = done.withColumn("_text", text).where((F.col("_lines.n_removed") == 0) | (F.btrim("_text", F.lit(" \t\n\x0b\x0c\r")) != ""))
-    values = {"text": F.col("_text"), "n_chars": F.when(F.col("_lines.n_removed") == 0, F.col("n_chars")).otherwise(F.length("_text").cast("long")) if "n_chars" in docs.columns else None}
-    return done.select(*[values[c].alias(c) if values.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
+    done = _dedup(docs, params)
+    whole, kept = F.col("lines.n_removed") == 0, F.col("lines.kept")
+    done = done.where(whole | (F.btrim(kept, F.lit(" \t\n\x0b\x0c\r")) != ""))
+    own = {c: F.col("own").getField(c) for c in docs.columns}
+    anew = {"text": kept, "n_chars": F.length(kept).cast("long")}
+    return done.select(*[F.when(whole, own[c]).otherwise(anew[c]).alias(c) if c in anew else own[c].alias(c) for c in docs.columns])

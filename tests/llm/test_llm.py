@@ -178,6 +178,66 @@ def test_line_dedup(spark):
     assert left[1] == ("short", 5) and None not in left and left[3] == (None, 0)
 
 
+def brute_lines(rows, params):
+    """All pairs of lines: (doc_id -> removed line numbers)."""
+    held = [(i is None, i if i is not None else 0, n, x) for i, t in rows for n, x in enumerate((t or "").split("\n")) if x and not x.isspace()]
+    distinct = sorted({x for *_, x in held})
+    long = [x for x in distinct if len(x) >= params.line_chars]
+    near = [(distinct.index(a), distinct.index(b)) for k, a in enumerate(long) for b in long[:k] if lines.edit_within(a, b, params.distance) <= params.distance]
+    root = components.local_components(near)
+    of = {x: root.get(k, k) for k, x in enumerate(distinct)}
+    first, docs_with, members = {}, {}, {}
+    for last, i, n, x in sorted(held):
+        first.setdefault(of[x], (last, i, n))
+        docs_with.setdefault(of[x], set()).add((last, i))
+        members.setdefault(of[x], set()).add(x)
+    out = {i: [] for i, _ in rows}
+    for last, i, n, x in sorted(held):
+        short = all(len(y) < params.rare_chars for y in members[of[x]])
+        if first[of[x]] != (last, i, n) and not (short and len(docs_with[of[x]]) < params.documents):
+            out[None if last else i].append(n)
+    return out
+
+
+@pytest.mark.parametrize("crowd", [4096, 3])
+def test_line_dedup_against_all_pairs(spark, crowd):
+    r = np.random.default_rng(12)
+    heads = [passage(k, 6) for k in range(6)]
+    rows = []
+    for i in range(60):
+        own = []
+        for _ in range(int(r.integers(0, 6))):
+            line = list(heads[int(r.integers(0, 6))] if r.random() < 0.7 else passage(int(r.integers(40)), 3)[:23])
+            for _ in range(int(r.integers(0, 4))):
+                at = int(r.integers(0, len(line)))
+                line[at : at + int(r.integers(0, 2))] = r.choice(list("abc ")) if r.random() < 0.7 else ""
+            own.append("".join(line))
+        rows.append((i if i % 17 else None if i == 17 else i, "\n".join(own)))
+    params = lines.LineParams(crowd=crowd)
+    got = {x.doc_id: x._lines.removed for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), params).collect()}
+    assert got == brute_lines(rows, params)
+
+
+def test_crowded_list_is_linked_without_its_pairs():
+    r = np.random.default_rng(5)
+    base = passage(3, 10)
+    made = sorted({base[:k] + c + base[k + 1 :] for k in range(0, len(base), 3) for c in "xyz"} | {passage(int(k), 10) for k in r.integers(9, 99, 20)})
+    keys = [lines.line_key(x) for x in made]
+    found = lines.link_crowd(keys, made, {}, 2)
+    near = [(i, j) for i in range(len(made)) for j in range(i) if lines.edit_within(made[i], made[j], 2) <= 2]
+    assert len(found) < len(made) < len(near)
+    want, got = components.local_components(near), components.local_components([(keys.index(a), keys.index(b)) for a, b in found])
+    assert want == got
+
+
+def test_clashing_names_of_line_dedup(spark):
+    df = spark.createDataFrame([(1, "a line that stands twice here", "x"), (2, "a line that stands twice here\nmore", "y")], "doc_id long, text string, ident string")
+    for c in ("removed", "n_linked", "_ident", "_text", "text_", "own", "lines", "key", "n_lines"):
+        wide = df.withColumn(c, F.lit(5))
+        got = {x.doc_id: x for x in lines.drop_repeated(wide).collect()}
+        assert got[2]["text"] == "more" and got[1][c] == got[2][c] == 5 and set(got[1].asDict()) == set(wide.columns)
+
+
 def test_short_lines_are_linked_by_equality(spark):
     equal, near = "a line of 23 characters", "a line of 23 charakters"
     texts = [f"{equal}\nMenu\n\n{passage(1, 8)}", f"Menu\n{near}\nonly two\n\nx", f"{equal}\nMenu\n\n{equal}", "only two\ny"]
