@@ -1,11 +1,14 @@
 """Exact Jaccard self-join of shingle sets, with skipping by set relations.
 
 Sets are ordered by one global order of shingles, the frequent ones last, and each set is indexed under its prefix: two sets
-that are similar enough share shingles there. Within the list of a shingle, blocks of sets that are too small, too large or
-at a wrong position are skipped whole, and shared prefix shingles are counted per pair, which leaves few pairs to verify.
-The lists of frequent shingles are not expanded into pairs: each of their sets is compared with the list's pivot only, and
-a set's answers are then derived from the pivot's computed ones. From |a & p| and |b & p| follow bounds of |a & b|; pairs
-that are connected already, or whose bounds decide them, are skipped, and only the rest is verified.
+that are similar enough share shingles there. A long list is sorted into blocks of one size, by position within a block;
+for each set the blocks of other sizes, and within a block the positions, that cannot reach the overlap are skipped whole.
+Shared prefix shingles are counted per pair, which leaves few pairs to verify.
+Frequent shingles have no lists. Each has a pivot, the least set that holds it, so near copies share one; a set is compared
+once with each pivot of its prefix, and its answers are then derived from the pivot's computed ones: from |a & p| and
+|b & p| follow bounds of |a & b|; pairs that are connected already, or whose bounds decide them, are skipped, and only the
+rest is verified, block against block of a pivot's sets. A list that turns out longer than ``longest`` makes its shingle
+a frequent one, and the index is built anew.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.components import components, find_root, join_roots
-from tallyframe.llm.shared import grouped, materialize, narrow, partitions, rows, small_side
+from tallyframe.llm.shared import binary16, bound_batches, grouped, materialize, narrow, partitions, rows, small_side
 from tallyframe.llm.shingles import set_key, shingle_sets
 
 
@@ -32,7 +35,9 @@ class JaccardParams:
     frequent: int = 16  # sets that hold a shingle, from which on it may count as frequent
     locally: int = 2  # and of these within one worker's block of sets
     most_frequent: int = 1_000_000  # so many are broadcast at most (8 MB); the order stays exact with any choice
+    longest: int = 256  # sets in the list of a shingle that is not frequent; grows only if more shingles had longer ones than are broadcast
     block_tokens: int = 1 << 20
+    group: int = 2_000  # sets of one pivot that a task compares with as many others
 
 
 def overlap_needed(percent: int, m, n):
@@ -67,30 +72,45 @@ class Sets:
             yield held, sets
 
 
-PROFILE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("held", pa.int64())])
+PROFILE = pa.schema([("ident", pa.binary()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("token", pa.int64()), ("held", pa.int64())])
 
 
 def profile(docs: DataFrame, params: JaccardParams) -> DataFrame:
-    """A row per document (doc_id, key of its set, n) and a row per shingle that is frequent in a block (token, held)."""
+    """A row per document (ident, doc_id, key of its set, n) and a row per shingle that is frequent in a block (token, held, key of the least set with it)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (ids,), sets in Sets(params).blocks(batches, "doc_id"):
+        for (idents, ids), sets in Sets(params).blocks(batches, "ident", "doc_id"):
             keys = [set_key(s) if len(s) else None for s in sets]
-            sizes = [len(s) for s in sets]
-            distinct = {k: s for k, s in zip(keys, sets) if k is not None}
-            tokens, held = np.unique(np.concatenate([*distinct.values(), np.empty(0, np.uint64)]), return_counts=True)
-            tokens, held = tokens[held >= params.locally].view(np.int64), held[held >= params.locally]
+            distinct = sorted({k: s for k, s in zip(keys, sets) if k is not None}.items())
+            tokens, first, held = np.unique(np.concatenate([*[s for _, s in distinct], np.empty(0, np.uint64)]), return_index=True, return_counts=True)
+            often = held >= params.locally
+            owner = np.searchsorted(np.cumsum([len(s) for _, s in distinct]), first[often], side="right")
+            tokens, held = tokens[often].view(np.int64), held[often]
             none, zero = [None] * len(tokens), [None] * len(ids)
-            yield rows(PROFILE, [ids + none, keys + none, sizes + none, zero + tokens.tolist(), zero + held.tolist()])
+            yield rows(PROFILE, [idents + none, ids + none, keys + [distinct[k][0] for k in owner.tolist()], [len(s) for s in sets] + none, zero + tokens.tolist(), zero + held.tolist()])
 
-    return materialize(docs.mapInArrow(task, "doc_id long, key long, n long, token long, held long"), "sets")
+    return materialize(docs.mapInArrow(task, "ident binary, doc_id long, key binary, n long, token long, held long"), "sets")
 
 
-def frequent_shingles(sets: DataFrame, params: JaccardParams) -> np.ndarray:
-    """The most frequent shingles, as sorted 64-bit values: a bounded list, which steers the order and nothing else."""
-    counted = sets.where("token is not null").groupBy("token").agg(F.sum("held").alias("held")).where(F.col("held") >= params.frequent)
-    found = counted.orderBy(F.desc("held"), "token").limit(params.most_frequent).select("token").toArrow()
-    return np.sort(found.column(0).to_numpy().view(np.uint64))
+class Frequent:
+    """Frequent shingles, sorted, with the number of each one's pivot, and the pivots' keys: a bounded table."""
+
+    def __init__(self, tokens: list[int], pivots: list[bytes]):
+        values = np.array(tokens, dtype=np.int64).view(np.uint64)
+        order = np.argsort(values)
+        self.keys = sorted(set(pivots))
+        number = {k: i for i, k in enumerate(self.keys)}
+        self.tokens, self.pivots = values[order], np.array([number[p] for p in pivots], dtype=np.int64)[order]
+
+    def with_more(self, tokens: list[int], pivots: list[bytes]) -> "Frequent":
+        return Frequent(self.tokens.view(np.int64).tolist() + tokens, [self.keys[i] for i in self.pivots] + pivots)
+
+
+def frequent_shingles(sets: DataFrame, params: JaccardParams) -> Frequent:
+    """The most frequent shingles: a bounded list, which steers the order and nothing else."""
+    counted = sets.where("token is not null").groupBy("token").agg(F.sum("held").alias("held"), F.min("key").alias("key")).where(F.col("held") >= params.frequent)
+    found = counted.orderBy(F.desc("held"), "token").limit(params.most_frequent).select("token", "key").toArrow()
+    return Frequent(found.column(0).to_pylist(), found.column(1).to_pylist())
 
 
 def _in_sorted(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -99,11 +119,12 @@ def _in_sorted(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-ENTRY = np.dtype([("token", "<u8"), ("key", "<i8"), ("n", "<i4"), ("at", "<i4"), ("hot", "<i4")])
+ENTRY = np.dtype([("token", "<u8"), ("key", "V16"), ("n", "<i4"), ("at", "<i4"), ("hot", "<i4")])
 
 
 def prefix_index(docs: DataFrame, hot, parts: int, params: JaccardParams) -> DataFrame:
-    """Packed index entries: (part, entries). An entry is a prefix shingle, its set, the set's size, the shingle's position and the number of frequent ones in the prefix."""
+    """Packed index entries: (part, entries). An entry is a prefix shingle, its set, the set's size, the shingle's position and
+    the number of frequent ones in the prefix. The frequent ones make one entry for each pivot: its number, at position -1."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = hot.value
@@ -111,19 +132,24 @@ def prefix_index(docs: DataFrame, hot, parts: int, params: JaccardParams) -> Dat
             distinct = {set_key(s): s for s in sets if len(s)}
             made = []
             for key, tokens in distinct.items():
-                last = _in_sorted(tokens, frequent)
+                last = _in_sorted(tokens, frequent.tokens)
                 n = len(tokens)
                 length = prefix_length(params.percent, n)
-                if last.any():
-                    tokens = np.concatenate([tokens[~last], tokens[last]])
-                entry = np.empty(length, dtype=ENTRY)
-                entry["token"], entry["key"], entry["n"], entry["at"] = tokens[:length], key, n, np.arange(length)
-                entry["hot"] = max(0, length - int(n - last.sum()))
+                plain = tokens[~last][:length]
+                common = tokens[last][: length - len(plain)]
+                pivots = np.unique(frequent.pivots[np.searchsorted(frequent.tokens, common)]) if len(common) else np.empty(0, np.int64)
+                pivots = pivots[[frequent.keys[i] != key for i in pivots.tolist()]] if len(pivots) else pivots
+                entry = np.empty(len(plain) + len(pivots), dtype=ENTRY)
+                entry["token"] = np.concatenate([plain, pivots.astype(np.uint64)])
+                entry["at"] = np.concatenate([np.arange(len(plain)), np.full(len(pivots), -1)])
+                entry["key"], entry["n"], entry["hot"] = np.void(key), n, len(common)
                 made.append(entry)
             if not made:
                 continue
             entries = np.concatenate(made)
-            part = ((entries["token"] >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+            # A pivot's sets are dealt out by their own keys, so that a hot pivot's do not meet in one task.
+            spread = np.where(entries["at"] < 0, np.ascontiguousarray(entries["key"]).view("<u8").reshape(-1, 2)[:, 0], entries["token"])
+            part = ((spread >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             entries, part = entries[order], part[order]
             edges = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
@@ -144,7 +170,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return out
 
 
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("ha", pa.int32()), ("hb", pa.int32()), ("shared", pa.int32()), ("star", pa.int32())])
+PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("na", pa.int32()), ("nb", pa.int32()), ("ha", pa.int32()), ("hb", pa.int32()), ("shared", pa.int32()), ("star", pa.int32()), ("token", pa.int64())])
 
 
 def _passing(e: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,29 +182,37 @@ def _passing(e: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -
     return left[keep], right[keep]
 
 
-def _long_list(e: np.ndarray, start: int, stop: int, percent: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one long list. It is ordered by size, so each set skips to the block of sizes that can match it."""
-    order = start + np.argsort(e["n"][start:stop], kind="stable")
-    sizes = e["n"][order].astype(np.int64)
-    last = np.searchsorted(sizes, sizes * 100 // percent, side="right")
-    many = np.maximum(last - np.arange(len(order)) - 1, 0)
-    cuts = np.searchsorted(np.cumsum(many), np.arange(limit, many.sum() + limit, limit))
-    at = 0
-    for cut in np.unique(np.minimum(cuts + 1, len(order))).tolist():
-        left = np.repeat(np.arange(at, cut), many[at:cut])
-        first = np.cumsum(many[at:cut]) - many[at:cut]
-        right = np.arange(len(left)) - np.repeat(first, many[at:cut]) + left + 1
-        yield order[left], order[right]
-        at = cut
+def _long_list(e: np.ndarray, start: int, stop: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one long list, in blocks of one size ordered by position.
+
+    Of a block of size n, a set of size m at position i needs the positions from i - (m - o) to i + (n - o) only, where o is
+    the overlap the two sizes need; blocks of other sizes, and the rest of a block, are skipped unread.
+    """
+    order = start + np.lexsort((e["at"][start:stop], e["n"][start:stop]))
+    n, at = e["n"][order].astype(np.int64), e["at"][order].astype(np.int64)
+    edges = np.append(np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]])), len(n))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        size = int(n[a])
+        low = int(np.searchsorted(n, -(-percent * size // 100)))
+        who = np.arange(low, b)  # sets of this size or smaller, down to the least that can match
+        need = overlap_needed(percent, n[who], size)
+        first = a + np.searchsorted(at[a:b], at[who] - (n[who] - need))
+        first = np.where(who >= a, np.maximum(first, who + 1), first)  # within the block each pair once
+        last = a + np.searchsorted(at[a:b], at[who] + (size - need), side="right")
+        many = np.maximum(last - first, 0)
+        left = np.repeat(who, many)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+        if len(left):
+            yield order[left], order[right]
 
 
 def _pairs_of(e: np.ndarray, edges: np.ndarray, percent: int, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of all lists (``edges`` bound them), in blocks; lists of one length are expanded together."""
+    """Index pairs of all lists (``edges`` bound them), in blocks; short lists of one length are expanded together."""
     sizes, held, count = np.diff(edges), [], 0
     for m in np.unique(sizes[sizes > 1]).tolist():
         starts = edges[:-1][sizes == m]
-        if m > 32:
-            blocks = (pair for a in starts.tolist() for pair in _long_list(e, a, a + m, percent, limit))
+        if m > 16:
+            blocks = (pair for a in starts.tolist() for pair in _long_list(e, a, a + m, percent))
         else:
             x, y = np.triu_indices(m, 1)
             step = max(1, limit // len(x))
@@ -193,22 +227,22 @@ def _pairs_of(e: np.ndarray, edges: np.ndarray, percent: int, limit: int = 200_0
         yield tuple(np.concatenate(k) for k in zip(*held))
 
 
-def _pair_rows(e: np.ndarray, left: np.ndarray, right: np.ndarray, star: int) -> pa.RecordBatch:
-    """The distinct pairs of a block, the lesser key first, with how often each occurs."""
-    swap = e["key"][left] > e["key"][right]
+def _pair_rows(e: np.ndarray, keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    """The distinct pairs of a block, each in one order of its keys, with how often it occurs."""
+    swap = (keys[left, 0] > keys[right, 0]) | (keys[left, 0] == keys[right, 0]) & (keys[left, 1] > keys[right, 1])
     left, right = np.where(swap, right, left), np.where(swap, left, right)
-    order = np.lexsort((e["key"][right], e["key"][left]))
+    order = np.lexsort((keys[right, 1], keys[right, 0], keys[left, 1], keys[left, 0]))
     left, right = left[order], right[order]
-    a, b = e["key"][left], e["key"][right]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
-    counts = np.diff(np.append(first, len(a)))
+    fresh = (keys[left][1:] != keys[left][:-1]).any(axis=1) | (keys[right][1:] != keys[right][:-1]).any(axis=1)
+    first = np.flatnonzero(np.concatenate([[True], fresh])[: len(left)])
+    counts = np.diff(np.append(first, len(left))).astype(np.int32)
     left, right = left[first], right[first]
-    values = [e["key"][left], e["key"][right], e["n"][left], e["n"][right], e["hot"][left], e["hot"][right], (counts * (1 - star)).astype(np.int32), np.full(len(first), star, np.int32)]
-    return rows(PAIRS, [pa.array(np.ascontiguousarray(v)) for v in values])
+    values = [np.ascontiguousarray(x) for x in (e["n"][left], e["n"][right], e["hot"][left], e["hot"][right], counts, np.zeros(len(first), np.int32))]
+    return rows(PAIRS, [binary16(e["key"][left]), binary16(e["key"][right]), *map(pa.array, values), pa.nulls(len(first), pa.int64())])
 
 
-def candidate_pairs(index: DataFrame, hot, params: JaccardParams) -> DataFrame:
-    """Pairs of sets that share prefix shingles, with how many; of frequent shingles, pairs with the pivot (star = 1)."""
+def candidate_pairs(index: DataFrame, hot, longest: int, params: JaccardParams) -> DataFrame:
+    """Pairs of sets that share prefix shingles, with how many; pairs of a pivot and a set (star = 1); the shingles whose lists are too long, with the least set."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [_unpacked(x) for batch in batches for x in batch.column("entries").to_pylist()]
@@ -216,33 +250,36 @@ def candidate_pairs(index: DataFrame, hot, params: JaccardParams) -> DataFrame:
             return
         e = np.concatenate(blobs)
         del blobs
-        e = e[np.lexsort((e["key"], e["token"]))]
+        halves = np.ascontiguousarray(e["key"]).view("<u8").reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0], e["token"], e["at"] < 0))
+        e, halves = e[order], halves[order]
+        star = e["at"] < 0
         new = np.ones(len(e), dtype=bool)
-        new[1:] = e["token"][1:] != e["token"][:-1]
+        new[1:] = (e["token"][1:] != e["token"][:-1]) | (star[1:] != star[:-1])
         fresh = new.copy()  # copies of a set from other blocks go
-        fresh[1:] |= e["key"][1:] != e["key"][:-1]
-        e, new = e[fresh], new[fresh]
-        several = ~new
-        several[:-1] |= ~new[1:]
-        several &= np.concatenate([~new[1:], [False]]) | ~new
-        e, new = e[several], new[several]
+        fresh[1:] |= (halves[1:] != halves[:-1]).any(axis=1)
+        e, new, star, halves = e[fresh], new[fresh], star[fresh], halves[fresh]
+        pivots = e[star]
+        for k in range(0, len(pivots), 200_000):
+            x = pivots[k : k + 200_000]
+            of, none = [hot.value.keys[i] for i in x["token"].tolist()], np.zeros(len(x), np.int32)
+            yield rows(PAIRS, [of, binary16(x["key"]), *map(pa.array, (none, np.ascontiguousarray(x["n"]), none, np.ascontiguousarray(x["hot"]), none, none + np.int32(1))), pa.nulls(len(x), pa.int64())])
+        e, new, halves = e[~star], new[~star], halves[~star]
+        several = np.concatenate([~new[1:], [False]])[: len(new)] | ~new
+        e, new, halves = e[several], new[several], halves[several]
         edges = np.append(np.flatnonzero(new), len(e))
-        frequent = _in_sorted(e["token"][edges[:-1]], hot.value) if len(e) else np.empty(0, bool)
-        of = np.repeat(frequent, np.diff(edges))
-        rest = e[~of]
-        for left, right in _pairs_of(rest, np.concatenate([[0], np.cumsum(np.diff(edges)[~frequent])]), params.percent):
-            yield _pair_rows(rest, left, right, 0)
-        rest = e[of]
-        sizes = np.diff(edges)[frequent]
-        starts = np.cumsum(sizes) - sizes
-        pivot = np.repeat(starts, sizes)  # a list's least key comes first
-        member = np.arange(len(rest))
-        for k in range(0, len(rest), 400_000):
-            part = slice(k, k + 400_000)
-            keep = pivot[part] != member[part]
-            yield _pair_rows(rest, pivot[part][keep], member[part][keep], 1)
-
-    return index.repartition(partitions(index.sparkSession), "part").mapInArrow(task, "a long, b long, na int, nb int, ha int, hb int, shared int, star int")
+        long = np.diff(edges) > longest
+        if long.any():
+            lists = [(a, b) for a, b in zip(edges[:-1][long].tolist(), edges[1:][long].tolist())]
+            least = [min(e["key"][k].tobytes() for k in range(a, b)) for a, b in lists]
+            none = pa.nulls(len(lists), pa.int32())
+            yield rows(PAIRS, [least, pa.nulls(len(lists), pa.binary()), *[none] * 6, pa.array(np.array([e["token"][a] for a, _ in lists], np.uint64).view(np.int64))])
+            keep = ~np.repeat(long, np.diff(edges))
+            e, halves, edges = e[keep], halves[keep], np.concatenate([[0], np.cumsum(np.diff(edges)[~long])])
+        for left, right in _pairs_of(e, edges, params.percent):
+            yield _pair_rows(e, halves, left, right)
+
+    return index.repartition(partitions(index.sparkSession), "part").mapInArrow(task, "a binary, b binary, na int, nb int, ha int, hb int, shared int, star int, token long")
 
 
 def _possible(percent: int, shared):
@@ -252,7 +289,7 @@ def _possible(percent: int, shared):
     return shared + F.least("ha", "hb") + beyond >= needed
 
 
-VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("ha", pa.int32()), ("hb", pa.int32()), ("star", pa.int32()), ("overlap", pa.int64())])
+VERIFIED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("na", pa.int64()), ("nb", pa.int64()), ("ha", pa.int32()), ("hb", pa.int32()), ("star", pa.int32()), ("overlap", pa.int64())])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFrame:
@@ -261,9 +298,9 @@ def verify(pairs: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFra
     both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ha", "hb", "star", "ta", "tb")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
+        known: OrderedDict[bytes, np.ndarray] = OrderedDict()
 
-        def tokens(key: int, text: str) -> np.ndarray:
+        def tokens(key: bytes, text: str) -> np.ndarray:
             found = known.get(key)
             if found is None:
                 found = known[key] = shingle_sets([text.encode()], params.words)[0]
@@ -276,57 +313,103 @@ def verify(pairs: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFra
             na, nb, overlap = [], [], []
             for x, y, s, t in zip(a, b, ta, tb):
                 s, t = tokens(x, s), tokens(y, t)
+                na.append(len(s)), nb.append(len(t))
                 if len(s) > len(t):
                     s, t = t, s
-                    na.append(len(t)), nb.append(len(s))
-                else:
-                    na.append(len(s)), nb.append(len(t))
                 overlap.append(int(_in_sorted(s, t).sum()))
             yield rows(VERIFIED, [a, b, na, nb, ha, hb, star, overlap])
 
-    return both.mapInArrow(task, "a long, b long, na long, nb long, ha int, hb int, star int, overlap long")
+    return both.mapInArrow(task, "a binary, b binary, na long, nb long, ha int, hb int, star int, overlap long")
 
 
 def derived_links(verified: DataFrame, joined: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFrame:
     """Links (a, b) among sets that were compared with one pivot, are still apart, and that the pivot's answers leave open.
 
-    Only pivots whose sets lie in several components are looked at, and only links that join two of these are put out.
+    Only pivots whose sets lie in several components are looked at, only sets outside a pivot's largest component are
+    compared with its others, and only links that join two components are put out. Both sides are cut into blocks of about
+    ``group`` sets, and a task compares one block with one other.
     """
     p = params.percent
     own = verified.where("star = 1").select(F.col("a").alias("pivot"), F.col("b").alias("key"), F.col("nb").alias("n"), F.col("hb").alias("hot"), "overlap")
     own = own.where("hot > 0").join(joined.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    apart = own.groupBy("pivot").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("pivot")
-    own = own.join(apart, "pivot", "left_semi").join(texts, "key").select("pivot", "key", "n", "hot", "overlap", "component", "text")
+    counted = own.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("n"))
+    of = counted.groupBy("pivot").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("component", "n").alias("largest")).where("all > most")
+    blocks = lambda n: F.ceil(n / F.lit(params.group)).cast("int")
+    of = of.select("pivot", "largest", blocks(F.col("all")).alias("rights"), blocks(F.col("all") - F.col("most")).alias("lefts"))
+    own = own.join(of, "pivot").join(texts, "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    columns = ["pivot", "x", "y", "side", "key", "n", "hot", "overlap", "component", "largest", "text"]
+    left = own.where("component <> largest").withColumns({"x": block("lefts"), "side": F.lit(0)}).withColumn("y", every("rights"))
+    right = own.withColumns({"y": block("rights"), "side": F.lit(1)}).withColumn("x", every("lefts"))
 
     def group(frame: pd.DataFrame) -> pd.DataFrame:
-        order = frame.sort_values(["n", "key"], kind="stable")
-        key, n, hot, o, c = (order[x].to_numpy() for x in ("key", "n", "hot", "overlap", "component"))
-        texts, known, parent, out = order["text"].tolist(), {}, {}, []
+        order = frame.sort_values(["side", "n", "key"], kind="stable")
+        key, n, hot, o, c, side = (order[x].to_numpy() for x in ("key", "n", "hot", "overlap", "component", "side"))
+        big, texts, known, parent, out = order["largest"].iloc[0], order["text"].tolist(), {}, {}, []
 
         def tokens(i: int) -> np.ndarray:
             if i not in known:
                 known[i] = shingle_sets([texts[i].encode()], params.words)[0]
             return known[i]
 
-        values, counts = np.unique(c, return_counts=True)
-        largest = values[np.argmax(counts)]
-        for i in np.flatnonzero(c != largest).tolist():
-            lo, hi = np.searchsorted(n, -(-p * n[i] // 100)), np.searchsorted(n, n[i] * 100 // p, side="right")
-            j = np.arange(lo, hi)
-            j = j[(c[j] != c[i]) & ((c[j] == largest) | (j > i))]
+        cut = int(np.searchsorted(side, 1))
+        theirs = n[cut:]
+        for i in range(cut):
+            lo, hi = np.searchsorted(theirs, -(-p * n[i] // 100)), np.searchsorted(theirs, n[i] * 100 // p, side="right")
+            j = cut + np.arange(lo, hi)
+            j = j[(c[j] != c[i]) & ((c[j] == big) | (key[j] > key[i]))]
             needed = overlap_needed(p, n[i], n[j])
             most = np.minimum(o[i], o[j]) + np.minimum(n[i] - o[i], n[j] - o[j])
             held = np.minimum(hot[i], hot[j]) + -(-p * np.maximum(n[i], n[j]) // 100) - 1
             keep = (most >= needed) & (held >= needed)
             for x, need in zip(j[keep].tolist(), needed[keep].tolist()):
-                if find_root(parent, int(c[i])) == find_root(parent, int(c[x])):
+                if find_root(parent, c[i]) == find_root(parent, c[x]):
                     continue  # connected by now
                 if int(_in_sorted(tokens(i), tokens(x)).sum()) >= need:
-                    join_roots(parent, int(c[i]), int(c[x]))
-                    out.append((int(key[i]), int(key[x])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                    join_roots(parent, c[i], c[x])
+                    out.append((key[i], key[x]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return left.select(*columns).union(right.select(*columns)).groupBy("pivot", "x", "y").applyInPandas(group, "a binary, b binary").distinct()
+
+
+def _links(base: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
+    """(node, component) of the keys of sets that are linked with other sets."""
+    spark = base.sparkSession
+    frequent, longest = frequent_shingles(sets, params), params.longest
+    while True:
+        hot = spark.sparkContext.broadcast(frequent)
+        found = candidate_pairs(prefix_index(base, hot, 4 * partitions(spark), params), hot, longest, params)
+        found = found.groupBy("a", "b", "token").agg(*[F.first(c).alias(c) for c in ("ha", "hb")], F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("star").alias("star"))
+        pairs = materialize(found.where((F.col("star") == 1) | F.col("token").isNotNull() | _possible(params.percent, F.col("shared"))).select("a", "b", "ha", "hb", "star", "token"), "pairs")
+        late = pairs.where("token is not null").select("token", "a").limit(max(0, params.most_frequent - len(frequent.tokens)) or 1).toArrow()
+        if not late.num_rows:
+            break
+        if len(frequent.tokens) < params.most_frequent:
+            frequent = frequent.with_more(late.column(0).to_pylist(), late.column(1).to_pylist())
+        else:
+            longest *= 4
+        hot.destroy()
+    pairs = pairs.drop("token")
+    texts = _texts(base, pairs, params)
+    verified = materialize(verify(pairs, texts, params), "verified")
+    similar = (100 * F.col("overlap") >= params.percent * (F.col("na") + F.col("nb") - F.col("overlap"))) & (F.col("overlap") > 0)
+    links = verified.where(similar).select("a", "b")
+    joined = components(links)
+    if not verified.where("star = 1").isEmpty():
+        more = materialize(derived_links(verified, joined, texts, params), "derived")
+        if not more.isEmpty():
+            joined = components(links.union(more))
+    return joined
 
-    return own.groupBy("pivot").applyInPandas(group, "a long, b long").distinct()
+
+def _labelled(docs: DataFrame, params: JaccardParams) -> DataFrame:
+    """A row per row of ``docs`` (ident, doc_id, text): ident, doc_id, n, and the component of its set (null for an empty set)."""
+    sets = profile(docs, params)
+    joined = _links(docs.select("text"), sets, params)
+    own = sets.where("n is not null").select("ident", "doc_id", "key", "n")
+    return own.join(joined.select(F.col("node").alias("key"), "component"), "key", "left").select("ident", "doc_id", "n", F.coalesce("component", "key").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
@@ -337,50 +420,45 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     rows. A row with a null doc_id counts for links, but never names a component that has another id. Whole texts are
     read, and the empty table gives none.
     """
-    spark = docs.sparkSession
-    base = narrow(docs, "doc_id", "text")
-    sets = profile(base, params)
-    hot = spark.sparkContext.broadcast(frequent_shingles(sets, params))
-    parts = 4 * partitions(spark)
-    index = prefix_index(base, hot, parts, params)
-    found = candidate_pairs(index, hot, params)
-    found = found.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("na", "nb", "ha", "hb")], F.sum("shared").alias("shared"), F.max("star").alias("star"))
-    pairs = materialize(found.where((F.col("star") == 1) | _possible(params.percent, F.col("shared"))).select("a", "b", "ha", "hb", "star"), "pairs")
-    texts = _texts(base, pairs, params)
-    verified = materialize(verify(pairs, texts, params), "verified")
-    similar = (100 * F.col("overlap") >= params.percent * (F.col("na") + F.col("nb") - F.col("overlap"))) & (F.col("overlap") > 0)
-    links = verified.where(similar).select("a", "b")
-    joined = components(links)
-    if not verified.where("star = 1").isEmpty():
-        more = materialize(derived_links(verified, joined, texts, params), "derived")
-        if not more.isEmpty():
-            joined = components(links.union(more))
-    own = sets.where("n is not null").select("doc_id", "key", "n")
-    least = own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = least.join(joined.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    of = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(of, "component").select("key", "component_id")
-    return own.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = materialize(_labelled(narrow(docs, "doc_id", "text").withColumn("ident", F.lit(b"")), params), "labelled")
+    named = own.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    # A row alone in its component needs no name from it; a component of many rows is joined split by the engine.
+    named = named.where("rows > 1").drop("rows")
+    return own.join(named, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _texts(base: DataFrame, pairs: DataFrame, params: JaccardParams) -> DataFrame:
     """(key, text) of the sets in ``pairs``, one text each."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for (texts,), sets in Sets(params).blocks(batches, "text"):
             keys = [set_key(s) if len(s) else None for s in sets]
             keep = [i for i, k in enumerate(keys) if k is not None and not (k in seen or seen.add(k))]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in keep], pa.int64()), pa.array([texts[i] for i in keep], pa.string())], names=["key", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in keep], pa.binary()), pa.array([texts[i] for i in keep], pa.string())], names=["key", "text"])
             if len(seen) > 1_000_000:
                 seen.clear()
 
     wanted = small_side(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b"))).distinct())
-    return materialize(base.mapInArrow(task, "key long, text string").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "texts")
+    return materialize(base.mapInArrow(task, "key binary, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
 
 
 def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
-    """``docs`` with one row of each component: that of its least doc_id (rows that repeat it: one of them)."""
-    held = near_duplicates(docs, params).select(F.col("doc_id").alias("_id"), "component_id").where("_id is null or _id = component_id").select("_id").distinct()
-    kept = docs.join(held, docs["doc_id"].eqNullSafe(held["_id"]), "left_semi")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """``docs`` with one row of each component: that of its least doc_id, null ids last, ties by a digest of id and text.
+
+    Rows without shingles are linked with nothing and all stay.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    ident = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text)))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), ident.alias("ident"))
+    bound_batches(docs.sparkSession)
+    own = materialize(_labelled(base.select("ident", "doc_id", "text"), params), "labelled")
+    chosen = own.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ident")).alias("first"))
+    chosen = chosen.select("first.ident")
+    rows = own.where("component is not null").join(chosen, "ident", "left_semi").groupBy("ident").agg(F.count(F.lit(1)).alias("rows"))
+    rows = materialize(rows.unionByName(own.where("component is null").select("ident", F.lit(0).cast("long").alias("rows")).distinct()), "kept")
+    held = base.select("own", "ident")
+    kept = held.join(rows.where("rows < 2"), "ident", "left_semi")
+    if not rows.where("rows > 1").isEmpty():
+        kept = kept.unionByName(held.join(rows.where("rows > 1"), "ident", "left_semi").dropDuplicates(["ident"]))
+    return kept.select("own.*")

@@ -74,6 +74,6 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def set_key(tokens: np.ndarray) -> int:
-    """63 bits that name a set."""
-    return int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little") >> 1
+def set_key(tokens: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return blake2b(tokens.tobytes(), digest_size=16).digest()

@@ -113,15 +113,16 @@ def brute_components(rows):
     return [(d, len(sets[i]), min((x for x in group[root.get(i, i)] if x is not None), default=d)) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("params", [jaccard.JaccardParams(), jaccard.JaccardParams(frequent=2, locally=1)])
+@pytest.mark.parametrize("params", [jaccard.JaccardParams(), jaccard.JaccardParams(frequent=2, locally=1), jaccard.JaccardParams(longest=2)])
 def test_jaccard(spark, docs, params):
     key = lambda x: str(x)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, params).collect()]
     assert sorted(got, key=key) == sorted(brute_components(texts(docs)), key=key)
 
 
-def test_jaccard_with_one_hot_family(spark):
-    """Every shingle is frequent: pairs come from pivots and derived answers only."""
+@pytest.mark.parametrize("params", [jaccard.JaccardParams(frequent=4, locally=1, group=7), jaccard.JaccardParams(locally=99), jaccard.JaccardParams(locally=99, longest=5)])
+def test_jaccard_with_one_hot_family(spark, params):
+    """Every shingle is frequent: pairs come from pivots and derived answers; or none is known to be: from long lists, or from lists found to be too long."""
     r = np.random.default_rng(3)
     base = passage(9, 60).split()
     rows = []
@@ -129,12 +130,32 @@ def test_jaccard_with_one_hot_family(spark):
         own = list(base)
         for k in r.integers(0, 60, r.integers(0, 4)):
             own[k] = f"w{r.integers(5)}"
-        rows.append((i, " ".join(own)))
+        rows.append((i, " ".join(own[: 60 - i % 9])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.near_duplicates(df, jaccard.JaccardParams(frequent=4, locally=1)).collect()]
+    got = [(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.near_duplicates(df, params).collect()]
     assert sorted(got) == sorted(brute_components(rows))
 
 
+def test_long_lists_skip_only_what_cannot_match():
+    r = np.random.default_rng(6)
+    e = np.zeros(300, dtype=jaccard.ENTRY)
+    e["n"] = r.integers(4, 60, 300)
+    e["at"] = [r.integers(0, jaccard.prefix_length(75, n)) for n in e["n"].tolist()]
+    got = {tuple(sorted(x)) for left, right in jaccard._long_list(e, 0, 300, 75) for x in zip(left.tolist(), right.tolist())}
+    x, y = np.triu_indices(300, 1)
+    want = {tuple(sorted(p)) for p in zip(*(k.tolist() for k in jaccard._passing(e, x, y, 75)))}
+    assert got == want and 0 < len(want) < len(x) / 3
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = passage(1, 60), passage(2, 60)
+    rows = [(3, a), (1, a), (1, b), (1, b), (None, a), (None, passage(3, 50)), (None, passage(3, 50)), (5, None), (5, None), (6, ""), (2, b + " tail")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ident string")
+    for c in ("component", "own", "rows", "key"):
+        got = sorted(((x.doc_id, x.text) for x in jaccard.keep_one(df.withColumn(c, F.lit(1))).collect()), key=str)
+        assert got == sorted([(1, a), (1, b), (None, passage(3, 50)), (5, None), (5, None), (6, "")], key=str)
+
+
 def test_shingles_of_few_words():
     a, b, c, d = shingle_sets([b"a b", b"A  b\n", b"", b"a b c d e"])
     assert a.tolist() == b.tolist() and len(a) == 1 and len(c) == 0 and len(d) == 1
