@@ -1,8 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 An item with an error budget of k edits is split into k + 1 pieces: in any passage within k edits, at least one piece is
-intact. An automaton of all pieces scans each text; around each hit, a word count rules out most places and Myers'
-bit-parallel distance decides the rest.
+intact. An automaton of all pieces scans each text; around each hit, a word count rules out places that no edits within the
+budget can mend, and Myers' bit-parallel distance decides the rest. Short items have no budget and match whole words.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.shared import bound_batches, grouped, narrow, rows
+from tallyframe.llm.shared import bound_batches, grouped, materialize, narrow
 
 # Signs that end a word: ASCII ones and the block of general punctuation.
 _SPACED = str.maketrans({chr(c): " " for c in [*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128), 0xA0, 0xA1, 0xAB, 0xBB, 0xBF, *range(0x2000, 0x2070), 0x3000]})
@@ -25,9 +25,9 @@ _SPACED = str.maketrans({chr(c): " " for c in [*range(0, 48), *range(58, 65), *r
 @dataclass(frozen=True)
 class DecontaminationParams:
     error_share: float = 0.08  # of an item's normalised characters
-    piece_chars: int = 12  # the budget is lowered so that no piece is shorter
-    item_chars: int = 24  # shorter normalised items identify nothing and are skipped
+    short_chars: int = 24  # items with fewer match exactly, from word border to word border
     block_bytes: int = 4 << 20  # of item texts that are broadcast at once
+    blocks: int = 8  # that are broadcast at a time; after them the hits are written
 
 
 def normalise(text: str) -> str:
@@ -66,13 +66,13 @@ class Matcher:
         self.items, places = [], {}
         for item_id, text in items:
             text = normalise(text)
-            if len(text) < params.item_chars:
+            if not text:
                 continue
-            budget = max(0, min(int(len(text) * params.error_share), len(text) // params.piece_chars - 1))
+            budget = int(len(text) * params.error_share) if len(text) >= params.short_chars else 0
             cuts = [len(text) * i // (budget + 1) for i in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 places.setdefault(text[a:b], []).append((len(self.items), a))
-            self.items.append((item_id, text, budget, Counter(text.split())))
+            self.items.append((item_id, text, budget, Counter(text.split()), len(text) < params.short_chars))
         self.automaton = ahocorasick.Automaton()
         for piece, found in places.items():
             self.automaton.add_word(piece, (len(piece), found))
@@ -89,25 +89,34 @@ class Matcher:
         seen: set[tuple[int, int]] = set()
         for last, (size, places) in self.automaton.iter(text):
             for k, at in places:
-                item_id, item, budget, words = self.items[k]
+                _, item, budget, words, short = self.items[k]
                 if best.get(k) == 0:
                     continue
                 start = last + 1 - size - at
                 if (k, start) in seen:
                     continue
                 seen.add((k, start))
-                if text.startswith(item, start) if start >= 0 else False:
-                    best[k] = 0
+                if start >= 0 and text.startswith(item, start):
+                    stop = start + len(item)
+                    if not short or (start == 0 or text[start - 1] == " ") and (stop == len(text) or text[stop] == " "):
+                        best[k] = 0
                     continue
-                window = text[max(0, start - budget) : start + len(item) + budget]
-                # An edit changes two of the item's words at most.
-                here = Counter(window.split())
-                if sum(min(n, here[w]) for w, n in words.items()) < words.total() - 2 * budget:
+                if not budget:
                     continue
+                window = text[max(0, start - budget) : start + len(item) + budget]
+                # An edit changes two of the item's words at most (a lost space joins two); the outer two may be joined to neighbours.
+                least = words.total() - 2 * budget - 2
+                if least > 0:
+                    here = Counter(window.split())
+                    if sum(min(n, here[w]) for w, n in words.items()) < least:
+                        continue
                 distance = myers(item, window, budget)
                 if distance <= budget and distance < best.get(k, budget + 1):
                     best[k] = distance
-        return {self.items[k][0]: d for k, d in best.items()}
+        out: dict[int, int] = {}
+        for k, d in best.items():
+            out[self.items[k][0]] = min(d, out.get(self.items[k][0], d))
+        return out
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
@@ -134,38 +143,55 @@ def matcher_of(items: list[tuple[int, str]], params: DecontaminationParams) -> M
     return held[1]
 
 
-def match(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """``docs`` with a column ``_hits``: an array of (item_id, distance), sorted, one for each item found in the text.
-
-    Null or empty text, or an empty benchmark: no hits. Repeated rows and null ids are answered like others; other
-    columns stay as they are. Items with a null id or too short a text are skipped; of items with one id any may match.
-    Texts are read whole. One narrow stage per block of items; nothing is shuffled.
-    """
+def _matched(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams) -> DataFrame:
+    """(own, text, gone, hits): a row's other columns as a struct, so that no name of theirs can clash; its text, and whether that is null."""
     spark = docs.sparkSession
     bound_batches(spark)
-    own = docs.schema.fields
-    # Only the text travels through Python beside the row's own columns, which pass untouched.
-    out = docs.withColumn("_hits", F.array().cast("array<struct<item_id:long,distance:int>>"))
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    out = docs.select(F.struct(*others, F.lit(True).alias("row")).alias("own"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("text").isNull().alias("gone"), F.array().cast("array<struct<item_id:long,distance:int>>").alias("hits"))
     hit = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
+    alive = []
     for block in _blocks(benchmark, params.block_bytes):
         held = spark.sparkContext.broadcast(block)
 
         def task(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             matcher = matcher_of(held.value, params)
-            for batch in grouped(batches, "_text", 8 << 20):
+            for batch in grouped(batches, "text", 8 << 20):
                 found = []
-                for text, before in zip(batch.column("_text").to_pylist(), batch.column("_hits").to_pylist()):
-                    best = {x["item_id"]: x["distance"] for x in before} | matcher.find(text)
+                for text, before in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist()):
+                    best = matcher.find(text)
+                    for x in before:
+                        best[x["item_id"]] = min(x["distance"], best.get(x["item_id"], x["distance"]))
                     found.append([{"item_id": i, "distance": d} for i, d in sorted(best.items())])
-                names = batch.schema.names
-                columns = [pa.array(found, type=hit) if n == "_hits" else batch.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("own", "text", "gone")], pa.array(found, type=hit)], names=["own", "text", "gone", "hits"])
+
+        out = out.mapInArrow(task, out.schema)
+        alive.append(held)
+        if len(alive) == params.blocks:
+            out = materialize(out, "hits")
+            while alive:
+                alive.pop().destroy()
+    return out
+
+
+def match(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
+    """``docs`` with a column ``_hits``: an array of (item_id, distance), sorted, one for each item found in the text.
+
+    Null or empty text, or an empty benchmark: no hits. Repeated rows and null ids are answered like others; other
+    columns stay as they are. Items with a null id, or without any letter or digit, are skipped; of items with one id the
+    nearest counts. Items shorter than ``short_chars`` match whole words exactly; others within ``error_share`` of their
+    characters. Texts are read whole. One narrow stage per block of items; nothing is shuffled.
+    """
+    if "_hits" in docs.columns:
+        raise ValueError("the result's column _hits is taken")
+    found = _matched(docs, benchmark, params)
+    return found.select(*_own(docs), F.col("hits").alias("_hits"))
+
 
-        carried = out.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-        out = carried.mapInArrow(task, carried.schema).drop("_text")
-    return out.select(*[F.col(f"`{f.name}`") for f in own], "_hits")
+def _own(docs: DataFrame) -> list:
+    return [F.when(~F.col("gone"), F.col("text")).alias(c) if c == "text" else F.col("own").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """The rows of ``docs`` without any item of the benchmark."""
-    return match(docs, benchmark, params).where(F.size("_hits") == 0).drop("_hits")
+    return _matched(docs, benchmark, params).where(F.size("hits") == 0).select(*_own(docs))

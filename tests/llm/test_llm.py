@@ -310,15 +310,59 @@ def test_lm_scores_words_and_wide_windows(spark):
 
 
 def test_decontamination(spark, docs):
-    item = passage(1, 40)
-    bench = spark.createDataFrame([(7, item), (8, passage(77, 40)), (9, "tiny"), (None, item)], "item_id long, text string")
+    item = " ".join(passage(1, 120).split()[20:60])
+    bench = spark.createDataFrame([(7, item), (8, passage(77, 40)), (9, "tiny"), (None, item), (10, "Two words!")], "item_id long, text string")
     got = {r.doc_id: [h.item_id for h in r._hits] for r in decontaminate.match(docs, bench).collect()}
-    assert got[0] == got[1] == got[3] == [7] and got[9] == [] and got[4] == []
+    assert got[0] == got[1] == got[2] == got[3] == [7] and got[9] == [] and got[4] == [] and got[7] == got[8] == [10]
     near = item.replace("a", "A").replace(" ", ",  ", 3)[:50] + "zz" + item[52:]
     assert decontaminate.match(spark.createDataFrame([(1, near)], "doc_id long, text string"), bench).first()._hits[0].item_id == 7
     assert set(decontaminate.drop_contaminated(docs, bench).columns) == set(docs.columns)
 
 
+@pytest.mark.parametrize("column", ["_text", "hits", "own", "gone", "item_id", "row"])
+def test_decontamination_beside_any_column(spark, docs, column):
+    bench = spark.createDataFrame([(1, passage(77, 40))], "item_id long, text string")
+    wide = docs.withColumn(column, F.lit("x"))
+    got = decontaminate.drop_contaminated(wide, bench)
+    assert got.columns == wide.columns and got.where(F.col(f"`{column}`") == "x").count() == docs.count() and got.where("text is null").count() == 1
+
+
+def test_decontamination_in_blocks(spark):
+    """Several blocks of items, with writes between; the nearest of items with one id counts."""
+    texts = [passage(k, 12) for k in range(9)]
+    bench = spark.createDataFrame([(k % 5, t) for k, t in enumerate(texts)], "item_id long, text string")
+    df = spark.createDataFrame([(k, "so " + t[:30] + "x" * (k % 2) + t[30:]) for k, t in enumerate(texts)], "doc_id long, text string")
+    params = decontaminate.DecontaminationParams(block_bytes=50, blocks=2)
+    got = {r.doc_id: [(h.item_id, h.distance) for h in r._hits] for r in decontaminate.match(df, bench, params).collect()}
+    assert got == {k: [(k % 5, k % 2)] for k in range(9)}
+
+
+def test_matcher_against_all_places():
+    """Every passage within the budget is found, glued to its neighbours or not; and the distance is the least."""
+    r = np.random.default_rng(14)
+    params = decontaminate.DecontaminationParams()
+    words = "a in of the two three seven house garden plus minus equals what is river".split()
+    caught = 0
+    for n in range(400):
+        item = " ".join(words[k] for k in r.integers(0, len(words), r.integers(2, 14)))
+        budget = int(len(item) * params.error_share) if len(item) >= params.short_chars else 0
+        made = list(item)
+        for _ in range(r.integers(0, budget + 2)):
+            at = int(r.integers(0, len(made)))
+            spaces = [k for k, c in enumerate(made) if c == " "]
+            at = int(r.choice(spaces)) if spaces and r.random() < 0.6 else at
+            made[at : at + int(r.integers(0, 2))] = r.choice(["x", "", " "])
+        text = decontaminate.normalise(" ".join(words[k] for k in r.integers(0, len(words), 5)) + r.choice(["", " "]) + "".join(made) + r.choice(["", " "]) + "tail of it")
+        least = min(edit(item, text[a:b]) for a in range(len(text)) for b in range(a, min(len(text), a + len(item) + budget) + 1)) if n < 60 else decontaminate.myers(item, text, len(item))
+        found = decontaminate.Matcher([(1, item)], params).find(text)
+        if budget or len(item) >= params.short_chars:
+            assert found == ({1: least} if least <= budget else {}), (item, text, least, budget)
+        else:
+            assert found == ({1: 0} if f" {item} " in f" {text} " else {})
+        caught += bool(found)
+    assert 100 < caught < 399
+
+
 def brute_removal(rows, length):
     data = [t.encode() for _, t in rows]
     seen = {}
