@@ -8,7 +8,7 @@ later documents, which is what keeps padding near zero.
 
 from __future__ import annotations
 
-import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -16,16 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tallyframe.llm.shared import grouped, narrow, rows
 
 # Fixed value: the pre-tokenisation pattern of this byte-level BPE vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_RARE_SPACE = re.compile(r"[^\S \n]")
-_CACHED = 400_000
+_PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_CACHED = 500_000
 
 
 @dataclass(frozen=True)
@@ -37,22 +36,15 @@ class PackingParams:
     vocabulary: str | None = None  # path of the vocabulary file; None: byte_bpe_50k.json as installed
 
 
-def _byte_of() -> dict[str, int]:
-    """The printable stand-ins of bytes in a byte-level vocabulary, by their rule."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+class _Known(dict):
+    """A function's results by argument; all go when there are too many."""
 
-
-class _Pieces(dict):
-    """Token ids of a piece of text, as bytes; the oldest content goes when it is full."""
-
-    def __init__(self, encode, prefix: str):
+    def __init__(self, made):
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.made = made
 
     def __missing__(self, piece: str) -> bytes:
-        found = np.array(self.encode(self.prefix + piece), dtype="<u4").tobytes()
+        found = self.made(piece)
         if len(self) >= _CACHED:
             self.clear()
         self[piece] = found
@@ -60,30 +52,36 @@ class _Pieces(dict):
 
 
 class Tokenizer:
-    """Ids of the vocabulary file, equal to those that the ``tokenizers`` library gives without special tokens.
+    """Ids that the ``tokenizers`` library gives for the vocabulary file, without adding special tokens.
 
-    Pre-tokens never span from a visible character into a following space, so text without unusual white space is cut
-    at its spaces and each piece is looked up; strings of special tokens in a text are ordinary text.
+    Pre-tokens never span from a visible character into a following space, so a text without unusual white space is cut
+    at its spaces, and each pre-token is encoded once; texts with it, or with the string of an added token, are encoded whole.
     """
 
     def __init__(self, path: str | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the workers are processes of one core each
+        from tokenizers import Tokenizer as Library
+
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("byte_bpe_50k.json")
-        with open(path, encoding="utf-8") as source:
-            model = json.load(source)
-        special, byte = {x["content"] for x in model["added_tokens"]}, _byte_of()
-        ranks = {bytes(byte[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
-        self.whole = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.first, self.later = _Pieces(self.whole, ""), _Pieces(self.whole, " ")
+        self.library = Library.from_file(path)
+        added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.unusual = re.compile("|".join([r"[^\S \n]", "^ ", r" \Z", "  ", "\n \n", *map(re.escape, added)]))
+        pretokens = _Known(self.whole)
+        split = lambda piece: b"".join([pretokens[x] for x in _PRETOKENS.findall(piece)])
+        self.first, self.later = _Known(split), _Known(lambda piece: split(" " + piece))
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if text[0] == " " or text[-1] == " " or "  " in text or "\n \n" in text or _RARE_SPACE.search(text):
-            return np.array(self.whole(text), dtype="<u4").tobytes()
+        if self.unusual.search(text):
+            return self.whole(text)
         pieces = text.split(" ")
         later = self.later
         return self.first[pieces[0]] + b"".join([later[p] for p in pieces[1:]])
