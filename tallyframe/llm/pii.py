@@ -7,6 +7,7 @@ then run over the rewritten text, and what they find there is mapped back to sou
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -236,22 +237,28 @@ def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[
             words = re.findall(rf"\b(?:{_WORD})\b", text[start:stop].lower())
             if len(words) >= 5 and len(set(words)) >= 3:
                 found.append((start, 3, stop))
-    out: list[tuple[int, int, int]] = []
+    held: list[list[tuple[int, int]]] = [[(a, b) for a, kind, b in plain if kind == k] for k in range(len(KINDS))]  # sorted, apart
+    out: list[tuple[int, int, int]] = []  # sorted, apart
     for start, k, stop in sorted(found, key=lambda x: (x[1], x[0])):
-        if not any(a <= start and stop <= b for a, kind, b in plain if kind == k) and not any(start < b and a < stop for a, _, b in out):
-            out.append((start, k, stop))
-    return sorted(out)
+        i = bisect.bisect_right(held[k], start, key=lambda x: x[0]) - 1
+        if i >= 0 and stop <= held[k][i][1]:
+            continue
+        at = bisect.bisect_left(out, start, key=lambda x: x[0])
+        if (at and out[at - 1][2] > start) or (at < len(out) and out[at][0] < stop):
+            continue
+        out.insert(at, (start, k, stop))
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
+SCHEMA = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """A row per row of ``docs`` (doc_id, text): plain counts, the hash of the plain spans, and all spans.
+    """A row per row of ``docs`` (doc_id, text): plain counts, the hash of the plain spans, all spans and their number.
 
     Offsets are code points, ends exclusive. Null or empty text: no spans. A null doc_id stays null and repeated rows are
     each answered. Whole texts of any length are read; the empty table gives none. One narrow stage, no shuffle.
@@ -259,18 +266,19 @@ def find(docs: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, "text", 8 << 20):
-            ids, counts, hashes, spans = batch.column("doc_id"), [[], [], [], []], [], []
+            ids, counts, hashes, spans, numbers = batch.column("doc_id"), [[], [], [], []], [], [], []
             for text in batch.column("text").to_pylist():
                 plain = plain_spans(text)
                 kinds = [k for _, k, _ in plain]
                 for k in range(4):
                     counts[k].append(kinds.count(k))
                 hashes.append(hashlib.sha256(joined(plain).encode()).hexdigest())
-                more = disguised_spans(text, plain)
-                spans.append(joined(sorted(plain + more)))
-            yield rows(SCHEMA, [ids, *counts, hashes, spans])
+                every = sorted(plain + disguised_spans(text, plain))
+                spans.append(joined(every))
+                numbers.append(len(every))
+            yield rows(SCHEMA, [ids, *counts, hashes, spans, numbers])
 
-    return narrow(docs, "doc_id", "text").mapInArrow(task, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return narrow(docs, "doc_id", "text").mapInArrow(task, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(text: str, mark: Callable[[str], str] = lambda kind: f"<{kind}>") -> str:

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import io
 import re
+import time
 import zlib
 
 import numpy as np
@@ -63,6 +64,41 @@ def test_disguised_spans_reach_over_plain_fragments():
         assert pii.disguised_spans(text, pii.plain_spans(text)) == []
 
 
+def brute_pii(text):
+    """The four plain patterns as stated, each run over the text, failing matches dropped."""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        doubled = [sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(digits))]
+        if 12 <= len(digits) <= 19 and sum(doubled) % 10 == 0:
+            found.append((m.start(), 2, m.end()))
+    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(found)
+
+
+def test_plain_patterns_against_the_stated_ones(spark, sf):
+    r = np.random.default_rng(21)
+    made = ["".join(r.choice(list("0123456789 .-+()@ab"), r.integers(1, 60), p=[0.07] * 10 + [0.04, 0.06, 0.04, 0.05, 0.02, 0.02, 0.03, 0.02, 0.02])) for _ in range(4000)]
+    made += [f"{k} 4111 1111 1111 1111 +1 (555) 555-12{k} a@b.c{k} 255.{k}.0.1" for k in range(300)] + ["1" * 5000, "+" * 900, "a@" * 900, "1.1.1.1." * 700]
+    assert sum(bool(brute_pii(t)) for t in made) > 300
+    for t in made:
+        assert pii.plain_spans(t) == brute_pii(t), t
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    told = {x.doc_id: x for x in pii.find(table).collect()}
+    for x in table.collect():
+        want = brute_pii(x.text or "")
+        row = told[x.doc_id]
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(k == i for _, k, _ in want) for i in range(4)]
+        assert row.base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+
+
+def test_many_disguised_spans_in_one_text():
+    text = "jo (at) site (dot) com " * 3000
+    began = time.process_time()
+    assert len(pii.disguised_spans(text, [])) == 3000 and time.process_time() - began < 5
+
+
 def test_html_labeller_on_held_out_layouts():
     made = htmltext.Layouts(99)
     pages = [made.labelled() for _ in range(60)]
