@@ -1,7 +1,8 @@
 """Exact Jaccard self-join of shingle sets, with skipping by set relations.
 
-Sets are ordered by one global order of shingles, the frequent ones last, and each set is indexed under its prefix: two sets
-that are similar enough share shingles there. A long list is sorted into blocks of one size, by position within a block;
+Sets are ordered by one global order of shingles, rare ones first by exact counts over the whole table and the frequent ones
+last, and each set is indexed under its prefix: two sets that are similar enough share shingles there. Shingles that occur
+once have no lists. A long list is sorted into blocks of one size, by position within a block;
 for each set the blocks of other sizes, and within a block the positions, that cannot reach the overlap are skipped whole.
 Shared prefix shingles are counted per pair, which leaves few pairs to verify.
 Frequent shingles have no lists. Each has a pivot, the least set that holds it, so near copies share one; a set is compared
@@ -13,13 +14,16 @@ a frequent one, and the index is built anew.
 
 from __future__ import annotations
 
+import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,31 +126,129 @@ def _in_sorted(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 ENTRY = np.dtype([("token", "<u8"), ("key", "V16"), ("n", "<i4"), ("at", "<i4"), ("hot", "<i4")])
 
 
-def prefix_index(docs: DataFrame, hot, parts: int, params: JaccardParams) -> DataFrame:
-    """Packed index entries: (part, entries). An entry is a prefix shingle, its set, the set's size, the shingle's position and
-    the number of frequent ones in the prefix. The frequent ones make one entry for each pivot: its number, at position -1."""
+def _numbered(batches: Iterator[pa.RecordBatch], params: JaccardParams) -> Iterator[tuple[int, dict[bytes, np.ndarray], list[str]]]:
+    """Blocks of distinct sets with their texts, under an id that every pass over the same partition gives them again; it holds the sets, so other partitions are noticed."""
+    part = TaskContext.get().partitionId()
+    for at, ((texts,), sets) in enumerate(Sets(params).blocks(batches, "text")):
+        distinct, told = {}, []
+        for s, t in zip(sets, texts):
+            key = set_key(s) if len(s) else None
+            if key is not None and key not in distinct:
+                distinct[key] = s
+                told.append(t)
+        yield int.from_bytes(blake2b(f"{part} {at} ".encode() + b"".join(distinct), digest_size=8).digest(), "little") >> 1, distinct, told
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _slices(tokens: np.ndarray, parts: int) -> list[int]:
+    """Where the parts of a sorted array of tokens begin and end: a part is a range of values."""
+    bounds = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+    return [0, *np.searchsorted(tokens, bounds).tolist(), len(tokens)]
+
+
+ASKED = "part int, block long, tokens binary, several binary"
+TOLD = "block long, part int, told binary"
+
+
+def token_counts(docs: DataFrame, parts: int, params: JaccardParams) -> DataFrame:
+    """For each block and part, in how many sets of the whole table each of the block's tokens is (255 at most); and each block's texts.
+
+    Tokens travel as the 6 bytes that are not given by the part; those that agree in them count as one, for every block.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, distinct, _ in _numbered(batches, params):
+            tokens, held = np.unique(np.concatenate([*distinct.values(), np.empty(0, np.uint64)]), return_counts=True)
+            cuts = _slices(tokens, parts)
+            short = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6])
+            out: list[list] = [[], [], [], []]
+            for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if a < b:
+                    at = np.flatnonzero(held[a:b] > 1)
+                    for column, value in zip(out, (part, block, short[a:b].tobytes(), at.astype("<u4").tobytes() + held[a:b][at].astype("<u4").tobytes())):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "block", "tokens", "several"])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, block, tokens, several in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "tokens", "several"))):
+                held.setdefault(part, []).append((block, tokens, several))
+        for part, found in held.items():
+            wide = [np.zeros((len(t) // 6, 8), dtype=np.uint8) for _, t, _ in found]
+            counts = []
+            for w, (_, tokens, several) in zip(wide, found):
+                w[:, :6] = np.frombuffer(tokens, dtype=np.uint8).reshape(-1, 6)
+                own = np.ones(len(w), dtype=np.int64)
+                at = np.frombuffer(several, "<u4").reshape(2, -1)
+                own[at[0]] = at[1]
+                counts.append(own)
+            values, where = np.unique(np.concatenate(wide).view("<u8").ravel(), return_inverse=True)
+            total = np.minimum(np.bincount(where, weights=np.concatenate(counts)), 255).astype(np.uint8)[where]
+            edges = np.cumsum([0, *map(len, wide)])
+            for (block, _, _), a, b in zip(found, edges, edges[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([zlib.compress(total[a:b].tobytes(), 1)], pa.binary())], names=["block", "part", "told"])
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, texts in _numbered(batches, params):
+            sink = pa.BufferOutputStream()
+            table = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(table)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "part", "told"])
+
+    counted = docs.mapInArrow(ask, ASKED).repartition(parts, "part").mapInArrow(tell, TOLD)
+    return docs.mapInArrow(home, TOLD).unionByName(counted).repartition(parts, "block")
+
+
+def prefix_index(counted: DataFrame, hot, parts: int, count_parts: int, params: JaccardParams) -> DataFrame:
+    """Packed index entries: (part, entries). An entry is a prefix shingle that is in several sets, its set, the set's size, the shingle's
+    position and the number of frequent ones in the prefix. The frequent ones make one entry for each pivot: its number, at position -1."""
+
+    def block_entries(texts: list[str], told: dict[int, bytes]) -> np.ndarray:
+        sets = shingle_sets([t.encode() for t in texts], params.words)
+        tokens, where = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)
+        counts, cuts = np.zeros(len(tokens), dtype=np.int32), _slices(tokens, count_parts)
+        for part, blob in told.items():
+            counts[cuts[part] : cuts[part + 1]] = np.frombuffer(zlib.decompress(blob), dtype=np.uint8)
+        if len(counts) and counts.min() < 1:
+            raise RuntimeError("the documents came in other partitions when they were read again")
         frequent = hot.value
-        for _, sets in Sets(params).blocks(batches):
-            distinct = {set_key(s): s for s in sets if len(s)}
-            made = []
-            for key, tokens in distinct.items():
-                last = _in_sorted(tokens, frequent.tokens)
-                n = len(tokens)
-                length = prefix_length(params.percent, n)
-                plain = tokens[~last][:length]
-                common = tokens[last][: length - len(plain)]
-                pivots = np.unique(frequent.pivots[np.searchsorted(frequent.tokens, common)]) if len(common) else np.empty(0, np.int64)
-                pivots = pivots[[frequent.keys[i] != key for i in pivots.tolist()]] if len(pivots) else pivots
-                entry = np.empty(len(plain) + len(pivots), dtype=ENTRY)
-                entry["token"] = np.concatenate([plain, pivots.astype(np.uint64)])
-                entry["at"] = np.concatenate([np.arange(len(plain)), np.full(len(pivots), -1)])
-                entry["key"], entry["n"], entry["hot"] = np.void(key), n, len(common)
-                made.append(entry)
-            if not made:
+        last = _in_sorted(tokens, frequent.tokens)
+        rank, last = np.where(last, 256, counts)[where], last[where]
+        made, at = [], 0
+        for own in sets:
+            n = len(own)
+            ranks, often = rank[at : at + n], last[at : at + n]
+            at += n
+            length = prefix_length(params.percent, n)
+            order = np.argsort(ranks, kind="stable")[:length]  # a set's tokens are sorted, so ties keep their order
+            place = np.flatnonzero((ranks[order] > 1) & ~often[order])
+            plain, common = own[order[place]], own[order[often[order]]]
+            if not len(plain) and not len(common):
+                continue
+            key = set_key(own)
+            pivots = np.unique(frequent.pivots[np.searchsorted(frequent.tokens, common)]) if len(common) else np.empty(0, np.int64)
+            pivots = pivots[[frequent.keys[i] != key for i in pivots.tolist()]] if len(pivots) else pivots
+            entry = np.empty(len(plain) + len(pivots), dtype=ENTRY)
+            entry["token"] = np.concatenate([plain, pivots.astype(np.uint64)])
+            entry["at"] = np.concatenate([place, np.full(len(pivots), -1)])
+            entry["key"], entry["n"], entry["hot"] = np.void(key), n, len(common)
+            made.append(entry)
+        return np.concatenate(made) if made else np.empty(0, dtype=ENTRY)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict] = {}
+        for batch in batches:
+            for block, part, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "told"))):
+                held.setdefault(block, {})[part] = blob
+        for block in list(held):
+            told = held.pop(block)
+            if -1 not in told:
+                raise RuntimeError("the documents came in other partitions when they were read again")
+            with pa.ipc.open_stream(told.pop(-1)) as source:
+                entries = block_entries(source.read_all().column("text").to_pylist(), told)
+            if not len(entries):
                 continue
-            entries = np.concatenate(made)
             # A pivot's sets are dealt out by their own keys, so that a hot pivot's do not meet in one task.
             spread = np.where(entries["at"] < 0, np.ascontiguousarray(entries["key"]).view("<u8").reshape(-1, 2)[:, 0], entries["token"])
             part = ((spread >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
@@ -157,7 +259,7 @@ def prefix_index(docs: DataFrame, hot, parts: int, params: JaccardParams) -> Dat
             packed = [b"".join(np.ascontiguousarray(entries[name][a:b]).tobytes() for name in ENTRY.names) for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["part", "entries"])
 
-    return docs.mapInArrow(task, "part int, entries binary")
+    return counted.mapInArrow(task, "part int, entries binary")
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
@@ -375,12 +477,16 @@ def derived_links(verified: DataFrame, joined: DataFrame, texts: DataFrame, para
 
 
 def _links(base: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
-    """(node, component) of the keys of sets that are linked with other sets."""
+    """(node, component) of the keys of sets that are linked with other sets.
+
+    ``base`` is read several times and has to give the same partitions each time; else the run fails.
+    """
     spark = base.sparkSession
-    frequent, longest = frequent_shingles(sets, params), params.longest
+    frequent, longest, parts = frequent_shingles(sets, params), params.longest, partitions(spark)
+    counted = token_counts(base, parts, params)
     while True:
         hot = spark.sparkContext.broadcast(frequent)
-        found = candidate_pairs(prefix_index(base, hot, 4 * partitions(spark), params), hot, longest, params)
+        found = candidate_pairs(prefix_index(counted, hot, 4 * parts, parts, params), hot, longest, params)
         found = found.groupBy("a", "b", "token").agg(*[F.first(c).alias(c) for c in ("ha", "hb")], F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("star").alias("star"))
         pairs = materialize(found.where((F.col("star") == 1) | F.col("token").isNotNull() | _possible(params.percent, F.col("shared"))).select("a", "b", "ha", "hb", "star", "token"), "pairs")
         late = pairs.where("token is not null").select("token", "a").limit(max(0, params.most_frequent - len(frequent.tokens)) or 1).toArrow()
