@@ -29,7 +29,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _KEEPS = frozenset("ul ol table tbody thead dl select div section article nav form aside".split())
 
-_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)")
+_OPEN_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_REST_OF_TAG = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_BROKEN_TAGS = 8  # with quotes left open, after which a page's quotes no longer count
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 PATH, WORDS, EXTRA = 48, 24, 8
@@ -44,11 +46,15 @@ class Leaf:
 
 
 def leaves(html: str) -> list[Leaf]:
-    """The page's blocks of text in order, in linear time and whatever its markup lacks."""
+    """The page's blocks of text in order, in linear time and whatever its markup lacks.
+
+    A tag that never ends because a quote is left open ends at its first ``>``; a page with many of these is read without
+    regard to quotes from there on, so that it is not searched to its end again and again.
+    """
     out: list[Leaf] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    linked = links = at = 0
+    linked = links = at = broken = 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -59,7 +65,7 @@ def leaves(html: str) -> list[Leaf]:
             parts, linked = [], 0
 
     while True:
-        m = _TAG.search(html, at)
+        m = _OPEN_TAG.search(html, at)
         piece = html[at : m.start()] if m else html[at:]
         if piece:
             parts.append(piece)
@@ -71,6 +77,16 @@ def leaves(html: str) -> list[Leaf]:
             end = html.find("-->", at)
             at = len(html) if end < 0 else end + 3
             continue
+        rest = _REST_OF_TAG.match(html, at) if broken < _BROKEN_TAGS else None
+        if rest:
+            attributes, at = rest[1], rest.end()
+        else:
+            broken += 1
+            end = html.find(">", at)
+            if end < 0:  # no tag ends here or later
+                parts.append(html[m.start() :])
+                break
+            attributes, at = html[at:end], end + 1
         if m[3] is None:
             continue
         name = m[3].lower()
@@ -85,8 +101,8 @@ def leaves(html: str) -> list[Leaf]:
                     break
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at) if not m[4].endswith("/") else None
-            at = end.end() if end else at if m[4].endswith("/") else len(html)
+            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at) if not attributes.endswith("/") else None
+            at = end.end() if end else at if attributes.endswith("/") else len(html)
             continue
         if name in BLOCKS:
             flush()
@@ -108,8 +124,8 @@ def leaves(html: str) -> list[Leaf]:
             continue
         if name == "a":
             links += 1
-        if not m[4].endswith("/"):
-            marks = " ".join(a or b or c for a, b, c in _MARK.findall(m[4])) if m[4] else ""
+        if not attributes.endswith("/"):
+            marks = " ".join(a or b or c for a, b, c in _MARK.findall(attributes)) if attributes else ""
             stack.append((name, f"{name} {marks.lower()}" if marks else name))
             if len(stack) > 200:
                 del stack[100]
@@ -153,7 +169,7 @@ def features(page: list[Leaf]) -> np.ndarray:
 class Labeller:
     """A bidirectional LSTM with a logistic output per block."""
 
-    def __init__(self, hidden: int = 16, seed: int = 7):
+    def __init__(self, hidden: int = 24, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.hidden = hidden
         scale = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -249,29 +265,50 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Layouts:
-    """Makes training pages: article blocks and everything that may stand around or inside an article."""
+    """Makes training pages: article blocks and everything that may stand around or inside an article.
+
+    Nothing in it follows a site: wrappers have telling names, meaningless names or none; paragraphs are marked, plain
+    blocks or loose text; menus, notices and the rest are told by elements, by names, or only by what they hold.
+    """
 
     def __init__(self, seed: int = 3):
         self.r = random.Random(seed)
+        letters = lambda n: "".join(self.r.choice("aeiouéü" if i % 2 else "bcdfghjklmnprstvwz") for i in range(n))
+        self.stock = [letters(self.r.randint(1, 11)) for _ in range(3000)] + "the of and to in a is that for it der die und das von le la et les des que el los y con".split() * 25
 
     def words(self, low: int, high: int) -> str:
         r = self.r
-        out = ["".join(r.choice("th on er in an re st le qu ment tion ou ch ga mi bo é ü ein".split()) for _ in range(r.randint(1, 3))) for _ in range(r.randint(low, high))]
-        return " ".join(w + (r.choice([",", ".", "***", "&amp;"]) if r.random() < 0.1 else "") for w in out)
+        out = [r.choice(self.stock) for _ in range(r.randint(low, high))]
+        style = r.random()
+        if style < 0.04:
+            out = [w.upper() for w in out]
+        noise = r.choice(["***", "&amp;", "|", "%", "#", "!!"]) if r.random() < 0.12 else ""
+        return " ".join(w + (r.choice([",", ".", ",", ";"]) if r.random() < 0.1 else "") + (noise if noise and r.random() < 0.8 else "") for w in out)
 
     def sentence(self, low: int, high: int) -> str:
         return self.words(low, high).capitalize() + self.r.choice([".", ".", ".", "!", ""])
 
-    def article(self) -> list[str]:
+    def name(self) -> str:
+        """An attribute that tells nothing, or none."""
+        r = self.r
+        return r.choice(["", "", f' class="{r.choice("abcxyz")}{r.randint(1, 99)}"', f' class="col-{r.randint(1, 12)} {r.choice(["row", "wrap", "inner", "container", "box", "block"])}"', f' id="{r.choice(["page", "wrapper", "root", "app", "site"])}"', ' style="margin:0"'])
+
+    def article(self, loose: bool) -> list[str]:
         r = self.r
-        out = [f"<h1>{self.sentence(2, 10)}</h1>"] if r.random() < 0.9 else []
-        for _ in range(r.randint(1, 14)):
+        out = [f"<{(h := r.choice(['h1', 'h1', 'h2']))}>{self.sentence(2, 16)}</{h}>"] if r.random() < 0.85 else []
+        own = r.choice(["p", "p", "p", "div", "span"]) if not loose else "div"
+        for _ in range(r.choice([1, 1, 2, 3, r.randint(1, 14), r.randint(1, 14), r.randint(1, 30)])):
             kind = r.random()
-            if kind < 0.72:
-                open_b = "<b>" if r.random() < 0.15 else ""
-                out.append(f"<p>{open_b}{self.sentence(1, r.choice([3, 12, 60, 200]))}" + r.choice(["</p>", "</p>", "</p>", "<br>", ""]))
-            elif kind < 0.8:
-                out.append(f"<{r.choice(['h2', 'h3'])}>{self.words(1, 6)}</h2>")
+            if kind < 0.74:
+                text = (f"<{r.choice(['b', 'i', 'em', 'strong'])}>" if r.random() < 0.15 else "") + self.sentence(1, r.choice([2, 4, 12, 60, 200]))
+                if own == "span":
+                    out.append(f"<div><span>{text}</span></div>")
+                elif loose and r.random() < 0.5:
+                    out.append(f"{r.choice(['<br><br>', '<hr>', ''])}<x>{text}</x>")
+                else:
+                    out.append(f"<{own}{self.name() if r.random() < 0.2 else ''}>{text}" + r.choice([f"</{own}>", f"</{own}>", f"</{own}>", "<br>" if own == "p" else f"</{own}>", "" if own == "p" else f"</{own}>"]))
+            elif kind < 0.81:
+                out.append(f"<{r.choice(['h2', 'h3', 'h4'])}>{self.words(1, 6)}</h2>")
             elif kind < 0.88:
                 out.append("<ul>" + "".join(f"<li>{self.sentence(2, 15)}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
             elif kind < 0.92:
@@ -288,31 +325,44 @@ class Layouts:
 
     def other(self, where: str) -> str:
         r = self.r
-        mark = lambda names: f'{r.choice(["class", "id"])}="{r.choice(names.split())}"'
+        mark = lambda names: f'{r.choice(["class", "id"])}="{r.choice(["", "", "site-", "page-", "b-"])}{r.choice(names.split())}"'
         text = lambda: self.sentence(2, r.choice([6, 20, 40]))
         made = {
-            "nav": lambda: r.choice([f"<nav>{self.links()}</nav>", f"<div {mark('menu nav navbar navigation breadcrumb breadcrumbs topbar')}>{self.links()}</div>", f"<ul {mark('menu nav')}>{self.links()[4:]}"]),
+            "nav": lambda: r.choice([f"<nav{self.name()}>{self.links()}</nav>", f"<nav>{' '.join(f'<a href=/x>{self.words(1, 2)}</a>' for _ in range(r.randint(2, 7)))}</nav>", f"<div {mark('menu nav navbar navigation breadcrumb breadcrumbs topbar')}>{self.links()}</div>", f"<ul {mark('menu nav')}>{self.links()[4:]}", f"<div{self.name()}>{self.links()}</div>"]),
             "header": lambda: r.choice([f"<header><a href=/>{self.words(1, 3)}</a><p>{text()}</p></header>", f"<div {mark('header masthead site-header branding logo')}><p>{text()}</p></div>"]),
             "ad": lambda: r.choice([f"<div {mark('ad ads advert advertisement banner sponsored promo promotion ad-slot adbox')}>{r.choice(['', '<p>'])}{text()}</div>", f"<aside {mark('ad promo sponsored')}>{text()}</aside>", f"<section {mark('ads sponsored')}><p>{text()}</p></section>"]),
             "side": lambda: r.choice([f"<aside>{r.choice(['', '<h3>' + self.words(1, 3) + '</h3>'])}<p>{text()}</p>{self.links()}</aside>", f"<div {mark('sidebar side widget related recommended trending popular')}><h3>{self.words(1, 3)}</h3><p>{text()}</p>{self.links()}</div>"]),
             "notice": lambda: f"<{r.choice(['div', 'section', 'dialog'])} {mark('cookie cookies consent notice gdpr banner popup modal newsletter subscribe signup alert paywall')}><p>{text()}</p><button>{self.words(1, 2)}</button></{r.choice(['div', 'section'])}>",
             "form": lambda: f"<form {mark('search form login contact')}><label>{self.words(1, 3)}</label><input name=q><select><option>{self.words(1, 2)}</option></select><p>{text()}</p><button>{self.words(1, 2)}</button></form>",
             "comments": lambda: f"<{(t := r.choice(['div', 'section', 'ol']))} {mark('comments comment-list comment-section responses discussion disqus replies')}><h2>{self.words(1, 3)}</h2>" + "".join(f"<{(u := r.choice(['div', 'li', 'article']))} class=\"{r.choice(['comment', 'reply', 'response'])}\"><p>{text()}</p><p>{text()}</p></{u}>" for _ in range(r.randint(1, 6))) + f"</{t}>",
-            "footer": lambda: r.choice([f"<footer>&copy; {self.words(1, 3)} &middot; {text()}</footer>", f"<footer><p>{text()}</p>{self.links()}</footer>", f"<div {mark('footer bottom copyright legal social share tags meta byline author')}><p>{text()}</p></div>"]),
+            "footer": lambda: r.choice([f"<footer>{r.choice(['&copy; ', '© ', '', 'Copyright '])}{self.words(1, 3)}{r.choice([' &middot; ', ' | ', ' - ', ' '])}{text()}</footer>", f"<footer><p>{text()}</p>{self.links()}</footer>", f"<div {mark('footer bottom copyright legal social share tags meta byline author')}><p>{text()}</p></div>"]),
         }
         return made[where]()
 
     def page(self) -> str:
         """A page whose article blocks carry a marker character."""
         r = self.r
-        body = [re.sub(r">([^<]+)", lambda m: ">\x01" + m[1], x) for x in self.article()]
+        bare = r.random() < 0.3  # nothing tells the article but what it is and where it stands
+        body = [re.sub(r">([^<]+)", lambda m: ">\x01" + m[1], x).replace("<x>", "").replace("</x>", "") for x in self.article(bare and r.random() < 0.5)]
         for where in r.sample(["ad", "side", "notice", "form", "comments"], r.choice([0, 0, 1, 2])):  # inside the article
             body.insert(r.randint(1, len(body)) if where != "comments" else len(body), self.other(where))
         name, mark = r.choice([("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="article"'), ("div", ' class="post entry"'), ("section", ' class="story body"'), ("div", ' class="main text"')])
-        before = [self.other(x) for x in ("header", "nav", "notice", "form", "ad") if r.random() < (0.85 if x == "nav" else 0.4)]
-        after = [self.other(x) for x in ("side", "ad", "comments", "form", "notice", "footer") if r.random() < (0.85 if x == "footer" else 0.35)]
+        if bare:
+            name, mark = r.choice([("div", self.name()), ("div", self.name()), ("section", ""), ("", "")])
+        few = r.random() < 0.25  # hardly anything around
+        before = [self.other(x) for x in ("header", "nav", "notice", "form", "ad") if r.random() < (0.05 if few else 0.85 if x == "nav" else 0.4)]
+        after = [self.other(x) for x in ("side", "ad", "comments", "form", "notice", "footer") if r.random() < (0.05 if few else 0.85 if x == "footer" else 0.35)]
         r.shuffle(before)
-        return f"<!DOCTYPE html><html><head><title>{self.sentence(2, 10)}</title><style>p{{}}</style><script>var a;</script></head><body>{''.join(before)}<{name}{mark}>{''.join(body)}</{name}>{''.join(after)}</body></html>"
+        text = "".join(body)
+        text = f"<{name}{mark}>{text}</{name}>" if name else text
+        for _ in range(r.choice([0, 0, 0, 1, 2])):
+            text = f"<div{self.name()}>{text}</div>"
+        text = f"{''.join(before)}{text}{''.join(after)}"
+        if r.random() < 0.1:  # a layout of tables
+            text = f"<table><tr><td>{''.join(before)}</td><td>{''.join(body)}</td></tr></table>{''.join(after)}"
+        if r.random() < (0.4 if few else 0.05):  # a fragment
+            return text
+        return f"<!DOCTYPE html><html><head><title>{self.sentence(2, 10)}</title><style>p{{}}</style><script>var a;</script></head><body{self.name()}>{text}</body></html>"
 
     def labelled(self) -> tuple[list[Leaf], np.ndarray]:
         found = leaves(self.page())
@@ -321,7 +371,7 @@ class Layouts:
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 700, epochs: int = 14) -> Labeller:
+def trained(pages: int = 2400, epochs: int = 16) -> Labeller:
     """The labeller, trained on ``pages`` made pages; the same on every call and machine up to rounding."""
     layouts = Layouts()
     made = [layouts.labelled() for _ in range(pages)]
@@ -341,7 +391,7 @@ def label(pages: list[list[Leaf]], model: Labeller, batch: int = 64) -> list[np.
     return out
 
 
-def main_text(pages: DataFrame, *, training_pages: int = 700, epochs: int = 14) -> DataFrame:
+def main_text(pages: DataFrame, *, training_pages: int = 2400, epochs: int = 16) -> DataFrame:
     """A row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     Null or empty html, and pages without article blocks: an empty text. Blocks keep their order and are all kept, whatever

@@ -109,6 +109,46 @@ def test_html_labeller_on_held_out_layouts():
     assert [x.text for x in htmltext.leaves("<p>a&amp;<b>b</b>\n c<p>d<!-- e")] == ["a&b c", "d"]
 
 
+PARA = "The quick brown house stands by the river, and people walk past it every day in summer. It was built in 1890."
+
+
+@pytest.mark.parametrize(
+    "html, blocks",
+    [
+        (f"<html><body><div>{PARA}</div><div>{PARA}</div></body></html>", [PARA, PARA]),
+        (f"<body>{PARA}<br><br>{PARA}</body>", [PARA + " " + PARA]),
+        (f"<html><body><nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav><div><div>{PARA}</div><div>{PARA}</div></div><footer>(c) 2020 Site</footer></body></html>", [PARA, PARA]),
+        (f"<p>{PARA}</p>", [PARA]),
+        (PARA, [PARA]),
+        (f"<table><tr><td><a href=x>Home</a> <a href=y>Two</a></td><td>{PARA}<p>{PARA}</td></tr></table>", [PARA, PARA]),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_text_of_pages_without_telling_marks(html, blocks):
+    found = htmltext.leaves(html or "")
+    (kept,) = htmltext.label([found], htmltext.trained())
+    assert [x.text for x, k in zip(found, kept) if k] == blocks
+
+
+def test_text_of_the_given_pages(spark, sf):
+    """The article element of the given pages tells their text: its blocks, but for what is marked as something else inside."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r for r in htmltext.main_text(pages.withColumn("text", F.lit("x"))).collect()}
+    for r in pages.collect():
+        inside = [x for x in htmltext.leaves(r.html or "") if "article" in x.path and not any(re.search(r" ad| comment| cookie|^aside|^nav|^footer|^form", m) for m in x.path)]
+        want = "\n\n".join(x.text for x in inside)
+        assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (want, len(want), r.url)
+
+
+def test_pages_with_broken_tags_take_linear_time():
+    for broken in ('<a "', "<a b='<", "<!-- ", "<p", "<<<", "</"):
+        began = time.process_time()
+        htmltext.leaves(broken * 50_000)
+        assert time.process_time() - began < 10, broken
+    assert [x.text for x in htmltext.leaves('<p title="a>b">one<p title="open>two<p>three')] == ["one", "two", "three"]
+
+
 def test_packing_is_a_partition_of_the_ids(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
