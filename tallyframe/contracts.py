@@ -11,20 +11,45 @@ STATES = ("computed", "mathematically_undefined", "insufficient_support", "not_a
 SCOPES = ("column", "pair", "target", "evaluator", "attack", "group", "phase", "dataset")
 SEMANTIC_TYPES = ("continuous", "integer", "categorical", "boolean", "datetime", "string")
 
-_STRING = "run_id protocol_version dataset_id dataset_version dataset_view split_id model_id comparison_track".split()
-_SCOPE = "metric_id metric_version dimension scope_type scope_id state raw_direction".split()
-_TAIL = "unit evaluator_id evaluator_version task_type reason_code reason_detail".split()
-
+# The fields of the result relation, in order.
 ATOMIC = T.StructType(
-    [T.StructField(c, T.StringType()) for c in _STRING]
-    + [T.StructField("generation_seed", T.LongType())]
-    + [T.StructField(c, T.StringType()) for c in _SCOPE]
-    + [T.StructField("weight", T.DoubleType())]
-    + [T.StructField(c, T.LongType()) for c in ("n_reference", "n_synthetic", "n_valid", "n_excluded")]
-    + [T.StructField("computed_at", T.StringType())]
-    + [T.StructField(c, T.DoubleType()) for c in ("raw_value", "normalized_value", "aggregate_contribution", "reference_value")]
-    + [T.StructField(c, T.StringType()) for c in _TAIL]
-    + [T.StructField("warning_codes", T.ArrayType(T.StringType())), T.StructField("artifact_ref", T.StringType()), T.StructField("result_schema_version", T.StringType())]
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("protocol_version", T.StringType()),
+        T.StructField("dataset_id", T.StringType()),
+        T.StructField("dataset_version", T.StringType()),
+        T.StructField("dataset_view", T.StringType()),
+        T.StructField("split_id", T.StringType()),
+        T.StructField("model_id", T.StringType()),
+        T.StructField("comparison_track", T.StringType()),
+        T.StructField("generation_seed", T.LongType()),
+        T.StructField("metric_id", T.StringType()),
+        T.StructField("metric_version", T.StringType()),
+        T.StructField("dimension", T.StringType()),
+        T.StructField("scope_type", T.StringType()),
+        T.StructField("scope_id", T.StringType()),
+        T.StructField("state", T.StringType()),
+        T.StructField("raw_direction", T.StringType()),
+        T.StructField("weight", T.DoubleType()),
+        T.StructField("n_reference", T.LongType()),
+        T.StructField("n_synthetic", T.LongType()),
+        T.StructField("n_valid", T.LongType()),
+        T.StructField("n_excluded", T.LongType()),
+        T.StructField("computed_at", T.StringType()),
+        T.StructField("raw_value", T.DoubleType()),
+        T.StructField("normalized_value", T.DoubleType()),
+        T.StructField("aggregate_contribution", T.DoubleType()),
+        T.StructField("reference_value", T.DoubleType()),
+        T.StructField("unit", T.StringType()),
+        T.StructField("evaluator_id", T.StringType()),
+        T.StructField("evaluator_version", T.StringType()),
+        T.StructField("task_type", T.StringType()),
+        T.StructField("reason_code", T.StringType()),
+        T.StructField("reason_detail", T.StringType()),
+        T.StructField("warning_codes", T.ArrayType(T.StringType())),
+        T.StructField("artifact_ref", T.StringType()),
+        T.StructField("result_schema_version", T.StringType()),
+    ]
 )
 
 

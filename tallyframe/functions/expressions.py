@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +44,48 @@ def marker_to_null(c: Column, markers: tuple[str, ...] = ("?", " ?", "", " ")) -
     return F.when(~c.isin(*markers), c)
 
 
+@F.pandas_udf("string")
+def _nfc(c: pd.Series) -> pd.Series:
+    return c.str.normalize("NFC")
+
+
+def nfc(c: Column) -> Column:
+    """The composed Unicode form, for which there is no built-in function; used on distinct values only."""
+    return _nfc(c)
+
+
+def epoch_nanos(c: Column) -> Column:
+    """Nanoseconds since 1970 of a date, a timestamp or its text; null if that is none."""
+    return F.unix_micros(F.try_to_timestamp(c.cast("string"))) * 1000
+
+
+def utc_text(c: Column) -> Column:
+    """A timestamp as UTC text with seconds."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def sentence(columns: list[str]) -> Column:
+    """A row as the sentence "a is 1, b is x"; missing values are left out."""
+    return F.concat_ws(", ", *[F.concat(F.lit(f"{c} is "), F.col(f"`{c}`").cast("string")) for c in columns])
+
+
+def from_sentence(c: Column, columns: list[str]) -> list[Column]:
+    """The columns told in a sentence, as text; the first telling of a column counts, others are null."""
+    parts = F.split(c, ", ")
+    told = lambda name: F.get(F.filter(parts, lambda x: x.startswith(f"{name} is ")), F.lit(0))
+    return [F.substring(told(name), F.lit(len(name) + 5), F.length(told(name))).alias(name) for name in columns]
+
+
+def nested(c: Column, *path: str) -> Column:
+    """A field of a JSON text by its path; null if it is not there or not JSON."""
+    return F.get_json_object(c, "$" + "".join(f"['{p}']" for p in path))
+
+
+def row_digest(columns: list[str]) -> Column:
+    """SHA-256 of a row's fields, apart by a unit separator; a missing field is empty."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]), 256)
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

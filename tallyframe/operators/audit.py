@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.contracts import GateError, Profile
+from tallyframe.contracts import ColumnSpec, GateError, Profile
 from tallyframe.functions.expressions import canonical_boolean
+from tallyframe.operators.stats import ranked, running_sums
 
 
 def check_columns(df: DataFrame, profile: Profile) -> DataFrame:
@@ -19,39 +22,171 @@ def check_columns(df: DataFrame, profile: Profile) -> DataFrame:
 
 
 def violations(df: DataFrame, profile: Profile) -> DataFrame:
-    """(column_name, n_missing, n_type_mismatch, n_nonfinite) of all columns from one aggregation."""
+    """(column_name, n_missing, n_type_mismatch, n_nonfinite, n_unreadable) of all columns from one aggregation."""
     rows = []
     for spec in profile.columns:
         c = F.col(f"`{spec.name}`")
         text = c.cast("string")
         number = text.try_cast("double")
-        mismatch, nonfinite = F.lit(False), F.lit(False)
+        mismatch, nonfinite, unreadable = F.lit(False), F.lit(False), F.lit(False)
         if spec.semantic_type in ("continuous", "integer"):
-            mismatch = number.isNull() & c.isNotNull()
+            mismatch = unreadable = number.isNull() & c.isNotNull()
             nonfinite = number.isNotNull() & (F.isnan(number) | (F.abs(number) == float("inf")))
         if spec.semantic_type == "integer":
             exact = text.try_cast("decimal(38,18)")
             mismatch = c.isNotNull() & ~nonfinite & (exact.isNull() | (exact != F.floor(exact)) | (exact < -(2**63)) | (exact > 2**63 - 1))
         if spec.semantic_type == "boolean":
-            mismatch = c.isNotNull() & canonical_boolean(c).isNull()
+            mismatch = unreadable = c.isNotNull() & canonical_boolean(c).isNull()
         if spec.semantic_type == "datetime":
-            mismatch = c.isNotNull() & F.try_to_timestamp(text).isNull()
-        rows.append(F.struct(F.lit(spec.name).alias("column_name"), F.count_if(c.isNull()).alias("n_missing"), F.count_if(mismatch).alias("n_type_mismatch"), F.count_if(nonfinite).alias("n_nonfinite")))
+            mismatch = unreadable = c.isNotNull() & F.try_to_timestamp(text).isNull()
+        rows.append(F.struct(F.lit(spec.name).alias("column_name"), F.count_if(c.isNull()).alias("n_missing"), F.count_if(mismatch).alias("n_type_mismatch"), F.count_if(nonfinite).alias("n_nonfinite"), F.count_if(unreadable).alias("n_unreadable")))
     return df.agg(F.array(*rows).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
-def gate(df: DataFrame, profile: Profile, expected_rows: int | None = None) -> DataFrame:
-    """The canonical table, or a ``GateError`` with the first reason found."""
+def gate(df: DataFrame, profile: Profile, expected_rows: int | None = None, *, preserve: bool = False) -> DataFrame:
+    """The canonical table, or a ``GateError`` with the first reason found.
+
+    ``preserve`` keeps what a validity score is to judge: missing values, infinities and fractions in integer columns stay
+    (such a column becomes double), and only what cannot be read as its type at all is refused.
+    """
     out = check_columns(df, profile)
     if expected_rows is not None and out.count() != expected_rows:
         raise GateError("row_count_mismatch")
     nullable = {s.name for s in profile.columns if s.nullable}
     for row in violations(out, profile).collect():  # one row per column
-        for n, code in ((row.n_type_mismatch, "type_mismatch"), (row.n_nonfinite, "nonfinite_values"), (0 if row.column_name in nullable else row.n_missing, "missing_values_prohibited")):
+        strict = ((0 if row.column_name in nullable else row.n_missing, "missing_values_prohibited"), (row.n_type_mismatch, "type_mismatch"), (row.n_nonfinite, "nonfinite_values"))
+        for n, code in strict if not preserve else ((row.n_unreadable, "type_mismatch"),):
             if n:
                 raise GateError(code, row.column_name)
-    kinds = {"continuous": "double", "integer": "long", "datetime": "timestamp", "categorical": "string", "string": "string"}
-    return out.select(*[(canonical_boolean(F.col(f"`{s.name}`")) if s.semantic_type == "boolean" else F.col(f"`{s.name}`").cast(kinds[s.semantic_type])).alias(s.name) for s in profile.columns])
+    if preserve:
+        broken = {r.column_name for r in violations(out, profile).collect() if r.n_type_mismatch or r.n_nonfinite}
+        return out.select(*[_typed(s, double=s.name in broken).alias(s.name) for s in profile.columns])
+    return out.select(*[_typed(s).alias(s.name) for s in profile.columns])
+
+
+def _typed(spec: ColumnSpec, *, double: bool = False) -> Column:
+    """A column as its semantic type. Whole numbers go through an exact decimal, so that ``5.0`` is 5 and none above 2**53 is rounded."""
+    c = F.col(f"`{spec.name}`")
+    if spec.semantic_type == "boolean":
+        return canonical_boolean(c)
+    if spec.semantic_type == "integer" and not double:
+        return c.cast("string").try_cast("decimal(38,18)").cast("decimal(20,0)").cast("long")
+    return c.cast({"continuous": "double", "integer": "double", "datetime": "timestamp"}.get(spec.semantic_type, "string"))
+
+
+def gate_arms(arms: dict[str, DataFrame], profile: Profile, *, expected_rows: int | None = None, synthetic: str = "synthetic") -> dict[str, DataFrame]:
+    """The strict gate on every arm of a utility evaluation; the synthetic arm has as many rows as the first one unless told otherwise.
+
+    Arms are read for counts only: the held-out arm never enters a fit here.
+    """
+    sizes = {}
+    for name, df in arms.items():
+        check_columns(df, profile)
+        sizes[name] = df.count()
+        if not sizes[name]:
+            raise GateError("empty_table", name)
+    wanted = sizes[next(iter(arms))] if expected_rows is None else expected_rows
+    if isinstance(wanted, bool) or not isinstance(wanted, int) or wanted <= 0:
+        raise GateError("invalid_row_count", str(wanted))
+    if sizes[synthetic] != wanted:
+        raise GateError("row_count_mismatch", f"{sizes[synthetic]} rows, expected {wanted}")
+    return {name: gate(df, profile) for name, df in arms.items()}
+
+
+def gate_report(arms: dict[str, DataFrame], profile: Profile) -> DataFrame:
+    """(arm, column_name, n_rows, n_missing, n_type_mismatch, n_nonfinite, reason_code) of every arm and column, without refusing any."""
+    nullable = [s.name for s in profile.columns if s.nullable]
+    made = []
+    for name, df in arms.items():
+        rows = violations(check_columns(df, profile), profile).join(F.broadcast(df.agg(F.count(F.lit(1)).alias("n_rows"))))
+        missing = (F.col("n_missing") > 0) & ~F.col("column_name").isin(nullable)
+        code = F.when(missing, "missing_values_prohibited").when(F.col("n_type_mismatch") > 0, "type_mismatch").when(F.col("n_nonfinite") > 0, "nonfinite_values")
+        made.append(rows.select(F.lit(name).alias("arm"), "column_name", "n_rows", "n_missing", "n_type_mismatch", "n_nonfinite", code.alias("reason_code")))
+    return reduce(DataFrame.unionByName, made)
+
+
+def model_view(df: DataFrame, profile: Profile, order: list[str]) -> DataFrame:
+    """The columns of the model view in canonical order; any other column has to be one to ignore or to audit only."""
+    rest = [s for s in profile.columns if s.name not in order]
+    wrong = [s.name for s in rest if not set(s.roles) & {"ignored", "audit_only"}]
+    unknown = [c for c in order if c not in profile.names()]
+    if wrong or unknown or len(set(order)) != len(order):
+        raise GateError("invalid_model_view", ", ".join([*wrong, *unknown]))
+    return df.select(*[F.col(f"`{c}`") for c in order])
+
+
+def partition_columns(df: DataFrame, *, numeric: list[str] | None = None, categorical: list[str] | None = None, target: str | None = None) -> dict[str, list[str]]:
+    """Groups of columns: those given, which have to be disjoint, known and to cover the table; else inferred from the values."""
+    if numeric is not None or categorical is not None:
+        groups = {"numeric": list(numeric or []), "categorical": list(categorical or []), "target": [target] if target else []}
+        named = [c for g in groups.values() for c in g]
+        if len(named) != len(set(named)):
+            raise GateError("overlapping_roles")
+        if set(named) != set(df.columns):
+            raise GateError("schema_mismatch", ", ".join(sorted(set(named) ^ set(df.columns))))
+        return groups
+    roles = {r.column_name: r.role for r in infer_roles(df).collect()}
+    return {"numeric": [c for c in df.columns if roles[c] != "categorical" and c != target], "categorical": [c for c in df.columns if roles[c] == "categorical" and c != target], "target": [target] if target else []}
+
+
+def summaries(df: DataFrame, columns: list[str], target: str, marker: str = "?") -> DataFrame:
+    """(kind, name, n): rows, rows whose column holds the missing marker or nothing, and rows of each class."""
+    missing = lambda c: F.col(f"`{c}`").isNull() | (F.trim(F.col(f"`{c}`").cast("string")) == marker)
+    row = lambda kind, name, n: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), n.alias("n"))
+    one = df.agg(F.array(row("rows", "all", F.count(F.lit(1))), *[row("missing", c, F.count_if(missing(c))) for c in columns]).alias("x"))
+    classes = df.groupBy(F.col(f"`{target}`").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return one.select(F.explode("x").alias("x")).select("x.*").unionByName(classes.select(F.lit("class").alias("kind"), "name", "n"))
+
+
+def domain_checks(df: DataFrame, domains: dict[str, dict], by: str | None = None) -> DataFrame:
+    """(by, column_name, n, n_not_integer, n_outside): text values that are no canonical integer where one is asked, or not in the domain.
+
+    A domain has ``integer`` (bool), ``min`` and ``max``, ``values``, and ``marker`` for a text that stands for missing.
+    """
+    rows = []
+    for name, domain in domains.items():
+        c = F.col(f"`{name}`")
+        present = c.isNotNull() & (c.cast("string") != domain["marker"] if "marker" in domain else F.lit(True))
+        shape = F.lit(True) if not domain.get("integer") else c.cast("string").rlike(r"\A(?:0|-?[1-9][0-9]*)\z")
+        inside = F.lit(True)
+        if "min" in domain or "max" in domain:
+            number = c.cast("string").try_cast("double")
+            inside = number.isNotNull() & (number >= domain.get("min", float("-inf"))) & (number <= domain.get("max", float("inf")))
+        if "values" in domain:
+            inside = inside & c.cast("string").isin(*domain["values"])
+        rows.append(F.struct(F.lit(name).alias("column_name"), F.count(F.lit(1)).alias("n"), F.count_if(present & ~shape).alias("n_not_integer"), F.count_if(present & ~inside).alias("n_outside")))
+    group = df.groupBy(F.col(by).alias("by")) if by else df.groupBy()
+    out = group.agg(F.array(*rows).alias("x")).select(*(["by"] if by else []), F.explode("x").alias("x"))
+    return out.select(*(["by"] if by else []), "x.*")
+
+
+def column_info(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """(column_name, low, high, whole, n_categories, categories): ranges of numbers, whether all are whole, and sorted categories.
+
+    Categories are distinct values of a declared categorical column, whose number the profile bounds.
+    """
+    number = lambda c: F.struct(F.lit(c).alias("column_name"), F.min(F.col(c).cast("double")).alias("low"), F.max(F.col(c).cast("double")).alias("high"), F.bool_and(F.col(c) % 1 == 0).alias("whole"), F.lit(None).cast("long").alias("n_categories"), F.lit(None).cast("string").alias("categories"))
+    made = []
+    if numeric:
+        made.append(df.agg(F.array(*[number(c) for c in numeric]).alias("x")).select(F.explode("x").alias("x")).select("x.*"))
+    for c in categorical:
+        seen = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct()
+        made.append(seen.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("v")), ",").alias("g")).select(F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("boolean").alias("whole"), F.col("n").alias("n_categories"), F.col("g").alias("categories")))
+    return reduce(DataFrame.unionByName, made)
+
+
+def ordered_digest(df: DataFrame, order: list[str], columns: list[str], buckets: int = 256) -> DataFrame:
+    """(bucket, n, digest): SHA-256 of the rows of each range of the order, fields apart by a unit separator and rows by line breaks.
+
+    A digest of all rows at once would need them in one task. The ranges are cut by the first column's exact rank, so two
+    tables with equal rows in equal order have equal digests, and a difference shows where it lies.
+    """
+    row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    counts = df.groupBy(F.col(order[0]).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = running_sums(counts, [], "_v", ["n"]).select("_v", F.floor((F.col("upto_n") - F.col("n")) * buckets / F.col("all_n")).cast("int").alias("bucket"))
+    kept = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], row.alias("_row")).join(placed, F.col("_o0").cast("double").eqNullSafe(F.col("_v")))
+    rows = F.array_sort(F.collect_list(F.struct(*[F.col(f"_o{i}") for i in range(len(order))], F.col("_row").alias("row"))))
+    return kept.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(rows, lambda x: x["row"]), "\n"), 256).alias("digest"))
 
 
 def infer_roles(df: DataFrame) -> DataFrame:
@@ -82,9 +217,8 @@ def slugs(df: DataFrame, name: str, slug: str) -> DataFrame:
 
 def largest_remainder(counts: DataFrame, weight: str, total: int) -> DataFrame:
     """Allocates ``total`` in proportion: floors, then one more by descending remainder (ties by key order)."""
-    whole = Window.partitionBy(F.lit(1))
-    share = F.col(weight).cast("double") * total / F.sum(weight).over(whole)
-    out = counts.withColumn("_s", share).withColumn("_f", F.floor("_s"))
-    out = out.withColumn("_left", F.lit(total) - F.sum("_f").over(whole))
-    rank = F.row_number().over(Window.orderBy(F.desc(F.col("_s") - F.col("_f")), counts.columns[0]))
-    return out.withColumn("allocated", (F.col("_f") + F.when(rank <= F.col("_left"), 1).otherwise(0)).cast("long")).drop("_s", "_f", "_left")
+    total_weight = counts.agg(F.sum(F.col(weight).cast("double")).alias("_all"))
+    held = counts.join(F.broadcast(total_weight)).withColumn("_s", F.col(weight).cast("double") * total / F.col("_all")).withColumn("_f", F.floor("_s")).drop("_all")
+    left = held.agg((F.lit(total) - F.sum("_f")).alias("_left"))
+    out = ranked(held, [F.desc(F.col("_s") - F.col("_f")), counts.columns[0]], name="_place").join(F.broadcast(left))
+    return out.withColumn("allocated", (F.col("_f") + F.when(F.col("_place") < F.col("_left"), 1).otherwise(0)).cast("long")).drop("_s", "_f", "_left", "_place")

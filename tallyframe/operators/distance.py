@@ -1,81 +1,170 @@
 """Nearest-record distances, collisions and privacy filters.
 
-The nearest reference row of every candidate row needs all pairs in principle. The reference arm is read in blocks of bounded
-size, each broadcast in turn, and candidates keep a running minimum: no pair is ever a row, and memory does not grow.
+Both sides are cut into blocks of bounded size along the first numeric column. A candidate block meets the reference blocks
+of its own stretch first, which bounds how far its nearest rows can be; other reference blocks are joined only where their
+stretch lies within that bound. Distances are computed block against block and merged by key: no pair of rows is a row, no
+table passes the driver, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
+import io
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 50_000
-
-
-def _blocks(df: DataFrame, numeric: list[str], categorical: list[str], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held: list = []
-    for row in df.select(*[F.col(c).cast("double") for c in numeric], *[F.col(c).cast("string") for c in categorical]).toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == rows:
-            yield _arrays(held, len(numeric))
-            held = []
-    if held:
-        yield _arrays(held, len(numeric))
-
-
-def _arrays(held: list, k: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r[:k] for r in held], dtype=np.float64), np.array([r[k:] for r in held], dtype=object)
-
-
-def nearest(candidate: DataFrame, reference: DataFrame, key: str, numeric: list[str], categorical: list[str], *, kind: str = "l1", mismatch: float = 2.0, neighbours: int = 1, block: int = BLOCK_ROWS) -> DataFrame:
-    """(key, distances): the ``neighbours`` least distances of each candidate row, ascending.
+from tallyframe.operators.stats import quantiles
+
+BLOCK_ROWS = 20_000
+_BLOCK = "block string, bucket int, lo double, hi double, rows int, payload binary"
+
+
+def _scales(reference: DataFrame, numeric: list[str]) -> list[float]:
+    """The range of each numeric column of the reference: one small row."""
+    if not numeric:
+        return []
+    found = reference.agg(*[(F.max(F.col(c).cast("double")) - F.min(F.col(c).cast("double"))).alias(f"r{i}") for i, c in enumerate(numeric)]).first()
+    return [float(x or 0.0) for x in found]
+
+
+def _blocks(df: DataFrame, key: str, numeric: list[str], categorical: list[str], cuts: list[float], rows: int, side: str) -> DataFrame:
+    """Blocks of at most ``rows`` rows of one stretch of the first numeric column, each with its ends there."""
+    names = ["key", *[f"n{i}" for i in range(len(numeric))], *[f"c{i}" for i in range(len(categorical))]]
+    plain = df.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(f"n{i}") for i, c in enumerate(numeric)], *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(categorical)])
+    lead = F.col("n0") if numeric else F.lit(None).cast("double")
+    bucket = F.when(lead.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda x: x <= lead)) if cuts else F.lit(0)).cast("int")
+    # A stretch with many equal values is dealt out further, so that none gathers in one task.
+    dealt = plain.withColumns({"bucket": bucket, "_salt": F.pmod(F.xxhash64("key"), F.lit(16)).cast("int")}).repartition("bucket", "_salt").sortWithinPartitions("bucket", "_salt")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        made = 0
+
+        def packed(bucket: int) -> pa.RecordBatch:
+            nonlocal made
+            table = pa.Table.from_batches(held.pop(bucket)).combine_chunks()
+            numbers = np.column_stack([table.column(f"n{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(numeric))]) if numeric else np.empty((table.num_rows, 0))
+            labels = [table.column(f"c{i}").to_pylist() for i in range(len(categorical))]
+            keys = table.column("key").to_pylist()
+            made += 1
+            first = numbers[:, 0] if numeric else np.zeros(0)
+            ends = (float(np.nanmin(first)), float(np.nanmax(first))) if len(first) and not np.isnan(first).all() else (None, None)
+            if len(first) and np.isnan(first).any():
+                ends = (None, None)  # a missing value has no place: the block meets all others
+            name = f"{side}-{bucket}-{made}-{keys[0]}"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([bucket], pa.int32()), pa.array([ends[0]], pa.float64()), pa.array([ends[1]], pa.float64()), pa.array([len(keys)], pa.int32()), pa.array([pickle.dumps((keys, numbers, labels), protocol=5)], pa.binary())], names=["block", "bucket", "lo", "hi", "rows", "payload"])
+
+        size: dict[int, int] = {}
+        for batch in batches:
+            buckets = batch.column("bucket").to_numpy()
+            for b in np.unique(buckets).tolist():
+                part = batch.filter(pa.array(buckets == b)).select(names)
+                for at in range(0, part.num_rows, rows):
+                    piece = part.slice(at, rows)
+                    if size.get(b, 0) + piece.num_rows > rows:
+                        yield packed(b)
+                        size[b] = 0
+                    held.setdefault(b, []).append(piece)
+                    size[b] = size.get(b, 0) + piece.num_rows
+        for b in list(held):
+            yield packed(b)
+
+    return dealt.mapInArrow(task, _BLOCK)
+
+
+def nearest(candidate: DataFrame, reference: DataFrame, key: str, numeric: list[str], categorical: list[str], *, kind: str = "l1", mismatch: float = 2.0, neighbours: int = 1, block: int = BLOCK_ROWS, reference_key: str | None = None, skip_equal_key: bool = False) -> DataFrame:
+    """(key, distances, neighbours): the least distances of each candidate row, ascending, and the keys of the rows they lead to.
 
     ``l1``: sum of range-scaled differences plus ``mismatch`` per differing category. ``l2``: root of squared scaled
     differences plus ``mismatch`` per differing category. ``mean``: differences capped at 1, mismatches 1, divided by the
-    number of columns. Ranges come from the reference arm; a column without range counts as 0 where equal, else 1.
+    number of columns. Ranges come from the reference arm; a column without range counts as 0 where equal, else 1. Two
+    missing values agree, one is a mismatch (1 for a number). Of rows as near, the least key comes first. ``skip_equal_key``
+    leaves out the row itself when a table is compared with itself. An empty reference gives empty lists.
     """
-    spark = candidate.sparkSession
-    stats = reference.agg(*[F.min(c).cast("double").alias(f"l{i}") for i, c in enumerate(numeric)], *[F.max(c).cast("double").alias(f"h{i}") for i, c in enumerate(numeric)]).first()
-    ranges = np.array([(stats[f"h{i}"] or 0) - (stats[f"l{i}"] or 0) for i in range(len(numeric))])
-    out = candidate.select(F.col(key), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical]).withColumn("distances", F.array().cast("array<double>"))
-    for numbers, labels in _blocks(reference, numeric, categorical, block):
-        held = spark.sparkContext.broadcast((numbers, labels))
-
-        def task(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            numbers, labels = held.value
-            levels = [{v: i for i, v in enumerate(dict.fromkeys(labels[:, j]))} for j in range(labels.shape[1])]
-            codes = [np.array([levels[j][v] for v in labels[:, j]], dtype=np.int32) for j in range(labels.shape[1])]
-            scale = np.where(ranges > 0, ranges, 1.0)
-            for batch in batches:
-                own = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in numeric]) if numeric else np.empty((batch.num_rows, 0))
-                cats = [np.array([levels[j].get(v, -1) for v in batch.column(c).to_pylist()], dtype=np.int32) for j, c in enumerate(categorical)]
-                found = []
-                for i, before in enumerate(batch.column("distances").to_pylist()):
-                    d = np.zeros(len(numbers))
-                    for j in range(len(numeric)):
-                        gap = np.abs(numbers[:, j] - own[i, j])
-                        gap = gap / scale[j] if ranges[j] > 0 else (gap > 0).astype(float)
-                        d += gap if kind == "l1" else gap * gap if kind == "l2" else np.minimum(gap, 1)
-                    for j in range(len(categorical)):
-                        d += (codes[j] != cats[j][i]) * (1.0 if kind == "mean" else mismatch)
-                    least = np.partition(d, min(neighbours, len(d)) - 1)[:neighbours] if len(d) else d
-                    least = np.sqrt(least) if kind == "l2" else least / max(1, len(numeric) + len(categorical)) if kind == "mean" else least
-                    found.append(sorted([*before, *least.tolist()])[:neighbours])
-                names = batch.schema.names
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())) if n == "distances" else batch.column(n) for n in names], names=names)
-
-        out = out.mapInArrow(task, out.schema)
-    return out.select(key, "distances")
-
-
-def dcr(candidate: DataFrame, train: DataFrame, test: DataFrame, key: str, numeric: list[str], categorical: list[str]) -> DataFrame:
+    scales, own_key = _scales(reference, numeric), reference_key or key
+    total = reference.count()
+    pieces = max(1, min(512, -(-total // block)))
+    shares = {f"q{i}": i / pieces for i in range(1, pieces)}
+    cuts = sorted({float(x) for x in (quantiles(reference, numeric[0], shares).first() or []) if x is not None}) if numeric and shares else []
+    mine = _blocks(candidate, key, numeric, categorical, cuts, max(1, block // 4), "c").persist()
+    theirs = _blocks(reference, own_key, numeric, categorical, cuts, block, "r").persist()
+    key_type = candidate.schema[key].dataType.simpleString()
+    told = f"block string, u double, key {key_type}, found array<struct<d:double,k:{key_type}>>"
+    ranges = np.array(scales)
+    width = max(1, len(numeric) + len(categorical))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, a, b in zip(batch.column("block").to_pylist(), batch.column("mine").to_pylist(), batch.column("theirs").to_pylist()):
+                keys, numbers, labels = pickle.load(io.BytesIO(a))
+                found: list[list] = [[] for _ in keys]
+                if b is not None:
+                    other_keys, other_numbers, other_labels = pickle.load(io.BytesIO(b))
+                    order = sorted(range(len(other_keys)), key=lambda i: other_keys[i])
+                    other_keys, other_numbers = [other_keys[i] for i in order], other_numbers[order]
+                    levels = [{v: i for i, v in enumerate(dict.fromkeys([*x, *y]))} for x, y in zip(labels, other_labels)]
+                    mine_codes = [np.array([m[v] for v in x]) for m, x in zip(levels, labels)]
+                    their_codes = [np.array([m[x[i]] for i in order]) for m, x in zip(levels, other_labels)]
+                    step = max(1, 2_000_000 // max(1, len(other_keys)))
+                    for at in range(0, len(keys), step):
+                        rows = slice(at, at + step)
+                        d = np.zeros((len(keys[rows]), len(other_keys)))
+                        for j, r in enumerate(ranges):
+                            gap = np.abs(numbers[rows, j][:, None] - other_numbers[None, :, j])
+                            gap = gap / r if r > 0 else (gap > 0).astype(float)
+                            lacks = np.isnan(numbers[rows, j])[:, None].astype(int) + np.isnan(other_numbers[:, j])[None, :]
+                            gap = np.where(lacks == 1, 1.0, np.where(lacks == 2, 0.0, gap))
+                            d += gap if kind == "l1" else gap * gap if kind == "l2" else np.minimum(gap, 1)
+                        for x, y in zip(mine_codes, their_codes):
+                            d += (x[rows][:, None] != y[None, :]) * (1.0 if kind == "mean" else mismatch)
+                        d = np.sqrt(d) if kind == "l2" else d / width if kind == "mean" else d
+                        k = min(neighbours + skip_equal_key, d.shape[1])
+                        # Stable by key among equals: the k-th least value is a threshold, then the first by (distance, place).
+                        limit = np.partition(d, k - 1, axis=1)[:, k - 1]
+                        for i in range(len(d)):
+                            near = np.flatnonzero(d[i] <= limit[i])
+                            near = near[np.argsort(d[i][near], kind="stable")]
+                            got = [{"d": float(d[i][n]), "k": other_keys[n]} for n in near[: k + 1].tolist() if not (skip_equal_key and other_keys[n] == keys[at + i])]
+                            found[at + i] = got[:neighbours]
+                bound = max((x[-1]["d"] if len(x) == neighbours else float("inf") for x in found), default=0.0)
+                kinds = pa.list_(pa.struct([("d", pa.float64()), ("k", batch.schema.field("sample").type)]))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array([bound] * len(keys)), pa.array(keys, batch.schema.field("sample").type), pa.array(found, kinds)], names=["block", "u", "key", "found"])
+
+    sample = F.lit(None).cast(key_type).alias("sample")
+    a, b = mine.alias("a"), theirs.alias("b")
+    close = a.join(b, F.col("a.bucket") == F.col("b.bucket"), "left").select(F.col("a.block").alias("block"), F.col("a.payload").alias("mine"), F.col("b.payload").alias("theirs"), sample)
+    first = close.mapInArrow(task, told).persist()
+    bounds = first.groupBy("block").agg(F.min("u").alias("u"))
+    ends = mine.select(F.col("block"), "bucket", "lo", "hi").join(bounds, "block").alias("a")
+    others = theirs.select("block", "bucket", "lo", "hi").alias("b")
+    apart = F.greatest(F.col("b.lo") - F.col("a.hi"), F.col("a.lo") - F.col("b.hi"), F.lit(0.0))
+    scale = scales[0] if scales and scales[0] > 0 else None
+    gap = F.least(apart / F.lit(scale), F.lit(1.0)) / width if kind == "mean" and scale else apart / F.lit(scale) if scale else F.lit(0.0)
+    far = F.coalesce(gap <= F.col("a.u"), F.lit(True))
+    pairs = ends.join(others, (F.col("a.bucket") != F.col("b.bucket")) & far).select(F.col("a.block").alias("x"), F.col("b.block").alias("y"))
+    loaded = pairs.join(mine.select(F.col("block").alias("x"), F.col("payload").alias("mine")), "x").join(theirs.select(F.col("block").alias("y"), F.col("payload").alias("theirs")), "y")
+    rest = loaded.select(F.col("x").alias("block"), "mine", "theirs", sample).mapInArrow(task, told)
+    merged = first.select("key", "found").unionByName(rest.select("key", "found")).groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, neighbours).alias("found"))
+    return merged.select(F.col("key").alias(key), F.transform("found", lambda x: x["d"]).alias("distances"), F.transform("found", lambda x: x["k"]).alias("neighbours"))
+
+
+def least(column: str = "distances") -> Column:
+    return F.get(F.col(column), F.lit(0))
+
+
+def dcr(candidate: DataFrame, train: DataFrame, test: DataFrame, key: str, numeric: list[str], categorical: list[str], **options) -> DataFrame:
     """(key, dcr_train, dcr_test)."""
-    a = nearest(candidate, train, key, numeric, categorical).select(key, F.get("distances", F.lit(0)).alias("dcr_train"))
-    return a.join(nearest(candidate, test, key, numeric, categorical).select(key, F.get("distances", F.lit(0)).alias("dcr_test")), key)
+    a = nearest(candidate, train, key, numeric, categorical, **options).select(key, least().alias("dcr_train"))
+    return a.join(nearest(candidate, test, key, numeric, categorical, **options).select(key, least().alias("dcr_test")), key)
+
+
+def dcr_share(scored: DataFrame) -> DataFrame:
+    """(share, n): of candidate rows nearer to the train arm than to the test arm."""
+    return scored.agg(F.avg(F.when(F.col("dcr_train") < F.col("dcr_test"), 1.0).otherwise(0.0)).alias("share"), F.count(F.lit(1)).alias("n"))
 
 
 def collisions(candidate: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
@@ -88,5 +177,63 @@ def collisions(candidate: DataFrame, train: DataFrame, columns: list[str]) -> Da
 
 def drop_too_close(scored: DataFrame, distance: str, quantile: float) -> DataFrame:
     """Rows at or beyond the quantile of distances."""
-    least = scored.agg(F.percentile(distance, F.lit(quantile)).alias("_least"))
-    return scored.join(F.broadcast(least)).where(F.col(distance) >= F.col("_least")).drop("_least")
+    bound = quantiles(scored, distance, {"_least": quantile})  # one row
+    return scored.join(F.broadcast(bound)).where(F.col(distance) >= F.col("_least")).drop("_least")
+
+
+def resample(rounds: list[DataFrame], distance: str, key: str, quantile: float, rows: int) -> DataFrame:
+    """Rows far enough from the train arm, topped up from further rounds by the first round's bound, cut to ``rows`` in the order of rounds and keys."""
+    bound = quantiles(rounds[0], distance, {"_least": quantile})
+    kept = None
+    for i, scored in enumerate(rounds):
+        here = scored.join(F.broadcast(bound)).where(F.col(distance) >= F.col("_least")).drop("_least").withColumn("round", F.lit(i))
+        kept = here if kept is None else kept.unionByName(here)
+        if kept.count() >= rows:
+            break
+    return kept.orderBy("round", key).limit(rows)
+
+
+def privacy_curve(scored: DataFrame, distance: str, shares: list[float]) -> DataFrame:
+    """(quantile, n_kept, median_distance) of what is left when the rows below each quantile of distances are dropped."""
+    levels = quantiles(scored, distance, {f"q{i}": s for i, s in enumerate(shares)})
+    long = levels.select(F.explode(F.array(*[F.struct(F.lit(s).alias("quantile"), F.col(f"q{i}").alias("least")) for i, s in enumerate(shares)])).alias("x")).select("x.*")
+    kept = scored.join(F.broadcast(long), F.col(distance) >= F.col("least")).select("quantile", distance)  # a row per share
+    middle = quantiles(kept, distance, {"median_distance": 0.5}, ["quantile"])
+    return kept.groupBy("quantile").agg(F.count(F.lit(1)).alias("n_kept")).join(middle, "quantile")
+
+
+def authenticity(synthetic: DataFrame, real: DataFrame, key: str, numeric: list[str], categorical: list[str], **options) -> DataFrame:
+    """(key, d_real, d_other, authentic): a row is authentic if its nearest real row has another real row nearer to it."""
+    own = nearest(synthetic, real, key, numeric, categorical, **options).select(key, least().alias("d_real"), F.get("neighbours", F.lit(0)).alias("_r"))
+    among = nearest(real, real, key, numeric, categorical, skip_equal_key=True, **options).select(F.col(key).alias("_r"), least().alias("d_other"))
+    return own.join(among, "_r").select(key, "d_real", "d_other", (F.col("d_real") > F.col("d_other")).alias("authentic"))
+
+
+def prdc(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[str], *, k: int = 5) -> DataFrame:
+    """(precision, recall, density, coverage) by the balls around each row that reach to its ``k``-th neighbour in its own arm."""
+    options = {"kind": "l2", "mismatch": 1.0}
+    radius = lambda df: nearest(df, df, key, numeric, [], neighbours=k, skip_equal_key=True, **options).select(F.col(key).alias("_c"), F.get("distances", F.lit(k - 1)).alias("radius"))
+    inside = within(synthetic, real, radius(real), key, numeric)
+    back = within(real, synthetic, radius(synthetic), key, numeric)
+    n_real, n_syn = real.agg(F.count(F.lit(1)).alias("nr")), synthetic.agg(F.count(F.lit(1)).alias("ns"))
+    a = inside.agg(F.count_distinct("point").alias("p"), F.count(F.lit(1)).alias("d"), F.count_distinct("centre").alias("c"))
+    b = back.agg(F.count_distinct("point").alias("r"))
+    one = a.join(b).join(n_real).join(n_syn)  # single rows
+    div = lambda x, y: F.try_divide(x.cast("double"), y.cast("double"))
+    return one.select(div(F.col("p"), F.col("ns")).alias("precision"), div(F.col("r"), F.col("nr")).alias("recall"), div(F.col("d"), F.col("ns") * F.lit(k)).alias("density"), div(F.col("c"), F.col("nr")).alias("coverage"))
+
+
+def within(points: DataFrame, centres: DataFrame, radii: DataFrame, key: str, numeric: list[str]) -> DataFrame:
+    """(centre, point): the rows of ``points`` that lie in the ball of a row of ``centres`` (scaled by the centres' ranges).
+
+    Centres are spread over cells of the first numeric column as wide as its largest ball, so that a point meets the
+    centres of its cell and the two beside it only.
+    """
+    scales = [x or 1.0 for x in _scales(centres, numeric)]
+    balls = centres.join(radii, F.col(key) == F.col("_c")).select(F.col(key).alias("centre"), "radius", *[(F.col(c).cast("double") / F.lit(s)).alias(f"x{i}") for i, (c, s) in enumerate(zip(numeric, scales))])
+    widest = balls.agg(F.max("radius")).first()[0] or 0.0
+    cell = lambda c: F.floor(c / F.lit(float(widest) or 1.0)).cast("long")
+    balls = balls.withColumn("cell", F.explode(F.array(*[cell(F.col("x0")) + i for i in (-1, 0, 1)])))
+    told = points.select(F.col(key).alias("point"), *[(F.col(c).cast("double") / F.lit(s)).alias(f"y{i}") for i, (c, s) in enumerate(zip(numeric, scales))]).withColumn("cell", cell(F.col("y0")))
+    d = F.sqrt(sum((F.pow(F.col(f"x{i}") - F.col(f"y{i}"), F.lit(2.0)) for i in range(len(numeric))), F.lit(0.0)))
+    return balls.join(told, "cell").where(d <= F.col("radius")).select("centre", "point")

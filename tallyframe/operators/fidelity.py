@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.expressions import ratio
+from tallyframe.operators.stats import running_sums
+
 ARM = "is_candidate"
 
 
@@ -17,15 +20,14 @@ def _long(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
 
 
 def ks_complement(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, score): 1 - the largest gap of the two distribution functions.
+    """(column_name, score): 1 - the largest gap of the two distribution functions; null without values in an arm.
 
-    Values are counted first, so the window runs over distinct values only.
+    Values are counted first, each column by itself; running sums pass over buckets of distinct values.
     """
-    counts = _long(df, columns, "double").groupBy("column_name", "v").agg(F.sum(F.when(~F.col(ARM), 1).otherwise(0)).alias("r"), F.sum(F.when(F.col(ARM), 1).otherwise(0)).alias("s"))
-    upto = Window.partitionBy("column_name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("column_name")
-    share = lambda c: F.try_divide(F.sum(c).over(upto).cast("double"), F.sum(c).over(whole).cast("double"))
-    return counts.select("column_name", F.abs(share("r") - share("s")).alias("gap")).groupBy("column_name").agg((1 - F.max("gap")).alias("score"))
+    arm = lambda c: df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("v")).agg(F.count_if(~F.col(ARM)).alias("r"), F.count_if(F.col(ARM)).alias("s")).select(F.lit(c).alias("column_name"), "v", "r", "s")
+    placed = running_sums(reduce(DataFrame.unionByName, [arm(c) for c in columns]), ["column_name"], "v", ["r", "s"])
+    gap = F.abs(ratio(F.col("upto_r"), F.col("all_r")) - ratio(F.col("upto_s"), F.col("all_s")))
+    return placed.groupBy("column_name").agg((1 - F.max(gap)).alias("score"))
 
 
 def tv_complement(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -48,18 +50,31 @@ def column_shapes(df: DataFrame, numeric: list[str], categorical: list[str]) ->
     return scores.withColumn("weight", F.when(F.col("score").isNotNull(), 1.0 / n).otherwise(0.0)).withColumn("contribution", F.col("score") * F.col("weight"))
 
 
-def _pearson(a: str, b: str, side: Column) -> Column:
-    x, y = F.when(side, F.col(a).cast("double")), F.when(side, F.col(b).cast("double"))
-    both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def correlation_similarity(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(left_column, right_column, real_rho, candidate_rho, score) of all pairs from one aggregation."""
+    """(left_column, right_column, real_rho, candidate_rho, score) of all pairs from one grouped aggregation per arm.
+
+    Values are taken relative to the columns' overall means, so that sums of products keep their digits. Null where a
+    column is constant.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    stats = [F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), _pearson(a, b, ~F.col(ARM)).alias("real_rho"), _pearson(a, b, F.col(ARM)).alias("candidate_rho")) for a, b in pairs]
-    out = df.agg(F.array(*stats).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    at = {c: F.col(c).cast("double") - F.lit(float(means[i] or 0.0)) for i, c in enumerate(columns)}
+    sums = []
+    for i, (a, b) in enumerate(pairs):
+        both = at[a].isNotNull() & at[b].isNotNull()
+        x, y = F.when(both, at[a]), F.when(both, at[b])
+        sums += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"x{i}"), F.sum(y).alias(f"y{i}"), F.sum(x * x).alias(f"xx{i}"), F.sum(y * y).alias(f"yy{i}"), F.sum(x * y).alias(f"xy{i}")]
+    arms = df.groupBy(ARM).agg(*sums)  # two rows
+
+    def rho(i: int) -> Column:
+        n, x, y, xx, yy, xy = (F.col(f"{k}{i}") for k in ("n", "x", "y", "xx", "yy", "xy"))
+        vx, vy = n * xx - x * x, n * yy - y * y
+        flat = (vx <= n * xx * 1e-13) | (vy <= n * yy * 1e-13)
+        return F.when(~flat, ratio(n * xy - x * y, F.sqrt(vx) * F.sqrt(vy)))
+
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), rho(i).alias("rho")) for i, (a, b) in enumerate(pairs)]))
+    long = arms.select(ARM, rows.alias("x")).select(ARM, "x.*")
+    out = long.groupBy("left_column", "right_column").agg(F.max(F.when(~F.col(ARM), F.col("rho"))).alias("real_rho"), F.max(F.when(F.col(ARM), F.col("rho"))).alias("candidate_rho"))
     return out.withColumn("score", 1 - F.abs(F.col("real_rho") - F.col("candidate_rho")) / 2)
 
 
@@ -80,12 +95,19 @@ def binned(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """(pair_name, chi2, n, v): association of two categorical columns, without bias correction."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("o"))
-    wa, wb, w = Window.partitionBy("a"), Window.partitionBy("b"), Window.partitionBy(F.lit(1))
-    e = cells.withColumns({"ra": F.sum("o").over(wa), "rb": F.sum("o").over(wb)}).withColumn("n", F.sum("o").over(w))
-    g = e.agg((F.sum(F.col("o") * F.col("o") * F.col("n") / (F.col("ra") * F.col("rb"))) - F.max("n")).alias("chi2"), F.max("n").alias("n"), F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb"))
-    v = F.sqrt(F.greatest(F.try_divide(F.col("chi2"), F.col("n") * (F.least("ka", "kb") - 1)), F.lit(0.0)))
-    return g.select(F.lit(f"{a}|{b}").alias("pair_name"), "chi2", F.col("n").cast("long").alias("n"), v.alias("v"))
+    return cramers_vs(df, [(a, b)])
+
+
+def cramers_vs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(pair_name, chi2, n, v) of all pairs; sums run over joint cells, whose number is that of the categories."""
+    cells = F.explode(F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair_name"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")) for a, b in pairs]))
+    o = df.select(cells.alias("x")).select("x.*").where("a is not null and b is not null").groupBy("pair_name", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("o"))
+    side = lambda c: o.groupBy("pair_name", c).agg(F.sum("o").alias(f"r{c}"))
+    e = o.join(side("a"), ["pair_name", "a"]).join(side("b"), ["pair_name", "b"])
+    g = e.groupBy("pair_name").agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("rb"))).alias("q"), F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb"))
+    chi2 = F.col("n") * F.col("q") - F.col("n")
+    v = F.sqrt(F.greatest(ratio(chi2, F.col("n") * (F.least("ka", "kb") - 1)), F.lit(0.0)))
+    return g.select("pair_name", chi2.alias("chi2"), F.col("n").cast("long").alias("n"), v.alias("v"))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

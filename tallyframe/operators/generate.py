@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from abc import ABC, abstractmethod
+from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.contracts import GateError
 from tallyframe.operators.distance import nearest
+from tallyframe.operators.preprocess import fit_quantile_bins, quantile_bins, quantile_bins_inverse
+from tallyframe.operators.stats import running_sums
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -21,16 +26,33 @@ def permuted(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def cumulative(df: DataFrame, column: str, given: list[str], prior: float = 0.0) -> DataFrame:
-    """(given..., column, low, high): each value's stretch of [0, 1) under its (smoothed) conditional frequency."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*given, column).agg((F.count(F.lit(1)) + F.lit(prior)).alias("_n"))
+    """(given..., column, low, high): each value's stretch of [0, 1) under its conditional frequency.
+
+    With a ``prior``, that weight is shared by all combinations of the parents' and the column's seen values (BDeu), so that
+    a combination of parents that never occurs gets even chances; without one it has no rows. Sums run over the categories
+    of one combination.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*given, column).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    if prior:
+        grid = df.where(F.col(column).isNotNull()).select(column).distinct()
+        cells = df.select(column).where(F.col(column).isNotNull()).distinct().count()
+        for g in given:
+            seen = df.where(F.col(g).isNotNull()).select(g).distinct()
+            cells *= seen.count()
+            grid = grid.join(seen)  # categories of declared columns: the table of a node, not of rows
+        counts = grid.join(counts, [*given, column], "left").withColumn("_n", F.coalesce("_n", F.lit(0.0)) + F.lit(prior / max(1, cells)))
     part = Window.partitionBy(*given) if given else Window.partitionBy(F.lit(1))
     upto = part.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    high = F.sum("_n").over(upto) / F.sum("_n").over(part)
-    return counts.withColumn("high", high).withColumn("low", F.coalesce(F.lag("high").over(part.orderBy(column)), F.lit(0.0))).drop("_n")
+    out = counts.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(part), "_last": F.row_number().over(part.orderBy(F.desc(column))) == 1})
+    high = F.when(F.col("_last"), F.lit(1.0)).otherwise(F.col("_upto") / F.col("_all"))
+    return out.select(*given, column, ((F.col("_upto") - F.col("_n")) / F.col("_all")).alias("low"), high.alias("high"))
 
 
 def network_sample(df: DataFrame, parents: dict[str, list[str]], rows: int, seed: int, prior: float = 0.0) -> DataFrame:
-    """Forward sampling of a Bayesian network with the given structure, one interval join per column in topological order."""
+    """Forward sampling of a Bayesian network with the given structure: exactly ``rows`` rows, one join per column in topological order.
+
+    A drawn combination of parents that has no rows in the table falls back to the column's own frequencies.
+    """
     out = df.sparkSession.range(rows).withColumnRenamed("id", "row_id")
     done: list[str] = []
     while len(done) < len(parents):
@@ -38,13 +60,17 @@ def network_sample(df: DataFrame, parents: dict[str, list[str]], rows: int, seed
         if not ready:
             raise ValueError("the structure has a cycle")
         for c in ready:
-            table = cumulative(df, c, parents[c], prior)
-            u = uniform(seed, F.lit(c), F.col("row_id"))
-            drawn = out.withColumn("_u", u)
-            inside = (F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high"))
-            match = [F.col(p) == F.col(f"_p_{p}") for p in parents[c]]
-            table = table.withColumnsRenamed({p: f"_p_{p}" for p in parents[c]})
-            out = drawn.join(table, reduce(lambda a, b: a & b, [*match, inside])).drop("_u", "low", "high", *[f"_p_{p}" for p in parents[c]])
+            draws = out.withColumn("_u", uniform(seed, F.lit(c), F.col("row_id")))
+            pick = lambda name, table, by: table.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("high", F.col(c).alias("v")))).alias(name))
+            chosen = lambda name: F.get(F.filter(name, lambda x: x["high"] > F.col("_u")), F.lit(0))["v"]
+            own = pick("_own", cumulative(df, c, []), [])  # one row
+            held = draws.join(F.broadcast(own))
+            if parents[c]:
+                table = pick("_table", cumulative(df, c, parents[c], prior), parents[c]).withColumnsRenamed({p: f"_p_{p}" for p in parents[c]})
+                held = held.join(table, [F.col(p) == F.col(f"_p_{p}") for p in parents[c]], "left").drop(*[f"_p_{p}" for p in parents[c]])
+                out = held.withColumn(c, F.coalesce(chosen("_table"), chosen("_own"))).drop("_u", "_own", "_table")
+            else:
+                out = held.withColumn(c, chosen("_own")).drop("_u", "_own")
             done.append(c)
     return out
 
@@ -59,30 +85,197 @@ def bic(df: DataFrame, child: str, parents: list[str]) -> float:
     return float(got.b)
 
 
-def smote(df: DataFrame, key: str, numeric: list[str], label: str, minority: str, rows: int, seed: int, k: int = 5, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """``rows`` new rows of a class, each between a row and one of its ``k`` nearest of the class (numeric columns).
+def hill_climb(df: DataFrame, columns: list[str], most_parents: int = 2, tolerance: float = 1e-6) -> dict[str, list[str]]:
+    """A structure that no added, dropped or turned edge betters by BIC; each family's score is counted once."""
+    known: dict[tuple[str, tuple[str, ...]], float] = {}
+
+    def family(child: str, parents: frozenset[str]) -> float:
+        key = child, tuple(sorted(parents))
+        if key not in known:
+            known[key] = bic(df, child, list(key[1]))
+        return known[key]
+
+    parents: dict[str, frozenset[str]] = {c: frozenset() for c in columns}
 
-    The neighbour is the row whose distance has the drawn rank; ``low`` and ``high`` bound the step towards it.
+    def reaches(a: str, b: str, graph: dict[str, frozenset[str]]) -> bool:
+        """Whether a is an ancestor of b."""
+        seen, todo = set(), [b]
+        while todo:
+            for p in graph[todo.pop()] - seen:
+                seen.add(p)
+                todo.append(p)
+        return a in seen
+
+    while True:
+        best, change = tolerance, None
+        for a, b in combinations(columns, 2):
+            for x, y in ((a, b), (b, a)):
+                if x in parents[y]:
+                    dropped = parents | {y: parents[y] - {x}}
+                    gains = [(family(y, dropped[y]) - family(y, parents[y]), dropped)]
+                    turned = dropped | {x: parents[x] | {y}}
+                    if len(turned[x]) <= most_parents and not reaches(x, y, dropped):
+                        gains.append((gains[0][0] + family(x, turned[x]) - family(x, parents[x]), turned))
+                elif y not in parents[x] and len(parents[y]) < most_parents and not reaches(y, x, parents):
+                    added = parents | {y: parents[y] | {x}}
+                    gains = [(family(y, added[y]) - family(y, parents[y]), added)]
+                else:
+                    continue
+                for gain, made in gains:
+                    if gain > best:
+                        best, change = gain, made
+        if change is None:
+            return {c: sorted(p) for c, p in parents.items()}
+        parents = change
+
+
+def smote(df: DataFrame, key: str, numeric: list[str], label: str, minority: object, rows: int, seed: int, k: int = 5, low: float = 0.0, high: float = 1.0, categorical: list[str] = ()) -> DataFrame:
+    """``rows`` new rows of a class, each between a row and one of its ``k`` nearest of the class.
+
+    Numbers lie at a step in [``low``, ``high``] towards the neighbour, whose key the nearest rows name; a category is the
+    most frequent one of the row's neighbours, the least of those as frequent. With categories only, numbers are left out.
     """
-    own = df.where(F.col(label) == minority).select(key, *numeric)
+    own = df.where(F.col(label) == F.lit(minority)).select(key, *numeric, *categorical)
     n = own.count()
     if n < 2:
-        raise ValueError("a class needs two rows or more")
-    order = own.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
-    seeds = df.sparkSession.range(rows).select(F.col("id").alias("row_id"), F.floor(uniform(seed, F.lit("row"), F.col("id")) * n).cast("int").alias("_i"), (F.floor(uniform(seed, F.lit("rank"), F.col("id")) * min(k, n - 1)) + 1).cast("int").alias("_rank"))
-    near = nearest(own, own, key, numeric, [], kind="l2", neighbours=min(k, n - 1) + 1)
-    drawn = seeds.join(order, "_i").join(near, key)
-    step = F.lit(low) + uniform(seed, F.lit("step"), F.col("row_id")) * (high - low)
-    # The neighbour is found again by its distance among the rows of the class closest in the first column's order.
-    ranges = own.agg(*[(F.max(c) - F.min(c)).alias(c) for c in numeric]).first()
-    other = order.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_o_{c}") for c in numeric])
-    apart = sum(((F.col(c) - F.col(f"_o_{c}")) / F.lit(float(ranges[c] or 1.0))) ** 2 for c in numeric)
-    pairs = drawn.join(other, F.abs(F.sqrt(apart) - F.get("distances", F.col("_rank"))) < 1e-9)
-    one = Window.partitionBy("row_id").orderBy("_k")
-    return pairs.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("row_id", *[(F.col(c) + step * (F.col(f"_o_{c}") - F.col(c))).alias(c) for c in numeric], F.lit(minority).alias(label))
+        raise GateError("insufficient_support", "a class needs two rows or more")
+    near = nearest(own, own, key, list(numeric), list(categorical), kind="l2", mismatch=1.0, neighbours=min(k, n - 1), skip_equal_key=True)
+    counts = own.select(F.xxhash64(F.lit(seed), key).cast("double").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
+    places = running_sums(counts, [], "_h", ["n"]).select("_h", (F.col("upto_n") - F.col("n")).alias("_i"))
+    held = own.withColumn("_h", F.xxhash64(F.lit(seed), key).cast("double")).join(places, "_h").join(near.select(key, "neighbours"), key)
+    draws = df.sparkSession.range(rows).select(F.col("id").alias("row_id"), F.pmod(F.col("id"), F.lit(n)).alias("_i"), uniform(seed, F.lit("rank"), F.col("id")).alias("_rank"), uniform(seed, F.lit("step"), F.col("id")).alias("_step"))
+    base = draws.join(held, "_i").withColumn("_other", F.get("neighbours", F.floor(F.col("_rank") * F.size("neighbours")).cast("int")))
+    if numeric:
+        other = own.select(F.col(key).alias("_other"), *[F.col(c).alias(f"_o_{c}") for c in numeric])
+        base = base.join(other, "_other")
+    step = F.lit(low) + F.col("_step") * (high - low)
+    out = base.select("row_id", key, *[(F.col(c) + step * (F.col(f"_o_{c}") - F.col(c))).alias(c) for c in numeric], F.lit(minority).alias(label))
+    for c in categorical:
+        votes = near.select(key, F.explode("neighbours").alias("_n")).join(own.select(F.col(key).alias("_n"), F.col(c).alias("_v")), "_n").groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        out = out.join(votes.groupBy(key).agg(F.min_by("_v", F.struct(-F.col("_c"), F.col("_v"))).alias(c)), key)
+    return out.drop(key).select("row_id", *numeric, *categorical, label)
+
+
+def median_label(df: DataFrame, target: str, name: str = "above_median") -> DataFrame:
+    """The two halves of a numeric target, which stand for classes when a regression table is oversampled."""
+    from tallyframe.operators.stats import quantiles
+
+    return df.join(F.broadcast(quantiles(df, target, {"_m": 0.5}))).withColumn(name, (F.col(target) > F.col("_m")).cast("int")).drop("_m")
 
 
 def swapped_shares(shares: dict[str, float]) -> dict[str, float]:
     """Class probabilities with the order of frequencies turned round."""
     names = sorted(shares, key=lambda x: (shares[x], x))
     return dict(zip(names, (shares[x] for x in reversed(names))))
+
+
+def topped_up(counts: dict[str, int]) -> dict[str, int]:
+    """How many rows each class lacks to be as frequent as the largest."""
+    most = max(counts.values(), default=0)
+    return {c: most - n for c, n in counts.items()}
+
+
+def shuffled_columns(df: DataFrame, key: str, columns: list[str], seed: int, levels: int = 30) -> DataFrame:
+    """Each column's values dealt anew among the rows of one level of the first column, so that marginals stay exactly and dependence on it roughly.
+
+    Rows are cut into ``levels`` ranges of the lead column's ranks; within a range the values of each further column follow
+    a seeded order. Rows and values are matched by exact ranks from running sums: every value is used once.
+    """
+    lead = columns[0]
+    counts = df.groupBy(F.col(lead).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    level = running_sums(counts, [], "_v", ["n"]).select("_v", F.floor((F.col("upto_n") - F.col("n")) * levels / F.col("all_n")).cast("int").alias("_level"))
+    out = df.select(key, *columns).join(level, F.col(lead).cast("double") == F.col("_v")).drop("_v")
+
+    def placed(rows: DataFrame, order: Column) -> DataFrame:
+        """Rows with their rank by ``order`` within the level."""
+        keyed = rows.withColumn("_h", order.cast("double"))
+        ranks = running_sums(keyed.groupBy("_level", "_h").agg(F.count(F.lit(1)).alias("n")), ["_level"], "_h", ["n"]).select(F.col("_level").alias("_l"), F.col("_h").alias("_a"), (F.col("upto_n") - F.col("n")).alias("_rank"))
+        joined = keyed.join(ranks, (F.col("_level") == F.col("_l")) & (F.col("_h") == F.col("_a"))).drop("_l", "_a")
+        return joined.withColumn("_rank", F.col("_rank") + F.row_number().over(Window.partitionBy("_level", "_h").orderBy(key)) - 1).drop("_h")
+
+    base = placed(out.select(key, "_level", lead), F.xxhash64(F.lit(seed), F.lit("rows"), key))
+    for c in columns[1:]:
+        dealt = placed(out.select(key, "_level", c), F.xxhash64(F.lit(seed), F.lit(c), key)).select("_level", "_rank", c)
+        base = base.join(dealt, ["_level", "_rank"])
+    return base.select(key, *columns)
+
+
+def independent(df: DataFrame, columns: list[str], rows: int, seed: int) -> DataFrame:
+    """Every column drawn by its own frequencies."""
+    return network_sample(df, {c: [] for c in columns}, rows, seed)
+
+
+class Generator(ABC):
+    """What every generator offers: fitted once on a table, it gives as many rows as asked."""
+
+    @abstractmethod
+    def fit(self, train: DataFrame) -> "Generator": ...
+
+    @abstractmethod
+    def sample(self, rows: int, seed: int) -> DataFrame: ...
+
+
+class NetworkGenerator(Generator):
+    """A Bayesian network over binned columns: structure by hill climbing, tables smoothed by a prior, numbers drawn within their bins."""
+
+    def __init__(self, numeric: list[str], categorical: list[str], bins: int = 16, most_parents: int = 2, prior: float = 1.0):
+        self.numeric, self.categorical, self.bins, self.most_parents, self.prior = list(numeric), list(categorical), bins, most_parents, prior
+
+    def fit(self, train: DataFrame) -> "NetworkGenerator":
+        self.edges = {c: fit_quantile_bins(train, c, self.bins) for c in self.numeric}
+        for c, edges in self.edges.items():
+            train = quantile_bins(train, c, edges)
+        self.names = [f"{c}_bin" for c in self.numeric] + self.categorical
+        self.table = train.select(*self.names)
+        self.parents = hill_climb(self.table, self.names, self.most_parents)
+        return self
+
+    def sample(self, rows: int, seed: int) -> DataFrame:
+        out = network_sample(self.table, self.parents, rows, seed, self.prior)
+        for c, edges in self.edges.items():
+            out = quantile_bins_inverse(out, c, edges, "row_id", seed)
+        return out.select("row_id", *self.numeric, *self.categorical)
+
+
+class PermutationGenerator(Generator):
+    """The train rows in a seeded order, cut to the asked number."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def fit(self, train: DataFrame) -> "PermutationGenerator":
+        self.table = train
+        return self
+
+    def sample(self, rows: int, seed: int) -> DataFrame:
+        return permuted(self.table, self.key, seed).limit(rows)
+
+
+class MarginalGenerator(Generator):
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def fit(self, train: DataFrame) -> "MarginalGenerator":
+        self.table = train
+        return self
+
+    def sample(self, rows: int, seed: int) -> DataFrame:
+        return independent(self.table, self.columns, rows, seed)
+
+
+#: Generators by name.
+GENERATORS: dict[str, Callable[..., Generator]] = {"bn": NetworkGenerator, "permutation": PermutationGenerator, "marginal": MarginalGenerator}
+
+
+def checked_sample(generator: Generator, rows: int, seed: int, known: dict[str, list] | None = None) -> DataFrame:
+    """A sample that keeps what every generator promises: the number of rows, no missing value, known categories only."""
+    out = generator.sample(rows, seed)
+    wrong = F.lit(False)
+    for c in out.columns:
+        wrong = wrong | F.col(f"`{c}`").isNull()
+    for c, values in (known or {}).items():
+        wrong = wrong | ~F.col(f"`{c}`").isin(*values)
+    got = out.agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("bad")).first()
+    if got.n != rows or got.bad:
+        raise GateError("invalid_sample", f"{got.n} rows, {got.bad} of them invalid")
+    return out

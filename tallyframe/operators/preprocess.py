@@ -1,21 +1,22 @@
-"""Leakage-safe preparation: imputation, encoding, scaling and splitting. States are fitted on the train split only."""
+"""Leakage-safe preparation: imputation, encoding, scaling and splitting. States are fitted on one table, the train split, and applied to others."""
 
 from __future__ import annotations
 
-import unicodedata
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.contracts import GateError
-from tallyframe.functions.expressions import marker_to_null, normal_quantile, ratio
+from tallyframe.contracts import GateError, Profile
+from tallyframe.functions.expressions import exp_with_bound, log_with_bound, marker_to_null, nfc, normal_quantile, ratio
+from tallyframe.operators.stats import quantiles, ranked, running_sums
 
 
 @dataclass(frozen=True)
 class ImputationState:
     numeric: dict[str, float]
     categorical: dict[str, str]
+    missing: dict[str, int] = field(default_factory=dict)
 
 
 def normalise_markers(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -31,13 +32,13 @@ def fit_imputation(train: DataFrame, numeric: list[str], categorical: list[str])
     means = train.agg(*[F.avg(c).alias(c) for c in numeric]).first().asDict() if numeric else {}
     modes = {}
     for c in categorical:
-        counts = train.where(F.col(c).isNotNull()).groupBy(c).count()
-        top = counts.join(F.broadcast(counts.agg(F.max("count").alias("m"))), F.col("count") == F.col("m")).orderBy(c).limit(1000).select(c).collect()
-        modes[c] = min((r[0] for r in top), key=lambda v: (unicodedata.normalize("NFC", v), v), default=None)
+        counts = train.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count()
+        modes[c] = counts.agg(F.min_by("v", F.struct(-F.col("count"), nfc(F.col("v")), F.col("v")))).first()[0]
     empty = [c for c, v in (means | modes).items() if v is None]
     if empty:
         raise GateError("all_missing", ", ".join(empty))
-    return ImputationState(means, modes)
+    counts = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in [*numeric, *categorical]]).first().asDict() if empty == [] and (numeric or categorical) else {}
+    return ImputationState(means, modes, counts)
 
 
 def impute(df: DataFrame, state: ImputationState, *, indicators: bool = False, target: str | None = None) -> DataFrame:
@@ -49,53 +50,152 @@ def impute(df: DataFrame, state: ImputationState, *, indicators: bool = False, t
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()})
 
 
-def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(x - mean) / population deviation, the statistics from one aggregation."""
-    stats = F.broadcast(df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]))  # one row
-    return df.join(stats).withColumns({c: ratio(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in columns}).drop(*stats.columns)
+def sanitize(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """Markers to null and numbers to doubles; any missing value, or a text that is no number, is refused."""
+    out = normalise_markers(df, numeric, categorical)
+    lost = out.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in [*numeric, *categorical]]).first().asDict()
+    if wrong := [c for c, n in lost.items() if n]:
+        raise GateError("missing_values_prohibited", ", ".join(wrong))
+    return out
 
 
-def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
-    stats = F.broadcast(df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("l", F.min), ("h", F.max))]))  # one row
-    return df.join(stats).withColumns({c: ratio(F.col(c) - F.col(f"_l_{c}"), F.col(f"_h_{c}") - F.col(f"_l_{c}")) for c in columns}).drop(*stats.columns)
+def preprocess_splits(splits: dict[str, DataFrame], numeric: list[str], categorical: list[str], *, target: str | None = None, indicators: bool = False, fit_on: str = "train") -> tuple[dict[str, DataFrame], dict]:
+    """Every split imputed with the state of one, and a manifest of what was fitted, where, and how many values it fills.
 
+    Columns have to be the same in all splits and in the same order; a missing target is refused in any split.
+    """
+    order = splits[fit_on].columns
+    for name, df in splits.items():
+        if df.columns != order:
+            raise GateError("schema_mismatch", name)
+    clean = {name: normalise_markers(df, [c for c in numeric if c != target], [c for c in categorical if c != target]) for name, df in splits.items()}
+    state = fit_imputation(clean[fit_on], [c for c in numeric if c != target], [c for c in categorical if c != target])
+    out = {name: impute(df, state, indicators=indicators, target=target) for name, df in clean.items()}
+    filled = {name: df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in state.numeric | state.categorical]).first().asDict() for name, df in clean.items()}
+    manifest = {"fit_split": fit_on, "numeric": state.numeric, "categorical": state.categorical, "columns": order, "target": target, "indicators": indicators, "splits": {name: {"rows": x.pop("_rows"), "filled": x} for name, x in filled.items()}}
+    return out, manifest
 
-def quantile_normal(df: DataFrame, column: str, knots: int = 100) -> DataFrame:
+
+def drop_missing_rows(df: DataFrame, numeric: list[str], split: str) -> DataFrame:
+    """The policy that drops rows without a number; a test split may not lose any."""
+    if split == "test" and df.where(F.greatest(*[F.col(c).isNull() for c in numeric], F.lit(False))).limit(1).count():
+        raise GateError("missing_values_prohibited", "test rows may not be dropped")
+    return df.dropna(subset=numeric)
+
+
+@dataclass(frozen=True)
+class Scaling:
+    """Fitted statistics of numeric columns: (shift, scale) of each; a scale of 0 gives null."""
+
+    columns: dict[str, tuple[float | None, float | None]]
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: ratio(F.col(c) - F.lit(a), F.lit(b)) for c, (a, b) in self.columns.items()})
+
+    def invert(self, df: DataFrame, *, clip: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+        """Back to the columns' own scale, and into the given ranges."""
+        back = lambda c, a, b: F.col(c) * F.lit(b) + F.lit(a)
+        inside = lambda c, x: F.least(F.greatest(x, F.lit(float(clip[c][0]))), F.lit(float(clip[c][1]))) if clip and c in clip else x
+        return df.withColumns({c: inside(c, back(c, a, b)) for c, (a, b) in self.columns.items()})
+
+
+def fit_standard(train: DataFrame, columns: list[str]) -> Scaling:
+    """Mean and population deviation of each column."""
+    row = train.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return Scaling({c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)})
+
+
+def fit_min_max(train: DataFrame, columns: list[str], *, tanh: bool = False) -> Scaling:
+    """Ranges of each column, onto [0, 1] or, for ``tanh``, onto [-1, 1]."""
+    row = train.agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("l", F.min), ("h", F.max))]).first()
+    ends = {c: (row[f"l{i}"], row[f"h{i}"]) for i, c in enumerate(columns)}
+    return Scaling({c: (None, None) if low is None else ((low + high) / 2, (high - low) / 2) if tanh else (low, high - low) for c, (low, high) in ends.items()})
+
+
+def standardised(df: DataFrame, columns: list[str], train: DataFrame | None = None) -> DataFrame:
+    """(x - mean) / population deviation of the train table (of the table itself if none is given)."""
+    return fit_standard(df if train is None else train, columns).apply(df)
+
+
+def min_max(df: DataFrame, columns: list[str], train: DataFrame | None = None, *, tanh: bool = False) -> DataFrame:
+    return fit_min_max(df if train is None else train, columns, tanh=tanh).apply(df)
+
+
+def quantile_knots(rows: int) -> int:
+    """How many knots the quantile transform of so many train rows has."""
+    return max(min(rows // 30, 1000), 10)
+
+
+def fit_quantile_normal(train: DataFrame, column: str, knots: int | None = None) -> list[float]:
+    """The column's values at evenly spaced shares."""
+    count = quantile_knots(train.count()) if knots is None else knots
+    return list(quantiles(train, column, {f"q{i}": i / (count - 1) for i in range(count)}).first())
+
+
+def quantile_normal(df: DataFrame, column: str, points: list[float]) -> DataFrame:
     """Quantile transform to a normal: linear between knots, then the normal quantile, clipped at its ends."""
-    q = [i / (knots - 1) for i in range(knots)]
-    points = df.agg(F.percentile(column, F.array(*[F.lit(x) for x in q])).alias("_k"))
-    k = F.col("_k")
+    knots = len(points)
+    k = F.array(*[F.lit(float(x)) for x in points])
     i = F.size(F.filter(k, lambda x: x <= F.col(column)))
     low, high = F.get(k, i - 1), F.get(k, i)
-    p = F.when(i == 0, 0.0).when(i >= knots, 1.0).otherwise((i - 1 + ratio(F.col(column) - low, high - low)) / (knots - 1))
-    return df.join(F.broadcast(points)).withColumn(f"{column}_normal", normal_quantile(F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7)))).drop("_k")
+    p = F.when(i == 0, 0.0).when(i >= knots, 1.0).otherwise((i - 1 + F.coalesce(ratio(F.col(column) - low, high - low), F.lit(0.0))) / (knots - 1))
+    return df.withColumn(f"{column}_normal", F.when(F.col(column).isNotNull(), normal_quantile(F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7)))))
+
 
+def fit_rare(train: DataFrame, column: str, share: float) -> DataFrame:
+    """(category): those with fewer train rows than the (half-even rounded) share."""
+    counts = train.groupBy(F.col(column).alias("category")).count()
+    least = train.agg(F.bround(F.count(F.lit(1)) * F.lit(share), 0).alias("_least"))
+    return counts.join(F.broadcast(least)).where(F.col("count") < F.col("_least")).select("category")
 
-def fold_rare(df: DataFrame, column: str, share: float, mark: str = "__rare__") -> DataFrame:
-    """Categories with fewer rows than the (half-even rounded) share become one."""
-    counts = df.groupBy(column).count()
-    least = df.agg(F.bround(F.count(F.lit(1)) * F.lit(share), 0).alias("_least"))
-    rare = counts.join(F.broadcast(least)).where(F.col("count") < F.col("_least")).select(column, F.lit(True).alias("_rare"))
-    return df.join(rare, column, "left").withColumn(column, F.when(F.col("_rare"), mark).otherwise(F.col(column))).drop("_rare")
+
+def fold_rare(df: DataFrame, column: str, share: float, mark: str = "__rare__", train: DataFrame | None = None) -> DataFrame:
+    """Categories that are rare in the train table (in the table itself if none is given) become one."""
+    rare = fit_rare(df if train is None else train, column, share).withColumn("_rare", F.lit(True)).withColumnRenamed("category", "_category")
+    return df.join(rare, F.col(column) == F.col("_category"), "left").withColumn(column, F.when(F.col("_rare"), mark).otherwise(F.col(column))).drop("_rare", "_category")
 
 
 def category_codes(train: DataFrame, column: str) -> DataFrame:
-    """(category, code): sorted categories from 0."""
-    return train.where(F.col(column).isNotNull()).select(F.col(column).alias("category")).distinct().withColumn("code", F.row_number().over(Window.orderBy("category")) - 1)
+    """(category, code): sorted categories from 0. One row per category; numbering orders these only."""
+    return ranked(train.where(F.col(column).isNotNull()).select(F.col(column).alias("category")).distinct(), ["category"], name="code")
+
+
+def ordinal(df: DataFrame, codes: DataFrame, column: str, unknown: Column | int | None = -1) -> DataFrame:
+    """The code of each value; unknown ones get ``unknown``, or the number after the last code if that is None."""
+    other = F.lit(unknown) if isinstance(unknown, int) else unknown
+    if unknown is None:
+        other = F.col("_after")
+        codes = codes.join(F.broadcast(codes.agg((F.max("code") + 1).alias("_most"))))
+        df = df.join(F.broadcast(codes.agg(F.max("_most").alias("_after"))))
+        codes = codes.drop("_most")
+    out = df.join(codes.withColumnRenamed("category", "_category"), F.col(column) == F.col("_category"), "left").withColumn(f"{column}_code", F.coalesce("code", other))
+    return out.drop("code", "_category", "_after")
 
 
-def ordinal(df: DataFrame, codes: DataFrame, column: str, unknown: Column | int = -1) -> DataFrame:
-    return df.join(codes.withColumnRenamed("category", column), column, "left").withColumn(f"{column}_code", F.coalesce("code", F.lit(unknown) if isinstance(unknown, int) else unknown)).drop("code")
+def decode(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
+    """The category of each code, codes outside the known ones clipped to the nearest."""
+    ends = codes.agg(F.min("code").alias("_low"), F.max("code").alias("_high"))
+    inside = df.join(F.broadcast(ends)).withColumn("_code", F.least(F.greatest(F.rint(F.col(f"{column}_code").cast("double")).cast("int"), F.col("_low")), F.col("_high")))
+    return inside.join(codes.select(F.col("category").alias(column), F.col("code").alias("_known")), F.col("_code") == F.col("_known"), "left").drop("_code", "_known", "_low", "_high")
 
 
 def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
     return df.withColumns({f"{column}_{c}": F.when(F.col(column) == c, 1).otherwise(0) for c in categories})
 
 
-def leave_one_out(df: DataFrame, column: str, target: str) -> DataFrame:
-    """Mean target of the category's other rows, without noise."""
-    sums = df.groupBy(column).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
-    return df.join(sums, column).withColumn(f"{column}_loo", ratio(F.col("_s") - F.col(target), F.col("_n") - 1)).drop("_s", "_n")
+def leave_one_out(df: DataFrame, column: str, target: str, train: DataFrame | None = None, *, sigma: float = 0.0, seed: int = 0, key: str | None = None) -> DataFrame:
+    """Mean target of the category: of its other rows for train rows, of all train rows for a table that is not the train table.
+
+    ``sigma`` multiplies train values by 1 + sigma * z, with z normal and drawn from the seed and the row's ``key``.
+    """
+    fitted = df if train is None else train
+    sums = fitted.groupBy(F.col(column).alias("_category")).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+    out = df.join(sums, F.col(column).eqNullSafe(F.col("_category")), "left")
+    value = ratio(F.col("_s") - F.col(target), F.col("_n") - 1) if train is None else ratio(F.col("_s"), F.col("_n"))
+    if sigma and train is None:
+        u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+        value = value * (1 + F.lit(sigma) * normal_quantile(u))
+    return out.withColumn(f"{column}_loo", value).drop("_s", "_n", "_category")
 
 
 def snap_to_observed(df: DataFrame, column: str, observed: list[float]) -> DataFrame:
@@ -106,26 +206,274 @@ def snap_to_observed(df: DataFrame, column: str, observed: list[float]) -> DataF
 
 
 def frequency_rank(df: DataFrame, column: str) -> DataFrame:
-    """(category, rank): by descending count, then value, from 0."""
+    """(category, n, share, rank): by descending count, then value, from 0."""
     counts = df.groupBy(F.col(column).alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "category")) - 1)
+    whole = counts.agg(F.sum("n").alias("_all"))
+    out = ranked(counts, [F.desc("n"), "category"]).join(F.broadcast(whole))
+    return out.select("category", "n", ratio(F.col("n"), F.col("_all")).alias("share"), "rank")
+
+
+def frequency_scaled(df: DataFrame, ranks: DataFrame, column: str) -> DataFrame:
+    """The frequency rank of each category as a share of their number, in [0, 1)."""
+    size = ranks.agg(F.count(F.lit(1)).alias("_size"))
+    known = ranks.select(F.col("category").alias("_category"), "rank").join(F.broadcast(size))
+    return df.join(known, F.col(column) == F.col("_category"), "left").withColumn(f"{column}_rank", ratio(F.col("rank"), F.col("_size"))).drop("_category", "rank", "_size")
+
+
+def frequency_decoded(df: DataFrame, ranks: DataFrame, column: str) -> DataFrame:
+    """The inverse: the category whose rank is nearest, clipped to the known ones."""
+    size = ranks.agg(F.count(F.lit(1)).alias("_size"))
+    at = df.join(F.broadcast(size)).withColumn("_at", F.least(F.greatest(F.rint(F.col(f"{column}_rank") * F.col("_size")).cast("int"), F.lit(0)), F.col("_size").cast("int") - 1))
+    return at.join(ranks.select(F.col("category").alias(column), F.col("rank").alias("_rank")), F.col("_at") == F.col("_rank"), "left").drop("_at", "_rank", "_size")
 
 
 def stratified_split(df: DataFrame, by: str, key: Column, shares: tuple[float, ...] = (0.6, 0.2, 0.2), names: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
-    """Per class, the first rows in the order of ``key`` go to the first split, and so on."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1
-    size = F.count(F.lit(1)).over(Window.partitionBy(by))
-    share = ratio(place, size)
+    """Per class, the first rows in the order of ``key`` (a number) go to the first split, and so on; the sizes are exact.
+
+    Places come from running sums over buckets of a class, so a large class is never sorted in one task.
+    """
+    held = df.withColumn("_key", key.cast("double"))
+    counts = held.groupBy(F.col(by).alias("_by"), "_key").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_sums(counts, ["_by"], "_key", ["n"]).select("_by", F.col("_key").alias("_at"), ratio(F.col("upto_n") - F.col("n"), F.col("all_n")).alias("_share"))
     out, upto = F.lit(names[-1]), sum(shares)
     for name, s in zip(reversed(names[:-1]), reversed(shares[1:])):
         upto -= s
-        out = F.when(share < upto, name).otherwise(out)
-    return df.withColumn("split", out)
+        out = F.when(F.col("_share") < upto, name).otherwise(out)
+    joined = held.join(placed, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_key") == F.col("_at")))
+    return joined.withColumn("split", out).drop("_key", "_by", "_at", "_share")
+
+
+def hash_key(seed: int, *columns: str) -> Column:
+    """A seeded order of rows that does not depend on partitions."""
+    return F.xxhash64(F.lit(seed), *columns)
+
+
+def covering_split(df: DataFrame, key: str, categorical: list[str], share: float = 0.9, seed: int = 0, tries: int = 50) -> tuple[DataFrame, int]:
+    """``df`` with a split of ``share`` train rows by the least seed under which the train rows hold every category, and that seed."""
+    whole = df.agg(*[F.count_distinct(c).alias(c) for c in categorical]).first()
+    for at in range(seed, seed + tries):
+        made = df.withColumn("split", F.when(F.pmod(hash_key(at, key), F.lit(1_000_000)) < int(share * 1_000_000), "train").otherwise("test"))
+        if made.where("split = 'train'").agg(*[F.count_distinct(c).alias(c) for c in categorical]).first() == whole:
+            return made, at
+    raise GateError("no_covering_split", f"{tries} seeds")
+
+
+def validation_rows(df: DataFrame, key: str, seed: int, part: int = 9) -> DataFrame:
+    """``df`` with a split: one row in ``part`` (rounded down) validates, the least by seeded hash."""
+    n = df.count() // part
+    counts = df.select(hash_key(seed, key).cast("double").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_sums(counts, [], "_h", ["n"]).select(F.col("_h").alias("_at"), (F.col("upto_n") <= n).alias("_val"))
+    held = df.withColumn("_h", hash_key(seed, key).cast("double")).join(placed, F.col("_h") == F.col("_at"))
+    return held.withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_h", "_at", "_val")
+
+
+def fit_quantile_bins(train: DataFrame, column: str, bins: int = 16) -> list[float]:
+    """Distinct edges at the shares i / ``bins``, each the averaged inverse of the empirical distribution."""
+    return sorted({float(x) for x in quantiles(train, column, {f"q{i}": i / bins for i in range(bins + 1)}, rule="averaged").first() if x is not None})
+
+
+def quantile_bins(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
+    """The number of each value's bin as text; values beyond the edges fall into the outer bins, a constant column into "0"."""
+    inner = F.array(*[F.lit(e) for e in edges[1:-1]]) if len(edges) > 2 else F.array().cast("array<double>")
+    return df.withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), F.size(F.filter(inner, lambda e: e <= F.col(column))).cast("string")))
+
+
+def quantile_bins_inverse(df: DataFrame, column: str, edges: list[float], key: str, seed: int) -> DataFrame:
+    """A uniform draw within each bin, from the seed and the row's key."""
+    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(column), F.col(key)), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    at, known = F.col(f"{column}_bin").cast("int"), F.array(*[F.lit(e) for e in edges])
+    low, high = F.get(known, at), F.coalesce(F.get(known, at + 1), F.get(known, at))
+    return df.withColumn(column, low + u * (high - low))
+
+
+def dequantise(df: DataFrame, columns: list[str], key: str, seed: int, kind: str = "uniform") -> DataFrame:
+    """Noise on whole numbers: within [0, 1) for ``uniform``, within [-0.5, 0.5) for ``round``; ``none`` adds nothing."""
+    u = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.lit(c), F.col(key)), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    noise = {"uniform": u, "round": lambda c: u(c) - 0.5, "none": lambda c: F.lit(0.0)}[kind]
+    return df.withColumns({c: F.col(c).cast("double") + noise(c) for c in columns})
+
+
+def dequantise_inverse(df: DataFrame, columns: list[str], kind: str = "uniform") -> DataFrame:
+    """Whole numbers again: floors of uniform noise, half-even rounding else."""
+    return df.withColumns({c: (F.floor(c) if kind == "uniform" else F.rint(F.col(c).cast("double"))).cast("long") for c in columns})
+
+
+def round_columns(df: DataFrame, train: DataFrame, columns: list[str], most: int = 32) -> DataFrame:
+    """Columns with at most ``most`` distinct values in the train table snap to the nearest of these."""
+    for c in columns:
+        seen = [r[0] for r in train.where(F.col(c).isNotNull()).select(F.col(c).cast("double")).distinct().limit(most + 1).collect()]  # bounded: at most 33
+        if len(seen) <= most:
+            df = snap_to_observed(df, c, seen)
+    return df
+
+
+def log_transform(df: DataFrame, bounds: dict[str, float], sentinel: float = -9999999.0) -> DataFrame:
+    """Logarithms by each column's fitted lower bound; the sentinel of a missing value stays."""
+    return df.withColumns({c: F.when(F.col(c) == sentinel, F.lit(sentinel)).otherwise(log_with_bound(F.col(c), low)) for c, low in bounds.items()})
+
+
+def log_inverse(df: DataFrame, bounds: dict[str, float], decimals: dict[str, int] | None = None, sentinel: float = -9999999.0) -> DataFrame:
+    """The inverse for every kind of bound, rounded where told; the sentinel becomes null."""
+    back = lambda c, low: exp_with_bound(F.col(c), low)
+    put = lambda c, x: F.round(x, decimals[c]) if decimals and c in decimals else x
+    return df.withColumns({c: F.when(F.col(c) != sentinel, put(c, back(c, low))) for c, low in bounds.items()})
+
+
+def clamp_to_observed(df: DataFrame, observed: DataFrame, columns: list[str]) -> DataFrame:
+    """Values beyond the least and greatest observed ones move to these."""
+    row = observed.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("l", F.min), ("h", F.max))]).first()
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(row[f"l{i}"])), F.lit(row[f"h{i}"]))) for i, c in enumerate(columns)})
+
+
+def clean_categories(df: DataFrame, columns: list[str], *, strip_dot: bool = False, marker: str = "?", replacement: str | None = "nan", leading_space: bool = False) -> DataFrame:
+    """Trimmed texts: a final dot goes if asked, the missing marker becomes the replacement, and a leading space is put back if asked."""
+
+    def cleaned(c: str) -> Column:
+        out = F.trim(F.col(c))
+        out = F.regexp_replace(out, r"\.$", "") if strip_dot else out
+        out = F.when(out == marker, F.lit(replacement)).otherwise(out)
+        return F.concat(F.lit(" "), out) if leading_space else out
+
+    return df.withColumns({c: cleaned(c) for c in columns})
+
+
+def collapse_one_hot(df: DataFrame, columns: list[str], name: str, prefix: str = "") -> DataFrame:
+    """One label from one-hot columns: that of the greatest value, the first of equal ones."""
+    values = F.array(*[F.col(c) for c in columns])
+    at = F.array_position(values, F.array_max(values)).cast("int")
+    return df.withColumn(name, F.get(F.array(*[F.lit(c.removeprefix(prefix)) for c in columns]), at - 1)).drop(*columns)
+
+
+def mapped(df: DataFrame, column: str, table: dict, default: object = None) -> DataFrame:
+    """Values replaced by a small table; others become ``default``, or stay if that is None."""
+    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    kept = F.col(column) if default is None else F.lit(default)
+    return df.withColumn(column, F.coalesce(F.try_element_at(pairs, F.col(column)), kept))
+
+
+def standardise_target(df: DataFrame, target: str, train: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """A regression target in units of its train deviation, and what undoes it."""
+    fitted = fit_standard(train, [target])
+    mean, std = fitted.columns[target]
+    return fitted.apply(df), {"mean": mean, "std": std}
+
+
+def assemble_blocks(df: DataFrame, numeric: list[str], categorical: list[str], target: str | None = None, *, target_first: bool = False) -> DataFrame:
+    """Columns in the order numbers, categories, target; or the target first."""
+    order = [*([target] if target and target_first else []), *numeric, *categorical, *([target] if target and not target_first else [])]
+    return df.select(*[F.col(f"`{c}`") for c in order])
+
+
+def recover_order(df: DataFrame, original: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in original])
+
+
+def square_rows(df: DataFrame, columns: list[str], name: str = "image") -> DataFrame:
+    """Each row's numbers, padded with zeros to a square, as an array of its lines."""
+    side = 1
+    while side * side < len(columns):
+        side += 1
+    flat = F.concat(F.array(*[F.col(c).cast("double") for c in columns]), F.array_repeat(F.lit(0.0), side * side - len(columns)))
+    return df.withColumn(name, F.array(*[F.slice(flat, i * side + 1, side) for i in range(side)]))
+
+
+@dataclass(frozen=True)
+class TransformSpec:
+    """What ``transform_splits`` does, in its fixed order."""
+
+    numeric: tuple[str, ...]
+    categorical: tuple[str, ...]
+    target: str
+    regression: bool = False
+    numeric_missing: str | None = None  # "mean" or "drop-rows"
+    normalise: str | None = None  # "standard", "minmax" or "quantile"
+    categorical_missing: str | None = None  # "most_frequent"
+    rare_share: float | None = None
+    encode: str | None = None  # "ordinal" or "one-hot"
+
+
+def transform_splits(splits: dict[str, DataFrame], spec: TransformSpec, fit_on: str = "train") -> tuple[dict[str, DataFrame], dict]:
+    """All splits through the steps missing numbers, scaling, missing categories, rare categories, encoding, target; each fitted on one split."""
+    out, state = dict(splits), {"spec": asdict(spec), "fit_split": fit_on}
+    numbers, labels = list(spec.numeric), list(spec.categorical)
+    each = lambda f: {k: f(k, df) for k, df in out.items()}
+    if spec.numeric_missing == "drop-rows":
+        out = each(lambda k, df: drop_missing_rows(df, numbers, k))
+    elif spec.numeric_missing == "mean":
+        fills = fit_imputation(out[fit_on], numbers, [])
+        out, state["means"] = each(lambda k, df: impute(df, fills)), fills.numeric
+    if spec.normalise == "quantile":
+        state["knots"] = {c: fit_quantile_normal(out[fit_on], c) for c in numbers}
+        for c, points in state["knots"].items():
+            out = each(lambda k, df, c=c, points=points: quantile_normal(df, c, points).drop(c).withColumnRenamed(f"{c}_normal", c))
+    elif spec.normalise:
+        fitted = fit_standard(out[fit_on], numbers) if spec.normalise == "standard" else fit_min_max(out[fit_on], numbers)
+        out, state["scaling"] = each(lambda k, df: fitted.apply(df)), fitted.columns
+    if spec.categorical_missing == "most_frequent":
+        modes = fit_imputation(out[fit_on], [], labels)
+        out, state["modes"] = each(lambda k, df: impute(df, modes)), modes.categorical
+    if spec.rare_share is not None:
+        for c in labels:
+            fitted_on = out[fit_on]
+            out = each(lambda k, df, c=c, fitted_on=fitted_on: fold_rare(df, c, spec.rare_share, train=fitted_on))
+    if spec.encode:
+        for c in labels:
+            codes = category_codes(out[fit_on], c)
+            if spec.encode == "ordinal":
+                out = each(lambda k, df, c=c, codes=codes: ordinal(df, codes, c, None).drop(c).withColumnRenamed(f"{c}_code", c))
+            else:
+                seen = [r[0] for r in codes.orderBy("code").select("category").collect()]  # categories of one declared column
+                out = each(lambda k, df, c=c, seen=seen: one_hot(df, c, seen).drop(c))
+    if spec.regression:
+        mean, std = fit_standard(out[fit_on], [spec.target]).columns[spec.target]
+        out, state["target"] = each(lambda k, df: Scaling({spec.target: (mean, std)}).apply(df)), {"mean": mean, "std": std}
+    return out, state
+
+
+@dataclass(frozen=True)
+class Modes:
+    """A fitted mixture of one numeric column: (weight, mean, deviation) of each mode."""
+
+    column: str
+    parts: tuple[tuple[float, float, float], ...]
+
+
+def fit_modes(train: DataFrame, column: str, modes: int = 10, seed: int = 0, least_weight: float = 0.005) -> Modes:
+    """A Gaussian mixture of the column; modes of hardly any weight are left out."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=["_x"], outputCol="_v").transform(train.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_x")))
+    model = GaussianMixture(featuresCol="_v", k=modes, seed=seed).fit(rows)
+    found = [(w, float(g.mean[0]), float(max(g.cov.toArray()[0][0], 1e-12)) ** 0.5) for w, g in zip(model.weights, model.gaussians)]
+    return Modes(column, tuple(sorted((x for x in found if x[0] >= least_weight), key=lambda x: x[1])))
+
+
+def mode_normalised(df: DataFrame, fitted: Modes, key: str, seed: int, clip: float = 0.99) -> DataFrame:
+    """The number of a mode, drawn by its likelihood from the seed and the row's key, and the value within it: (x - mean) / 4 deviations, clipped."""
+    x = F.col(fitted.column).cast("double")
+    density = F.array(*[F.lit(w / s) * F.exp(-0.5 * F.pow((x - F.lit(m)) / F.lit(s), F.lit(2.0))) for w, m, s in fitted.parts])
+    total = F.aggregate(density, F.lit(0.0), lambda a, b: a + b)
+    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(fitted.column), F.col(key)), F.lit(1 << 53)).cast("double") / float(1 << 53) * total
+    reached = F.aggregate(density, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at")), lambda a, b: F.struct((a["sum"] + b).alias("sum"), F.when(a["sum"] + b <= u, a["at"] + 1).otherwise(a["at"]).alias("at")))
+    at = F.least(reached["at"], F.lit(len(fitted.parts) - 1))
+    mean, std = F.get(F.array(*[F.lit(m) for _, m, _ in fitted.parts]), at), F.get(F.array(*[F.lit(s) for *_, s in fitted.parts]), at)
+    return df.withColumns({f"{fitted.column}_mode": at, f"{fitted.column}_within": F.least(F.greatest((x - mean) / (4 * std), F.lit(-clip)), F.lit(clip))})
+
+
+def mode_restored(df: DataFrame, fitted: Modes) -> DataFrame:
+    """The inverse of ``mode_normalised``."""
+    at = F.col(f"{fitted.column}_mode")
+    mean, std = F.get(F.array(*[F.lit(m) for _, m, _ in fitted.parts]), at), F.get(F.array(*[F.lit(s) for *_, s in fitted.parts]), at)
+    return df.withColumn(fitted.column, F.col(f"{fitted.column}_within") * 4 * std + mean)
+
+
+def zipped(left: DataFrame, right: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
+    """``left`` with ``columns`` of ``right`` in place of its own, by explicit row ids: both tables have to hold the same ids."""
+    named = right.select(row_id, *[F.col(c).alias(f"_r_{c}") for c in columns])
+    out = left.join(named, row_id)
+    return out.select(*[F.col(f"_r_{c}").alias(c) if c in columns else F.col(c) for c in left.columns], *[F.col(f"_r_{c}").alias(c) for c in columns if c not in left.columns])
 
 
-def quantile_bins(df: DataFrame, column: str, bins: int = 16) -> tuple[DataFrame, list[float]]:
-    edges = sorted(set(df.agg(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0]))
-    code = F.lit(0)
-    for e in edges[1:-1]:
-        code = code + F.when(F.col(column) >= e, 1).otherwise(0)
-    return df.withColumn(f"{column}_bin", code), edges
+def profile_frame(df: DataFrame, profile: Profile) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in profile.names()])

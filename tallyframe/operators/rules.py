@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.contracts import ColumnSpec, GateError, Profile
 from tallyframe.functions.expressions import finite, integral, is_close, python_fullmatch, truthy
 
 
@@ -29,6 +31,75 @@ def column_rule(name: str, rule: Mapping) -> Column:
     return verdict if kind == "not_null" else c.isNull() | verdict
 
 
+def selects(selector: Mapping, spec: ColumnSpec) -> bool:
+    """Whether a selector's conditions, all of them, hold for a column of the profile."""
+    tests = {
+        "column_ids": lambda x: spec.name in x,
+        "semantic_types": lambda x: spec.semantic_type in x,
+        "nullable_model_input": lambda x: spec.nullable == x,
+        "roles_any": lambda x: bool(set(spec.roles) & set(x)),
+        "valid_domain_keys": lambda x: set(x) <= set(spec.valid_domain),
+    }
+    return all(tests[k](v) for k, v in selector.items())
+
+
+def column_rules(profile: Profile, definitions: list[Mapping]) -> dict[str, list[Mapping]]:
+    """The rules of each column: those whose selector matches it, with values and bounds from its domain where they name none."""
+
+    def resolved(rule: Mapping, spec: ColumnSpec) -> Mapping:
+        if rule["type"] == "allowed_values" and "values" not in rule:
+            return {**rule, "values": spec.valid_domain["values"]}
+        if rule["type"] == "bounds" and not {"min", "max"} & set(rule):
+            return {**rule, **{k: spec.valid_domain[k] for k in ("min", "max") if k in spec.valid_domain}}
+        return rule
+
+    return {s.name: [resolved(r, s) for d in definitions if selects(d["selector"], s) for r in d["rules"]] for s in profile.columns}
+
+
+# The fields of the closed rule language.
+COLUMN_FIELDS = {"not_null": set(), "finite": set(), "integer": set(), "allowed_values": {"values"}, "bounds": {"min", "max"}, "regex": {"pattern"}, "length": {"min", "max"}, "unique": set(), "datetime_range": {"min", "max"}}
+CONSTRAINT_FIELDS = {
+    "comparison": {"left", "right", "op"},
+    "conditional_domain": {"condition", "when", "target", "then"},
+    "mutual_exclusion": {"columns", "truthy", "max"},
+    "sum_equals": {"columns", "total", "relative", "absolute"},
+    "allowed_combinations": {"columns", "allowed"},
+    "functional_dependency": {"columns", "dependent", "mapping"},
+}
+SELECTOR_FIELDS = {"column_ids", "semantic_types", "nullable_model_input", "roles_any", "valid_domain_keys"}
+
+
+def check_contract(profile: Profile, definitions: list[Mapping], constraints: Mapping[str, Mapping]) -> None:
+    """Refuses a contract with unknown types or fields, columns that do not exist, or a column without any rule."""
+
+    def refuse(detail: str) -> None:
+        raise GateError("invalid_validity_contract", detail)
+
+    for d in definitions:
+        if set(d) != {"selector", "rules"} or not set(d["selector"]) <= SELECTOR_FIELDS or not d["selector"]:
+            refuse(f"selector {sorted(d.get('selector', {}))}")
+        if unknown := set(d["selector"].get("column_ids", [])) - set(profile.names()):
+            refuse(f"unknown columns {sorted(unknown)}")
+        for r in d["rules"]:
+            if r.get("type") not in COLUMN_FIELDS:
+                refuse(f"rule type {r.get('type')}")
+            if extra := set(r) - {"type"} - COLUMN_FIELDS[r["type"]]:
+                refuse(f"{r['type']}: {sorted(extra)}")
+            if r["type"] == "regex":
+                re.compile(r["pattern"])
+    for name, r in constraints.items():
+        if r.get("type") not in CONSTRAINT_FIELDS:
+            refuse(f"constraint type {r.get('type')}")
+        if extra := set(r) - {"type", "applies", "missing"} - CONSTRAINT_FIELDS[r["type"]]:
+            refuse(f"{name}: {sorted(extra)}")
+        if r.get("missing", "violation") not in ("violation", "not_applicable"):
+            refuse(f"{name}: missing behaviour {r['missing']}")
+        if unknown := set(constraint_columns(r)) - set(profile.names()):
+            refuse(f"{name}: unknown columns {sorted(unknown)}")
+    if bare := [c for c, rules in column_rules(profile, definitions).items() if not rules]:
+        refuse(f"columns without a rule: {bare}")
+
+
 def with_unique_counts(df: DataFrame, names: list[str]) -> DataFrame:
     """Group sizes for ``unique``: counted first and joined, so a hot value never gathers its rows in one task."""
     for name in names:
@@ -58,6 +129,17 @@ def constraint_columns(rule: Mapping) -> list[str]:
     return list(dict.fromkeys([*rule.get("columns", []), *[rule[k] for k in ("left", "right", "condition", "target", "dependent", "total") if k in rule]]))
 
 
+def _determined(rule: Mapping) -> Column:
+    """The determinant tuple is one that the mapping names, and the dependent value is the named one."""
+    known = [(k if isinstance(k, tuple) else (k,), v) for k, v in rule["mapping"].items()] if isinstance(rule["mapping"], Mapping) else [(tuple(r["determinant"]), r["dependent"]) for r in rule["mapping"]]
+    rows = [F.struct(*[F.lit(x) for x in (*determinant, dependent)]) for determinant, dependent in known]
+    columns = [F.col(c) for c in (*rule["columns"], rule["dependent"])]
+    complete = F.lit(True)
+    for c in columns:
+        complete = complete & c.isNotNull()
+    return complete & F.struct(*columns).isin(*rows)
+
+
 def constraint(rule: Mapping) -> tuple[Column, Column]:
     """(applicable, satisfied) of a cross-column constraint."""
     columns, kind = constraint_columns(rule), rule["type"]
@@ -67,7 +149,7 @@ def constraint(rule: Mapping) -> tuple[Column, Column]:
         "mutual_exclusion": lambda: sum((F.when(F.col(c).isin(*rule["truthy"]), 1).otherwise(0) for c in rule["columns"]), F.lit(0)) <= rule["max"],
         "sum_equals": lambda: is_close(sum((F.col(c) for c in rule["columns"][1:]), F.col(rule["columns"][0])), F.col(rule["total"]), rule.get("relative", 1e-9), rule.get("absolute", 0.0)),
         "allowed_combinations": lambda: F.struct(*[F.col(c) for c in rule["columns"]]).isin(*[F.struct(*[F.lit(v) for v in combination]) for combination in rule["allowed"]]),
-        "functional_dependency": lambda: F.element_at(F.create_map(*[F.lit(x) for pair in rule["mapping"].items() for x in pair]), F.concat_ws("|", *[F.col(c).cast("string") for c in rule["columns"]])).eqNullSafe(F.col(rule["dependent"])),
+        "functional_dependency": lambda: _determined(rule),
     }
     satisfied = truthy(made[kind]())
     if rule.get("missing", "violation") == "violation":

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expressions import ratio
+from tallyframe.operators.stats import running_sums
 
 
 def class_metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
@@ -30,10 +31,10 @@ def ranking_scores(df: DataFrame, label: Column, score: str) -> DataFrame:
 
     Scores are counted first, so the running sums pass over distinct scores only.
     """
-    counts = df.groupBy(F.col(score).alias("s")).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("q"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    c = counts.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("q").over(down)})
-    total = c.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"), F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)).alias("area"), F.sum(F.col("p") * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("ap"))
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("q"))
+    c = running_sums(counts, [], "s", ["p", "q"], descending=True)
+    tp, fp = F.col("upto_p"), F.col("upto_q")
+    total = c.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"), F.sum(F.col("q") * (tp - F.col("p") / 2)).alias("area"), F.sum(F.col("p") * ratio(tp, tp + fp)).alias("ap"))
     return total.select(ratio(F.col("area"), F.col("np") * F.col("nq")).alias("roc_auc"), F.when(F.col("nq") > 0, ratio(F.col("ap"), F.col("np"))).alias("average_precision"))
 
 

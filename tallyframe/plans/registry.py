@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import expressions as X
-from tallyframe.operators import audit, distance, fidelity, preprocess, rules, utility
+from tallyframe.operators import audit, distance, fidelity, preprocess, rules, stats, utility
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -176,10 +176,7 @@ def g04_moments(spark, d):
 
 @registered("SELECT category, n, round(n / (sum(n) OVER ())::DOUBLE, 6) AS share, row_number() OVER (ORDER BY n DESC, category) - 1 AS rank FROM (SELECT o_orderpriority AS category, count(*) AS n FROM orders GROUP BY ALL)")
 def g05_frequencies(spark, d):
-    from pyspark.sql import Window
-
-    out = preprocess.frequency_rank(table(spark, d, "orders"), "o_orderpriority")
-    return out.select("category", "n", r6(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), "share"), F.col("rank").cast("long").alias("rank"))
+    return preprocess.frequency_rank(table(spark, d, "orders"), "o_orderpriority").select("category", "n", r6("share", "share"), F.col("rank").cast("long").alias("rank"))
 
 
 @registered("SELECT count(DISTINCT l_suppkey) AS n_suppliers, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT l_returnflag) AS n_flags FROM lineitem")
@@ -189,8 +186,8 @@ def g06_distinct(spark, d):
 
 @registered("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 6) AS p05, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem GROUP BY ALL")
 def g07_percentiles(spark, d):
-    p = lambda q, n: r6(F.percentile("l_extendedprice", F.lit(q)), n)
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(p(0.05, "p05"), p(0.5, "median"), p(0.95, "p95"))
+    out = stats.quantiles(table(spark, d, "lineitem"), "l_extendedprice", {"p05": 0.05, "median": 0.5, "p95": 0.95}, ["l_returnflag"])
+    return out.select("l_returnflag", *[r6(c, c) for c in ("p05", "median", "p95")])
 
 
 @registered("SELECT l_suppkey, CASE WHEN count(CASE WHEN l_discount > 0 THEN l_discount END) = count(*) THEN round(avg(l_discount), 6) END AS complete_mean, count(*) AS expected FROM lineitem GROUP BY ALL")
@@ -298,7 +295,8 @@ def f01_dcr(spark, d):
 def f02_dcr_share(spark, d):
     train, test, candidate = _customers(spark, d)
     out = distance.dcr(candidate, train, test, "c_custkey", ["c_acctbal"], ["c_mktsegment", "c_nationkey"])
-    return out.agg(r6(F.avg(F.when(F.col("dcr_train") < F.col("dcr_test"), 1.0).otherwise(0.0)), "share"), r6(F.percentile("dcr_train", F.lit(0.5)), "median_distance"))
+    middle = stats.quantiles(out, "dcr_train", {"median_distance": 0.5})
+    return distance.dcr_share(out).join(middle).select(r6("share", "share"), r6("median_distance", "median_distance"))
 
 
 _L2 = "WITH c AS (SELECT *, c_custkey % 3 AS arm FROM customer), x AS (SELECT max(c_acctbal) - min(c_acctbal) AS r FROM c WHERE arm = 0), p AS (SELECT s.c_custkey, sqrt(pow(abs(s.c_acctbal - t.c_acctbal) / r, 2) + CASE WHEN s.c_mktsegment <> t.c_mktsegment THEN 1 ELSE 0 END) AS d FROM c s, c t, x WHERE s.arm = 2 AND t.arm = 0), n AS (SELECT c_custkey, d, row_number() OVER (PARTITION BY c_custkey ORDER BY d) AS k FROM p)"
@@ -314,9 +312,8 @@ def f05_two_nearest(spark, d):
 @registered(_L2 + ", f AS (SELECT q, d FROM (SELECT d FROM n WHERE k = 1), (SELECT unnest([0.1, 0.2, 0.3, 0.4]::DOUBLE[]) AS q)), l AS (SELECT q, quantile_cont(d, 0.1) AS a, quantile_cont(d, 0.2) AS b, quantile_cont(d, 0.3) AS c, quantile_cont(d, 0.4) AS e FROM f GROUP BY ALL) SELECT f.q AS quantile, count(*) AS n_kept, round(median(d), 6) AS median_distance FROM f JOIN l ON f.q = l.q WHERE d >= CASE WHEN f.q = 0.1 THEN a WHEN f.q = 0.2 THEN b WHEN f.q = 0.3 THEN c ELSE e END GROUP BY ALL")
 def f07_privacy_curve(spark, d):
     train, _, candidate = _customers(spark, d)
-    near = distance.nearest(candidate, train, "c_custkey", ["c_acctbal"], ["c_mktsegment"], kind="l2", mismatch=1.0).select(F.get("distances", F.lit(0)).alias("d"))
-    levels = near.agg(F.percentile("d", F.array(*[F.lit(q) for q in (0.1, 0.2, 0.3, 0.4)])).alias("l")).select(F.posexplode("l").alias("i", "least"))
-    return near.join(F.broadcast(levels), F.col("d") >= F.col("least")).groupBy(F.round((F.col("i") + 1) / 10, 1).alias("quantile")).agg(F.count(F.lit(1)).alias("n_kept"), r6(F.percentile("d", F.lit(0.5)), "median_distance"))
+    near = distance.nearest(candidate, train, "c_custkey", ["c_acctbal"], ["c_mktsegment"], kind="l2", mismatch=1.0).select(distance.least().alias("d"))
+    return distance.privacy_curve(near, "d", [0.1, 0.2, 0.3, 0.4]).select("quantile", "n_kept", r6("median_distance", "median_distance"))
 
 
 @registered("WITH s AS (SELECT l_quantity, l_discount, l_tax, count(*) AS k FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY ALL), r AS (SELECT DISTINCT l_quantity, l_discount, l_tax FROM lineitem WHERE l_orderkey % 2 = 0), j AS (SELECT s.*, r.l_quantity IS NOT NULL AS hit FROM s LEFT JOIN r ON s.l_quantity IS NOT DISTINCT FROM r.l_quantity AND s.l_discount IS NOT DISTINCT FROM r.l_discount AND s.l_tax IS NOT DISTINCT FROM r.l_tax) SELECT sum(k)::BIGINT AS n_candidate, coalesce(sum(k) FILTER (hit), 0)::BIGINT AS n_equal, round(coalesce(sum(k) FILTER (hit), 0) / sum(k)::DOUBLE, 6) AS share_equal, count(*) FILTER (hit) AS distinct_matched, max(k) FILTER (hit) AS most_copies, sum(k - 1)::BIGINT AS internal_duplicates FROM j")

@@ -61,21 +61,30 @@ def b16_dequantise_inverse(spark, d):
     return table(spark, d, "part").select("p_partkey", F.floor("p_retailprice").alias("floored"), F.rint("p_retailprice").cast("long").alias("rounded"))
 
 
-@registered("WITH e AS (SELECT quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS b, quantile_cont(p_retailprice, 0.75) AS c FROM part) SELECT p_partkey, ((p_retailprice >= a)::INT + (p_retailprice >= b)::INT + (p_retailprice >= c)::INT) AS bin FROM part, e")
+_AT = "greatest(ceil(n * i / 16.0), 1)"
+_EDGES = f"WITH o AS (SELECT p_retailprice AS v, row_number() OVER (ORDER BY p_retailprice) AS k, count(*) OVER () AS n FROM part), e AS (SELECT DISTINCT (SELECT (min(v) FILTER (k >= {_AT}) + min(v) FILTER (k >= CASE WHEN i > 0 AND i < 16 AND n * i % 16 = 0 THEN n * i / 16.0 + 1 ELSE {_AT} END)) / 2 FROM o) AS edge FROM (SELECT unnest(range(0, 17)) AS i))"
+
+
+@registered(_EDGES + ", inner_edges AS (SELECT edge FROM e WHERE edge > (SELECT min(edge) FROM e) AND edge < (SELECT max(edge) FROM e)) SELECT p_partkey, (SELECT count(*) FROM inner_edges WHERE edge <= p_retailprice)::VARCHAR AS bin FROM part")
 def b22_quantile_bins(spark, d):
-    return preprocess.quantile_bins(table(spark, d, "part"), "p_retailprice", 4)[0].select("p_partkey", F.col("p_retailprice_bin").alias("bin"))
+    part = table(spark, d, "part")
+    return preprocess.quantile_bins(part, "p_retailprice", preprocess.fit_quantile_bins(part, "p_retailprice")).select("p_partkey", F.col("p_retailprice_bin").alias("bin"))
 
 
-@registered("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN NULL ELSE c_mktsegment END AS cleaned, ' ' || trim(c_mktsegment) AS repaired, regexp_replace(c_name, '[0-9]+$', '') AS stem FROM customer")
+@registered("SELECT c_custkey, CASE trim(c_mktsegment) WHEN 'BUILDING' THEN 'nan' ELSE trim(c_mktsegment) END AS segment, regexp_replace(trim(c_comment), '\\.$', '') AS comment, ' ' || trim(c_name) AS name FROM (SELECT c_custkey, c_mktsegment, c_name, c_name || '.' AS c_comment FROM customer)")
 def b27_cleaning(spark, d):
-    c = F.col("c_mktsegment")
-    return table(spark, d, "customer").select("c_custkey", X.marker_to_null(c, ("BUILDING",)).alias("cleaned"), F.concat(F.lit(" "), F.trim(c)).alias("repaired"), F.regexp_replace("c_name", "[0-9]+$", "").alias("stem"))
+    c = table(spark, d, "customer").withColumn("c_comment", F.concat("c_name", F.lit(".")))
+    c = preprocess.clean_categories(c, ["c_mktsegment"], marker="BUILDING")
+    c = preprocess.clean_categories(c, ["c_comment"], strip_dot=True)
+    c = preprocess.clean_categories(c, ["c_name"], leading_space=True)
+    return c.select("c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_comment").alias("comment"), F.col("c_name").alias("name"))
 
 
-@registered("SELECT s_suppkey, round(least(greatest(s_acctbal, (SELECT quantile_cont(c_acctbal, 0.1) FROM customer)), (SELECT quantile_cont(c_acctbal, 0.9) FROM customer)), 6) AS clamped FROM supplier")
+@registered("SELECT s_suppkey, round(least(greatest(s_acctbal, (SELECT min(c_acctbal) FROM customer)), (SELECT max(c_acctbal) FROM customer)), 6) AS s_acctbal, least(greatest(s_nationkey, (SELECT min(c_nationkey) FROM customer)), (SELECT max(c_nationkey) FROM customer))::BIGINT AS s_nationkey FROM supplier")
 def f11_clamp(spark, d):
-    bounds = table(spark, d, "customer").agg(F.percentile("c_acctbal", F.lit(0.1)).alias("lo"), F.percentile("c_acctbal", F.lit(0.9)).alias("hi"))
-    return table(spark, d, "supplier").join(F.broadcast(bounds)).select("s_suppkey", r6(F.least(F.greatest("s_acctbal", "lo"), F.col("hi")), "clamped"))
+    observed = table(spark, d, "customer").select(F.col("c_acctbal").alias("s_acctbal"), F.col("c_nationkey").alias("s_nationkey"))
+    out = preprocess.clamp_to_observed(table(spark, d, "supplier"), observed, ["s_acctbal", "s_nationkey"])
+    return out.select("s_suppkey", r6("s_acctbal", "s_acctbal"), F.col("s_nationkey").cast("long").alias("s_nationkey"))
 
 
 @registered("SELECT l_returnflag, l_linestatus, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY l_returnflag))::DOUBLE, 6) AS share FROM lineitem GROUP BY l_returnflag, l_linestatus")
