@@ -8,6 +8,7 @@ later documents, which is what keeps padding near zero.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -16,15 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tallyframe.llm.shared import grouped, narrow, rows
 
 # Fixed value: the pre-tokenisation pattern of this byte-level BPE vocabulary.
-_PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_CACHED = 500_000
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_CACHED = 300_000
 
 
 @dataclass(frozen=True)
@@ -51,29 +52,42 @@ class _Known(dict):
         return found
 
 
+def _stand_ins() -> dict[str, int]:
+    """The printable stand-ins of bytes in a byte-level vocabulary, by their rule."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Tokenizer:
     """Ids that the ``tokenizers`` library gives for the vocabulary file, without adding special tokens.
 
     Pre-tokens never span from a visible character into a following space, so a text without unusual white space is cut
-    at its spaces, and each pre-token is encoded once; texts with it, or with the string of an added token, are encoded whole.
+    at its spaces and each piece is encoded once, by another byte-pair encoder over the same file, which takes a quarter
+    of the time for one word. Texts with unusual white space, or with the string of an added token, go through the library.
     """
 
     def __init__(self, path: str | None = None):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the workers are processes of one core each
-        from tokenizers import Tokenizer as Library
-
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("byte_bpe_50k.json")
-        self.library = Library.from_file(path)
-        added = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.unusual = re.compile("|".join([r"[^\S \n]", "^ ", r" \Z", "  ", "\n \n", *map(re.escape, added)]))
-        pretokens = _Known(self.whole)
-        split = lambda piece: b"".join([pretokens[x] for x in _PRETOKENS.findall(piece)])
-        self.first, self.later = _Known(split), _Known(lambda piece: split(" " + piece))
+        self.path, self.library = path, None
+        with open(path, encoding="utf-8") as source:
+            model = json.load(source)
+        added, byte = {x["content"] for x in model["added_tokens"]}, _stand_ins()
+        ranks = {bytes(byte[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in added}
+        pairs = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.unusual = re.compile("|".join([r"[^\S \n]", "^ ", r" \Z", "  ", "\n \n", *map(re.escape, sorted(added))]))
+        packed = lambda piece: np.array(pairs(piece), dtype="<u4").tobytes()
+        self.first, self.later = _Known(packed), _Known(lambda piece: packed(" " + piece))
 
     def whole(self, text: str) -> bytes:
+        if self.library is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the workers are processes of one core each
+            from tokenizers import Tokenizer as Library
+
+            self.library = Library.from_file(self.path)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:

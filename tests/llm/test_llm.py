@@ -189,6 +189,17 @@ def test_tokenizer_on_white_space(text):
     assert np.frombuffer(packing.tokenizer_of(None).ids(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_tokenizer_on_random_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference, own, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.tokenizer_of(None), np.random.default_rng(2)
+    parts = ["a", "Word", "ñandú", "straße", "12", "'s", "'LL", ".", ",", "!!", "\n", " ", " ", " ", " ", "\t", "x", "<|endoftext|>", "<|", "日本", "🙂", "\u00a0", "e\u0301", "-", "_", "\r\n"]
+    texts = ["".join(r.choice(parts, r.integers(1, 30))) for _ in range(4000)]
+    for text, e in zip(texts, reference.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == e.ids, text
+
+
 def brute_components(rows):
     sets = []
     for _, t in rows:
