@@ -21,14 +21,13 @@ from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.components import components, find_root, join_roots
-from tallyframe.llm.shared import binary16, bound_batches, grouped, materialize, narrow, partitions, rows, small_side
+from tallyframe.llm.shared import binary16, bound_batches, grouped, materialize, narrow, partitions, release, rows, small_side
 from tallyframe.llm.shingles import set_key, shingle_sets
 
 
@@ -40,7 +39,7 @@ class JaccardParams:
     locally: int = 2  # and of these within one worker's block of sets
     most_frequent: int = 1_000_000  # so many are broadcast at most (8 MB); the order stays exact with any choice
     longest: int = 256  # sets in the list of a shingle that is not frequent; grows only if more shingles had longer ones than are broadcast
-    block_tokens: int = 1 << 20
+    block_tokens: int = 1 << 19
     group: int = 2_000  # sets of one pivot that a task compares with as many others
 
 
@@ -169,11 +168,13 @@ def token_counts(docs: DataFrame, parts: int, params: JaccardParams) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "block", "tokens", "several"])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: dict[int, list] = {}
         for batch in batches:
             for part, block, tokens, several in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "tokens", "several"))):
                 held.setdefault(part, []).append((block, tokens, several))
-        for part, found in held.items():
+        for part in list(held):
+            found = held.pop(part)
             wide = [np.zeros((len(t) // 6, 8), dtype=np.uint8) for _, t, _ in found]
             counts = []
             for w, (_, tokens, several) in zip(wide, found):
@@ -196,8 +197,9 @@ def token_counts(docs: DataFrame, parts: int, params: JaccardParams) -> DataFram
                 out.write_batch(table)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "part", "told"])
 
-    counted = docs.mapInArrow(ask, ASKED).repartition(parts, "part").mapInArrow(tell, TOLD)
-    return docs.mapInArrow(home, TOLD).unionByName(counted).repartition(parts, "block")
+    tasks = partitions(docs.sparkSession)
+    counted = docs.mapInArrow(ask, ASKED).repartition(tasks, "part").mapInArrow(tell, TOLD)
+    return docs.mapInArrow(home, TOLD).unionByName(counted).repartition(tasks, "block")
 
 
 def prefix_index(counted: DataFrame, hot, parts: int, count_parts: int, params: JaccardParams) -> DataFrame:
@@ -237,6 +239,7 @@ def prefix_index(counted: DataFrame, hot, parts: int, count_parts: int, params:
         return np.concatenate(made) if made else np.empty(0, dtype=ENTRY)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: dict[int, dict] = {}
         for batch in batches:
             for block, part, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "told"))):
@@ -347,6 +350,7 @@ def candidate_pairs(index: DataFrame, hot, longest: int, params: JaccardParams)
     """Pairs of sets that share prefix shingles, with how many; pairs of a pivot and a set (star = 1); the shingles whose lists are too long, with the least set."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         blobs = [_unpacked(x) for batch in batches for x in batch.column("entries").to_pylist()]
         if not blobs:
             return
@@ -445,10 +449,11 @@ def derived_links(verified: DataFrame, joined: DataFrame, texts: DataFrame, para
     left = own.where("component <> largest").withColumns({"x": block("lefts"), "side": F.lit(0)}).withColumn("y", every("rights"))
     right = own.withColumns({"y": block("rights"), "side": F.lit(1)}).withColumn("x", every("lefts"))
 
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        order = frame.sort_values(["side", "n", "key"], kind="stable")
-        key, n, hot, o, c, side = (order[x].to_numpy() for x in ("key", "n", "hot", "overlap", "component", "side"))
-        big, texts, known, parent, out = order["largest"].iloc[0], order["text"].tolist(), {}, {}, []
+    def group(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("n", "ascending"), ("key", "ascending")])
+        n, hot, o, side = (table.column(x).to_numpy() for x in ("n", "hot", "overlap", "side"))
+        key, c = (np.array(table.column(x).to_pylist(), dtype=object) for x in ("key", "component"))
+        big, texts, known, parent, out = table.column("largest")[0].as_py(), table.column("text").to_pylist(), {}, {}, []
 
         def tokens(i: int) -> np.ndarray:
             if i not in known:
@@ -471,9 +476,9 @@ def derived_links(verified: DataFrame, joined: DataFrame, texts: DataFrame, para
                 if int(_in_sorted(tokens(i), tokens(x)).sum()) >= need:
                     join_roots(parent, c[i], c[x])
                     out.append((key[i], key[x]))
-        return pd.DataFrame(out, columns=["a", "b"])
+        return pa.table([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    return left.select(*columns).union(right.select(*columns)).groupBy("pivot", "x", "y").applyInPandas(group, "a binary, b binary").distinct()
+    return left.select(*columns).union(right.select(*columns)).groupBy("pivot", "x", "y").applyInArrow(group, "a binary, b binary").distinct()
 
 
 def _links(base: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
@@ -482,11 +487,11 @@ def _links(base: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame
     ``base`` is read several times and has to give the same partitions each time; else the run fails.
     """
     spark = base.sparkSession
-    frequent, longest, parts = frequent_shingles(sets, params), params.longest, partitions(spark)
+    frequent, longest, parts = frequent_shingles(sets, params), params.longest, 4 * partitions(spark)
     counted = token_counts(base, parts, params)
     while True:
         hot = spark.sparkContext.broadcast(frequent)
-        found = candidate_pairs(prefix_index(counted, hot, 4 * parts, parts, params), hot, longest, params)
+        found = candidate_pairs(prefix_index(counted, hot, parts, parts, params), hot, longest, params)
         found = found.groupBy("a", "b", "token").agg(*[F.first(c).alias(c) for c in ("ha", "hb")], F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("star").alias("star"))
         pairs = materialize(found.where((F.col("star") == 1) | F.col("token").isNotNull() | _possible(params.percent, F.col("shared"))).select("a", "b", "ha", "hb", "star", "token"), "pairs")
         late = pairs.where("token is not null").select("token", "a").limit(max(0, params.most_frequent - len(frequent.tokens)) or 1).toArrow()

@@ -18,14 +18,13 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tallyframe.llm.components import components, find_root, join_roots
-from tallyframe.llm.shared import binary16, bound_batches, grouped, materialize, partitions, rows, small_side
+from tallyframe.llm.shared import binary16, bound_batches, grouped, materialize, partitions, release, rows, small_side
 from tallyframe.llm.shingles import mix, powers
 
 
@@ -238,6 +237,7 @@ def candidates(indexed: DataFrame, params: LineParams) -> DataFrame:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held = []
         for batch in batches:
             for blob in batch.column("entries").to_pylist():
@@ -439,13 +439,13 @@ def dedup(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     return _dedup(docs, params).select("own.*", F.col("lines").alias("_lines"))
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _without(text: pa.Array, removed: pa.Array) -> pa.Array:
     out = []
-    for t, gone in zip(text, removed):
-        gone = set(map(int, gone))
+    for t, gone in zip(text.to_pylist(), removed.to_pylist()):
+        gone = set(gone)
         out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
-    return pd.Series(out)
+    return pa.array(out, pa.string())
 
 
 def drop_repeated(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -73,8 +74,17 @@ def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in ("text", "html") else F.col(c) for c in columns])
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system, since workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Re-cuts batches so that one piece holds about ``limit`` bytes of ``column`` (one long value may exceed it)."""
+    release()
     for batch in batches:
         values = batch.column(column)
         if batch.num_rows == 0:
