@@ -195,6 +195,7 @@ def resample(rounds: list[DataFrame], distance: str, key: str, quantile: float,
 
 def privacy_curve(scored: DataFrame, distance: str, shares: list[float]) -> DataFrame:
     """(quantile, n_kept, median_distance) of what is left when the rows below each quantile of distances are dropped."""
+    scored = scored.select(distance).persist()  # read once for the levels and once for each share
     levels = quantiles(scored, distance, {f"q{i}": s for i, s in enumerate(shares)})
     long = levels.select(F.explode(F.array(*[F.struct(F.lit(s).alias("quantile"), F.col(f"q{i}").alias("least")) for i, s in enumerate(shares)])).alias("x")).select("x.*")
     kept = scored.join(F.broadcast(long), F.col(distance) >= F.col("least")).select("quantile", distance)  # a row per share

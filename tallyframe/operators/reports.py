@@ -65,7 +65,7 @@ def leaderboard(df: DataFrame, method: str, dataset: str, value: str) -> DataFra
 def results_matrix(df: DataFrame, method: str, dataset: str, value: str, datasets: list[str], digits: int = 4, absent: str = "--") -> DataFrame:
     """A row per method and a text column per dataset; ``absent`` where there is no result."""
     wide = df.groupBy(method).pivot(dataset, datasets).agg(F.avg(value))
-    return wide.select(method, *[F.coalesce(F.format_string(f"%.{digits}f", F.col(f"`{c}`")), F.lit(absent)).alias(c) for c in datasets])
+    return wide.select(method, *[F.when(F.col(f"`{c}`").isNull(), absent).otherwise(F.format_string(f"%.{digits}f", F.col(f"`{c}`"))).alias(c) for c in datasets])
 
 
 def votes(df: DataFrame, row: str, label: str, weight: Column | None = None) -> DataFrame:

@@ -108,12 +108,6 @@ def c07_cramers_v(spark, d):
     return fidelity.cramers_v(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus").select("pair_name", F.round("chi2", 4).alias("chi2"), "n", r6("v", "v"))
 
 
-@registered("""SELECT count(*) FILTER (score IS NOT NULL) AS n_evaluated, count(*) AS n_requested, round(avg(score), 6) AS property_score FROM (SELECT 1 - abs(corr(l_quantity, l_extendedprice) FILTER (l_orderkey % 2 = 0) - corr(l_quantity, l_extendedprice) FILTER (l_orderkey % 2 = 1)) / 2 AS score FROM lineitem UNION ALL SELECT 1 - abs(corr(l_discount, l_tax) FILTER (l_orderkey % 2 = 0) - corr(l_discount, l_tax) FILTER (l_orderkey % 2 = 1)) / 2 FROM lineitem)""")
-def c09_denominators(spark, d):
-    scored = fidelity.correlation_similarity(arms(spark, d), NUMERIC).where("(left_column, right_column) in (('l_quantity', 'l_extendedprice'), ('l_discount', 'l_tax'))")
-    return scored.agg(F.count("score").alias("n_evaluated"), F.count(F.lit(1)).alias("n_requested"), r6(F.avg("score"), "property_score"))
-
-
 @registered(f"{_ARMS}, e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM t) SELECT s AS is_candidate, least(floor((l_extendedprice - lo) / (hi - lo) * 20)::INT + 1, 20)::INT AS bin, count(*) AS n FROM t, e GROUP BY ALL")
 def c15_histogram(spark, d):
     return fidelity.histogram(arms(spark, d), "l_extendedprice", 20)
@@ -169,56 +163,17 @@ def d08_unique(spark, d):
     return rules.with_unique_counts(table(spark, d, "lineitem"), ["l_extendedprice"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(rules.column_rule("l_extendedprice", {"type": "unique"})).alias("n_unique"))
 
 
-@registered("SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 6) AS mean, round(stddev_pop(l_extendedprice), 6) AS std_pop, round(stddev_samp(l_extendedprice), 6) AS std_samp, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY ALL")
-def g04_moments(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("l_extendedprice"), "mean"), r6(F.stddev_pop("l_extendedprice"), "std_pop"), r6(F.stddev_samp("l_extendedprice"), "std_samp"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
-
-
 @registered("SELECT category, n, round(n / (sum(n) OVER ())::DOUBLE, 6) AS share, row_number() OVER (ORDER BY n DESC, category) - 1 AS rank FROM (SELECT o_orderpriority AS category, count(*) AS n FROM orders GROUP BY ALL)")
 def g05_frequencies(spark, d):
     return preprocess.frequency_rank(table(spark, d, "orders"), "o_orderpriority").select("category", "n", r6("share", "share"), F.col("rank").cast("long").alias("rank"))
 
 
-@registered("SELECT count(DISTINCT l_suppkey) AS n_suppliers, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT l_returnflag) AS n_flags FROM lineitem")
-def g06_distinct(spark, d):
-    return table(spark, d, "lineitem").agg(F.count_distinct("l_suppkey").alias("n_suppliers"), F.count_distinct("l_partkey").alias("n_parts"), F.count_distinct("l_returnflag").alias("n_flags"))
-
-
 @registered("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 6) AS p05, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem GROUP BY ALL")
 def g07_percentiles(spark, d):
     out = stats.quantiles(table(spark, d, "lineitem"), "l_extendedprice", {"p05": 0.05, "median": 0.5, "p95": 0.95}, ["l_returnflag"])
     return out.select("l_returnflag", *[r6(c, c) for c in ("p05", "median", "p95")])
 
 
-@registered("SELECT l_suppkey, CASE WHEN count(CASE WHEN l_discount > 0 THEN l_discount END) = count(*) THEN round(avg(l_discount), 6) END AS complete_mean, count(*) AS expected FROM lineitem GROUP BY ALL")
-def g10_complete_mean(spark, d):
-    n, v = F.count(F.lit(1)), F.when(F.col("l_discount") > 0, F.col("l_discount"))
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.when(F.count(v) == n, F.round(F.avg(v), 6)).alias("complete_mean"), n.alias("expected"))
-
-
-@registered("SELECT o_orderpriority AS method, round(max(CASE o_orderstatus WHEN 'F' THEN v END), 6) AS f, round(max(CASE o_orderstatus WHEN 'O' THEN v END), 6) AS o, round(max(CASE o_orderstatus WHEN 'P' THEN v END), 6) AS p FROM (SELECT o_orderpriority, o_orderstatus, avg(o_totalprice) AS v FROM orders GROUP BY ALL) GROUP BY ALL")
-def e21_results_matrix(spark, d):
-    out = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("method")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.avg("o_totalprice"))
-    return out.select("method", r6("F", "f"), r6("O", "o"), r6("P", "p"))
-
-
-@registered("SELECT o_orderstatus, max_by(o_orderkey, (o_totalprice, -o_orderkey)) AS best_key, max(o_totalprice) AS best_value FROM orders GROUP BY ALL")
-def g14_best_parameters(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("best_key"), F.max("o_totalprice").alias("best_value"))
-
-
-@registered("WITH seeds AS (SELECT o_orderstatus AS dataset, o_orderpriority AS method, o_orderkey % 5 AS seed, avg(o_totalprice) AS v FROM orders GROUP BY ALL), w AS (SELECT dataset, method, avg(v) AS v FROM seeds GROUP BY ALL) SELECT method, count(*) AS n_datasets, round(avg(v), 6) AS macro_mean FROM w GROUP BY ALL")
-def g17_leaderboard(spark, d):
-    seeds = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("method"), (F.col("o_orderkey") % 5).alias("seed")).agg(F.avg("o_totalprice").alias("v"))
-    return seeds.groupBy("dataset", "method").agg(F.avg("v").alias("v")).groupBy("method").agg(F.count(F.lit(1)).alias("n_datasets"), r6(F.avg("v"), "macro_mean"))
-
-
-@registered("SELECT seed, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(max(abs(v - 1)), 6) AS max_deviation, max(v) - min(v) <= 0.05 AS stable FROM (SELECT l_linenumber AS seed, l_suppkey, avg(l_quantity) / 25.5 AS v FROM lineitem GROUP BY ALL) GROUP BY ALL")
-def g16_stability(spark, d):
-    v = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("seed"), "l_suppkey").agg((F.avg("l_quantity") / 25.5).alias("v"))
-    return v.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("v"), "mean"), r6(F.stddev_pop("v"), "std"), r6(F.max(F.abs(F.col("v") - 1)), "max_deviation"), (F.max("v") - F.min("v") <= 0.05).alias("stable"))
-
-
 _PRED = "WITH t AS (SELECT o_orderstatus AS y, CASE WHEN o_totalprice > 250000 THEN 'F' WHEN o_orderkey % 3 = 0 THEN 'P' ELSE 'O' END AS p FROM orders)"
 
 
@@ -268,11 +223,6 @@ def e11_ordinal_codes(spark, d):
     return preprocess.ordinal(part, preprocess.category_codes(part.where("p_partkey % 2 = 0"), "p_type"), "p_type").select("p_partkey", F.col("p_type_code").cast("int").alias("code"))
 
 
-@registered("SELECT round(ln(greatest(p_retailprice, 0.01)), 6) AS logged, round((p_size - 1) / 49.0 * 5, 6) AS scaled, round(ln(least(greatest(p_retailprice, 1), 20000)), 6) AS target, p_partkey FROM part")
-def e13_features(spark, d):
-    return table(spark, d, "part").select("p_partkey", r6(F.ln(F.greatest("p_retailprice", F.lit(0.01))), "logged"), r6((F.col("p_size") - 1) / 49.0 * 5, "scaled"), r6(F.ln(F.least(F.greatest("p_retailprice", F.lit(1.0)), F.lit(20000.0))), "target"))
-
-
 def _customers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = table(spark, d, "customer")
     return c.where("c_custkey % 3 = 0"), c.where("c_custkey % 3 = 1"), c.where("c_custkey % 3 = 2")
@@ -339,11 +289,6 @@ def a33_slugs(spark, d):
     return audit.slugs(table(spark, d, "nation").withColumn("s", X.slug(F.col("n_name"))), "n_nationkey", "s").select("n_nationkey", "column_id")
 
 
-@registered("SELECT l_linestatus AS split, count(*) AS n, count(*) FILTER (l_returnflag NOT IN ('A', 'N', 'R')) AS n_outside, count(*) FILTER (NOT l_quantity BETWEEN 1 AND 50) AS n_range FROM lineitem GROUP BY ALL")
-def a28_domain_checks(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("split")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("l_returnflag").isin("A", "N", "R")).alias("n_outside"), F.count_if(~F.col("l_quantity").between(1, 50)).alias("n_range"))
-
-
 @registered("WITH m AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS x, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS g, c_custkey FROM customer), f AS (SELECT avg(x) AS mx FROM m), k AS (SELECT g FROM m WHERE g IS NOT NULL GROUP BY g ORDER BY count(*) DESC, g LIMIT 1) SELECT c_custkey, round(coalesce(x, mx), 6) AS x, coalesce(m.g, k.g) AS g, (x IS NULL)::INT AS x__missing, (m.g IS NULL)::INT AS g__missing FROM m, f, k")
 def b04_impute(spark, d):
     m = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("x"), F.when(F.col("c_custkey") % 11 != 0, F.col("c_mktsegment")).alias("g"))
@@ -398,14 +343,6 @@ def w04_largest_remainder(spark, d):
     return audit.largest_remainder(table(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n")), "n", 100)
 
 
-@registered("SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem) WHERE k <= 2")
-def w03_top_two(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")
-    return table(spark, d, "lineitem").withColumn("k", F.row_number().over(w)).where("k <= 2").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
-
-
 @registered("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def s02_intersect(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
@@ -416,17 +353,7 @@ def s03_except(spark, d):
     return table(spark, d, "part").select(F.col("p_size").alias("k")).subtract(table(spark, d, "lineitem").select(F.col("l_linenumber").alias("k")))
 
 
-@registered("SELECT split, count(*) AS n FROM (SELECT 'train' AS split FROM customer UNION ALL SELECT 'test' FROM supplier) GROUP BY ALL")
-def a06_union_splits(spark, d):
-    return table(spark, d, "customer").select(F.lit("train").alias("split")).unionByName(table(spark, d, "supplier").select(F.lit("test").alias("split"))).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-
-
-@registered("SELECT event_type, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY ALL")
-def e20_event_report(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(r6(F.avg("value"), "mean"), F.count(F.lit(1)).alias("n"))
-
-
-@registered("SELECT doc_id, quality, toxic, row_number() OVER (PARTITION BY quality ORDER BY doc_id) = 1 AS first_of_class FROM labels")
-def w02_first_of_class(spark, d):
-    first = table(spark, d, "labels").groupBy("quality").agg(F.min("doc_id").alias("f"))
-    return table(spark, d, "labels").join(first.withColumnRenamed("quality", "q"), F.col("quality").eqNullSafe(F.col("q"))).select("doc_id", "quality", "toxic", (F.col("doc_id") == F.col("f")).alias("first_of_class"))
+@registered("SELECT l_suppkey, CASE WHEN count(CASE WHEN l_discount > 0 THEN l_discount END) = 4 THEN round(avg(CASE WHEN l_discount > 0 THEN l_discount END), 6) END AS complete_mean FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL")
+def g10_complete_mean(spark, d):
+    v = F.when(F.col("l_discount") > 0, F.col("l_discount"))
+    return table(spark, d, "lineitem").where("l_linenumber = 1").groupBy("l_suppkey").agg(F.round(utility.complete_mean(v, 4), 6).alias("complete_mean"))

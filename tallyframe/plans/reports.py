@@ -2,65 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions import expressions as X
-from tallyframe.operators import preprocess, utility
+from tallyframe.operators import preprocess
 from tallyframe.plans.registry import r6, registered, table
 
-
-@registered("SELECT o_orderpriority AS grp, round((1 - avg(o_totalprice) / 500000) * 100, 3) AS mean_percent, round(stddev_samp(o_totalprice) / 5000, 3) AS std_percent FROM orders GROUP BY ALL")
-def g12_run_report(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg((F.round((1 - F.avg("o_totalprice") / 500000) * 100, 3)).alias("mean_percent"), F.round(F.stddev_samp("o_totalprice") / 5000, 3).alias("std_percent"))
-
-
-@registered("SELECT o_orderstatus AS state, count(*) AS n, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS warnings FROM orders GROUP BY ALL")
-def g13_states(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("state")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("warnings"))
-
-
-@registered("SELECT event_type, round(max(value), 6) AS most, round(median(value), 6) AS middle, round(quantile_cont(value, 0.95), 6) AS p95, round(sum(value), 3) AS total FROM events GROUP BY ALL")
-def g15_resources(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(r6(F.max("value"), "most"), r6(F.percentile("value", F.lit(0.5)), "middle"), r6(F.percentile("value", F.lit(0.95)), "p95"), F.round(F.sum("value"), 3).alias("total"))
-
-
-@registered("WITH v AS (SELECT l_orderkey, l_returnflag, count(*) AS k FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey, arg_max(l_returnflag, (k, l_returnflag)) AS voted, sum(k) AS votes FROM v GROUP BY ALL) SELECT voted, count(*) AS n, sum(votes)::BIGINT AS votes FROM b GROUP BY ALL")
-def e22_votes(spark, d):
-    v = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).alias("k"))
-    b = v.groupBy("l_orderkey").agg(F.max_by("l_returnflag", F.struct("k", "l_returnflag")).alias("voted"), F.sum("k").alias("votes"))
-    return b.groupBy("voted").agg(F.count(F.lit(1)).alias("n"), F.sum("votes").alias("votes"))
-
-
-@registered("WITH k AS (SELECT s_nationkey AS key, s_name AS a FROM supplier), j AS (SELECT coalesce(k.key, n.n_nationkey) AS key, coalesce(max(k.a), max(n.n_name)) AS name FROM k FULL JOIN nation n ON k.key = n.n_nationkey GROUP BY ALL) SELECT key::BIGINT AS key, name FROM j")
-def j07_merge_specs(spark, d):
-    preferred = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("key")).agg(F.max("s_name").alias("a"))
-    other = table(spark, d, "nation").groupBy(F.col("n_nationkey").alias("key")).agg(F.max("n_name").alias("b"))
-    return preferred.join(other, "key", "full_outer").select(F.col("key").cast("long").alias("key"), F.coalesce("a", "b").alias("name"))
-
-
-@registered("SELECT sha256(string_agg(concat_ws(chr(31), n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR), chr(10) ORDER BY n_nationkey)) AS digest, count(*) AS n FROM nation")
-def a31_ordered_hash(spark, d):
-    row = F.concat_ws("\x1f", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("at"), row.alias("row"))))
-    return table(spark, d, "nation").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["row"]), "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
-
-
-@registered("SELECT l_linenumber::BIGINT AS line, min(l_quantity) AS low, max(l_quantity) AS high, count(DISTINCT l_returnflag) AS n_categories, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS categories FROM lineitem GROUP BY ALL")
-def a22_column_info(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("line")).agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.count_distinct("l_returnflag").alias("n_categories"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("categories"))
-
-
-@registered("SELECT count(*) AS n, bool_and(l_quantity % 1 = 0) AS quantity_whole, bool_and(l_discount % 1 = 0) AS discount_whole, bool_and(l_linenumber % 1 = 0) AS line_whole FROM lineitem")
-def a21_integer_columns(spark, d):
-    return table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"), *[F.bool_and(F.col(c) % 1 == 0).alias(n) for c, n in (("l_quantity", "quantity_whole"), ("l_discount", "discount_whole"), ("l_linenumber", "line_whole"))])
-
-
-@registered("SELECT p_partkey, floor(p_retailprice)::BIGINT AS floored, round_even(p_retailprice, 0)::BIGINT AS rounded FROM part")
-def b16_dequantise_inverse(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.floor("p_retailprice").alias("floored"), F.rint("p_retailprice").cast("long").alias("rounded"))
-
-
 _AT = "greatest(ceil(n * i / 16.0), 1)"
 _EDGES = f"WITH o AS (SELECT p_retailprice AS v, row_number() OVER (ORDER BY p_retailprice) AS k, count(*) OVER () AS n FROM part), e AS (SELECT DISTINCT (SELECT (min(v) FILTER (k >= {_AT}) + min(v) FILTER (k >= CASE WHEN i > 0 AND i < 16 AND n * i % 16 = 0 THEN n * i / 16.0 + 1 ELSE {_AT} END)) / 2 FROM o) AS edge FROM (SELECT unnest(range(0, 17)) AS i))"
 
@@ -87,20 +33,3 @@ def f11_clamp(spark, d):
     return out.select("s_suppkey", r6("s_acctbal", "s_acctbal"), F.col("s_nationkey").cast("long").alias("s_nationkey"))
 
 
-@registered("SELECT l_returnflag, l_linestatus, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY l_returnflag))::DOUBLE, 6) AS share FROM lineitem GROUP BY l_returnflag, l_linestatus")
-def h_conditional_table(spark, d):
-    counts = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("l_returnflag", "l_linestatus", "n", r6(F.col("n") / F.sum("n").over(Window.partitionBy("l_returnflag")), "share"))
-
-
-@registered("WITH a AS (SELECT o_orderpriority AS evaluator, o_orderkey % 3 AS seed, avg(o_totalprice) FILTER (o_orderstatus = 'P') AS dummy, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS trtr, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS tstr FROM orders GROUP BY ALL), r AS (SELECT evaluator, CASE WHEN dummy - trtr > 1e-12 THEN (dummy - tstr) / (dummy - trtr) END AS v FROM a) SELECT evaluator, count(v) AS n_defined, CASE WHEN count(v) = 3 THEN round(avg(v), 6) END AS retention FROM r GROUP BY ALL")
-def e08_local_evaluation(spark, d):
-    of = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
-    a = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("evaluator"), (F.col("o_orderkey") % 3).alias("seed")).agg(of("P").alias("dummy"), of("F").alias("trtr"), of("O").alias("tstr"))
-    r = a.select("evaluator", utility.local_retention(F.col("dummy"), F.col("trtr"), F.col("tstr"), F.lit(False)).alias("v"))
-    return r.groupBy("evaluator").agg(F.count("v").alias("n_defined"), F.round(utility.complete_mean(F.col("v"), 3), 6).alias("retention"))
-
-
-@registered("SELECT o_orderpriority AS method, o_orderstatus AS dataset, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY ALL ORDER BY dataset, method")
-def e23_compare_summaries(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("dataset")).agg(F.round(F.avg("o_totalprice"), 4).alias("value")).orderBy("dataset", "method")

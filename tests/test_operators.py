@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.contracts import ColumnSpec, GateError, Profile
 from tallyframe.functions import expressions as X
-from tallyframe.operators import audit, distance, fidelity, preprocess, rules, utility
-from tallyframe.plans import reports  # noqa: F401  registers its queries
+from tallyframe.operators import audit, distance, fidelity, generate, preprocess, rules, stats, utility
+from tallyframe.plans import bundle, evaluate, evaluations, reports  # noqa: F401  register their queries
 from tallyframe.plans.registry import QUERIES, SQL
 
 RULES = {
@@ -134,3 +134,134 @@ def test_query_matches_sql(spark, sf, name):
     assert sorted(columns) == sorted(got.columns)
     key = lambda row: tuple((v is None, round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)) for v in row)
     assert sorted(map(key, got.select(*columns).collect())) == sorted(map(key, want.fetchall()))
+
+
+def test_functional_dependency_compares_whole_tuples(spark):
+    df = spark.createDataFrame([("a|b", "c", 1), ("a", "b|c", 1), ("a|b", "c", 2), (None, "c", 1), ("z", "z", None), ("z", "z", 1)], "x string, y string, v long")
+    rule = {"type": "functional_dependency", "columns": ["x", "y"], "dependent": "v", "mapping": {("a|b", "c"): 1}, "missing": "not_applicable"}
+    applies, satisfied = rules.constraint(rule)
+    assert [r[0] for r in df.select(satisfied).collect()] == [True, False, False, False, False, False]
+    assert [r[0] for r in df.select(applies).collect()] == [True, True, True, False, False, True]
+    listed = rule | {"mapping": [{"determinant": ["a|b", "c"], "dependent": 1}]}
+    assert [r[0] for r in df.select(rules.constraint(listed)[1]).collect()] == [True, False, False, False, False, False]
+
+
+def test_gate_reads_whole_numbers_exactly(spark):
+    profile = Profile("p", (ColumnSpec("i", "integer"), ColumnSpec("x", "continuous")))
+    df = spark.createDataFrame([("5.0", "1.5"), ("9007199254740993", "2")], "i string, x string")
+    assert [tuple(r) for r in audit.gate(df, profile).collect()] == [(5, 1.5), (9007199254740993, 2.0)]
+    broken = spark.createDataFrame([("5.5", "inf"), (None, None)], "i string, x string")
+    with pytest.raises(GateError):
+        audit.gate(broken, profile)
+    kept = audit.gate(broken, profile, preserve=True).collect()
+    assert kept[0].i == 5.5 and math.isinf(kept[0].x) and tuple(kept[1]) == (None, None)
+    with pytest.raises(GateError, match="type_mismatch"):
+        audit.gate(spark.createDataFrame([("a", "1")], "i string, x string"), profile, preserve=True)
+    with pytest.raises(GateError, match="empty_table"):
+        audit.gate_arms({"train": df, "synthetic": df.limit(0), "test": df}, profile)
+
+
+def test_contract_is_closed(spark):
+    profile = Profile("p", (ColumnSpec("a", "continuous", valid_domain={"min": 0, "max": 2}), ColumnSpec("b", "categorical", roles=("target",))))
+    every = [{"selector": {"semantic_types": ["continuous", "categorical"]}, "rules": [{"type": "not_null"}]}, {"selector": {"valid_domain_keys": ["min"]}, "rules": [{"type": "bounds"}]}]
+    rules.check_contract(profile, every, {})
+    assert rules.column_rules(profile, every)["a"] == [{"type": "not_null"}, {"type": "bounds", "min": 0, "max": 2}]
+    for bad in ([{"selector": {"roles_any": ["target"]}, "rules": [{"type": "not_null"}]}], [{"selector": {"column_ids": ["z"]}, "rules": []}], [{"selector": {"column_ids": ["a", "b"]}, "rules": [{"type": "python", "code": "1"}]}]):
+        with pytest.raises(GateError, match="invalid_validity_contract"):
+            rules.check_contract(profile, bad, {})
+    with pytest.raises(GateError):
+        rules.check_contract(profile, every, {"k": {"type": "comparison", "left": "a", "right": "nope", "op": "lt"}})
+
+
+def test_quantiles_and_running_sums(spark):
+    r = np.random.default_rng(3)
+    rows = [(int(g), float(v)) for g, v in zip(r.integers(0, 3, 900), np.round(r.exponential(3, 900), 1))] + [(7, 1.0), (8, None)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.937, "e": 1.0}
+    got = {x.g: tuple(x)[1:] for x in stats.quantiles(df, "v", shares, ["g"]).collect()}
+    for g in (0, 1, 2, 7):
+        mine = [v for k, v in rows if k == g]
+        assert np.allclose(got[g], np.quantile(mine, list(shares.values())))
+    averaged = {x.g: tuple(x)[1:] for x in stats.quantiles(df, "v", shares, ["g"], rule="averaged").collect()}
+    assert np.allclose(averaged[1], np.quantile([v for k, v in rows if k == 1], list(shares.values()), method="averaged_inverted_cdf"))
+    counts = df.where("v is not null").groupBy("v").count()
+    for down in (False, True):
+        placed = sorted(stats.running_sums(counts, [], "v", ["count"], descending=down, buckets=7).collect(), key=lambda x: x.v, reverse=down)
+        assert [x.upto_count for x in placed] == np.cumsum([x["count"] for x in placed]).tolist()
+
+
+@pytest.mark.parametrize("kind", ["l1", "l2", "mean"])
+def test_nearest_against_all_pairs(spark, kind):
+    r = np.random.default_rng(11)
+    make = lambda n, first: [(first + i, None if r.random() < 0.05 else float(np.round(r.normal(), 1)), float(r.integers(0, 4)), None if r.random() < 0.1 else str(r.choice(list("xyz")))) for i in range(n)]
+    a, b = make(60, 0), make(150, 1000)
+    schema = "id long, p double, q double, g string"
+    ranges = [max(x[k] for x in b if x[k] is not None) - min(x[k] for x in b if x[k] is not None) for k in (1, 2)]
+
+    def apart(x, y):
+        d = 0.0
+        for k in (1, 2):
+            gap = 0.0 if x[k] is None and y[k] is None else 1.0 if x[k] is None or y[k] is None else abs(x[k] - y[k]) / ranges[k - 1]
+            d += gap if kind == "l1" else gap * gap if kind == "l2" else min(gap, 1.0)
+        d += (x[3] != y[3]) * (1.0 if kind == "mean" else 2.0)
+        return math.sqrt(d) if kind == "l2" else d / 3 if kind == "mean" else d
+
+    for left, own in ((a, False), (b, True)):
+        found = distance.nearest(spark.createDataFrame(left, schema), spark.createDataFrame(b, schema), "id", ["p", "q"], ["g"], kind=kind, neighbours=3, block=20, skip_equal_key=own)
+        got = {x.id: x for x in found.collect()}
+        assert len(got) == len(left)
+        for x in left:
+            want = sorted((apart(x, y), y[0]) for y in b if not (own and y[0] == x[0]))[:3]
+            assert np.allclose(got[x[0]].distances, [d for d, _ in want])
+            assert np.allclose([apart(x, next(y for y in b if y[0] == k)) for k in got[x[0]].neighbours], [d for d, _ in want])
+
+
+def test_generators_keep_their_promises(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], "xyz"[i % 3] if i % 2 else "x", float(i % 7)) for i in range(60)], "id long, a string, b string, n double")
+    drawn = generate.network_sample(df.withColumn("c", F.concat("a", "b")), {"a": [], "b": [], "c": ["a", "b"]}, 500, 1)
+    assert drawn.count() == 500 and drawn.where("a is null or b is null or c is null").count() == 0
+    made = generate.checked_sample(generate.NetworkGenerator(["n"], ["a", "b"], bins=3).fit(df), 77, 2, {"a": ["a", "b"]})
+    assert made.columns == ["row_id", "n", "a", "b"]
+    assert generate.hill_climb(df.withColumn("c", F.col("b")), ["b", "c"]) in ({"b": ["c"], "c": []}, {"b": [], "c": ["b"]})
+    new = generate.smote(df, "id", ["n"], "a", "a", 25, 3, categorical=["b"]).collect()
+    assert len(new) == 25 and {r.a for r in new} == {"a"} and {r.b for r in new} == {"x"} and all(0 <= r.n <= 6 for r in new)
+    shuffled = generate.shuffled_columns(df, "id", ["n", "a", "b"], 4, levels=3)
+    assert sorted(r.b for r in shuffled.collect()) == sorted(r.b for r in df.collect()) and shuffled.count() == 60
+    assert generate.topped_up({"a": 5, "b": 2}) == {"a": 0, "b": 3}
+
+
+def test_bundle_verifier_recomputes(spark):
+    df = spark.createDataFrame([(float(i), float(2 * i + i % 3), "abc"[i % 3]) for i in range(90)], "x double, y double, g string")
+    profile = Profile("p", (ColumnSpec("x", "continuous"), ColumnSpec("y", "continuous"), ColumnSpec("g", "categorical")))
+    out = evaluate.evaluate_table(df.where("x < 45"), df.where("x >= 45"), profile)
+    assert out.status == "success" and bundle.verify(out.atoms, out.scores).count() == 0
+    wrong = out.atoms.withColumn("weight", F.when(F.col("scope_id") == "x", 0.9).otherwise(F.col("weight")))
+    assert {r.problem for r in bundle.verify(wrong, out.scores).collect()} >= {"not_reproducible", "wrong_contribution"}
+    assert {r.problem for r in bundle.verify(out.atoms, out.scores.withColumn("score", F.col("score") + 0.1)).collect()} == {"wrong_score"}
+    judged = evaluate.evaluate_table(df, df, profile, protocol="p3", definitions=[{"selector": {"semantic_types": ["continuous", "categorical"]}, "rules": [{"type": "not_null"}]}])
+    assert judged.atoms.where("reason_code = 'no_reviewed_constraints'").count() == 1 and judged.status == "success"
+
+
+def test_utility_protocol(spark):
+    r = np.random.default_rng(5)
+    rows = [(float(v), "pq"[int(v + r.normal(0, 0.3) > 0)], "uv"[i % 2]) for i, v in enumerate(r.normal(size=240))]
+    df = spark.createDataFrame(rows, "x double, g string, h string").withColumn("k", F.monotonically_increasing_id())
+    profile = Profile("p", (ColumnSpec("x", "continuous"), ColumnSpec("g", "categorical"), ColumnSpec("h", "categorical")))
+    a, b, c = (df.where(F.col("k") % 3 == i).drop("k") for i in range(3))
+    out = evaluate.evaluate_table(a, b, profile, protocol="p4", test=c, target="g", task="classification", evaluators=["logistic-regression"], seeds=[0, 1], expected_rows=b.count())
+    kept = out.atoms.where("metric_id = 'std-local-utility-retention'").collect()
+    assert len(kept) == 2 and all(x.state == "computed" and x.raw_value > 0.5 for x in kept) and out.status == "success"
+    assert bundle.verify(out.atoms, out.scores).count() == 0
+    lacking = evaluate.evaluate_table(a, b.where("g = 'p'"), profile, protocol="p4", test=c, target="g", task="classification", evaluators=["logistic-regression"], expected_rows=b.where("g = 'p'").count())
+    assert {x.reason_code for x in lacking.atoms.where("metric_id = 'std-local-utility-retention'").collect()} == {"insufficient_target_support"} and lacking.status == "partial"
+
+
+def test_json_and_configs():
+    assert evaluate.canonical_json('{"b": 1, "a": [1.5, null]}') == '{"a":[1.5,null],"b":1}'
+    for bad in ('{"a": 1, "a": 2}', '{"a": NaN}'):
+        with pytest.raises(GateError):
+            evaluate.canonical_json(bad)
+    config = {"a": None, "b": [1, None, {"c": None}]}
+    assert evaluate.unpacked_config(evaluate.packed_config(config)) == config
+    with pytest.raises(GateError, match="invalid_task"):
+        evaluate.check_protocol([{"dataset_id": "d", "columns": [{"name": "x"}]}], [{"task_id": "t", "dataset_id": "d", "target": "x"}])
