@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from tallyframe.llm.quality import CLASS_SHARES, COMMON_SHARE, COMMON_WORDS, QualityParams
+from tallyframe.llm.quality import CLASS_SHARES, COMMON_WORDS, QualityParams, word_reference
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
 
-def _js(own: list[str], reference: list[float]) -> str:
-    terms = [f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + {q} * log2({q} / (({p} + {q}) / 2)))" for p, q in zip(own, map(repr, reference))]
-    return f"sqrt(greatest(({' + '.join(terms)}) / 2, 0))"
+def _js(own: str, reference: list[float]) -> str:
+    """The distance of a list of shares from a reference."""
+    p, q = "own[i]", "ref[i]"
+    term = f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + {q} * log2({q} / (({p} + {q}) / 2)))"
+    return f"sqrt(greatest(list_sum(list_transform(range(1, {len(reference) + 1}), lambda i: {term.replace('own[', own + '[').replace('ref[', str(reference) + '[')})) / 2, 0))"
 
 
 def quality(p: QualityParams = QualityParams()) -> str:
-    in_list = lambda words: ", ".join(f"'{w}'" for w in words)
-    common = " ".join(f"WHEN '{code}' THEN len(list_filter(w, lambda x: lower(x) IN ({in_list(words)})))" for code, words in COMMON_WORDS.items())
-    every = in_list(sorted({w for words in COMMON_WORDS.values() for w in words}))
-    shares = [f"({x})::DOUBLE / nullif(n_long, 0)" for x in ("word_chars - digits - stops - n_symbols", "digits", "n_long - word_chars", "stops", "n_symbols")]
-    share = "common::DOUBLE / greatest(n_words, 1)"
+    bins = lambda words: f"list_transform(range(1, {len(words) + 1}), lambda k: len(list_filter(w, lambda x: lower(x) = {words}[k]))::DOUBLE / greatest(n_words, 1))"
+    full = lambda words: f"list_concat({bins(words)}, [(n_words - len(list_filter(w, lambda x: list_contains({words}, lower(x)))))::DOUBLE / greatest(n_words, 1)])"
+    shares = "[" + ", ".join(f"({x})::DOUBLE / nullif(n_long, 0)" for x in ("joined_chars - digits - stops - n_symbols", "digits", "n_long - joined_chars", "stops", "n_symbols")) + "]"
+    of = lambda made, untold: f"CASE WHEN lang IS NULL THEN least({', '.join(made.values())}) {' '.join(f"WHEN lang = '{code}' THEN {x}" for code, x in made.items())} {untold} END"
+    classes = of({code: _js("shares", q) for code, q in CLASS_SHARES.items()}, f"ELSE {_js('shares', CLASS_SHARES['en'])}")
+    words = of({code: _js(f"b_{code}", word_reference(code)) for code in COMMON_WORDS}, "")
+    histograms = ", ".join(f"CASE WHEN lang IS NULL OR lang = '{code}' THEN {full(known)} END AS b_{code}" for code, known in COMMON_WORDS.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, {_WORDS.format(text="text")} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
@@ -25,12 +29,12 @@ g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELEC
 r AS (SELECT rid, count(DISTINCT j) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY rid, t) AS k FROM g) WHERE k > 1) GROUP BY rid),
 c AS (SELECT rid, doc_id, len(w)::BIGINT AS n_words, length(list_aggregate(w, 'string_agg', ''))::BIGINT AS joined, length(text)::BIGINT AS n_long,
  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(text, '[0-9]'))::BIGINT AS digits, len(regexp_extract_all(text, '[.,;:!?''"()-]'))::BIGINT AS stops,
- (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, CASE WHEN lang IS NULL THEN len(list_filter(w, lambda x: lower(x) IN ({every}))) ELSE CASE lang {common} END END AS common FROM w),
-f AS (SELECT *, coalesce(joined, 0) AS word_chars, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words_ FROM c LEFT JOIN r USING (rid)),
+ (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(length(list_aggregate(w, 'string_agg', '')), 0) AS joined_chars, lang, w FROM w),
+f AS (SELECT *, coalesce(joined, 0) AS word_chars, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words_, {shares} AS shares, {histograms} FROM c LEFT JOIN r USING (rid)),
 s AS (SELECT *, n_words < {p.min_words} OR 100 * n_repeat_words_ > {p.max_repeat_percent} * n_words AS base_failed,
- coalesce({_js(shares, CLASS_SHARES)}, 0) AS a, coalesce({_js([share, f"(1.0 - {share})"], [COMMON_SHARE, 1.0 - COMMON_SHARE])}, 0) AS b FROM f)
+ coalesce({classes}, 0) AS a, coalesce({words}, 0) AS b FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words_ AS n_repeat_words, base_failed,
- NOT base_failed AND NOT (n_words >= {p.guard_words} AND n_long >= {p.guard_chars} AND (a > {p.max_class_distance} OR b > {p.max_word_distance})) AS kept FROM s"""
+ NOT base_failed AND NOT (n_words >= {p.guard_words} AND n_long >= {p.guard_chars} AND (a > {p.max_class_distance} OR b > {p.max_word_distance} + {p.word_slack} / sqrt(greatest(n_words, 1)))) AS kept FROM s"""
 
 
 JACCARD = r"""

@@ -269,6 +269,48 @@ def test_quality(docs):
     assert not got[4, None].kept and set(quality.keep(docs).columns) == set(docs.columns)
 
 
+def brute_quality(text, lang, p=quality.QualityParams()):
+    w, long = re.findall(r"[^\x20\x09-\x0D]+", text), len(text)
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    inside = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in (i, i + 1, i + 2)}
+    chars, symbols = sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text))
+
+    def js(own, ref):
+        part = lambda a, m: a * np.log2(a / m) if a > 0 else 0.0
+        return max(sum(part(a, (a + b) / 2) + part(b, (a + b) / 2) for a, b in zip(own, ref)) / 2, 0) ** 0.5
+
+    digits, stops = len(re.findall("[0-9]", text)), len(re.findall(r"[.,;:!?'\"()-]", text))
+    shares = [x / long for x in (chars - digits - stops - symbols, digits, long - chars, stops, symbols)] if long else None
+    low = [x.lower() for x in w]
+    hist = lambda code: [low.count(x) / max(len(w), 1) for x in quality.COMMON_WORDS[code]] + [sum(x not in quality.COMMON_WORDS[code] for x in low) / max(len(w), 1)]
+    codes = [lang] if lang in quality.COMMON_WORDS else list(quality.COMMON_WORDS) if lang is None else []
+    a = min(js(shares, quality.CLASS_SHARES[c]) for c in codes or ["en"]) if shares else 0.0
+    b = min((js(hist(c), quality.word_reference(c)) for c in codes), default=0.0)
+    failed = len(w) < p.min_words or 100 * len(inside) > p.max_repeat_percent * len(w)
+    strays = len(w) >= p.guard_words and long >= p.guard_chars and (a > p.max_class_distance or b > p.max_word_distance + p.word_slack / max(len(w), 1) ** 0.5)
+    return len(w), chars, symbols, len(lines) - len(set(lines)), len(inside), failed, not failed and not strays
+
+
+def test_quality_against_brute_force(spark, sf):
+    r = np.random.default_rng(31)
+    common = quality.COMMON_WORDS["en"]
+    made = [" ".join(str(x) for x in r.choice([*common * 2, *WORDS, "x#1", "a\nb", "Z."], r.integers(40, 160))) for _ in range(40)] + ["the " * 80, "", None, "\n\n \x0b\n", "#$% " * 60, "12 34, " * 90]
+    rows = [(i, t, [None, "en", "de", "zz"][i % 4]) for i, t in enumerate(made)]
+    rows += [(1000 + x.doc_id, x.text, x.lang) for x in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 3000").limit(60).collect()]
+    got = {x.doc_id: x._q for x in quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, lang in rows:
+        q = got[i]
+        assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words, q.base_failed, q.kept) == brute_quality(t or "", lang), (i, t)
+
+
+@pytest.mark.parametrize("column", ["_q", "__q_text", "__q_own", "kept", "n_words"])
+def test_quality_beside_any_column(docs, column):
+    wide = docs.withColumn(column, F.lit("x"))
+    got = quality.keep(wide)
+    assert got.columns == wide.columns and got.where(F.col(f"`{column}`") == "x").count() == quality.keep(docs).count()
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
