@@ -4,6 +4,7 @@ import io
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -273,7 +274,8 @@ def brute_quality(text, lang, p=quality.QualityParams()):
     w, long = re.findall(r"[^\x20\x09-\x0D]+", text), len(text)
     lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    inside = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in (i, i + 1, i + 2)}
+    many = Counter(grams)
+    inside = {j for i, g in enumerate(grams) if many[g] > 1 for j in (i, i + 1, i + 2)}
     chars, symbols = sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text))
 
     def js(own, ref):
@@ -561,15 +563,47 @@ def test_components(spark):
     assert got == components.local_components(pairs)
 
 
-def test_pipeline(spark, sf):
+def test_pipeline_against_brute_force(spark, sf):
+    """Every stage's rows from the previous stage's, by the plain versions above, down to the packed ids."""
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    held = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, held, sf)
-        assert out.columns == docs.columns, name
-        held = spark.createDataFrame(out.collect(), out.schema)
-    left = {r.doc_id: r.text for r in held.collect()}
+    held = {r.doc_id: (r.text or "", r.lang) for r in docs.collect()}
+    assert len(held) == docs.count()
+    held = {i: t for i, (t, lang) in held.items() if brute_quality(t, lang)[-1]}
+    out, stages = docs, dict(corpus_pipeline.STAGES)
+
+    def same(name):
+        nonlocal out
+        made = stages[name](spark, out, sf)
+        assert made.columns == docs.columns
+        rows = made.collect()
+        out = spark.createDataFrame(rows, docs.schema)
+        assert {r.doc_id: r.text or "" for r in rows} == held and len(rows) == len(held), name
+
+    same("quality rules")
+    gone = brute_lines([(i, t) for i, t in held.items()], lines.LineParams())
+    kept = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in set(gone[i])) if gone[i] else t for i, t in held.items()}
+    held = {i: t for i, t in kept.items() if not gone[i] or t.strip(" \t\n\x0b\x0c\r")}
+    same("line dedup")
+    held = {d: held[d] for d, _, c in brute_components(list(held.items())) if d == c}
+    same("n-gram Jaccard join")
+    params = decontaminate.DecontaminationParams()
+    items = [decontaminate.normalise(r.text or "") for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+
+    def leaks(text):
+        for item in filter(None, items):
+            budget = int(len(item) * params.error_share) if len(item) >= params.short_chars else 0
+            cuts = [len(item) * k // (budget + 1) for k in range(budget + 2)]
+            if any(item[a:b] in text for a, b in zip(cuts, cuts[1:])) and (decontaminate.myers(item, text, budget) <= budget if len(item) >= params.short_chars else f" {item} " in f" {text} "):
+                return True
+        return False
+
+    held = {i: t for i, t in held.items() if not leaks(decontaminate.normalise(t))}
+    same("benchmark decontamination")
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(reference.encode(t, add_special_tokens=False).ids) + 1 for i, t in held.items()}
     packed = corpus_pipeline.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
-    assert {r.doc_id for r in packed} == set(left) and all(r.n == r.t for r in packed)
+    assert {r.doc_id: r.n for r in packed} == {r.doc_id: r.t for r in packed} == want
