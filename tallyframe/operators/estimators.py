@@ -148,7 +148,9 @@ def local_evaluation(arms: dict[str, DataFrame], target: str, task: str, numeric
             state = "insufficient_support" if found is None else "computed" if value is not None else "mathematically_undefined"
             rows.append((target, task, evaluator, seed, arm, name, state, reason if found is None else None if value is not None else "undefined_score", None if value is None else float(value)))
 
-    dummy = scores_of(dummy_predictions(train, test, target, task).withColumn("label", F.col("label").cast("string" if task == "classification" else "double")).withColumn("prediction", F.col("prediction").cast("string" if task == "classification" else "double")), task, labels, positive)
+    kind = "string" if task == "classification" else "double"
+    constant = dummy_predictions(train, test, target, task).select(F.col("label").cast(kind).alias("label"), F.col("prediction").cast(kind).alias("prediction"))
+    dummy = scores_of(constant.withColumn("scores", F.array_repeat(F.lit(0.0), len(labels))) if labels else constant, task, labels, positive)  # one score for all rows: they tie
     for name, seed in product(evaluators, seeds):
         make = EVALUATORS[task][name]
         add(name, seed, "dummy", dummy)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,12 +133,15 @@ def constraint_columns(rule: Mapping) -> list[str]:
 def _determined(rule: Mapping) -> Column:
     """The determinant tuple is one that the mapping names, and the dependent value is the named one."""
     known = [(k if isinstance(k, tuple) else (k,), v) for k, v in rule["mapping"].items()] if isinstance(rule["mapping"], Mapping) else [(tuple(r["determinant"]), r["dependent"]) for r in rule["mapping"]]
-    rows = [F.struct(*[F.lit(x) for x in (*determinant, dependent)]) for determinant, dependent in known]
-    columns = [F.col(c) for c in (*rule["columns"], rule["dependent"])]
-    complete = F.lit(True)
-    for c in columns:
-        complete = complete & c.isNotNull()
-    return complete & F.struct(*columns).isin(*rows)
+    return _is_one_of([F.col(c) for c in (*rule["columns"], rule["dependent"])], [(*determinant, dependent) for determinant, dependent in known])
+
+
+def _is_one_of(columns: list[Column], rows: list[tuple]) -> Column:
+    """Whether the columns together are one of the rows; a missing value is in none. Halves are joined, so the expression stays shallow."""
+    made = [reduce(lambda a, b: a & b, [truthy(c == F.lit(v)) for c, v in zip(columns, row)]) for row in rows] or [F.lit(False)]
+    while len(made) > 1:
+        made = [made[i] | made[i + 1] if i + 1 < len(made) else made[i] for i in range(0, len(made), 2)]
+    return made[0]
 
 
 def constraint(rule: Mapping) -> tuple[Column, Column]:
@@ -148,7 +152,7 @@ def constraint(rule: Mapping) -> tuple[Column, Column]:
         "conditional_domain": lambda: ~truthy(F.col(rule["condition"]).isin(*rule["when"])) | truthy(F.col(rule["target"]).isin(*rule["then"])),
         "mutual_exclusion": lambda: sum((F.when(F.col(c).isin(*rule["truthy"]), 1).otherwise(0) for c in rule["columns"]), F.lit(0)) <= rule["max"],
         "sum_equals": lambda: is_close(sum((F.col(c) for c in rule["columns"][1:]), F.col(rule["columns"][0])), F.col(rule["total"]), rule.get("relative", 1e-9), rule.get("absolute", 0.0)),
-        "allowed_combinations": lambda: F.struct(*[F.col(c) for c in rule["columns"]]).isin(*[F.struct(*[F.lit(v) for v in combination]) for combination in rule["allowed"]]),
+        "allowed_combinations": lambda: _is_one_of([F.col(c) for c in rule["columns"]], [tuple(combination) for combination in rule["allowed"]]),
         "functional_dependency": lambda: _determined(rule),
     }
     satisfied = truthy(made[kind]())

@@ -10,20 +10,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+COARSE = 16
 
 
-def running_sums(counts: DataFrame, keys: list[str], value: str, sums: list[str], *, descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def _buckets(df: DataFrame) -> int:
+    """As many buckets as a key's values need to keep the session's tasks busy."""
+    return min(256, max(COARSE, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
+def _bucket(cuts: Column, value: Column, buckets: int) -> Column:
+    """How many cuts lie below the value; many are searched in two steps."""
+    below = lambda part: F.size(F.filter(part, lambda x: x < value))
+    if buckets <= 2 * COARSE:
+        return below(cuts)
+    coarse = below(F.transform(F.sequence(F.lit(1), F.floor(F.size(cuts) / COARSE).cast("int")), lambda i: F.element_at(cuts, i * COARSE)))
+    coarse = F.when(F.size(cuts) < COARSE, 0).otherwise(coarse)
+    return coarse * COARSE + below(F.slice(cuts, coarse * COARSE + 1, F.lit(COARSE)))
+
+
+def running_sums(counts: DataFrame, keys: list[str], value: str, sums: list[str], *, descending: bool = False, buckets: int | None = None) -> DataFrame:
     """``counts`` (a row per key and value) with ``upto_<s>``, the sum of s up to and with the row, and ``all_<s>``.
 
     Nulls of ``value`` are not allowed; keys may be null.
     """
-    by = [F.col(k) for k in keys]
+    by, buckets = [F.col(k) for k in keys], buckets or _buckets(counts)
     cuts = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000))).alias("_cuts"))
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     renamed = lambda df: df.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     held = counts.join(renamed(cuts), same) if keys else counts.join(F.broadcast(cuts))  # one row
-    held = held.withColumn("_bucket", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts", *[f"_k_{k}" for k in keys])
+    held = held.withColumn("_bucket", _bucket(F.col("_cuts"), F.col(value), buckets)).drop("_cuts", *[f"_k_{k}" for k in keys])
     totals = held.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     order = F.desc("_bucket") if descending else F.asc("_bucket")
     small = Window.partitionBy(*by) if keys else Window.partitionBy(F.lit(1))  # at most ``buckets`` rows of a key

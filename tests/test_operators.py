@@ -185,8 +185,8 @@ def test_quantiles_and_running_sums(spark):
     averaged = {x.g: tuple(x)[1:] for x in stats.quantiles(df, "v", shares, ["g"], rule="averaged").collect()}
     assert np.allclose(averaged[1], np.quantile([v for k, v in rows if k == 1], list(shares.values()), method="averaged_inverted_cdf"))
     counts = df.where("v is not null").groupBy("v").count()
-    for down in (False, True):
-        placed = sorted(stats.running_sums(counts, [], "v", ["count"], descending=down, buckets=7).collect(), key=lambda x: x.v, reverse=down)
+    for down, buckets in ((False, 7), (True, 7), (False, 40), (True, 200)):
+        placed = sorted(stats.running_sums(counts, [], "v", ["count"], descending=down, buckets=buckets).collect(), key=lambda x: x.v, reverse=down)
         assert [x.upto_count for x in placed] == np.cumsum([x["count"] for x in placed]).tolist()
 
 
@@ -235,7 +235,7 @@ def test_bundle_verifier_recomputes(spark):
     profile = Profile("p", (ColumnSpec("x", "continuous"), ColumnSpec("y", "continuous"), ColumnSpec("g", "categorical")))
     out = evaluate.evaluate_table(df.where("x < 45"), df.where("x >= 45"), profile)
     assert out.status == "success" and bundle.verify(out.atoms, out.scores).count() == 0
-    wrong = out.atoms.withColumn("weight", F.when(F.col("scope_id") == "x", 0.9).otherwise(F.col("weight")))
+    wrong = out.atoms.withColumn("weight", F.when(F.col("scope_id") == "g", 0.9).otherwise(F.col("weight")))
     assert {r.problem for r in bundle.verify(wrong, out.scores).collect()} >= {"not_reproducible", "wrong_contribution"}
     assert {r.problem for r in bundle.verify(out.atoms, out.scores.withColumn("score", F.col("score") + 0.1)).collect()} == {"wrong_score"}
     judged = evaluate.evaluate_table(df, df, profile, protocol="p3", definitions=[{"selector": {"semantic_types": ["continuous", "categorical"]}, "rules": [{"type": "not_null"}]}])
