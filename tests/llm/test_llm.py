@@ -252,9 +252,9 @@ def test_one_row_of_each_component_stays(spark):
     a, b = passage(1, 60), passage(2, 60)
     rows = [(3, a), (1, a), (1, b), (1, b), (None, a), (None, passage(3, 50)), (None, passage(3, 50)), (5, None), (5, None), (6, ""), (2, b + " tail")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ident string")
-    for c in ("component", "own", "rows", "key"):
-        got = sorted(((x.doc_id, x.text) for x in jaccard.keep_one(df.withColumn(c, F.lit(1))).collect()), key=str)
-        assert got == sorted([(1, a), (1, b), (None, passage(3, 50)), (5, None), (5, None), (6, "")], key=str)
+    wide = df.withColumns({c: F.lit(1) for c in ("component", "own", "rows", "key")})
+    got = sorted(((x.doc_id, x.text) for x in jaccard.keep_one(wide).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, passage(3, 50)), (5, None), (5, None), (6, "")], key=str)
 
 
 def test_shingles_of_few_words():
@@ -397,10 +397,10 @@ def test_crowded_list_is_linked_without_its_pairs():
 
 def test_clashing_names_of_line_dedup(spark):
     df = spark.createDataFrame([(1, "a line that stands twice here", "x"), (2, "a line that stands twice here\nmore", "y")], "doc_id long, text string, ident string")
-    for c in ("removed", "n_linked", "_ident", "_text", "text_", "own", "lines", "key", "n_lines"):
-        wide = df.withColumn(c, F.lit(5))
-        got = {x.doc_id: x for x in lines.drop_repeated(wide).collect()}
-        assert got[2]["text"] == "more" and got[1][c] == got[2][c] == 5 and set(got[1].asDict()) == set(wide.columns)
+    names = ("removed", "n_linked", "_ident", "_text", "text_", "own", "lines", "key", "n_lines")
+    wide = df.withColumns({c: F.lit(5) for c in names})
+    got = {x.doc_id: x for x in lines.drop_repeated(wide).collect()}
+    assert got[2]["text"] == "more" and all(got[1][c] == got[2][c] == 5 for c in names) and list(got[1].asDict()) == wide.columns
 
 
 def test_short_lines_are_linked_by_equality(spark):
