@@ -159,10 +159,11 @@ def local_evaluation(arms: dict[str, DataFrame], target: str, task: str, numeric
     return spark.createDataFrame(rows, RUNS)
 
 
-def global_evaluation(reference: DataFrame, synthetic: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str], *, evaluators: dict[str, list[str]], seeds: list[int]) -> DataFrame:
+def global_evaluation(reference: DataFrame, synthetic: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str], *, evaluators: dict[str, list[str]], seeds: list[int], scorer: Callable[..., float | None] | None = None) -> DataFrame:
     """(target, task, evaluator, seed, arm, metric, state, reason_code, value): every column as the target of all others, fitted on the reference and on the synthetic arm.
 
     Categories are ordinal codes of the reference's sorted ones, -1 where unknown. A synthetic target of one value has no support.
+    ``scorer`` (train, test, target, task, evaluator, seed, arm) -> value takes the place of the fits here.
     """
     rows, spark = [], reference.sparkSession
     coded = {}
@@ -182,7 +183,10 @@ def global_evaluation(reference: DataFrame, synthetic: DataFrame, test: DataFram
             constant = frames[arm].select(target).distinct().limit(2).count() < 2
             features = Features(frames["reference"], inputs, [])
             for name, seed in product(evaluators[task], seeds):
-                value = None if constant else scores_of(predictions(EVALUATORS[task][name](seed), frames[arm], frames["test"], features, target, task, labels), task, labels)[GLOBAL[task]]
+                if scorer is not None and not constant:
+                    value = scorer(frames[arm], frames["test"], target, task, name, seed, arm)
+                else:
+                    value = None if constant else scores_of(predictions(EVALUATORS[task][name](seed), frames[arm], frames["test"], features, target, task, labels), task, labels)[GLOBAL[task]]
                 state = "insufficient_support" if constant else "computed" if value is not None else "mathematically_undefined"
                 rows.append((target, task, name, seed, arm, GLOBAL[task], state, "constant_target" if constant else None, None if value is None else float(value)))
     return spark.createDataFrame(rows, RUNS)

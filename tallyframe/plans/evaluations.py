@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.contracts import ColumnSpec, Profile
 from tallyframe.functions import expressions as X
-from tallyframe.operators import audit, distance, estimators, generate, preprocess, reports, stats
+from tallyframe.operators import audit, distance, estimators, generate, preprocess, reports, rules, stats
 from tallyframe.plans import bundle, evaluate
 from tallyframe.plans.registry import _KS_BODY, _TV_BODY, CONSTRAINTS, _contingency_sql, r6, registered, table
 from tallyframe.sources import tables
@@ -104,8 +104,8 @@ _P3 = f"WITH t AS (SELECT * FROM ({_RELATED}) WHERE s), v AS (SELECT 'column' AS
 
 @registered(_P3 + ", w AS (SELECT *, g / nullif(m, 0)::DOUBLE AS raw_value, CASE WHEN m = 0 THEN 0 ELSE 1.0 / count(*) FILTER (m > 0) OVER (PARTITION BY scope_type) END AS weight FROM v) SELECT CASE scope_type WHEN 'column' THEN 'std-tabular-column-validity' ELSE 'std-tabular-constraint-validity' END AS metric_id, scope_id, CASE WHEN m = 0 THEN 'not_applicable' ELSE 'computed' END AS state, CASE WHEN m = 0 THEN 'no_applicable_rows' END AS reason_code, round(raw_value, 6) AS raw_value, round(weight, 6) AS weight, round(raw_value * weight, 6) AS aggregate_contribution FROM w")
 def evaluate_table_validity(spark, d):
-    rules = {"combinations": CONSTRAINTS["combinations"], "never": {"type": "comparison", "left": "l_quantity", "right": "l_extendedprice", "op": "lt", "applies": {"type": "column_equals", "column": "l_returnflag", "value": "absent"}}}
-    atoms = evaluate.evaluate_table(*_two_arms(spark, d), JUDGED, protocol="p3", definitions=DEFINITIONS, constraints=rules).atoms
+    held = {"combinations": CONSTRAINTS["combinations"], "never": {"type": "comparison", "left": "l_quantity", "right": "l_extendedprice", "op": "lt", "applies": {"type": "column_equals", "column": "l_returnflag", "value": "absent"}}}
+    atoms = evaluate.evaluate_table(*_two_arms(spark, d), JUDGED, protocol="p3", definitions=DEFINITIONS, constraints=held).atoms
     return atoms.select("metric_id", "scope_id", "state", "reason_code", *[r6(c, c) for c in ("raw_value", "weight", "aggregate_contribution")])
 
 
@@ -600,3 +600,41 @@ def w03_top_two(spark, d):
 def h_conditional_table(spark, d):
     return generate.cumulative(table(spark, d, "lineitem"), "l_linestatus", ["l_returnflag"]).select("l_returnflag", "l_linestatus", r6("low", "low"), r6("high", "high"))
 
+
+@registered("WITH t AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN l_discount END AS half FROM lineitem) SELECT 'some' AS scope_id, count(*) FILTER (l_returnflag IN ('A', 'R') AND l_tax < l_discount) AS n_valid, count(*) FILTER (l_returnflag IN ('A', 'R')) AS n_total FROM t UNION ALL SELECT 'present', count(*) FILTER (half >= l_tax), count(half) FROM t UNION ALL SELECT 'skipped', count(*) FILTER (half <> l_tax), count(half) FROM t UNION ALL SELECT 'missing fails', count(*) FILTER (half >= l_tax), count(*) FROM t")
+def d11_applicability(spark, d):
+    t = table(spark, d, "lineitem").withColumn("half", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount")))
+    compare = lambda a, op, b, **more: {"type": "comparison", "left": a, "op": op, "right": b, **more}
+    constraints = {"some": compare("l_tax", "lt", "l_discount", applies={"type": "column_in", "column": "l_returnflag", "values": ["A", "R"]}), "present": compare("half", "ge", "l_tax", applies={"type": "all_non_missing"}), "skipped": compare("half", "ne", "l_tax", missing="not_applicable"), "missing fails": compare("half", "ge", "l_tax")}
+    return rules.validity(t, {"l_tax": [{"type": "not_null"}]}, constraints).where("scope_type = 'group'").select("scope_id", "n_valid", "n_total")
+
+
+@registered("SELECT 'l_quantity' AS column_id, 3::BIGINT AS n_rules UNION ALL SELECT 'l_extendedprice', 3 UNION ALL SELECT 'l_returnflag', 1 UNION ALL SELECT 'l_linestatus', 1 UNION ALL SELECT 'l_partkey', 1")
+def d10_selected_rules(spark, d):
+    rules.check_contract(JUDGED, DEFINITIONS, {})
+    return spark.createDataFrame([(c, len(r)) for c, r in rules.column_rules(JUDGED, DEFINITIONS).items()], "column_id string, n_rules long")
+
+
+@registered("SELECT n_nationkey, n_name FROM nation")
+def w08_permutation(spark, d):
+    return generate.permuted(table(spark, d, "nation"), "n_nationkey", 5).select("n_nationkey", "n_name")
+
+
+@registered("SELECT 400::BIGINT AS n, 0::BIGINT AS n_unknown")
+def h_marginal(spark, d):
+    c = table(spark, d, "customer")
+    out = generate.MarginalGenerator(["c_mktsegment", "c_nationkey"]).fit(c).sample(400, 2)
+    known = c.select("c_mktsegment").distinct()
+    return out.agg(F.count(F.lit(1)).alias("n")).join(out.join(known, "c_mktsegment", "left_anti").agg(F.count(F.lit(1)).alias("n_unknown")))
+
+
+@registered("SELECT c_custkey, c_acctbal FROM customer")
+def b02_sanitized(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("string").alias("c_acctbal"))
+    return preprocess.sanitize(c, ["c_acctbal"], [])
+
+
+@registered("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 7 > 0")
+def b07_dropped_rows(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal")).alias("c_acctbal"))
+    return preprocess.drop_missing_rows(c, ["c_acctbal"], "train")
