@@ -31,6 +31,9 @@ from tallyframe.llm.shared import binary16, bound_batches, grouped, materialize,
 from tallyframe.llm.shingles import set_key, shingle_sets
 
 
+_GROUP = 450_000  # bytes of texts that are hashed at once
+
+
 @dataclass(frozen=True)
 class JaccardParams:
     words: int = 5
@@ -61,7 +64,7 @@ class Sets:
     def blocks(self, batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[list[list], list[np.ndarray]]]:
         """Values of ``columns`` and the sets of the texts, about ``block_tokens`` members at a time."""
         held, sets, size = [[] for _ in columns], [], 0
-        for batch in grouped(batches, "text", 900_000):
+        for batch in grouped(batches, "text", _GROUP):
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text").cast(pa.binary())]
             for values, name in zip(held, columns):
                 values += batch.column(name).to_pylist()
@@ -207,7 +210,14 @@ def prefix_index(counted: DataFrame, hot, parts: int, count_parts: int, params:
     position and the number of frequent ones in the prefix. The frequent ones make one entry for each pivot: its number, at position -1."""
 
     def block_entries(texts: list[str], told: dict[int, bytes]) -> np.ndarray:
-        sets = shingle_sets([t.encode() for t in texts], params.words)
+        sets, part, size = [], [], 0
+        for text in [*texts, None]:  # in small groups, which bounds what hashing them takes
+            if part and (text is None or size > _GROUP):
+                sets += shingle_sets(part, params.words)
+                part, size = [], 0
+            if text is not None:
+                part.append(text.encode())
+                size += len(part[-1])
         tokens, where = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)
         counts, cuts = np.zeros(len(tokens), dtype=np.int32), _slices(tokens, count_parts)
         for part, blob in told.items():
