@@ -18,7 +18,7 @@ from tallyframe.plans import bundle
 # Identities of the metrics.
 SHAPES, TRENDS = "sdmetrics-column-shapes", "sdmetrics-column-pair-trends"
 COLUMN_VALIDITY, CONSTRAINT_VALIDITY = "std-tabular-column-validity", "std-tabular-constraint-validity"
-RETENTION, TARGET_UTILITY = "std-local-utility-retention", "tabstruct-global-target-utility"
+RETENTION = "std-local-utility-retention"
 VERSION = "1.0.0"
 
 NUMBERS = ("continuous", "integer", "datetime")
