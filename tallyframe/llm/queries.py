@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, htmltext, jaccard, lines, lmscore, packing, pii, quality, suffixes, warc
+from tallyframe.llm import align, chat, decontaminate, htmltext, jaccard, lines, lmscore, packing, pii, quality, suffixes, trie, warc
 from tallyframe.llm.sql import SQL
 
 
@@ -57,8 +57,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = table(spark, sf_dir, "conversations").select(*more.columns)
+    return chat.read_back(chat.expand(own.unionByName(more)), arranged=True)
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_html, op3_packing, op4_jaccard, op5_quality, op6_lines, op7_lmscore, op8_decontamination, op9_suffixes, op10_warc)}
+    return {f.__name__: f for f in (op1_pii, op2_html, op3_packing, op4_jaccard, op5_quality, op6_lines, op7_lmscore, op8_decontamination, op9_suffixes, op10_warc, op11_alignment, op12_chat, op13_trie)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,4 +54,30 @@ WARC = (
     + "), '') AS payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM k"
 )
 
-SQL = {"op4_jaccard": JACCARD, "op5_quality": quality(), "op10_warc": WARC}
+_ESCAPED = r"replace(replace(replace(replace({c}, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), '##', '#\#')"
+CHAT = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+ SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)),
+f AS (SELECT *, row_number() OVER w AS i, sum(4 + length(replace({_ESCAPED.format(c="role")}, ':', '\:')) + 2 + length({_ESCAPED.format(c="text")}) + 8) OVER w AS upto, lead(turn) OVER w IS NULL AND lead(role) OVER w IS NULL AS ends
+ FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ coalesce(sum(upto) FILTER (WHERE role = 'assistant' OR ends), 0)::BIGINT AS formatted_chars FROM f GROUP BY conv_id"""
+
+TRIE = r"""
+WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base,
+ xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, i::INT + 1, 1))::BIGINT)),
+  lambda s, b: list_reduce(list_concat([xor(s, b)], range(8)), lambda v, j: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295) % 4 AS h FROM c),
+l AS (SELECT k.conv_id, c.at, c.x FROM k JOIN c ON c.conv_id = k.base AND c.at <= k.h UNION ALL SELECT c.conv_id, c.at, c.x FROM c JOIN k USING (conv_id) WHERE c.at > k.h),
+s AS (SELECT k.conv_id, coalesce(list(l.x ORDER BY l.at) FILTER (WHERE l.at IS NOT NULL), []) AS turns FROM k LEFT JOIN l USING (conv_id) GROUP BY k.conv_id),
+p AS (SELECT conv_id, d AS depth, len(turns) AS size, turns[1:d] AS head FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM s)),
+n AS (SELECT head, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256,
+ (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(head[depth].t, '[^\x20\x09-\x0D]+')) END AS saved FROM p GROUP BY head, depth),
+m AS (SELECT n.*, u.conv_id AS parent_conv_id FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND u.head = n.head[1:n.depth - 1]),
+w AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY ALL),
+o AS (SELECT m.*, coalesce(w.n_children, 0) AS n_children FROM m LEFT JOIN w USING (conv_id, depth)),
+a AS (SELECT head[1:d] AS head, d AS depth, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM o) GROUP BY 1, 2)
+SELECT o.conv_id, o.depth, o.parent_conv_id, o.n_convs, o.n_children::BIGINT AS n_children, a.n_leaves::BIGINT AS n_leaves, a.saved_tokens::BIGINT AS saved_tokens, o.ends_sha256 FROM o JOIN a USING (head, depth)"""
+
+SQL = {"op4_jaccard": JACCARD, "op5_quality": quality(), "op10_warc": WARC, "op12_chat": CHAT, "op13_trie": TRIE}
