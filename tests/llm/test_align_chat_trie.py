@@ -24,7 +24,7 @@ def texts():
 
 def brute_alignment(texts):
     """Groups from common borders; counts from sets of linked pairs per document."""
-    side_a, side_b = align.sides(align.AlignParams())
+    side_a, side_b = align.ByteSide(None), align.PieceSide(None)
     made = []
     for text in texts:
         whole, a, b = b" " + (text or "").encode(), side_a.ids(text or ""), side_b.ids(text or "")
@@ -65,6 +65,14 @@ def test_alignment_against_brute_force(spark, texts, params):
     assert align.align(docs.where("false"), params).count() == 0
 
 
+def test_ids_are_those_of_the_libraries(spark, sf, texts):
+    found, r = align.Encoder(align.AlignParams()), np.random.default_rng(9)
+    made = ["".join(r.choice(list("ab é漢\n.,'1 -é\t\x1c\x85\u3000\u200b\xa0<|>s٣ⅷ😀"), r.integers(1, 40))) for _ in range(4000)] + ["a" * 20_000, "\n" * 20_000, " " * 20_000, "=" * 20_000]
+    for text in [*filter(None, texts), *made, *[x.text for x in spark.read.parquet(f"{sf}/documents.parquet").collect() if x.text]]:
+        if told := found(text):
+            assert [np.frombuffer(x, dtype="<u4").tolist() for x in told] == [found.a.ids(text), found.b.ids(text)], text
+
+
 def test_union_find():
     r = np.random.default_rng(4)
     for _ in range(50):
