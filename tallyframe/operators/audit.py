@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.contracts import ColumnSpec, GateError, Profile
-from tallyframe.functions.expressions import canonical_boolean
-from tallyframe.operators.stats import ranked, running_sums
+from tallyframe.functions.expressions import canonical_boolean, row_digest
+from tallyframe.operators.stats import ranked
+from tallyframe.sources.working import working
 
 
 def check_columns(df: DataFrame, profile: Profile) -> DataFrame:
@@ -175,18 +176,31 @@ def column_info(df: DataFrame, numeric: list[str], categorical: list[str]) -> Da
     return reduce(DataFrame.unionByName, made)
 
 
-def ordered_digest(df: DataFrame, order: list[str], columns: list[str], buckets: int = 256) -> DataFrame:
-    """(bucket, n, digest): SHA-256 of the rows of each range of the order, fields apart by a unit separator and rows by line breaks.
+def ordered_digest(df: DataFrame, order: list[str], columns: list[str], fan: int = 1024) -> DataFrame:
+    """(level, node, n, digest): a tree of digests over the rows in ``order``; the one node of the last level stands for the table.
 
-    A digest of all rows at once would need them in one task. The ranges are cut by the first column's exact rank, so two
-    tables with equal rows in equal order have equal digests, and a difference shows where it lies.
+    A row's digest is SHA-256 of its fields, apart by a unit separator; rows equal in order follow their digests. A leaf
+    (level 0) holds ``fan`` rows by exact rank and digests ``<row digest>*<how often>`` of each run of equal rows, joined by
+    line breaks; a node above digests its ``fan`` children's digests, joined alike. So two tables of equal rows in equal
+    order have equal trees, a difference is found by going down, and no row of any stage holds more than ``fan`` digests.
+    Equal rows are counted before they are ranked: copies are never gathered. Empty table: no nodes.
     """
-    row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    counts = df.groupBy(F.col(order[0]).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("n"))
-    placed = running_sums(counts, [], "_v", ["n"]).select("_v", F.floor((F.col("upto_n") - F.col("n")) * buckets / F.col("all_n")).cast("int").alias("bucket"))
-    kept = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], row.alias("_row")).join(placed, F.col("_o0").cast("double").eqNullSafe(F.col("_v")))
-    rows = F.array_sort(F.collect_list(F.struct(*[F.col(f"_o{i}") for i in range(len(order))], F.col("_row").alias("row"))))
-    return kept.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(rows, lambda x: x["row"]), "\n"), 256).alias("digest"))
+    by = [f"_o{i}" for i in range(len(order))] + ["_row"]
+    runs = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], row_digest(columns).alias("_row")).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = working(runs.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranged")
+    before = ranged.groupBy("_part").agg(F.sum("_n").alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
+    upto = F.sum("_n").over(Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    placed = ranged.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n"))
+    leaf = F.explode(F.sequence(F.floor(F.col("_from") / fan), F.floor((F.col("_upto") - 1) / fan))).alias("node")
+    pieces = placed.select("_from", "_upto", "_row", leaf).withColumn("_k", F.least("_upto", (F.col("node") + 1) * fan) - F.greatest("_from", F.col("node") * fan))
+    text = lambda value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_from").alias("at"), value.alias("x")))), lambda p: p["x"]), "\n")
+    level = working(pieces.groupBy("node").agg(F.sum("_k").alias("n"), F.sha2(text(F.concat_ws("*", "_row", F.col("_k").cast("string"))), 256).alias("digest")), "leaves")
+    nodes, out, depth = level.count(), level.withColumn("level", F.lit(0)), 0
+    while nodes > 1:
+        nodes, depth = -(-nodes // fan), depth + 1
+        level = level.withColumn("_from", F.col("node")).groupBy(F.floor(F.col("node") / fan).alias("node")).agg(F.sum("n").alias("n"), F.sha2(text(F.col("digest")), 256).alias("digest"))
+        out = out.unionByName(level.withColumn("level", F.lit(depth)))
+    return out.select("level", "node", "n", "digest")
 
 
 def infer_roles(df: DataFrame) -> DataFrame:

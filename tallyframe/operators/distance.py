@@ -1,154 +1,129 @@
 """Nearest-record distances, collisions and privacy filters.
 
-Both sides are cut into blocks of bounded size along the first numeric column. A candidate block meets the reference blocks
-of its own stretch first, which bounds how far its nearest rows can be; other reference blocks are joined only where their
-stretch lies within that bound. Distances are computed block against block and merged by key: no pair of rows is a row, no
-table passes the driver, and no task holds more than two blocks.
+Nearest rows come from the metric index: a candidate block first meets the reference blocks beside it in the order of cells,
+which bounds how far its rows' nearest ones can be, and then only the blocks that can hold nearer ones. No pair of rows is a
+row, no table passes the driver, and no task holds more than a few blocks.
 """
 
 from __future__ import annotations
 
-import io
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.stats import quantiles
-
-BLOCK_ROWS = 20_000
-_BLOCK = "block string, bucket int, lo double, hi double, rows int, payload binary"
-
-
-def _scales(reference: DataFrame, numeric: list[str]) -> list[float]:
-    """The range of each numeric column of the reference: one small row."""
-    if not numeric:
-        return []
-    found = reference.agg(*[(F.max(F.col(c).cast("double")) - F.min(F.col(c).cast("double"))).alias(f"r{i}") for i, c in enumerate(numeric)]).first()
-    return [float(x or 0.0) for x in found]
-
-
-def _blocks(df: DataFrame, key: str, numeric: list[str], categorical: list[str], cuts: list[float], rows: int, side: str) -> DataFrame:
-    """Blocks of at most ``rows`` rows of one stretch of the first numeric column, each with its ends there."""
-    names = ["key", *[f"n{i}" for i in range(len(numeric))], *[f"c{i}" for i in range(len(categorical))]]
-    plain = df.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(f"n{i}") for i, c in enumerate(numeric)], *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(categorical)])
-    lead = F.col("n0") if numeric else F.lit(None).cast("double")
-    bucket = F.when(lead.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda x: x <= lead)) if cuts else F.lit(0)).cast("int")
-    # A stretch with many equal values is dealt out further, so that none gathers in one task.
-    dealt = plain.withColumns({"bucket": bucket, "_salt": F.pmod(F.xxhash64("key"), F.lit(16)).cast("int")}).repartition("bucket", "_salt").sortWithinPartitions("bucket", "_salt")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        made = 0
-
-        def packed(bucket: int) -> pa.RecordBatch:
-            nonlocal made
-            table = pa.Table.from_batches(held.pop(bucket)).combine_chunks()
-            numbers = np.column_stack([table.column(f"n{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(numeric))]) if numeric else np.empty((table.num_rows, 0))
-            labels = [table.column(f"c{i}").to_pylist() for i in range(len(categorical))]
-            keys = table.column("key").to_pylist()
-            made += 1
-            first = numbers[:, 0] if numeric else np.zeros(0)
-            ends = (float(np.nanmin(first)), float(np.nanmax(first))) if len(first) and not np.isnan(first).all() else (None, None)
-            if len(first) and np.isnan(first).any():
-                ends = (None, None)  # a missing value has no place: the block meets all others
-            name = f"{side}-{bucket}-{made}-{keys[0]}"
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([bucket], pa.int32()), pa.array([ends[0]], pa.float64()), pa.array([ends[1]], pa.float64()), pa.array([len(keys)], pa.int32()), pa.array([pickle.dumps((keys, numbers, labels), protocol=5)], pa.binary())], names=["block", "bucket", "lo", "hi", "rows", "payload"])
-
-        size: dict[int, int] = {}
-        for batch in batches:
-            buckets = batch.column("bucket").to_numpy()
-            for b in np.unique(buckets).tolist():
-                part = batch.filter(pa.array(buckets == b)).select(names)
-                for at in range(0, part.num_rows, rows):
-                    piece = part.slice(at, rows)
-                    if size.get(b, 0) + piece.num_rows > rows:
-                        yield packed(b)
-                        size[b] = 0
-                    held.setdefault(b, []).append(piece)
-                    size[b] = size.get(b, 0) + piece.num_rows
-        for b in list(held):
-            yield packed(b)
-
-    return dealt.mapInArrow(task, _BLOCK)
-
-
-def nearest(candidate: DataFrame, reference: DataFrame, key: str, numeric: list[str], categorical: list[str], *, kind: str = "l1", mismatch: float = 2.0, neighbours: int = 1, block: int = BLOCK_ROWS, reference_key: str | None = None, skip_equal_key: bool = False) -> DataFrame:
+from tallyframe.operators import metric
+from tallyframe.operators.metric import BLOCK_ROWS, Points, Space
+from tallyframe.operators.stats import quantiles, seeded_sample
+from tallyframe.sources.working import working
+
+
+def _closest(space: Space, mine: Points, theirs: Points, count: int, skip_equal_key: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and rows of the ``count`` nearest of ``theirs``, ascending, the first in order among equals; infinite if there are fewer."""
+    best, rows = np.full((len(mine), count), np.inf), np.zeros((len(mine), count), dtype=np.int64)
+    place = {k: i for i, k in enumerate(theirs.keys.to_pylist())} if skip_equal_key else {}
+    at = 0
+    for own in metric.slices(mine, len(theirs)):
+        d = space.distances(own, theirs)
+        if skip_equal_key:
+            same = [(i, place[k]) for i, k in enumerate(own.keys.to_pylist()) if k in place]
+            if same:
+                d[tuple(np.array(same).T)] = np.inf
+        each = np.arange(len(own))
+        for k in range(min(count, d.shape[1])):
+            rows[at : at + len(own), k] = nearest = d.argmin(axis=1)
+            best[at : at + len(own), k] = d[each, nearest]
+            d[each, nearest] = np.inf
+        at += len(own)
+    return best, rows
+
+
+def _by_key(p: Points) -> Points:
+    return p.at(pa.compute.sort_indices(p.keys).to_numpy())
+
+
+def _found(best: np.ndarray, rows: np.ndarray, keys: pa.Array) -> pa.Array:
+    held = np.isfinite(best)
+    values = pa.StructArray.from_arrays([pa.array(best[held]), keys.take(pa.array(rows[held]))], names=["d", "k"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held.sum(axis=1))), pa.int32()), values)
+
+
+def _beside(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(x, y, z): blocks of ``mine`` with the reference blocks before and after them in the order of their cell."""
+    both = mine.select("cell", "second", "near", F.col("block").alias("x"), F.lit(None).cast("long").alias("y")).unionByName(theirs.select("cell", "second", "near", F.lit(None).cast("long").alias("x"), F.col("block").alias("y")))
+    within = Window.partitionBy("cell")  # a row per block
+    up, down = (within.orderBy(*[f(c) for c in ("second", "near")], "x").rowsBetween(Window.unboundedPreceding, 0) for f in (F.asc, F.desc))
+    return both.select("x", F.last("y", True).over(up).alias("y"), F.last("y", True).over(down).alias("z")).where("x IS NOT NULL").withColumn("z", F.when(~F.col("z").eqNullSafe(F.col("y")), F.col("z")))
+
+
+def index(candidate: DataFrame, reference: DataFrame, space: Space, block: int, **reach) -> tuple[DataFrame, DataFrame, Points]:
+    """Blocks of both sides, given as ``metric.features``, over the same pivots of the reference, and the pivots."""
+    rows = reference.count()
+    pivots = metric.choose(reference, space, min(metric.MOST_PIVOTS, max(8, int(rows**0.5) // 4)))
+    return metric.blocks(candidate, space, pivots, block, "candidate", **reach), metric.blocks(reference, space, pivots, block, "reference"), pivots
+
+
+def nearest(candidate: DataFrame, reference: DataFrame, key: str, numeric: list[str], categorical: list[str], *, kind: str = "l1", mismatch: float = 2.0, neighbours: int = 1, block: int = BLOCK_ROWS, reference_key: str | None = None, skip_equal_key: bool = False, report: list | None = None) -> DataFrame:
     """(key, distances, neighbours): the least distances of each candidate row, ascending, and the keys of the rows they lead to.
 
     ``l1``: sum of range-scaled differences plus ``mismatch`` per differing category. ``l2``: root of squared scaled
     differences plus ``mismatch`` per differing category. ``mean``: differences capped at 1, mismatches 1, divided by the
     number of columns. Ranges come from the reference arm; a column without range counts as 0 where equal, else 1. Two
-    missing values agree, one is a mismatch (1 for a number). Of rows as near, the least key comes first. ``skip_equal_key``
-    leaves out the row itself when a table is compared with itself. An empty reference gives empty lists.
+    missing values (null or NaN) agree, one is a mismatch (1 for a number). Of rows as near, the least key comes first.
+    ``skip_equal_key`` leaves out the row itself when a table is compared with itself. Keys are unique on either side. An
+    empty reference gives empty lists. Of equal reference rows only those with the least keys enter, as many as can be
+    among the nearest. ``report`` gets (pairs of blocks compared, pairs of blocks there are).
     """
-    scales, own_key = _scales(reference, numeric), reference_key or key
-    total = reference.count()
-    pieces = max(1, min(512, -(-total // block)))
-    shares = {f"q{i}": i / pieces for i in range(1, pieces)}
-    cuts = sorted({float(x) for x in (quantiles(reference, numeric[0], shares).first() or []) if x is not None}) if numeric and shares else []
-    mine = _blocks(candidate, key, numeric, categorical, cuts, max(1, block // 4), "c").persist()
-    theirs = _blocks(reference, own_key, numeric, categorical, cuts, block, "r").persist()
-    key_type = candidate.schema[key].dataType.simpleString()
-    told = f"block string, u double, key {key_type}, found array<struct<d:double,k:{key_type}>>"
-    ranges = np.array(scales)
-    width = max(1, len(numeric) + len(categorical))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own_key, key_type = reference_key or key, candidate.schema[key].dataType.simpleString()
+    space = Space(tuple(numeric), tuple(categorical), kind, mismatch, metric.ranges(reference, numeric))
+    theirs = working(metric.fewest(metric.features(reference, own_key, space), space, neighbours + skip_equal_key), "reference")
+    if theirs.isEmpty():
+        return candidate.select(key, F.array().cast("array<double>").alias("distances"), F.array().cast(f"array<{key_type}>").alias("neighbours"))
+    mine, theirs, pivots = index(metric.features(candidate, key, space), theirs, space, block)
+    few, found_type = pivots.at(slice(0, metric.BOUND_PIVOTS)), f"array<struct<d:double,k:{key_type}>>"
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A candidate block against the blocks beside it: what is found, and a bound for each row."""
         for batch in batches:
-            for name, a, b in zip(batch.column("block").to_pylist(), batch.column("mine").to_pylist(), batch.column("theirs").to_pylist()):
-                keys, numbers, labels = pickle.load(io.BytesIO(a))
-                found: list[list] = [[] for _ in keys]
-                if b is not None:
-                    other_keys, other_numbers, other_labels = pickle.load(io.BytesIO(b))
-                    order = sorted(range(len(other_keys)), key=lambda i: other_keys[i])
-                    other_keys, other_numbers = [other_keys[i] for i in order], other_numbers[order]
-                    levels = [{v: i for i, v in enumerate(dict.fromkeys([*x, *y]))} for x, y in zip(labels, other_labels)]
-                    mine_codes = [np.array([m[v] for v in x]) for m, x in zip(levels, labels)]
-                    their_codes = [np.array([m[x[i]] for i in order]) for m, x in zip(levels, other_labels)]
-                    step = max(1, 2_000_000 // max(1, len(other_keys)))
-                    for at in range(0, len(keys), step):
-                        rows = slice(at, at + step)
-                        d = np.zeros((len(keys[rows]), len(other_keys)))
-                        for j, r in enumerate(ranges):
-                            gap = np.abs(numbers[rows, j][:, None] - other_numbers[None, :, j])
-                            gap = gap / r if r > 0 else (gap > 0).astype(float)
-                            lacks = np.isnan(numbers[rows, j])[:, None].astype(int) + np.isnan(other_numbers[:, j])[None, :]
-                            gap = np.where(lacks == 1, 1.0, np.where(lacks == 2, 0.0, gap))
-                            d += gap if kind == "l1" else gap * gap if kind == "l2" else np.minimum(gap, 1)
-                        for x, y in zip(mine_codes, their_codes):
-                            d += (x[rows][:, None] != y[None, :]) * (1.0 if kind == "mean" else mismatch)
-                        d = np.sqrt(d) if kind == "l2" else d / width if kind == "mean" else d
-                        k = min(neighbours + skip_equal_key, d.shape[1])
-                        # Stable by key among equals: the k-th least value is a threshold, then the first by (distance, place).
-                        limit = np.partition(d, k - 1, axis=1)[:, k - 1]
-                        for i in range(len(d)):
-                            near = np.flatnonzero(d[i] <= limit[i])
-                            near = near[np.argsort(d[i][near], kind="stable")]
-                            got = [{"d": float(d[i][n]), "k": other_keys[n]} for n in near[: k + 1].tolist() if not (skip_equal_key and other_keys[n] == keys[at + i])]
-                            found[at + i] = got[:neighbours]
-                bound = max((x[-1]["d"] if len(x) == neighbours else float("inf") for x in found), default=0.0)
-                kinds = pa.list_(pa.struct([("d", pa.float64()), ("k", batch.schema.field("sample").type)]))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array([bound] * len(keys)), pa.array(keys, batch.schema.field("sample").type), pa.array(found, kinds)], names=["block", "u", "key", "found"])
-
-    sample = F.lit(None).cast(key_type).alias("sample")
-    a, b = mine.alias("a"), theirs.alias("b")
-    close = a.join(b, F.col("a.bucket") == F.col("b.bucket"), "left").select(F.col("a.block").alias("block"), F.col("a.payload").alias("mine"), F.col("b.payload").alias("theirs"), sample)
-    first = close.mapInArrow(task, told).persist()
-    bounds = first.groupBy("block").agg(F.min("u").alias("u"))
-    ends = mine.select(F.col("block"), "bucket", "lo", "hi").join(bounds, "block").alias("a")
-    others = theirs.select("block", "bucket", "lo", "hi").alias("b")
-    apart = F.greatest(F.col("b.lo") - F.col("a.hi"), F.col("a.lo") - F.col("b.hi"), F.lit(0.0))
-    scale = scales[0] if scales and scales[0] > 0 else None
-    gap = F.least(apart / F.lit(scale), F.lit(1.0)) / width if kind == "mean" and scale else apart / F.lit(scale) if scale else F.lit(0.0)
-    far = F.coalesce(gap <= F.col("a.u"), F.lit(True))
-    pairs = ends.join(others, (F.col("a.bucket") != F.col("b.bucket")) & far).select(F.col("a.block").alias("x"), F.col("b.block").alias("y"))
-    loaded = pairs.join(mine.select(F.col("block").alias("x"), F.col("payload").alias("mine")), "x").join(theirs.select(F.col("block").alias("y"), F.col("payload").alias("theirs")), "y")
-    rest = loaded.select(F.col("x").alias("block"), "mine", "theirs", sample).mapInArrow(task, told)
-    merged = first.select("key", "found").unionByName(rest.select("key", "found")).groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, neighbours).alias("found"))
+            for x, a, *others in zip(*(batch.column(c) for c in ("x", "mine", "before", "after"))):
+                own = pickle.loads(a.as_py())
+                p = _by_key(metric.joined([pickle.loads(b.as_py()) for b in others if b.is_valid] or [own.at(slice(0, 0))]))
+                best, rows = _closest(space, own, p, neighbours, skip_equal_key)
+                found, whole = _found(best, rows, p.keys), pa.array([0, len(own)], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([x.as_py()]), pa.array([[float(best[rows, -1].max()) for rows in metric.leaf_rows(len(own))]]), pa.array([best[:, -1].tobytes()]), pa.ListArray.from_arrays(whole, own.keys), pa.ListArray.from_arrays(whole, found)], names=["x", "most", "bounds", "keys", "found"])
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A candidate block's rows that a further block may hold nearer rows of, against that block."""
+        for batch in batches:
+            for a, u, lo, hi, b in zip(*(batch.column(c) for c in ("mine", "bounds", "lo", "hi", "theirs"))):
+                own, bound = pickle.loads(a.as_py()), np.frombuffer(u.as_py())
+                d = space.distances(own, few, 2.0)
+                left = np.flatnonzero(metric.apart(d, d, np.array(lo.as_py()), np.array(hi.as_py())) <= bound)
+                if not len(left):
+                    continue
+                own, bound, p = own.at(left), bound[left], _by_key(pickle.loads(b.as_py()))
+                best, rows = _closest(space, own, p, neighbours, skip_equal_key)
+                best[best > bound[:, None]] = np.inf
+                near = np.flatnonzero(np.isfinite(best[:, 0]))
+                yield pa.RecordBatch.from_arrays([own.keys.take(pa.array(near)), _found(best[near], rows[near], p.keys)], names=["key", "found"])
+
+    payload = lambda df, c, name: df.select(F.col("block").alias(c), F.col("payload").alias(name))
+    beside = working(_beside(mine, theirs), "beside")
+    loaded = beside.join(payload(mine, "x", "mine"), "x").join(payload(theirs, "y", "before"), "y", "left").join(payload(theirs, "z", "after"), "z", "left")
+    first = working(loaded.select("x", "mine", "before", "after").mapInArrow(begin, f"x long, most array<double>, bounds binary, keys array<{key_type}>, found array<{found_type}>"), "first")
+    leaf = F.transform(F.arrays_zip("leaves", "most"), lambda x: F.struct(x["leaves"]["lo"].alias("lo"), x["leaves"]["hi"].alias("hi"), x["most"].alias("u")))
+    bounded = mine.join(first.select(F.col("x").alias("block"), "most"), "block").withColumn("leaves", leaf)
+    done = beside.select("x", F.explode(F.array("y", "z")).alias("y")).where("y IS NOT NULL")
+    pairs = working(metric.near_pairs(bounded, theirs, space).join(done, ["x", "y"], "left_anti"), "pairs")
+    if report is not None:
+        report.append((pairs.count() + done.count(), mine.count() * theirs.count()))
+    more = pairs.join(payload(mine, "x", "mine"), "x").join(first.select("x", "bounds"), "x").join(theirs.select(F.col("block").alias("y"), "lo", "hi", F.col("payload").alias("theirs")), "y")
+    rest = more.select("mine", "bounds", "lo", "hi", "theirs").mapInArrow(go_on, f"key {key_type}, found {found_type}")
+    met = first.select(F.inline(F.arrays_zip("keys", "found"))).withColumnRenamed("keys", "key")
+    merged = met.unionByName(rest).groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, neighbours).alias("found"))
     return merged.select(F.col("key").alias(key), F.transform("found", lambda x: x["d"]).alias("distances"), F.transform("found", lambda x: x["k"]).alias("neighbours"))
 
 
@@ -210,31 +185,83 @@ def authenticity(synthetic: DataFrame, real: DataFrame, key: str, numeric: list[
     return own.join(among, "_r").select(key, "d_real", "d_other", (F.col("d_real") > F.col("d_other")).alias("authentic"))
 
 
-def prdc(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[str], *, k: int = 5) -> DataFrame:
-    """(precision, recall, density, coverage) by the balls around each row that reach to its ``k``-th neighbour in its own arm."""
-    options = {"kind": "l2", "mismatch": 1.0}
-    radius = lambda df: nearest(df, df, key, numeric, [], neighbours=k, skip_equal_key=True, **options).select(F.col(key).alias("_c"), F.get("distances", F.lit(k - 1)).alias("radius"))
-    inside = within(synthetic, real, radius(real), key, numeric)
-    back = within(real, synthetic, radius(synthetic), key, numeric)
-    n_real, n_syn = real.agg(F.count(F.lit(1)).alias("nr")), synthetic.agg(F.count(F.lit(1)).alias("ns"))
-    a = inside.agg(F.count_distinct("point").alias("p"), F.count(F.lit(1)).alias("d"), F.count_distinct("centre").alias("c"))
-    b = back.agg(F.count_distinct("point").alias("r"))
-    one = a.join(b).join(n_real).join(n_syn)  # single rows
-    div = lambda x, y: F.try_divide(x.cast("double"), y.cast("double"))
-    return one.select(div(F.col("p"), F.col("ns")).alias("precision"), div(F.col("r"), F.col("nr")).alias("recall"), div(F.col("d"), F.col("ns") * F.lit(k)).alias("density"), div(F.col("c"), F.col("nr")).alias("coverage"))
+def ball_counts(points: DataFrame, centres: DataFrame, space: Space, *, block: int = BLOCK_ROWS, report: list | None = None) -> DataFrame:
+    """(side, key, n): for each row of ``centres`` how many ``points`` lie in its ball (side ``centre``), for each of ``points`` in
+    how many balls it lies (side ``point``); rows with none are left out.
+
+    Both are ``metric.features`` with a ``weight`` each row counts for; ``centres`` have a ``radius``, whose power of two is
+    part of their order, so that one wide ball widens no other's search. Counts are summed in tasks: no pair is a row.
+    """
+    mine, theirs, pivots = index(centres, points, space, block, reach="radius")
+    few, key_type = pivots.at(slice(0, metric.BOUND_PIVOTS)), points.schema["key"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, lo, hi, b in zip(*(batch.column(c) for c in ("mine", "lo", "hi", "theirs"))):
+                own, p = pickle.loads(a.as_py()), pickle.loads(b.as_py())
+                d = space.distances(own, few, 2.0)
+                own = own.at(np.flatnonzero(metric.apart(d, d, np.array(lo.as_py()), np.array(hi.as_py())) <= own.extra))
+                held = np.zeros(len(p), dtype=np.int64)
+                for part in metric.slices(own, len(p)):
+                    inside = space.distances(part, p) <= part.extra[:, None]
+                    told = inside @ p.weight
+                    held += part.weight @ inside
+                    near = np.flatnonzero(told)
+                    yield pa.RecordBatch.from_arrays([pa.array(["centre"] * len(near), pa.string()), part.keys.take(pa.array(near)), pa.array(told[near])], names=["side", "key", "n"])
+                near = np.flatnonzero(held)
+                yield pa.RecordBatch.from_arrays([pa.array(["point"] * len(near), pa.string()), p.keys.take(pa.array(near)), pa.array(held[near])], names=["side", "key", "n"])
+
+    pairs = working(metric.near_pairs(mine, theirs, space), "ball-pairs")
+    if report is not None:
+        report.append((pairs.count(), mine.count() * theirs.count()))
+    loaded = pairs.join(mine.select(F.col("block").alias("x"), F.col("payload").alias("mine")), "x").join(theirs.select(F.col("block").alias("y"), "lo", "hi", F.col("payload").alias("theirs")), "y")
+    return loaded.select("mine", "lo", "hi", "theirs").mapInArrow(count, f"side string, key {key_type}, n long").groupBy("side", "key").agg(F.sum("n").alias("n"))
+
+
+def _weighed(df: DataFrame, key: str, space: Space, *more: str) -> DataFrame:
+    """Equal rows as one with their number: the least key, the features and what else equal rows share."""
+    plain = metric.features(df, key, space, *[F.col(c) for c in more])
+    by = [c for c in plain.columns if c != "key"]
+    return working(plain.groupBy(*by).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")), "weighed")
+
+
+def _balls(points: DataFrame, centres: DataFrame, key: str, numeric: list[str], categorical: list[str], k: int, block: int, report: list | None) -> DataFrame:
+    """(points, points_in, centres, centres_met, pairs): one row of the balls around ``centres`` that reach to the ``k``-th neighbour there."""
+    options = {"kind": "l2", "mismatch": 1.0, "block": block}
+    radius = nearest(centres, centres, key, numeric, categorical, neighbours=k, skip_equal_key=True, **options).select(F.col(key).alias("_c"), F.get("distances", F.lit(k - 1)).alias("radius"))
+    space = Space(tuple(numeric), tuple(categorical), "l2", 1.0, metric.ranges(centres, numeric))
+    told, own = _weighed(points, key, space), _weighed(centres.join(radius, F.col(key) == F.col("_c")).where("radius IS NOT NULL"), key, space, "radius")
+    if told.isEmpty() or own.isEmpty():
+        counts = points.sparkSession.createDataFrame([], f"side string, key {points.schema[key].dataType.simpleString()}, n long")
+    else:
+        counts = working(ball_counts(told, own, space, block=block, report=report), "balls")
+    met = lambda df, side: df.join(counts.where(F.col("side") == side), "key").agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("met"), F.coalesce(F.sum(F.col("weight") * F.col("n")), F.lit(0)).alias("pairs"))
+    a, b = met(told, "point").select(F.col("met").alias("points_in"), "pairs"), met(own, "centre").select(F.col("met").alias("centres_met"))
+    return a.join(b).join(points.agg(F.count(F.lit(1)).alias("points"))).join(centres.agg(F.count(F.lit(1)).alias("centres")))  # single rows
+
+
+def prdc(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[str], categorical: list[str] = (), *, k: int = 5, block: int = BLOCK_ROWS, report: list | None = None) -> DataFrame:
+    """(precision, recall, density, coverage) by the balls around each row that reach to its ``k``-th neighbour in its own arm.
+
+    Distances are scaled by the ranges of the arm that the balls are around. An arm of ``k`` rows or fewer has no balls.
+    Empty arms give null.
+    """
+    fore = _balls(synthetic, real, key, numeric, list(categorical), k, block, report)
+    back = _balls(real, synthetic, key, numeric, list(categorical), k, block, report).select(F.col("points_in").alias("back"))
+    div = lambda x, y: F.try_divide(F.col(x).cast("double"), y.cast("double"))
+    return fore.join(back).select(div("points_in", F.col("points")).alias("precision"), div("back", F.col("centres")).alias("recall"), div("pairs", F.col("points") * F.lit(k)).alias("density"), div("centres_met", F.col("centres")).alias("coverage"))
 
 
-def within(points: DataFrame, centres: DataFrame, radii: DataFrame, key: str, numeric: list[str]) -> DataFrame:
-    """(centre, point): the rows of ``points`` that lie in the ball of a row of ``centres`` (scaled by the centres' ranges).
+def diversity(real: DataFrame, fakes: list[DataFrame], key: str, numeric: list[str], categorical: list[str] = (), *, k: int = 5, rows: int = 50_000, seed: int = 0) -> DataFrame:
+    """(metric, mean, std): precision, recall, density and coverage over several candidate tables, the deviation with n - 1.
 
-    Centres are spread over cells of the first numeric column as wide as its largest ball, so that a point meets the
-    centres of its cell and the two beside it only.
+    Arms of ``rows`` rows or more are sampled down to ``rows`` by seeded hashes of their keys, which is the protocol.
     """
-    scales = [x or 1.0 for x in _scales(centres, numeric)]
-    balls = centres.join(radii, F.col(key) == F.col("_c")).select(F.col(key).alias("centre"), "radius", *[(F.col(c).cast("double") / F.lit(s)).alias(f"x{i}") for i, (c, s) in enumerate(zip(numeric, scales))])
-    widest = balls.agg(F.max("radius")).first()[0] or 0.0
-    cell = lambda c: F.floor(c / F.lit(float(widest) or 1.0)).cast("long")
-    balls = balls.withColumn("cell", F.explode(F.array(*[cell(F.col("x0")) + i for i in (-1, 0, 1)])))
-    told = points.select(F.col(key).alias("point"), *[(F.col(c).cast("double") / F.lit(s)).alias(f"y{i}") for i, (c, s) in enumerate(zip(numeric, scales))]).withColumn("cell", cell(F.col("y0")))
-    d = F.sqrt(sum((F.pow(F.col(f"x{i}") - F.col(f"y{i}"), F.lit(2.0)) for i in range(len(numeric))), F.lit(0.0)))
-    return balls.join(told, "cell").where(d <= F.col("radius")).select("centre", "point")
+    arm = lambda df: seeded_sample(df, key, rows, seed)
+    names = ("precision", "recall", "density", "coverage")
+    scored = None
+    for fake in fakes:
+        one = prdc(arm(real), arm(fake), key, numeric, categorical, k=k)
+        scored = one if scored is None else scored.unionByName(one)
+    made = [F.struct(F.lit(c).alias("metric"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")) for c in names]
+    return scored.agg(F.array(*made).alias("x")).select(F.inline("x"))

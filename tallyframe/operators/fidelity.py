@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expressions import ratio
-from tallyframe.operators.stats import running_sums
+from tallyframe.operators.stats import co_moments, rho, running_sums
 
 ARM = "is_candidate"
 
@@ -51,30 +51,14 @@ def column_shapes(df: DataFrame, numeric: list[str], categorical: list[str]) ->
 
 
 def correlation_similarity(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(left_column, right_column, real_rho, candidate_rho, score) of all pairs from one grouped aggregation per arm.
+    """(left_column, right_column, real_rho, candidate_rho, score) of all pairs.
 
-    Values are taken relative to the columns' overall means, so that sums of products keep their digits. Null where a
+    Each task sums co-moments of all columns at once, so a table of many columns needs no expression per pair. Null where a
     column is constant.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    at = {c: F.col(c).cast("double") - F.lit(float(means[i] or 0.0)) for i, c in enumerate(columns)}
-    sums = []
-    for i, (a, b) in enumerate(pairs):
-        both = at[a].isNotNull() & at[b].isNotNull()
-        x, y = F.when(both, at[a]), F.when(both, at[b])
-        sums += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"x{i}"), F.sum(y).alias(f"y{i}"), F.sum(x * x).alias(f"xx{i}"), F.sum(y * y).alias(f"yy{i}"), F.sum(x * y).alias(f"xy{i}")]
-    arms = df.groupBy(ARM).agg(*sums)  # two rows
-
-    def rho(i: int) -> Column:
-        n, x, y, xx, yy, xy = (F.col(f"{k}{i}") for k in ("n", "x", "y", "xx", "yy", "xy"))
-        vx, vy = n * xx - x * x, n * yy - y * y
-        flat = (vx <= n * xx * 1e-13) | (vy <= n * yy * 1e-13)
-        return F.when(~flat, ratio(n * xy - x * y, F.sqrt(vx) * F.sqrt(vy)))
-
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), rho(i).alias("rho")) for i, (a, b) in enumerate(pairs)]))
-    long = arms.select(ARM, rows.alias("x")).select(ARM, "x.*")
-    out = long.groupBy("left_column", "right_column").agg(F.max(F.when(~F.col(ARM), F.col("rho"))).alias("real_rho"), F.max(F.when(F.col(ARM), F.col("rho"))).alias("candidate_rho"))
+    names = F.array(*[F.lit(c) for c in columns])
+    long = co_moments(df, columns, ARM).select(F.get(names, "i").alias("left_column"), F.get(names, "j").alias("right_column"), "by", rho().alias("rho"))
+    out = long.groupBy("left_column", "right_column").agg(F.max(F.when(F.col("by") == "false", F.col("rho"))).alias("real_rho"), F.max(F.when(F.col("by") == "true", F.col("rho"))).alias("candidate_rho"))
     return out.withColumn("score", 1 - F.abs(F.col("real_rho") - F.col("candidate_rho")) / 2)
 
 

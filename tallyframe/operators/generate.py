@@ -6,13 +6,16 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.contracts import GateError
+from tallyframe.functions.expressions import normal_quantile
 from tallyframe.operators.distance import nearest
-from tallyframe.operators.preprocess import fit_quantile_bins, quantile_bins, quantile_bins_inverse
-from tallyframe.operators.stats import running_sums
+from tallyframe.operators.preprocess import category_codes, fit_quantile_bins, quantile_bins, quantile_bins_inverse
+from tallyframe.operators.stats import by_value, co_moments, rho, running_sums
+from tallyframe.sources.working import working
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -263,8 +266,92 @@ class MarginalGenerator(Generator):
         return independent(self.table, self.columns, rows, seed)
 
 
+class RankGenerator(Generator):
+    """Every column's own values, put in an order that keeps the rank correlations of all pairs of columns.
+
+    Rows draw normal scores whose correlations are the train table's Spearman correlations, taken to normal ones; the row of
+    the k-th least score of a column gets the k-th least train value. As many rows as the train table have exactly its
+    marginals. The correlations that come out are measured and what they lack is added to those drawn, ``rounds`` times.
+    Categories count in sorted order; rows with a missing value take no part.
+    """
+
+    _SPAN = 128  # ranks of a stretch, within which rows and values are matched
+
+    def __init__(self, numeric: list[str], categorical: list[str], rounds: int = 2):
+        self.numeric, self.categorical, self.rounds = list(numeric), list(categorical), rounds
+        self.names = [*self.numeric, *self.categorical]
+
+    def fit(self, train: DataFrame) -> "RankGenerator":
+        coded = train.select(*[F.col(c).cast("double").alias(c) for c in self.numeric], *[F.col(c).cast("string").alias(c) for c in self.categorical]).dropna()
+        self.codes = {}
+        for c in self.categorical:
+            self.codes[c] = category_codes(coded, c)
+            coded = coded.join(F.broadcast(self.codes[c]), F.col(c) == F.col("category")).drop("category", c).withColumnRenamed("code", c)  # declared categories
+        coded = working(coded.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(self.names)]), "coded")
+        long = coded.select(F.posexplode(F.array(*coded.columns)).alias("c", "v")).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        self.places = working(running_sums(long, ["c"], "v", ["n"]).select("c", "v", (F.col("upto_n") - F.col("n")).alias("start"), F.col("upto_n").alias("stop"), "n", F.col("all_n").alias("rows")), "places")
+        self.rows = coded.count()
+        ranked = coded
+        for i in range(len(self.names)):
+            of = self.places.where(F.col("c") == i).select(F.col("v").alias(f"_k_v{i}"), F.col("n").alias("_n"), ((F.col("start") + F.col("stop") + 1) / 2).alias(f"r{i}"))
+            ranked = by_value(ranked, of, [f"v{i}"], "_n").drop("_n")
+        self.spearman = _matrix(ranked, [f"r{i}" for i in range(len(self.names))])
+        return self
+
+    def _drawn(self, rows: int, seed: int, latent: np.ndarray) -> DataFrame:
+        """(row_id, v0.., r0..): values and their average ranks in the train table."""
+        d = len(self.names)
+        values, vectors = np.linalg.eigh(latent)
+        near = (vectors * np.maximum(values, 1e-6)) @ vectors.T  # the nearest matrix that is one of correlations
+        mixed = np.linalg.cholesky(near / np.sqrt(np.outer(np.diag(near), np.diag(near))))
+        ids = self.places.sparkSession.range(rows).withColumnRenamed("id", "row_id")
+        z = ids.withColumns({f"z{j}": normal_quantile(uniform(seed, F.lit(j), F.col("row_id")) + F.lit(2.0**-54)) for j in range(d)})
+        scores = [sum((F.col(f"z{j}") * F.lit(float(mixed[i, j])) for j in range(d)), F.lit(0.0)) for i in range(d)]
+        long = z.select("row_id", F.posexplode(F.array(*scores)).alias("c", "y")).withColumn("n", F.lit(1))
+        at = running_sums(long, ["c"], "y", ["n"]).select("row_id", "c", F.floor((F.col("upto_n") - 1) * F.lit(self.rows) / F.lit(rows)).alias("at"))
+        at = at.withColumn("span", F.floor(F.col("at") / self._SPAN))
+        spans = self.places.select("c", "v", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / self._SPAN), F.floor((F.col("stop") - 1) / self._SPAN))).alias("span"))
+        met = at.join(spans, ["c", "span"]).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("stop")))
+        pick = lambda i, what: F.max(F.when(F.col("c") == i, what))
+        return met.groupBy("row_id").agg(*[pick(i, F.col("v")).alias(f"v{i}") for i in range(d)], *[pick(i, (F.col("start") + F.col("stop") + 1) / 2).alias(f"r{i}") for i in range(d)])
+
+    def sample(self, rows: int, seed: int) -> DataFrame:
+        latent = 2 * np.sin(np.pi / 6 * self.spearman)
+        for _ in range(self.rounds):
+            made = _matrix(working(self._drawn(rows, seed, latent), "drawn"), [f"r{i}" for i in range(len(self.names))])
+            latent = np.clip(latent + 2 * np.sin(np.pi / 6 * self.spearman) - 2 * np.sin(np.pi / 6 * made), -0.9999, 0.9999)
+            np.fill_diagonal(latent, 1.0)
+        out = self._drawn(rows, seed, latent)
+        for i, c in enumerate(self.names):
+            if c in self.codes:
+                out = out.join(F.broadcast(self.codes[c].select(F.col("category").alias(c), F.col("code").alias("_code"))), F.col(f"v{i}") == F.col("_code")).drop("_code")
+            else:
+                out = out.withColumn(c, F.col(f"v{i}"))
+        return out.select("row_id", *self.names)
+
+
+def _matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Correlations of all pairs, 0 where a column is constant: a small matrix."""
+    out = np.eye(len(columns))
+    for r in co_moments(df, columns).select("i", "j", rho().alias("rho")).collect():
+        out[r.i, r.j] = out[r.j, r.i] = r.rho or 0.0
+    return out
+
+
+def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(left_column, right_column, rho): rank correlations of all pairs of numeric columns over rows without missing values, ties by average ranks."""
+    coded = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).dropna()
+    counts = coded.select(F.posexplode(F.array(*coded.columns)).alias("c", "v")).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    places = working(running_sums(counts, ["c"], "v", ["n"]), "places")
+    for i in range(len(columns)):
+        of = places.where(F.col("c") == i).select(F.col("v").alias(f"_k_v{i}"), F.col("n").alias("_n"), (F.col("upto_n") - (F.col("n") - 1) / 2).alias(f"r{i}"))
+        coded = by_value(coded, of, [f"v{i}"], "_n").drop("_n")
+    names = F.array(*[F.lit(c) for c in columns])
+    return co_moments(coded, [f"r{i}" for i in range(len(columns))]).select(F.get(names, "i").alias("left_column"), F.get(names, "j").alias("right_column"), rho().alias("rho"))
+
+
 #: Generators by name.
-GENERATORS: dict[str, Callable[..., Generator]] = {"bn": NetworkGenerator, "permutation": PermutationGenerator, "marginal": MarginalGenerator}
+GENERATORS: dict[str, Callable[..., Generator]] = {"bn": NetworkGenerator, "permutation": PermutationGenerator, "marginal": MarginalGenerator, "tabsds": RankGenerator}
 
 
 def checked_sample(generator: Generator, rows: int, seed: int, known: dict[str, list] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.contracts import ColumnSpec, GateError, Profile
 from tallyframe.functions.expressions import finite, integral, is_close, python_fullmatch, truthy
+from tallyframe.operators.stats import by_value
 
 
 def column_rule(name: str, rule: Mapping) -> Column:
@@ -105,7 +106,7 @@ def with_unique_counts(df: DataFrame, names: list[str]) -> DataFrame:
     """Group sizes for ``unique``: counted first and joined, so a hot value never gathers its rows in one task."""
     for name in names:
         sizes = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias(f"_k_{name}")).agg(F.count(F.lit(1)).alias(f"_n_{name}"))
-        df = df.join(sizes, F.col(name) == F.col(f"_k_{name}"), "left").drop(f"_k_{name}")
+        df = by_value(df, sizes, [name], f"_n_{name}")
     return df
 
 

@@ -7,9 +7,15 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.sources.working import working
+
 COARSE = 16
 
 
@@ -91,14 +97,64 @@ def head(df: DataFrame, order: list[Column | str], rows: int) -> DataFrame:
     return df.orderBy(*order).limit(rows)
 
 
-def duplicated(df: DataFrame, columns: list[str], name: str = "duplicated") -> DataFrame:
-    """``df`` with a flag of the rows whose ``columns`` occur in another row as well, nulls equal.
+def by_value(df: DataFrame, counts: DataFrame, columns: list[str], size: str, share: int = 1000) -> DataFrame:
+    """``df`` joined to what ``counts`` says of its values (columns ``_k_<column>``, nulls equal), whatever value is frequent.
 
-    Groups are counted first and joined, so the rows of a frequent value never meet in one task.
+    ``size`` is how many rows hold a value. Values of more than one in ``share`` rows, fewer than ``share`` of them, are
+    broadcast, so their rows stay where they are; rows of other values are shuffled. Rows without a match get nulls.
     """
-    sizes = df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in columns]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in columns]
-    return df.join(sizes, same, "left").withColumn(name, F.col("_n").isNotNull()).drop("_n", *[f"_k_{c}" for c in columns])
+    counts = working(counts, "counts")
+    total = counts.agg(F.sum(size)).first()[0] or 0
+    hot, cold = counts.where(F.col(size) * share > total), counts.where(F.col(size) * share <= total)
+    found = df.join(F.broadcast(hot), same).unionByName(df.join(F.broadcast(hot), same, "left_anti").join(cold, same, "left"))
+    return found.drop(*[f"_k_{c}" for c in columns])
+
+
+def duplicated(df: DataFrame, columns: list[str], name: str = "duplicated") -> DataFrame:
+    """``df`` with a flag of the rows whose ``columns`` occur in another row as well, nulls equal."""
+    sizes = df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in columns]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return by_value(df, sizes, columns, "_n").withColumn(name, F.col("_n").isNotNull()).drop("_n")
+
+
+def co_moments(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """(by, i, j, n, x, y, xx, yy, xy): over the rows where columns i and j (i < j) are both present, their number, sums, sums of
+    squares and of products, relative to the columns' overall means.
+
+    Each task sums whole matrices of its rows; the sums of tasks are added by pair. So the plan does not grow with the pairs.
+    """
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    means = df.agg(*[F.avg(value(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    plain = df.select((F.col(by).cast("string") if by else F.lit("")).alias("by"), *[(value(c) - F.lit(float(means[i] or 0.0))).alias(f"v{i}") for i, c in enumerate(columns)])
+    i, j = np.triu_indices(len(columns), 1)
+    names = ("n", "x", "y", "xx", "yy", "xy")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.column_stack([batch.column(f"v{k}").to_numpy(zero_copy_only=False) for k in range(len(columns))]).astype(float)
+            group = batch.column("by").dictionary_encode(null_encoding="encode")
+            for at, name in enumerate(group.dictionary.to_pylist()):
+                v = values[group.indices.to_numpy() == at]
+                there = (~np.isnan(v)).astype(float)
+                v = np.where(there > 0, v, 0.0)
+                x, xx = v.T @ there, (v * v).T @ there
+                held[name] = held.get(name, 0) + np.stack([m[i, j] for m in (there.T @ there, x, x.T, xx, xx.T, v.T @ v)])
+        for name, sums in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(i), pa.string()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), *map(pa.array, sums)], names=["by", "i", "j", *names])
+
+    parts = plain.mapInArrow(task, "by string, i int, j int, " + ", ".join(f"{c} double" for c in names))
+    return parts.groupBy("by", "i", "j").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def rho() -> Column:
+    """The correlation of a row of ``co_moments``; null where a column is constant."""
+    n, x, y, xx, yy, xy = (F.col(k) for k in ("n", "x", "y", "xx", "yy", "xy"))
+    vx, vy = n * xx - x * x, n * yy - y * y
+    flat = (vx <= n * xx * 1e-13) | (vy <= n * yy * 1e-13)
+    return F.when(~flat, F.try_divide(n * xy - x * y, F.sqrt(vx) * F.sqrt(vy)))
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], rows: int) -> DataFrame:

@@ -427,9 +427,18 @@ def a22_column_info(spark, d):
     return audit.column_info(table(spark, d, "lineitem"), ["l_quantity", "l_discount"], ["l_returnflag"])
 
 
-@registered("WITH r AS (SELECT n_nationkey, concat_ws(chr(31), n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR) AS row, floor((row_number() OVER (ORDER BY n_nationkey) - 1) * 4 / count(*) OVER ())::INT AS bucket FROM nation) SELECT bucket, count(*) AS n, sha256(string_agg(row, chr(10) ORDER BY n_nationkey)) AS digest FROM r GROUP BY ALL")
+_TREE = (
+    "WITH RECURSIVE r AS (SELECT l_orderkey, l_linenumber, sha256(concat_ws(chr(31), l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_returnflag, l_linestatus)) AS row, count(*) AS k FROM lineitem GROUP BY ALL), "
+    "p AS (SELECT *, sum(k) OVER (ORDER BY l_orderkey, l_linenumber, row)::BIGINT AS upto FROM r), q AS (SELECT row, upto - k AS start, upto, unnest(range((upto - k) // 64, (upto - 1) // 64 + 1)) AS node FROM p), "
+    "t(level, node, n, digest) AS (SELECT 0, node, sum(least(upto, (node + 1) * 64) - greatest(start, node * 64))::BIGINT, sha256(string_agg(row || '*' || (least(upto, (node + 1) * 64) - greatest(start, node * 64))::VARCHAR, chr(10) ORDER BY start)) FROM q GROUP BY node "
+    "UNION ALL SELECT level + 1, node // 64, sum(n)::BIGINT, sha256(string_agg(digest, chr(10) ORDER BY node)) FROM (SELECT * FROM t WHERE (SELECT count(*) FROM t) > 1) GROUP BY level, node // 64) "
+    "SELECT level, node, n, digest FROM t"
+)
+
+
+@registered(_TREE)
 def a31_ordered_hash(spark, d):
-    return audit.ordered_digest(table(spark, d, "nation"), ["n_nationkey"], ["n_nationkey", "n_name", "n_regionkey"], 4)
+    return audit.ordered_digest(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"], 64)
 
 
 @registered("WITH k AS (SELECT p_type, dense_rank() OVER (ORDER BY p_type) - 1 AS code FROM (SELECT DISTINCT p_type FROM part WHERE p_partkey % 2 = 0 AND p_partkey < 40)), e AS (SELECT max(code) AS m FROM k) SELECT p_partkey, coalesce(code, m + 1)::INT AS code FROM part LEFT JOIN k USING (p_type), e")
@@ -562,6 +571,23 @@ def h_shuffled_columns(spark, d):
     return long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
+_RANKS = "r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r{i}" for i, c in enumerate(("l_quantity", "l_extendedprice", "l_returnflag"))) + f" FROM ({_RELATED}))"
+
+
+@registered(f"WITH {_RANKS} SELECT 'l_quantity--l_extendedprice' AS name, round(corr(r0, r1), 6) AS told, true AS kept FROM r UNION ALL SELECT 'l_quantity--l_returnflag', round(corr(r0, r2), 6), true FROM r UNION ALL SELECT 'l_extendedprice--l_returnflag', round(corr(r1, r2), 6), true FROM r UNION ALL SELECT 'l_returnflag ' || l_returnflag, count(*)::DOUBLE, true FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'l_quantity ' || l_quantity::BIGINT::VARCHAR, count(*)::DOUBLE, true FROM lineitem GROUP BY l_quantity")
+def h_rank_generator(spark, d):
+    """As many rows as the table: each rank correlation within 0.02 of the table's, and every value as often as there."""
+    train = _related(table(spark, d, "lineitem")).select("l_quantity", "l_extendedprice", "l_returnflag")
+    made = generate.RankGenerator(["l_quantity", "l_extendedprice"], ["l_returnflag"]).fit(train).sample(train.count(), 3)
+    coded = lambda df: df.withColumn("l_returnflag", F.ascii("l_returnflag"))
+    told = lambda df, name: generate.spearman(coded(df), ["l_quantity", "l_extendedprice", "l_returnflag"]).select(F.concat_ws("--", "left_column", "right_column").alias("name"), F.col("rho").alias(name))
+    pairs = told(train, "told").join(told(made, "made"), "name").select("name", r6("told", "told"), (F.abs(F.col("made") - F.col("told")) < 0.02).alias("kept"))
+    names = lambda c: F.concat_ws(" ", F.lit(c), F.when(F.lit(c == "l_quantity"), F.col(c).cast("double").cast("long").cast("string")).otherwise(F.col(c).cast("string")))
+    values = lambda df, n: df.select(F.explode(F.array(names("l_returnflag"), names("l_quantity"))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias(n))
+    both = values(train, "told").join(values(made, "made"), "name", "full").select("name", F.col("told").cast("double").alias("told"), F.coalesce(F.col("told") == F.col("made"), F.lit(False)).alias("kept"))
+    return pairs.unionByName(both)
+
+
 @registered("SELECT 500::BIGINT AS n, 0::BIGINT AS n_missing")
 def h_network(spark, d):
     g = generate.NetworkGenerator(["l_quantity"], ["l_returnflag", "l_linestatus"], bins=4).fit(table(spark, d, "lineitem"))

@@ -216,6 +216,98 @@ def test_nearest_against_all_pairs(spark, kind):
             assert np.allclose([apart(x, next(y for y in b if y[0] == k)) for k in got[x[0]].neighbours], [d for d, _ in want])
 
 
+@pytest.mark.parametrize("numeric, categorical", [([], ["g0", "g1", "g2"]), ([f"x{i}" for i in range(8)], [])])
+def test_nearest_compares_few_blocks(spark, numeric, categorical):
+    """Without a number, and with eight that follow two hidden ones: fewer than a tenth of the block pairs, and the result of all pairs."""
+    block, sizes = 40, (3000, 12_000)
+
+    def made(n, seed):
+        r = np.random.default_rng(seed)
+        x = r.random((n, 2)) @ np.random.default_rng(0).normal(size=(2, 8)) + r.normal(size=(n, 8)) * 0.002
+        return pd.DataFrame({"k": np.arange(n) + seed * 10**6} | {f"x{i}": x[:, i] for i in range(8)} | {f"g{i}": r.integers(0, 6, n).astype(str) for i in range(3)})
+
+    a, b = made(sizes[0], 1), made(sizes[1], 2)
+    report = []
+    got = {x.k: x for x in distance.nearest(spark.createDataFrame(a), spark.createDataFrame(b), "k", numeric, categorical, neighbours=2, block=block, report=report).collect()}
+    assert report[0][0] < 0.1 * (sizes[0] // block) * (sizes[1] // block)
+    for at in range(0, sizes[0], 500):
+        part = a[at : at + 500]
+        d = np.zeros((500, sizes[1]))
+        for c in numeric:
+            d += np.abs(part[c].values[:, None] - b[c].values) / (b[c].max() - b[c].min())
+        for c in categorical:
+            d += 2.0 * (part[c].values[:, None] != b[c].values)
+        first = np.argsort(d, axis=1, kind="stable")[:, :2]
+        for i, k in enumerate(part.k):
+            assert np.allclose(got[k].distances, d[i, first[i]]) and got[k].neighbours == b.k.values[first[i]].tolist()
+
+
+def test_one_wide_ball_widens_no_search(spark):
+    """Balls of all sizes against all pairs; an outlier adds its own block pairs only; equal rows count once each."""
+    r = np.random.default_rng(12)
+    plain = np.round(r.random((1500, 2)), 3)
+    plain[:40] = plain[0]
+    fakes = np.round(r.random((1500, 2)), 3)
+
+    def asked(real, fake, seen):
+        frame = lambda m, first: spark.createDataFrame([(first + i, float(x), float(y)) for i, (x, y) in enumerate(m)], "k long, x double, y double")
+        return tuple(distance.prdc(frame(real, 0), frame(fake, 10_000), "k", ["x", "y"], block=50, report=seen).first())
+
+    def balls(points, centres):
+        spread = centres.max(0) - centres.min(0)
+        apart = lambda p, q: np.sqrt((((p[:, None] - q[None]) / spread) ** 2).sum(2))
+        return apart(centres, points) <= np.sort(apart(centres, centres), axis=1)[:, 5:6]
+
+    pairs = []
+    for real in (plain, np.vstack([plain, [[30.0, 30.0]]])):
+        seen = []
+        inside, back = balls(fakes, real), balls(real, fakes)
+        want = (inside.any(0).mean(), back.any(0).mean(), inside.sum() / (5 * len(fakes)), inside.any(1).mean())
+        assert np.allclose(asked(real, fakes, seen), want)
+        pairs.append(seen[0][0])
+    assert pairs[1] < 10 * pairs[0]
+
+
+def test_values_of_any_frequency_meet_their_counts(spark):
+    rows = [(i, "hot" if i % 3 else None if i % 2 else f"v{i // 4}") for i in range(600)]
+    got = stats.duplicated(spark.createDataFrame(rows, "k long, v string"), ["v"]).collect()
+    assert {r.k: r.duplicated for r in got} == {k: sum(v == w for _, w in rows) > 1 for k, v in rows} and len(got) == 600
+
+
+def test_co_moments_against_numpy(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(200, 40)) + 1e6
+    x[r.random(x.shape) < 0.1] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({f"c{i}": x[:, i] for i in range(40)} | {"arm": np.arange(200) % 2 == 0})).repartition(3)
+    for row in stats.co_moments(df, [f"c{i}" for i in range(40)], "arm").withColumn("rho", stats.rho()).collect():
+        both = x[(np.arange(200) % 2 == 0) == (row.by == "true")][:, [row.i, row.j]]
+        both = both[~np.isnan(both).any(1)]
+        assert row.n == len(both) and math.isclose(row.rho, np.corrcoef(both.T)[0, 1], abs_tol=1e-7)
+
+
+def test_many_columns_end_soon(spark):
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame(pd.DataFrame(r.normal(size=(200, 100)), columns=[f"c{i}" for i in range(100)])).withColumn(fidelity.ARM, F.rand(1) < 0.5)
+    assert fidelity.correlation_similarity(df, [f"c{i}" for i in range(100)]).where("score between 0 and 1").count() == 4950
+
+
+@pytest.mark.parametrize("rows", [3000, 1000])
+def test_rank_generator_keeps_ranks_and_marginals(spark, rows):
+    r = np.random.default_rng(5)
+    a = r.normal(size=3000)
+    train = pd.DataFrame({"a": a, "b": np.round(np.exp(a + r.normal(size=3000)), 1), "c": r.integers(0, 4, 3000).astype(float), "g": np.where(a + r.normal(size=3000) > 0.5, "y", np.where(r.random(3000) < 0.5, "n", "m"))})
+    made = generate.GENERATORS["tabsds"](["a", "b", "c"], ["g"]).fit(spark.createDataFrame(train)).sample(rows, 7)
+    again = made.toPandas()
+    assert made.columns == ["row_id", "a", "b", "c", "g"] and again.row_id.nunique() == rows
+    coded = lambda df: df.assign(g=df.g.map({"m": 0, "n": 1, "y": 2}))[["a", "b", "c", "g"]].rank().corr().values
+    assert np.abs(coded(again) - coded(train)).max() < 0.02
+    for c in train.columns:
+        if rows == 3000:
+            assert sorted(again[c]) == sorted(train[c])
+        else:
+            assert sorted(again[c]) == sorted(train[c])[::3]
+
+
 def test_generators_keep_their_promises(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], "xyz"[i % 3] if i % 2 else "x", float(i % 7)) for i in range(60)], "id long, a string, b string, n double")
     drawn = generate.network_sample(df.withColumn("c", F.concat("a", "b")), {"a": [], "b": [], "c": ["a", "b"]}, 500, 1)
