@@ -10,9 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+# Texts that are numbers. The engine's own cast takes more, such as "1d" and " 2f ".
+NUMBER_TEXT = r"(?i)\A\s*[+-]?(?:(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\s*\z"
+
+
+def number(c: Column, kind: str = "double") -> Column:
+    """The number a value or its text stands for; null if it stands for none."""
+    text = c.cast("string")
+    return F.when(text.rlike(NUMBER_TEXT), F.trim(text).try_cast(kind))
+
+
+def present(c: Column) -> Column:
+    """A double whose NaN is missing."""
+    return F.nanvl(c.cast("double"), F.lit(None))
+
+
 def finite(c: Column) -> Column:
-    """Null passes; infinities fail."""
-    return c.isNull() | (F.abs(c.cast("double")) != F.lit(float("inf")))
+    """Null passes; infinities and NaN fail."""
+    d = c.cast("double")
+    return c.isNull() | (~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))))
 
 
 def integral(c: Column) -> Column:
@@ -66,15 +82,20 @@ def utc_text(c: Column) -> Column:
 
 
 def sentence(columns: list[str]) -> Column:
-    """A row as the sentence "a is 1, b is x"; missing values are left out."""
-    return F.concat_ws(", ", *[F.concat(F.lit(f"{c} is "), F.col(f"`{c}`").cast("string")) for c in columns])
+    """A row as the sentence "a is 1, b is x"; missing values are left out.
+
+    A comma or backslash in a value has a backslash before it, so that a value is never taken for another column.
+    """
+    safe = lambda c: F.regexp_replace(F.col(f"`{c}`").cast("string"), r"[\\,]", r"\\$0")
+    return F.concat_ws(", ", *[F.concat(F.lit(f"{c} is "), safe(c)) for c in columns])
 
 
 def from_sentence(c: Column, columns: list[str]) -> list[Column]:
     """The columns told in a sentence, as text; the first telling of a column counts, others are null."""
-    parts = F.split(c, ", ")
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)(?:\A|, )((?:[^\\,]|\\.|,(?! ))+)"), 1)
     told = lambda name: F.get(F.filter(parts, lambda x: x.startswith(f"{name} is ")), F.lit(0))
-    return [F.substring(told(name), F.lit(len(name) + 5), F.length(told(name))).alias(name) for name in columns]
+    value = lambda name: F.substring(told(name), F.lit(len(name) + 5), F.length(told(name)))
+    return [F.regexp_replace(value(name), r"(?s)\\(.)", "$1").alias(name) for name in columns]
 
 
 def nested(c: Column, *path: str) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.contracts import ColumnSpec, GateError, Profile
-from tallyframe.functions.expressions import canonical_boolean, row_digest
+from tallyframe.functions.expressions import canonical_boolean, number, present, row_digest
 from tallyframe.operators.stats import ranked
 from tallyframe.sources.working import working
 
@@ -23,24 +24,25 @@ def check_columns(df: DataFrame, profile: Profile) -> DataFrame:
 
 
 def violations(df: DataFrame, profile: Profile) -> DataFrame:
-    """(column_name, n_missing, n_type_mismatch, n_nonfinite, n_unreadable) of all columns from one aggregation."""
+    """(column_name, n_missing, n_type_mismatch, n_nonfinite, n_unreadable) of all columns from one aggregation. NaN is missing."""
     rows = []
     for spec in profile.columns:
         c = F.col(f"`{spec.name}`")
         text = c.cast("string")
-        number = text.try_cast("double")
-        mismatch, nonfinite, unreadable = F.lit(False), F.lit(False), F.lit(False)
+        mismatch, nonfinite, unreadable, missing = F.lit(False), F.lit(False), F.lit(False), c.isNull()
         if spec.semantic_type in ("continuous", "integer"):
-            mismatch = unreadable = number.isNull() & c.isNotNull()
-            nonfinite = number.isNotNull() & (F.isnan(number) | (F.abs(number) == float("inf")))
+            read = number(c)
+            mismatch = unreadable = read.isNull() & c.isNotNull()
+            missing = c.isNull() | F.coalesce(F.isnan(read), F.lit(False))
+            nonfinite = F.coalesce(F.abs(read) == float("inf"), F.lit(False))
         if spec.semantic_type == "integer":
-            exact = text.try_cast("decimal(38,18)")
-            mismatch = c.isNotNull() & ~nonfinite & (exact.isNull() | (exact != F.floor(exact)) | (exact < -(2**63)) | (exact > 2**63 - 1))
+            exact = number(c, "decimal(38,18)")
+            mismatch = ~missing & ~nonfinite & (exact.isNull() | (exact != F.floor(exact)) | (exact < -(2**63)) | (exact > 2**63 - 1))
         if spec.semantic_type == "boolean":
             mismatch = unreadable = c.isNotNull() & canonical_boolean(c).isNull()
         if spec.semantic_type == "datetime":
             mismatch = unreadable = c.isNotNull() & F.try_to_timestamp(text).isNull()
-        rows.append(F.struct(F.lit(spec.name).alias("column_name"), F.count_if(c.isNull()).alias("n_missing"), F.count_if(mismatch).alias("n_type_mismatch"), F.count_if(nonfinite).alias("n_nonfinite"), F.count_if(unreadable).alias("n_unreadable")))
+        rows.append(F.struct(F.lit(spec.name).alias("column_name"), F.count_if(missing).alias("n_missing"), F.count_if(mismatch).alias("n_type_mismatch"), F.count_if(nonfinite).alias("n_nonfinite"), F.count_if(unreadable).alias("n_unreadable")))
     return df.agg(F.array(*rows).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
@@ -54,13 +56,14 @@ def gate(df: DataFrame, profile: Profile, expected_rows: int | None = None, *, p
     if expected_rows is not None and out.count() != expected_rows:
         raise GateError("row_count_mismatch")
     nullable = {s.name for s in profile.columns if s.nullable}
-    for row in violations(out, profile).collect():  # one row per column
+    found = violations(out, profile).collect()  # one row per column
+    for row in found:
         strict = ((0 if row.column_name in nullable else row.n_missing, "missing_values_prohibited"), (row.n_type_mismatch, "type_mismatch"), (row.n_nonfinite, "nonfinite_values"))
         for n, code in strict if not preserve else ((row.n_unreadable, "type_mismatch"),):
             if n:
                 raise GateError(code, row.column_name)
     if preserve:
-        broken = {r.column_name for r in violations(out, profile).collect() if r.n_type_mismatch or r.n_nonfinite}
+        broken = {r.column_name for r in found if r.n_type_mismatch or r.n_nonfinite}
         return out.select(*[_typed(s, double=s.name in broken).alias(s.name) for s in profile.columns])
     return out.select(*[_typed(s).alias(s.name) for s in profile.columns])
 
@@ -71,8 +74,10 @@ def _typed(spec: ColumnSpec, *, double: bool = False) -> Column:
     if spec.semantic_type == "boolean":
         return canonical_boolean(c)
     if spec.semantic_type == "integer" and not double:
-        return c.cast("string").try_cast("decimal(38,18)").cast("decimal(20,0)").cast("long")
-    return c.cast({"continuous": "double", "integer": "double", "datetime": "timestamp"}.get(spec.semantic_type, "string"))
+        return number(c, "decimal(38,18)").cast("decimal(20,0)").cast("long")
+    if spec.semantic_type in ("continuous", "integer"):
+        return present(number(c))
+    return c.cast({"datetime": "timestamp"}.get(spec.semantic_type, "string"))
 
 
 def gate_arms(arms: dict[str, DataFrame], profile: Profile, *, expected_rows: int | None = None, synthetic: str = "synthetic") -> dict[str, DataFrame]:
@@ -151,8 +156,8 @@ def domain_checks(df: DataFrame, domains: dict[str, dict], by: str | None = None
         shape = F.lit(True) if not domain.get("integer") else c.cast("string").rlike(r"\A(?:0|-?[1-9][0-9]*)\z")
         inside = F.lit(True)
         if "min" in domain or "max" in domain:
-            number = c.cast("string").try_cast("double")
-            inside = number.isNotNull() & (number >= domain.get("min", float("-inf"))) & (number <= domain.get("max", float("inf")))
+            read = present(number(c))
+            inside = read.isNotNull() & (read >= domain.get("min", float("-inf"))) & (read <= domain.get("max", float("inf")))
         if "values" in domain:
             inside = inside & c.cast("string").isin(*domain["values"])
         rows.append(F.struct(F.lit(name).alias("column_name"), F.count(F.lit(1)).alias("n"), F.count_if(present & ~shape).alias("n_not_integer"), F.count_if(present & ~inside).alias("n_outside")))
@@ -204,12 +209,14 @@ def ordered_digest(df: DataFrame, order: list[str], columns: list[str], fan: int
 
 
 def infer_roles(df: DataFrame) -> DataFrame:
-    """(column_name, n, n_numeric, n_whole, role): numeric if every present value is a number."""
+    """(column_name, n, n_numeric, n_whole, role): numeric if every present value is a finite number; a NaN of a number column is missing."""
+    floating = {f.name for f in df.schema if f.dataType.simpleString() in ("double", "float")}
     rows = []
     for c in df.columns:
-        text = F.col(f"`{c}`").cast("string")
-        number = text.try_cast("double")
-        rows.append(F.struct(F.lit(c).alias("column_name"), F.count(text).alias("n"), F.count(number).alias("n_numeric"), F.count_if(number == F.floor(number)).alias("n_whole")))
+        value = present(F.col(f"`{c}`")) if c in floating else F.col(f"`{c}`")
+        read = number(value)
+        read = F.when(F.abs(read) < float("inf"), read)  # NaN counts as more than that
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.count(value).alias("n"), F.count(read).alias("n_numeric"), F.count_if(read == F.floor(read)).alias("n_whole")))
     out = df.agg(F.array(*rows).alias("x")).select(F.explode("x").alias("x")).select("x.*")
     return out.withColumn("role", F.when((F.col("n") > 0) & (F.col("n") == F.col("n_numeric")), F.when(F.col("n_whole") == F.col("n"), "integer").otherwise("continuous")).otherwise("categorical"))
 
@@ -224,9 +231,27 @@ def duplicate_audit(train: DataFrame, test: DataFrame, columns: list[str]) -> Da
 
 
 def slugs(df: DataFrame, name: str, slug: str) -> DataFrame:
-    """Slugs made unique: the second and later of one slug, by name, get -2, -3 and so on."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(name))
-    return df.withColumn("column_id", F.when(n == 1, F.col(slug)).otherwise(F.concat_ws("-", F.col(slug), n.cast("string"))))
+    """Slugs made unique in the order of names: a slug that is taken gets -2, -3 and so on, the first that is free.
+
+    A made id may meet a given slug (``a, a, a-2``), so ids depend on one another; slugs that can meet share what is left when
+    numbers at their end are cut off, and each such family, which is that of a few columns, is settled by itself.
+    """
+    family = F.regexp_replace(F.col(slug), "(-[0-9]+)+$", "")
+    rows = df.select(F.col(name).alias("name"), F.col(slug).alias("slug"), family.alias("family"))
+
+    def settle(columns: pd.DataFrame) -> pd.DataFrame:
+        used: set[str] = set()
+        made = []
+        for own in columns.sort_values("name")["slug"]:
+            found, n = own, 2
+            while found in used:
+                found, n = f"{own}-{n}", n + 1
+            used.add(found)
+            made.append(found)
+        return columns.sort_values("name").assign(column_id=made)[["name", "column_id"]]
+
+    ids = rows.where(F.col("slug").isNotNull()).groupBy("family").applyInPandas(settle, f"name {df.schema[name].dataType.simpleString()}, column_id string")
+    return df.join(ids.withColumnRenamed("name", "_name"), F.col(name).eqNullSafe(F.col("_name")), "left").drop("_name")
 
 
 def largest_remainder(counts: DataFrame, weight: str, total: int) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.expressions import ratio
+from tallyframe.functions.expressions import present, ratio
 from tallyframe.operators.stats import co_moments, rho, running_sums
 
 ARM = "is_candidate"
@@ -24,7 +24,7 @@ def ks_complement(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Values are counted first, each column by itself; running sums pass over buckets of distinct values.
     """
-    arm = lambda c: df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("v")).agg(F.count_if(~F.col(ARM)).alias("r"), F.count_if(F.col(ARM)).alias("s")).select(F.lit(c).alias("column_name"), "v", "r", "s")
+    arm = lambda c: df.where(present(F.col(c)).isNotNull()).groupBy(present(F.col(c)).alias("v")).agg(F.count_if(~F.col(ARM)).alias("r"), F.count_if(F.col(ARM)).alias("s")).select(F.lit(c).alias("column_name"), "v", "r", "s")
     placed = running_sums(reduce(DataFrame.unionByName, [arm(c) for c in columns]), ["column_name"], "v", ["r", "s"])
     gap = F.abs(ratio(F.col("upto_r"), F.col("all_r")) - ratio(F.col("upto_s"), F.col("all_s")))
     return placed.groupBy("column_name").agg((1 - F.max(gap)).alias("score"))

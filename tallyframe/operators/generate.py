@@ -14,7 +14,7 @@ from tallyframe.contracts import GateError
 from tallyframe.functions.expressions import normal_quantile
 from tallyframe.operators.distance import nearest
 from tallyframe.operators.preprocess import category_codes, fit_quantile_bins, quantile_bins, quantile_bins_inverse
-from tallyframe.operators.stats import by_value, co_moments, rho, running_sums
+from tallyframe.operators.stats import by_value, co_moments, places, rho, running_sums
 from tallyframe.sources.working import working
 
 
@@ -143,9 +143,7 @@ def smote(df: DataFrame, key: str, numeric: list[str], label: str, minority: obj
     if n < 2:
         raise GateError("insufficient_support", "a class needs two rows or more")
     near = nearest(own, own, key, list(numeric), list(categorical), kind="l2", mismatch=1.0, neighbours=min(k, n - 1), skip_equal_key=True)
-    counts = own.select(F.xxhash64(F.lit(seed), key).cast("double").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
-    places = running_sums(counts, [], "_h", ["n"]).select("_h", (F.col("upto_n") - F.col("n")).alias("_i"))
-    held = own.withColumn("_h", F.xxhash64(F.lit(seed), key).cast("double")).join(places, "_h").join(near.select(key, "neighbours"), key)
+    held = places(own, [], F.xxhash64(F.lit(seed), key), [key], "_i").drop("_i_of").join(near.select(key, "neighbours"), key)
     draws = df.sparkSession.range(rows).select(F.col("id").alias("row_id"), F.pmod(F.col("id"), F.lit(n)).alias("_i"), uniform(seed, F.lit("rank"), F.col("id")).alias("_rank"), uniform(seed, F.lit("step"), F.col("id")).alias("_step"))
     base = draws.join(held, "_i").withColumn("_other", F.get("neighbours", F.floor(F.col("_rank") * F.size("neighbours")).cast("int")))
     if numeric:
@@ -191,10 +189,7 @@ def shuffled_columns(df: DataFrame, key: str, columns: list[str], seed: int, lev
 
     def placed(rows: DataFrame, order: Column) -> DataFrame:
         """Rows with their rank by ``order`` within the level."""
-        keyed = rows.withColumn("_h", order.cast("double"))
-        ranks = running_sums(keyed.groupBy("_level", "_h").agg(F.count(F.lit(1)).alias("n")), ["_level"], "_h", ["n"]).select(F.col("_level").alias("_l"), F.col("_h").alias("_a"), (F.col("upto_n") - F.col("n")).alias("_rank"))
-        joined = keyed.join(ranks, (F.col("_level") == F.col("_l")) & (F.col("_h") == F.col("_a"))).drop("_l", "_a")
-        return joined.withColumn("_rank", F.col("_rank") + F.row_number().over(Window.partitionBy("_level", "_h").orderBy(key)) - 1).drop("_h")
+        return places(rows, ["_level"], order, [key], "_rank").drop("_rank_of")
 
     base = placed(out.select(key, "_level", lead), F.xxhash64(F.lit(seed), F.lit("rows"), key))
     for c in columns[1:]:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
+from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.contracts import GateError, Profile
-from tallyframe.functions.expressions import exp_with_bound, log_with_bound, marker_to_null, nfc, normal_quantile, ratio
-from tallyframe.operators.stats import quantiles, ranked, running_sums
+from tallyframe.functions.expressions import exp_with_bound, log_with_bound, marker_to_null, nfc, normal_quantile, number, present, ratio
+from tallyframe.operators.stats import places, quantiles, ranked
+from tallyframe.sources.working import working
 
 
 @dataclass(frozen=True)
@@ -21,7 +26,7 @@ class ImputationState:
 
 def normalise_markers(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """Textual missing markers become null; numeric columns become doubles, NaN included among the missing."""
-    as_number = lambda c: F.nanvl(marker_to_null(F.col(c).cast("string")).try_cast("double"), F.lit(None).cast("double"))
+    as_number = lambda c: present(number(marker_to_null(F.col(c).cast("string"))))
     return df.withColumns({c: as_number(c) for c in numeric} | {c: marker_to_null(F.col(c).cast("string")) for c in categorical})
 
 
@@ -228,19 +233,17 @@ def frequency_decoded(df: DataFrame, ranks: DataFrame, column: str) -> DataFrame
 
 
 def stratified_split(df: DataFrame, by: str, key: Column, shares: tuple[float, ...] = (0.6, 0.2, 0.2), names: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
-    """Per class, the first rows in the order of ``key`` (a number) go to the first split, and so on; the sizes are exact.
+    """Per class, the first rows in the order of ``key`` (a number, null first) go to the first split, and so on; the sizes are exact.
 
-    Places come from running sums over buckets of a class, so a large class is never sorted in one task.
+    Rows of equal keys follow the hash of their fields. Places come from running sums, so a large class or a frequent key is
+    never sorted in one task.
     """
-    held = df.withColumn("_key", key.cast("double"))
-    counts = held.groupBy(F.col(by).alias("_by"), "_key").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_sums(counts, ["_by"], "_key", ["n"]).select("_by", F.col("_key").alias("_at"), ratio(F.col("upto_n") - F.col("n"), F.col("all_n")).alias("_share"))
-    out, upto = F.lit(names[-1]), sum(shares)
-    for name, s in zip(reversed(names[:-1]), reversed(shares[1:])):
-        upto -= s
-        out = F.when(F.col("_share") < upto, name).otherwise(out)
-    joined = held.join(placed, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_key") == F.col("_at")))
-    return joined.withColumn("split", out).drop("_key", "_by", "_at", "_share")
+    placed = places(df, [by], F.coalesce(key.cast("double"), F.lit(float("-inf"))), df.columns)
+    share = ratio(F.col("_place"), F.col("_place_of"))
+    out = F.lit(names[-1])
+    for name, upto in reversed([*zip(names[:-1], accumulate(shares))]):
+        out = F.when(share < upto, name).otherwise(out)
+    return placed.withColumn("split", out).drop("_place", "_place_of")
 
 
 def hash_key(seed: int, *columns: str) -> Column:
@@ -249,10 +252,11 @@ def hash_key(seed: int, *columns: str) -> Column:
 
 
 def covering_split(df: DataFrame, key: str, categorical: list[str], share: float = 0.9, seed: int = 0, tries: int = 50) -> tuple[DataFrame, int]:
-    """``df`` with a split of ``share`` train rows by the least seed under which the train rows hold every category, and that seed."""
+    """``df`` with a split of exactly ``share`` train rows (rounded down) by the least seed under which these hold every category, and that seed."""
     whole = df.agg(*[F.count_distinct(c).alias(c) for c in categorical]).first()
     for at in range(seed, seed + tries):
-        made = df.withColumn("split", F.when(F.pmod(hash_key(at, key), F.lit(1_000_000)) < int(share * 1_000_000), "train").otherwise("test"))
+        placed = places(df, [], hash_key(at, key), [key])
+        made = placed.withColumn("split", F.when(F.col("_place") < F.floor(F.col("_place_of") * share), "train").otherwise("test")).drop("_place", "_place_of")
         if made.where("split = 'train'").agg(*[F.count_distinct(c).alias(c) for c in categorical]).first() == whole:
             return made, at
     raise GateError("no_covering_split", f"{tries} seeds")
@@ -260,11 +264,8 @@ def covering_split(df: DataFrame, key: str, categorical: list[str], share: float
 
 def validation_rows(df: DataFrame, key: str, seed: int, part: int = 9) -> DataFrame:
     """``df`` with a split: one row in ``part`` (rounded down) validates, the least by seeded hash."""
-    n = df.count() // part
-    counts = df.select(hash_key(seed, key).cast("double").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_sums(counts, [], "_h", ["n"]).select(F.col("_h").alias("_at"), (F.col("upto_n") <= n).alias("_val"))
-    held = df.withColumn("_h", hash_key(seed, key).cast("double")).join(placed, F.col("_h") == F.col("_at"))
-    return held.withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_h", "_at", "_val")
+    placed = places(df, [], hash_key(seed, key), [key])
+    return placed.withColumn("split", F.when(F.col("_place") < F.floor(F.col("_place_of") / part), "val").otherwise("train")).drop("_place", "_place_of")
 
 
 def fit_quantile_bins(train: DataFrame, column: str, bins: int = 16) -> list[float]:
@@ -432,39 +433,128 @@ def transform_splits(splits: dict[str, DataFrame], spec: TransformSpec, fit_on:
 
 @dataclass(frozen=True)
 class Modes:
-    """A fitted mixture of one numeric column: (weight, mean, deviation) of each mode."""
+    """A fitted mixture of one numeric column: (weight, mean, deviation) of each mode that is kept, and the logarithm of each mode's
+    share of a value up to -(x - mean)^2 / 2 deviation^2. ``modal`` values are modes of their own, after the others."""
 
     column: str
     parts: tuple[tuple[float, float, float], ...]
-
-
-def fit_modes(train: DataFrame, column: str, modes: int = 10, seed: int = 0, least_weight: float = 0.005) -> Modes:
-    """A Gaussian mixture of the column; modes of hardly any weight are left out."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=["_x"], outputCol="_v").transform(train.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_x")))
-    model = GaussianMixture(featuresCol="_v", k=modes, seed=seed).fit(rows)
-    found = [(w, float(g.mean[0]), float(max(g.cov.toArray()[0][0], 1e-12)) ** 0.5) for w, g in zip(model.weights, model.gaussians)]
-    return Modes(column, tuple(sorted((x for x in found if x[0] >= least_weight), key=lambda x: x[1])))
+    levels: tuple[float, ...]
+    rounds: int = 0
+    modal: tuple[float, ...] = ()
+
+
+def _digamma(x: float) -> float:
+    """The derivative of the logarithm of the gamma function: recurrence up to 6, then its asymptotic series."""
+    out = 0.0
+    while x < 6:
+        out, x = out - 1 / x, x + 1
+    r = 1 / (x * x)
+    return out + math.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+
+
+class _Dirichlet:
+    """A truncated Dirichlet-process mixture of normal distributions: the variational parameters, updated from each mode's weight,
+    sum and sum of squares. Priors: the column's mean, its variance (n - 1), one degree of freedom, one observation."""
+
+    def __init__(self, modes: int, mean: float, variance: float, concentration: float, floor: float):
+        self.k, self.mean, self.variance, self.concentration, self.floor = modes, mean, variance, concentration, floor
+
+    def update(self, n: np.ndarray, x: np.ndarray, xx: np.ndarray) -> None:
+        n = n + 10 * np.finfo(float).eps
+        center = x / n
+        spread = np.maximum(xx / n - center * center, 0) + self.floor
+        self.a = 1 + n
+        self.b = self.concentration + np.append(np.cumsum(n[::-1])[-2::-1], 0)
+        self.precision, self.freedom = 1 + n, 1 + n
+        self.means = (self.mean + n * center) / self.precision
+        self.variances = (self.variance + n * spread + n / self.precision * (center - self.mean) ** 2) / self.freedom
+        psi = lambda v: np.array([_digamma(float(i)) for i in v])
+        whole = psi(self.a + self.b)
+        log_weight = psi(self.a) - whole + np.append(0, np.cumsum(psi(self.b) - whole)[:-1])
+        log_scale = math.log(2) + psi(self.freedom / 2) - np.log(self.freedom)
+        self.levels = log_weight - 0.5 * (math.log(2 * math.pi) + np.log(self.variances)) + 0.5 * (log_scale - 1 / self.precision)
+
+    @property
+    def weights(self) -> np.ndarray:
+        w = self.a / (self.a + self.b) * np.append(1, np.cumprod(self.b / (self.a + self.b))[:-1])
+        return w / w.sum()
+
+    def bound(self, entropy: float) -> float:
+        """The lower bound of the evidence, up to constants."""
+        gamma = lambda v: np.array([math.lgamma(float(i)) for i in v])
+        log_det = -0.5 * np.log(self.variances) - 0.5 * np.log(self.freedom)
+        wishart = -(self.freedom * log_det + self.freedom * 0.5 * math.log(2) + gamma(self.freedom / 2))
+        beta = gamma(self.a) + gamma(self.b) - gamma(self.a + self.b)
+        return float(entropy - wishart.sum() + beta.sum() - 0.5 * np.log(self.precision).sum())
+
+
+def fit_modes(train: DataFrame, column: str, modes: int = 10, *, least_weight: float = 0.005, concentration: float = 0.001, most_rounds: int = 100, tolerance: float = 1e-3, modal: Sequence[float] = ()) -> Modes:
+    """A Bayesian mixture of the column's values (truncated Dirichlet process, variational updates): modes that are not needed get
+    hardly any weight and are left out, as are those that are the likeliest of no value.
+
+    Values are counted once; a round is one aggregation of 3 sums a mode and the entropy over the counts, until the evidence's
+    bound moves by less than ``tolerance``. The first responsibilities are those of the quantile ranges, so a fit is the same
+    whatever the partitions. ``modal`` values take no part: each is a mode of its own. Missing values are left out.
+    """
+    x = present(F.col(column))
+    held = train.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.col("x").isin(*[float(v) for v in modal]) if modal else F.col("x").isNotNull())
+    counts = working(held.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("n")), "values")
+    one = counts.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("m")).first()
+    if not one.n:
+        raise GateError("insufficient_support", column)
+    counts = counts.withColumn("d", F.col("x") - F.lit(one.m))
+    variance = (counts.agg(F.sum(F.col("n") * F.col("d") * F.col("d"))).first()[0] or 0.0) / max(one.n - 1, 1)
+    cuts = sorted({float(v) for v in quantiles(held, "x", {f"q{i}": i / modes for i in range(1, modes)}).first() or [] if v is not None}) if modes > 1 else []
+    fit = _Dirichlet(modes, 0.0, max(variance, 1e-12), concentration, 1e-6)
+    sums = lambda r: [F.sum(F.col("n") * r * p) for p in (F.lit(1.0), F.col("d"), F.col("d") * F.col("d"))]
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("x"))) if cuts else F.lit(0)
+    first = counts.withColumn("p", place).agg(*[s.alias(f"s{k}_{i}") for k in range(modes) for i, s in enumerate(sums((F.col("p") == k).cast("double")))]).first()
+    fit.update(*np.array(first).astype(float).reshape(modes, 3).T)
+    last, rounds = -math.inf, 0
+    for rounds in range(1, most_rounds + 1):
+        logs = [F.lit(float(fit.levels[k])) - F.lit(0.5 / float(fit.variances[k])) * F.pow(F.col("d") - F.lit(float(fit.means[k])), F.lit(2.0)) for k in range(modes)]
+        shifted = counts.select("n", "d", *[v.alias(f"l{k}") for k, v in enumerate(logs)])
+        top = F.greatest(*[F.col(f"l{k}") for k in range(modes)]) if modes > 1 else F.col("l0")
+        norm = top + F.log(sum((F.exp(F.col(f"l{k}") - top) for k in range(modes)), F.lit(0.0)))
+        shares = shifted.withColumn("z", norm).select("n", "d", *[F.exp(F.col(f"l{k}") - F.col("z")).alias(f"r{k}") for k in range(modes)])
+        entropy = sum((F.when(F.col(f"r{k}") > 0, -F.col(f"r{k}") * F.log(F.col(f"r{k}"))).otherwise(0.0) for k in range(modes)), F.lit(0.0))
+        found = shares.agg(*[s for k in range(modes) for s in sums(F.col(f"r{k}"))], F.sum(F.col("n") * entropy)).first()
+        fit.update(*np.array(found[:-1]).astype(float).reshape(modes, 3).T)
+        bound = fit.bound(float(found[-1]))
+        if abs(bound - last) < tolerance:
+            break
+        last = bound
+    scores = F.array(*[F.lit(float(fit.levels[k])) - F.lit(0.5 / float(fit.variances[k])) * F.pow(F.col("d") - F.lit(float(fit.means[k])), F.lit(2.0)) for k in range(modes)])
+    likeliest = {int(r.k) for r in counts.select((F.array_position(scores, F.array_max(scores)) - 1).alias("k")).distinct().collect()}  # a row per mode
+    kept = sorted((k for k in range(modes) if fit.weights[k] > least_weight and k in likeliest), key=lambda k: fit.means[k])
+    parts = tuple((float(fit.weights[k]), float(fit.means[k] + one.m), float(fit.variances[k]) ** 0.5) for k in kept)
+    return Modes(column, parts, tuple(float(fit.levels[k]) for k in kept), rounds, tuple(float(v) for v in modal))
 
 
 def mode_normalised(df: DataFrame, fitted: Modes, key: str, seed: int, clip: float = 0.99) -> DataFrame:
-    """The number of a mode, drawn by its likelihood from the seed and the row's key, and the value within it: (x - mean) / 4 deviations, clipped."""
-    x = F.col(fitted.column).cast("double")
-    density = F.array(*[F.lit(w / s) * F.exp(-0.5 * F.pow((x - F.lit(m)) / F.lit(s), F.lit(2.0))) for w, m, s in fitted.parts])
-    total = F.aggregate(density, F.lit(0.0), lambda a, b: a + b)
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(fitted.column), F.col(key)), F.lit(1 << 53)).cast("double") / float(1 << 53) * total
-    reached = F.aggregate(density, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at")), lambda a, b: F.struct((a["sum"] + b).alias("sum"), F.when(a["sum"] + b <= u, a["at"] + 1).otherwise(a["at"]).alias("at")))
-    at = F.least(reached["at"], F.lit(len(fitted.parts) - 1))
-    mean, std = F.get(F.array(*[F.lit(m) for _, m, _ in fitted.parts]), at), F.get(F.array(*[F.lit(s) for *_, s in fitted.parts]), at)
-    return df.withColumns({f"{fitted.column}_mode": at, f"{fitted.column}_within": F.least(F.greatest((x - mean) / (4 * std), F.lit(-clip)), F.lit(clip))})
+    """The number of a mode, drawn by its share of the value (no mode's share is quite 0) from the seed and the row's key, and the
+    value within it: (x - mean) / 4 deviations, clipped. A modal value has its own mode and 0 within it. Missing stays missing."""
+    x, parts = present(F.col(fitted.column)), fitted.parts
+    logs = F.array(*[F.lit(level) - 0.5 * F.pow((x - F.lit(m)) / F.lit(s), F.lit(2.0)) for level, (_, m, s) in zip(fitted.levels, parts)])
+    odds = F.transform(logs, lambda v: F.exp(v - F.array_max(logs)))
+    whole = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
+    shares = F.transform(odds, lambda v: v / whole + 1e-6)
+    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(fitted.column), F.col(key)), F.lit(1 << 53)).cast("double") / float(1 << 53) * (1 + 1e-6 * len(parts))
+    reached = F.aggregate(shares, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at")), lambda a, b: F.struct((a["sum"] + b).alias("sum"), F.when(a["sum"] + b <= u, a["at"] + 1).otherwise(a["at"]).alias("at")))
+    at = F.least(reached["at"], F.lit(len(parts) - 1))
+    mean, std = F.get(F.array(*[F.lit(m) for _, m, _ in parts]), at), F.get(F.array(*[F.lit(s) for *_, s in parts]), at)
+    within = F.least(F.greatest((x - mean) / (4 * std), F.lit(-clip)), F.lit(clip))
+    if fitted.modal:
+        own = F.array_position(F.array(*[F.lit(v) for v in fitted.modal]), x)
+        at, within = F.when(own > 0, (own + len(parts) - 1).cast("int")).otherwise(at), F.when(own > 0, 0.0).otherwise(within)
+    return df.withColumns({f"{fitted.column}_mode": F.when(x.isNotNull(), at), f"{fitted.column}_within": F.when(x.isNotNull(), within)})
 
 
 def mode_restored(df: DataFrame, fitted: Modes) -> DataFrame:
-    """The inverse of ``mode_normalised``."""
+    """The inverse of ``mode_normalised``, but for what was clipped."""
     at = F.col(f"{fitted.column}_mode")
-    mean, std = F.get(F.array(*[F.lit(m) for _, m, _ in fitted.parts]), at), F.get(F.array(*[F.lit(s) for *_, s in fitted.parts]), at)
+    mean = F.get(F.array(*[F.lit(m) for _, m, _ in fitted.parts], *[F.lit(v) for v in fitted.modal]), at)
+    std = F.get(F.array(*[F.lit(s) for *_, s in fitted.parts], *[F.lit(0.0) for _ in fitted.modal]), at)
     return df.withColumn(fitted.column, F.col(f"{fitted.column}_within") * 4 * std + mean)
 
 

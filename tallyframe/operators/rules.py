@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.contracts import ColumnSpec, GateError, Profile
+from tallyframe.contracts import ColumnSpec, Profile
 from tallyframe.functions.expressions import finite, integral, is_close, python_fullmatch, truthy
+from tallyframe.operators.contract import check_contract, constraint_columns, selects  # noqa: F401  the contract's door
 from tallyframe.operators.stats import by_value
 
 
-def column_rule(name: str, rule: Mapping) -> Column:
-    """A rule's verdict per row; all but ``not_null`` pass on missing. ``unique`` needs ``with_unique_counts``."""
+def column_rule(name: str, rule: Mapping, *, floating: bool = False) -> Column:
+    """A rule's verdict per row; all but ``not_null`` pass on missing. ``unique`` needs ``with_unique_counts``.
+
+    In a ``floating`` column NaN is missing, but ``finite`` fails on it.
+    """
     c = F.col(name)
     kind = rule["type"]
+    missing = c.isNull() | F.isnan(c) if floating else c.isNull()
     made: dict[str, Callable[[], Column]] = {
-        "not_null": lambda: c.isNotNull(),
+        "not_null": lambda: ~missing,
         "finite": lambda: finite(c),
         "integer": lambda: integral(c),
         "allowed_values": lambda: c.isin(*rule["values"]),
@@ -27,22 +31,10 @@ def column_rule(name: str, rule: Mapping) -> Column:
         "regex": lambda: python_fullmatch(c.cast("string"), rule["pattern"]),
         "length": lambda: F.char_length(c.cast("string")).between(rule.get("min", 0), rule.get("max", 2**31 - 1)),
         "unique": lambda: F.col(f"_n_{name}") == 1,
-        "datetime_range": lambda: c.between(F.lit(rule["min"]).cast("timestamp"), F.lit(rule["max"]).cast("timestamp")),
+        "datetime_range": lambda: (c >= F.lit(rule["min"]).cast("timestamp") if "min" in rule else F.lit(True)) & (c <= F.lit(rule["max"]).cast("timestamp") if "max" in rule else F.lit(True)),
     }
     verdict = truthy(made[kind]())
-    return verdict if kind == "not_null" else c.isNull() | verdict
-
-
-def selects(selector: Mapping, spec: ColumnSpec) -> bool:
-    """Whether a selector's conditions, all of them, hold for a column of the profile."""
-    tests = {
-        "column_ids": lambda x: spec.name in x,
-        "semantic_types": lambda x: spec.semantic_type in x,
-        "nullable_model_input": lambda x: spec.nullable == x,
-        "roles_any": lambda x: bool(set(spec.roles) & set(x)),
-        "valid_domain_keys": lambda x: set(x) <= set(spec.valid_domain),
-    }
-    return all(tests[k](v) for k, v in selector.items())
+    return verdict if kind == "not_null" else c.isNull() | verdict if kind == "finite" else missing | verdict
 
 
 def column_rules(profile: Profile, definitions: list[Mapping]) -> dict[str, list[Mapping]]:
@@ -58,50 +50,6 @@ def column_rules(profile: Profile, definitions: list[Mapping]) -> dict[str, list
     return {s.name: [resolved(r, s) for d in definitions if selects(d["selector"], s) for r in d["rules"]] for s in profile.columns}
 
 
-# The fields of the closed rule language.
-COLUMN_FIELDS = {"not_null": set(), "finite": set(), "integer": set(), "allowed_values": {"values"}, "bounds": {"min", "max"}, "regex": {"pattern"}, "length": {"min", "max"}, "unique": set(), "datetime_range": {"min", "max"}}
-CONSTRAINT_FIELDS = {
-    "comparison": {"left", "right", "op"},
-    "conditional_domain": {"condition", "when", "target", "then"},
-    "mutual_exclusion": {"columns", "truthy", "max"},
-    "sum_equals": {"columns", "total", "relative", "absolute"},
-    "allowed_combinations": {"columns", "allowed"},
-    "functional_dependency": {"columns", "dependent", "mapping"},
-}
-SELECTOR_FIELDS = {"column_ids", "semantic_types", "nullable_model_input", "roles_any", "valid_domain_keys"}
-
-
-def check_contract(profile: Profile, definitions: list[Mapping], constraints: Mapping[str, Mapping]) -> None:
-    """Refuses a contract with unknown types or fields, columns that do not exist, or a column without any rule."""
-
-    def refuse(detail: str) -> None:
-        raise GateError("invalid_validity_contract", detail)
-
-    for d in definitions:
-        if set(d) != {"selector", "rules"} or not set(d["selector"]) <= SELECTOR_FIELDS or not d["selector"]:
-            refuse(f"selector {sorted(d.get('selector', {}))}")
-        if unknown := set(d["selector"].get("column_ids", [])) - set(profile.names()):
-            refuse(f"unknown columns {sorted(unknown)}")
-        for r in d["rules"]:
-            if r.get("type") not in COLUMN_FIELDS:
-                refuse(f"rule type {r.get('type')}")
-            if extra := set(r) - {"type"} - COLUMN_FIELDS[r["type"]]:
-                refuse(f"{r['type']}: {sorted(extra)}")
-            if r["type"] == "regex":
-                re.compile(r["pattern"])
-    for name, r in constraints.items():
-        if r.get("type") not in CONSTRAINT_FIELDS:
-            refuse(f"constraint type {r.get('type')}")
-        if extra := set(r) - {"type", "applies", "missing"} - CONSTRAINT_FIELDS[r["type"]]:
-            refuse(f"{name}: {sorted(extra)}")
-        if r.get("missing", "violation") not in ("violation", "not_applicable"):
-            refuse(f"{name}: missing behaviour {r['missing']}")
-        if unknown := set(constraint_columns(r)) - set(profile.names()):
-            refuse(f"{name}: unknown columns {sorted(unknown)}")
-    if bare := [c for c, rules in column_rules(profile, definitions).items() if not rules]:
-        refuse(f"columns without a rule: {bare}")
-
-
 def with_unique_counts(df: DataFrame, names: list[str]) -> DataFrame:
     """Group sizes for ``unique``: counted first and joined, so a hot value never gathers its rows in one task."""
     for name in names:
@@ -110,31 +58,28 @@ def with_unique_counts(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+Read = Callable[[str], Column]
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {"lt": lambda a, b: a < b, "le": lambda a, b: a <= b, "eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "ge": lambda a, b: a >= b, "gt": lambda a, b: a > b}
 
 
-def applicable(rule: Mapping, columns: list[str]) -> Column:
+def applicable(rule: Mapping, columns: list[str], read: Read = F.col) -> Column:
     kind = rule.get("applies", {"type": "all_rows"})
     out = {
         "all_rows": lambda: F.lit(True),
         "all_non_missing": lambda: F.lit(True),
-        "column_equals": lambda: F.col(kind["column"]) == F.lit(kind["value"]),
-        "column_in": lambda: F.col(kind["column"]).isin(*kind["values"]),
+        "column_equals": lambda: read(kind["column"]) == F.lit(kind["value"]),
+        "column_in": lambda: read(kind["column"]).isin(*kind["values"]),
     }[kind["type"]]()
     if kind["type"] == "all_non_missing" or rule.get("missing", "violation") == "not_applicable":
         for c in columns:
-            out = out & F.col(c).isNotNull()
+            out = out & read(c).isNotNull()
     return truthy(out)
 
 
-def constraint_columns(rule: Mapping) -> list[str]:
-    return list(dict.fromkeys([*rule.get("columns", []), *[rule[k] for k in ("left", "right", "condition", "target", "dependent", "total") if k in rule]]))
-
-
-def _determined(rule: Mapping) -> Column:
+def _determined(rule: Mapping, read: Read) -> Column:
     """The determinant tuple is one that the mapping names, and the dependent value is the named one."""
     known = [(k if isinstance(k, tuple) else (k,), v) for k, v in rule["mapping"].items()] if isinstance(rule["mapping"], Mapping) else [(tuple(r["determinant"]), r["dependent"]) for r in rule["mapping"]]
-    return _is_one_of([F.col(c) for c in (*rule["columns"], rule["dependent"])], [(*determinant, dependent) for determinant, dependent in known])
+    return _is_one_of([read(c) for c in (*rule["columns"], rule["dependent"])], [(*determinant, dependent) for determinant, dependent in known])
 
 
 def _is_one_of(columns: list[Column], rows: list[tuple]) -> Column:
@@ -145,22 +90,22 @@ def _is_one_of(columns: list[Column], rows: list[tuple]) -> Column:
     return made[0]
 
 
-def constraint(rule: Mapping) -> tuple[Column, Column]:
-    """(applicable, satisfied) of a cross-column constraint."""
+def constraint(rule: Mapping, read: Read = F.col) -> tuple[Column, Column]:
+    """(applicable, satisfied) of a cross-column constraint; ``read`` gives a column with what counts as missing as null."""
     columns, kind = constraint_columns(rule), rule["type"]
     made: dict[str, Callable[[], Column]] = {
-        "comparison": lambda: _COMPARE[rule["op"]](F.col(rule["left"]), F.col(rule["right"])),
-        "conditional_domain": lambda: ~truthy(F.col(rule["condition"]).isin(*rule["when"])) | truthy(F.col(rule["target"]).isin(*rule["then"])),
-        "mutual_exclusion": lambda: sum((F.when(F.col(c).isin(*rule["truthy"]), 1).otherwise(0) for c in rule["columns"]), F.lit(0)) <= rule["max"],
-        "sum_equals": lambda: is_close(sum((F.col(c) for c in rule["columns"][1:]), F.col(rule["columns"][0])), F.col(rule["total"]), rule.get("relative", 1e-9), rule.get("absolute", 0.0)),
-        "allowed_combinations": lambda: _is_one_of([F.col(c) for c in rule["columns"]], [tuple(combination) for combination in rule["allowed"]]),
-        "functional_dependency": lambda: _determined(rule),
+        "comparison": lambda: _COMPARE[rule["op"]](read(rule["left"]), read(rule["right"])),
+        "conditional_domain": lambda: ~truthy(read(rule["condition"]).isin(*rule["when"])) | truthy(read(rule["target"]).isin(*rule["then"])),
+        "mutual_exclusion": lambda: sum((F.when(read(c).isin(*rule["truthy"]), 1).otherwise(0) for c in rule["columns"]), F.lit(0)) <= rule["max"],
+        "sum_equals": lambda: is_close(sum((read(c) for c in rule["columns"][1:]), read(rule["columns"][0])), read(rule["total"]), rule.get("relative", 1e-9), rule.get("absolute", 0.0)),
+        "allowed_combinations": lambda: _is_one_of([read(c) for c in rule["columns"]], [tuple(combination) for combination in rule["allowed"]]),
+        "functional_dependency": lambda: _determined(rule, read),
     }
     satisfied = truthy(made[kind]())
     if rule.get("missing", "violation") == "violation":
         for c in columns:
-            satisfied = satisfied & F.col(c).isNotNull()
-    return applicable(rule, columns), satisfied
+            satisfied = satisfied & read(c).isNotNull()
+    return applicable(rule, columns, read), satisfied
 
 
 def validity(df: DataFrame, column_rules: Mapping[str, list[Mapping]], constraints: Mapping[str, Mapping]) -> DataFrame:
@@ -171,14 +116,16 @@ def validity(df: DataFrame, column_rules: Mapping[str, list[Mapping]], constrain
     """
     unique = [c for c, rules in column_rules.items() if any(r["type"] == "unique" for r in rules)]
     df = with_unique_counts(df, unique)
-    cells = {c: [column_rule(c, r) for r in rules] for c, rules in column_rules.items()}
+    floating = {f.name for f in df.schema if f.dataType.simpleString() in ("double", "float")}
+    cells = {c: [column_rule(c, r, floating=c in floating) for r in rules] for c, rules in column_rules.items()}
+    present = lambda c: F.nanvl(F.col(c), F.lit(None)) if c in floating else F.col(c)
     cell = {}
     for c, rules in cells.items():
         verdict = rules[0]
         for r in rules[1:]:
             verdict = verdict & r
         cell[c] = verdict
-    pairs = {k: constraint(r) for k, r in constraints.items()}
+    pairs = {k: constraint(r, present) for k, r in constraints.items()}
     full = F.lit(True)
     for verdict in cell.values():
         full = full & verdict

@@ -63,8 +63,8 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]
     where it jumps.
     """
     keys = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("n"))
-    placed = running_sums(counts, keys, "_v", ["n"])
+    held = df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v")).where("_v IS NOT NULL")
+    placed = running_sums(held.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("n")), keys, "_v", ["n"])
     first, last, n = F.col("upto_n") - F.col("n"), F.col("upto_n") - 1, F.col("all_n")
     made = []
     for name, share in shares.items():
@@ -117,6 +117,26 @@ def duplicated(df: DataFrame, columns: list[str], name: str = "duplicated") -> D
     return by_value(df, sizes, columns, "_n").withColumn(name, F.col("_n").isNotNull()).drop("_n")
 
 
+def places(df: DataFrame, group: list[str], value: Column, tie: list[str], name: str = "_place") -> DataFrame:
+    """``df`` with each row's exact place in its group, from 0 in the order of ``value`` (never null) and then a hash of ``tie``,
+    and the group's size as ``<name>_of``.
+
+    Values are counted and summed up in buckets; rows of equal value are told apart by 64-bit hashes, summed up alike, so
+    neither a large group nor a frequent value is ever sorted in one task. Rows that agree in ``tie`` follow one another.
+    """
+    held = df.withColumns({"_v": value, "_h": F.xxhash64(*tie)})
+    counts = held.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    at = running_sums(counts, group, "_v", ["_n"]).withColumnsRenamed({c: f"_k_{c}" for c in (*group, "_v")} | {"all__n": f"{name}_of"})
+    met = by_value(held, at.withColumn("_start", F.col("upto__n") - F.col("_n")).drop("upto__n"), [*group, "_v"], "_n")
+    alone, tied = met.where("_n = 1"), met.where("_n > 1")
+    inner = running_sums(tied.groupBy(*group, "_v", "_h").agg(F.count(F.lit(1)).alias("_m")), [*group, "_v"], "_h", ["_m"])
+    inner = inner.select(*[F.col(c).alias(f"_k_{c}") for c in (*group, "_v", "_h")], (F.col("upto__m") - F.col("_m")).alias("_in"), F.col("_m"))
+    again = Window.partitionBy(*group, "_v", "_h").orderBy(*tie)  # rows that are equal in all of ``tie``
+    tied = by_value(tied, inner, [*group, "_v", "_h"], "_m").withColumn("_in", F.col("_in") + F.row_number().over(again) - 1).drop("_m")
+    both = alone.withColumn("_in", F.lit(0).cast("long")).unionByName(tied)
+    return both.withColumn(name, F.col("_start") + F.col("_in")).drop("_v", "_h", "_n", "_start", "_in")
+
+
 def co_moments(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
     """(by, i, j, n, x, y, xx, yy, xy): over the rows where columns i and j (i < j) are both present, their number, sums, sums of
     squares and of products, relative to the columns' overall means.

@@ -220,6 +220,47 @@ def c14_prdc(spark, d):
     return out.select(r6("precision", "precision"), r6("recall", "recall"), F.round("density", 3).alias("density"), r6("coverage", "coverage"))
 
 
+_PARTS = "WITH p AS (SELECT p_partkey AS id, p_size AS a, p_retailprice AS b, p_brand AS g, p_partkey % 3 AS arm FROM part)"
+
+
+def _prdc_sql(fake: int) -> str:
+    near = lambda x, y, w: f"sqrt(pow(abs({x}.a - {y}.a) / {w}.wa, 2) + pow(abs({x}.b - {y}.b) / {w}.wb, 2) + ({x}.g <> {y}.g)::INT)"
+    side = lambda arm: f"(SELECT * FROM p WHERE arm = {arm})"
+    width = lambda arm: f"(SELECT max(a) - min(a) AS wa, max(b) - min(b) AS wb FROM p WHERE arm = {arm})"
+    kth = lambda arm: f"(SELECT id, max(d) AS r FROM (SELECT x.id, {near('x', 'y', 'w')} AS d, row_number() OVER (PARTITION BY x.id ORDER BY {near('x', 'y', 'w')}) AS k FROM {side(arm)} x JOIN {side(arm)} y ON x.id <> y.id, {width(arm)} w) WHERE k <= 5 GROUP BY id)"
+    balls = lambda centre, point: f"(SELECT x.id AS centre, y.id AS point FROM {side(centre)} x JOIN {kth(centre)} k ON x.id = k.id, {side(point)} y, {width(centre)} w WHERE {near('x', 'y', 'w')} <= k.r)"
+    n = lambda arm: f"(SELECT count(*) FROM p WHERE arm = {arm})::DOUBLE"
+    return f"(SELECT (SELECT count(DISTINCT point) FROM {balls(0, fake)}) / {n(fake)} AS precision, (SELECT count(DISTINCT point) FROM {balls(fake, 0)}) / {n(0)} AS recall, (SELECT count(*) FROM {balls(0, fake)}) / (5 * {n(fake)}) AS density, (SELECT count(DISTINCT centre) FROM {balls(0, fake)}) / {n(0)} AS coverage)"
+
+
+@registered(_PARTS + f", u AS (SELECT * FROM {_prdc_sql(1)} UNION ALL SELECT * FROM {_prdc_sql(2)}) " + " UNION ALL ".join(f"SELECT '{c}' AS metric, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std FROM u" for c in ("precision", "recall", "density", "coverage")))
+def c14_diversity(spark, d):
+    """Two numbers and a category; mean and deviation over two candidate tables."""
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
+    arm = lambda k: p.where(F.col("p_partkey") % 3 == k)
+    return distance.diversity(arm(0), [arm(1), arm(2)], "p_partkey", ["p_size", "p_retailprice"], ["p_brand"]).select("metric", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
+@registered(_PARTS + ", q AS (SELECT p_partkey AS id, p_brand AS a, p_type AS b, p_size::VARCHAR AS c FROM part) SELECT x.id AS p_partkey, min(2 * ((x.a <> y.a)::INT + (x.b <> y.b)::INT + (x.c <> y.c)::INT))::DOUBLE AS d, arg_min(y.id, (2 * ((x.a <> y.a)::INT + (x.b <> y.b)::INT + (x.c <> y.c)::INT), y.id)) AS nearest FROM q x, q y WHERE x.id % 2 = 1 AND y.id % 2 = 0 GROUP BY x.id")
+def j02_nearest_categories(spark, d):
+    """No number at all: the nearest row by categories, the least key among those as near."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    out = distance.nearest(p.where("p_partkey % 2 = 1"), p.where("p_partkey % 2 = 0"), "p_partkey", [], ["p_brand", "p_type", "p_size"])
+    return out.select("p_partkey", distance.least().alias("d"), F.get("neighbours", F.lit(0)).alias("nearest"))
+
+
+_EIGHT = ("c_acctbal", "n", "total", "least", "most", "mean", "first", "last")
+_PROFILES = "SELECT c_custkey AS id, any_value(c_acctbal)::DOUBLE AS c_acctbal, count(*)::DOUBLE AS n, sum(o_totalprice)::DOUBLE AS total, min(o_totalprice)::DOUBLE AS least, max(o_totalprice)::DOUBLE AS most, avg(o_totalprice)::DOUBLE AS mean, min(o_orderkey)::DOUBLE AS first, max(o_orderkey)::DOUBLE AS last FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"
+
+
+@registered(f"WITH c AS ({_PROFILES}), w AS (SELECT {', '.join(f'max({c}) - min({c}) AS {c}' for c in _EIGHT)} FROM c WHERE id % 3 = 0) SELECT x.id AS c_custkey, round(min({' + '.join(f'abs(x.{c} - y.{c}) / w.{c}' for c in _EIGHT)}), 6) AS d FROM c x, c y, w WHERE x.id % 3 = 1 AND y.id % 3 = 0 GROUP BY x.id")
+def j02_nearest_eight_numbers(spark, d):
+    held = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey")
+    price = F.col("o_totalprice")
+    c = held.agg(F.first("c_acctbal").alias("c_acctbal"), F.count(F.lit(1)).alias("n"), F.sum(price).alias("total"), F.min(price).alias("least"), F.max(price).alias("most"), F.avg(price).alias("mean"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    return distance.nearest(c.where("c_custkey % 3 = 1"), c.where("c_custkey % 3 = 0"), "c_custkey", list(_EIGHT), []).select("c_custkey", r6(distance.least(), "d"))
+
+
 _AUTH = "WITH c AS (SELECT c_custkey AS id, c_acctbal AS v, c_mktsegment AS g FROM customer), w AS (SELECT max(v) - min(v) AS w FROM c WHERE id % 2 = 0), p AS (SELECT s.id, r.id AS r, abs(s.v - r.v) / w + CASE WHEN s.g <> r.g THEN 2 ELSE 0 END AS d FROM c s, c r, w WHERE s.id % 2 = 1 AND r.id % 2 = 0), n AS (SELECT id, arg_min(r, (d, r)) AS r, min(d) AS d FROM p GROUP BY id), o AS (SELECT x.id, min(abs(x.v - y.v) / w + CASE WHEN x.g <> y.g THEN 2 ELSE 0 END) AS d FROM c x, c y, w WHERE x.id % 2 = 0 AND y.id % 2 = 0 AND x.id <> y.id GROUP BY x.id)"
 
 
@@ -501,6 +542,43 @@ def b21_mode_round_trip(spark, d):
     return preprocess.mode_restored(preprocess.mode_normalised(c, fitted, "c_custkey", 1, clip=10.0).drop("c_acctbal"), fitted).select("c_custkey", F.round("c_acctbal", 4).alias("c_acctbal"))
 
 
+_ONE_MODE = "WITH x AS (SELECT l_orderkey, l_linenumber, pow(l_extendedprice / 1000, 3) AS v FROM lineitem), f AS (SELECT avg(v) AS m, sqrt((var_samp(v) + count(*) * (var_pop(v) + 1e-6)) / (1 + count(*))) AS s FROM x)"
+
+
+@registered(_ONE_MODE + " SELECT l_orderkey, l_linenumber, 0 AS mode, round(least(greatest((v - m) / (4 * s), -0.3), 0.3), 6) AS within, abs((v - m) / (4 * s)) > 0.3 AS clipped FROM x, f")
+def b21_one_mode(spark, d):
+    """With one mode the variational fit has a closed form: the mean, and a variance that the prior and the rows share. The clip is seen."""
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.pow(F.col("l_extendedprice") / 1000, F.lit(3.0)).alias("v"))
+    fitted = preprocess.fit_modes(t, "v", 1)
+    made = preprocess.mode_normalised(t, fitted, "l_orderkey", 1, clip=0.3)
+    (_, m, s), = fitted.parts
+    return made.select("l_orderkey", "l_linenumber", F.col("v_mode").cast("int").alias("mode"), r6("v_within", "within"), (F.abs((F.col("v") - m) / (4 * s)) > 0.3).alias("clipped"))
+
+
+@registered("SELECT o_orderstatus, split, count(*) AS n FROM (SELECT o_orderstatus, CASE WHEN k / n::DOUBLE < 0.6 THEN 'train' WHEN k / n::DOUBLE < 0.6 + 0.2 THEN 'val' ELSE 'test' END AS split FROM (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey % 3, o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)) GROUP BY ALL")
+def b25_ties(spark, d):
+    """Sizes are exact though the key has three values only."""
+    return preprocess.stratified_split(table(spark, d, "orders"), "o_orderstatus", F.col("o_custkey") % 3).groupBy("o_orderstatus", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NAN = "WITH t AS (SELECT *, l_linenumber = 5 AS nan FROM lineitem)"
+
+
+@registered(_NAN + " SELECT 'column' AS scope_type, 'l_tax' AS scope_id, count(*) FILTER (NOT nan) AS n_valid, count(*) AS n_total FROM t UNION ALL SELECT 'column', 'l_discount', count(*) FILTER (nan OR l_discount <= 0.05), count(*) FROM t UNION ALL SELECT 'group', 'order', count(*) FILTER (NOT nan AND l_tax <= l_discount), count(*) FROM t UNION ALL SELECT 'dataset', 'fully_valid_rows', count(*) FILTER (NOT nan AND l_discount <= 0.05 AND l_tax <= l_discount), count(*) FROM t")
+def d01_nan_is_missing(spark, d):
+    t = table(spark, d, "lineitem").select(*[F.when(F.col("l_linenumber") == 5, F.lit(float("nan"))).otherwise(F.col(c)).alias(c) for c in ("l_tax", "l_discount")])
+    held = rules.validity(t, {"l_tax": [{"type": "not_null"}, {"type": "finite"}], "l_discount": [{"type": "bounds", "max": 0.05}]}, {"order": {"type": "comparison", "left": "l_tax", "right": "l_discount", "op": "le"}})
+    return held.select("scope_type", "scope_id", "n_valid", "n_total")
+
+
+@registered("WITH t AS (SELECT o_orderkey::VARCHAR || CASE WHEN o_orderkey % 5 = 0 THEN 'd' ELSE '' END AS a, CASE WHEN o_orderkey % 2 = 0 THEN ' ' || o_orderkey::VARCHAR || '.50' ELSE '-' || o_orderkey::VARCHAR || 'e-2' END AS b, CASE WHEN o_orderkey % 7 = 0 THEN 'nan' ELSE '1' END AS c FROM orders) SELECT 'a' AS column_name, count(*) FILTER (NOT a LIKE '%d') AS n_numeric, 'categorical' AS role FROM t UNION ALL SELECT 'b', count(*), 'continuous' FROM t UNION ALL SELECT 'c', count(*) FILTER (c = '1'), 'categorical' FROM t")
+def a20_texts_of_numbers(spark, d):
+    """Texts such as ``5d`` and ``nan`` are no numbers, whatever the engine's cast makes of them."""
+    key = F.col("o_orderkey").cast("string")
+    t = table(spark, d, "orders").select(F.concat(key, F.when(F.col("o_orderkey") % 5 == 0, "d").otherwise("")).alias("a"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" "), key, F.lit(".50"))).otherwise(F.concat(F.lit("-"), key, F.lit("e-2"))).alias("b"), F.when(F.col("o_orderkey") % 7 == 0, "nan").otherwise("1").alias("c"))
+    return audit.infer_roles(t).select("column_name", "n_numeric", "role")
+
+
 @registered("WITH f AS (SELECT min(c_acctbal) AS l, max(c_acctbal) AS h FROM customer WHERE c_custkey % 2 = 0) SELECT c_custkey, round(least(greatest(c_acctbal, l), h), 4) AS c_acctbal FROM customer, f")
 def b23_scale_inverse(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal")

@@ -173,6 +173,137 @@ def test_contract_is_closed(spark):
         rules.check_contract(profile, every, {"k": {"type": "comparison", "left": "a", "right": "nope", "op": "lt"}})
 
 
+def test_contracts_that_are_refused():
+    profile = Profile("p", (ColumnSpec("a", "continuous", valid_domain={"min": 0, "max": 2}), ColumnSpec("b", "categorical"), ColumnSpec("t", "datetime"), ColumnSpec("i", "integer")))
+    every = {"selector": {"column_ids": ["a", "b", "t", "i"]}, "rules": [{"type": "not_null"}]}
+    only = lambda column, **rule: {"selector": {"column_ids": [column]}, "rules": [rule]}
+    pair = {"type": "comparison", "left": "a", "right": "i", "op": "lt"}
+    evidence = {"source_type": "dataset-documentation", "reference": "page 3"}
+    good = [only("a", type="bounds", min=0), only("a", type="bounds"), only("b", type="length", max=3), only("t", type="datetime_range", min="2020-01-01"), only("b", type="allowed_values", values=["x", "1"]), only("i", type="integer", rule_id="i-1", evidence=evidence, severity="hard", version="1.0.0")]
+    fine = {"c": pair, "s": {"type": "sum_equals", "columns": ["a"], "total": "i"}, "f": {"type": "functional_dependency", "columns": ["b"], "dependent": "i", "mapping": [{"determinant": ["x"], "dependent": 1}]}, "w": {**pair, "applies": {"type": "column_in", "column": "b", "values": ["x"]}, "missing": "not_applicable"}}
+    rules.check_contract(profile, [every, *good], fine)
+    for bad in (
+        only("a", type="bounds", min=3, max=1), only("i", type="bounds"), only("a", type="bounds", min=float("nan")), only("a", type="bounds", min=True), only("b", type="bounds", min=1), only("b", type="allowed_values"), only("b", type="allowed_values", values=[]),
+        only("b", type="allowed_values", values=["x", "x"]), only("b", type="length"), only("b", type="length", min=-1), only("b", type="length", min=4, max=3), only("b", type="regex", pattern="("), only("b", type="regex"), only("t", type="datetime_range"), only("t", type="datetime_range", min="soon"), only("t", type="datetime_range", min="2021-01-01", max="2020-01-01"),
+        only("a", type="integer"), only("a", type="finite", rule_id="No Id"), only("a", type="finite", severity="soft"), only("a", type="finite", version="2"), only("a", type="finite", evidence={"source_type": "guess", "reference": "x"}), only("a", type="finite", evidence={**evidence, "reference": " "}),
+        {"selector": {"roles_any": ["target"]}, "rules": [{"type": "not_null"}]}, {"selector": {"semantic_types": ["number"]}, "rules": [{"type": "not_null"}]}, {"selector": {"nullable_model_input": "yes"}, "rules": [{"type": "not_null"}]}, {"selector": {"column_ids": ["a"]}, "rules": []}, {"selector": {}, "rules": [{"type": "not_null"}]},
+    ):
+        with pytest.raises(GateError, match="invalid_validity_contract"):
+            rules.check_contract(profile, [every, bad], {})
+    with pytest.raises(GateError, match="occurs twice"):
+        rules.check_contract(profile, [every, only("a", type="finite", rule_id="x"), only("i", type="finite", rule_id="x")], {})
+    for bad in (
+        {**pair, "op": "xx"}, {k: v for k, v in pair.items() if k != "right"}, {**pair, "right": "b"}, {**pair, "right": "a"}, {**pair, "applies": {"type": "column_equals", "column": "nope", "value": 1}}, {**pair, "applies": {"type": "column_in", "column": "b", "values": []}}, {**pair, "applies": {"type": "sometimes"}}, {**pair, "missing": "ignored"}, {**pair, "note": 1},
+        {"type": "conditional_domain", "condition": "b", "when": [], "target": "i", "then": [1]}, {"type": "mutual_exclusion", "columns": ["a", "i"], "truthy": [1], "max": 2}, {"type": "mutual_exclusion", "columns": ["a"], "truthy": [1], "max": 0}, {"type": "sum_equals", "columns": ["b"], "total": "i"}, {"type": "sum_equals", "columns": ["a"], "total": "i", "relative": -1},
+        {"type": "allowed_combinations", "columns": ["a", "b"], "allowed": [(1,)]}, {"type": "allowed_combinations", "columns": ["a", "b"], "allowed": [(1, "x"), (1, "x")]}, {"type": "functional_dependency", "columns": ["b"], "dependent": "i", "mapping": []}, {"type": "functional_dependency", "columns": ["b"], "dependent": "i", "mapping": [{"determinant": ["x"], "dependent": 1}, {"determinant": ["x"], "dependent": 2}]},
+    ):
+        with pytest.raises(GateError, match="invalid_validity_contract"):
+            rules.check_contract(profile, [every], {"k": bad})
+
+
+def test_texts_of_numbers(spark):
+    texts = ["1", " 2.5 ", "-3e2", ".5", "7.", "1d", " 2f ", "0x1", "nan", "inf", "1_0", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = [r[0] for r in df.select(X.number(F.col("x"))).collect()]
+    assert got[:5] == [1.0, 2.5, -300.0, 0.5, 7.0] and got[5:8] == [None] * 3 and math.isnan(got[8]) and got[9] == math.inf and got[10:] == [None] * 3
+    role = lambda values: audit.infer_roles(spark.createDataFrame([(v,) for v in values], "x string")).first().role
+    assert [role(v) for v in (["1d", "2f"], ["nan", "inf"], ["1", " 2 "], ["1.5", None], ["1", "x"])] == ["categorical", "categorical", "integer", "continuous", "categorical"]
+    profile = Profile("p", (ColumnSpec("x", "continuous", nullable=True),))
+    for bad, code in (("1d", "type_mismatch"), (" 2f ", "type_mismatch"), ("inf", "nonfinite_values")):
+        with pytest.raises(GateError, match=code):
+            audit.gate(spark.createDataFrame([(bad,)], "x string"), profile)
+    assert [r.x for r in audit.gate(spark.createDataFrame([("nan",), ("1e3",)], "x string"), profile).collect()] == [None, 1000.0]
+    with pytest.raises(GateError, match="missing_values_prohibited"):
+        audit.gate(spark.createDataFrame([(math.nan,)], "x double"), Profile("p", (ColumnSpec("x", "continuous"),)))
+
+
+def test_nan_is_missing_and_not_finite(spark):
+    df = spark.createDataFrame([(math.nan, 1.0), (None, 1.0), (1.0, math.nan), (math.inf, 2.0)], "x double, y double")
+    got = lambda rule: [r[0] for r in df.select(rules.column_rule("x", rule, floating=True)).collect()]
+    assert got({"type": "not_null"}) == [False, False, True, True] and got({"type": "finite"}) == [False, True, True, False] and got({"type": "bounds", "max": 2}) == [True, True, True, False]
+    held = rules.validity(df, {"x": [{"type": "not_null"}]}, {"k": {"type": "comparison", "left": "x", "right": "y", "op": "ge"}}).collect()
+    assert {(r.scope_id, r.n_valid) for r in held} == {("x", 2), ("k", 1), ("fully_valid_rows", 1)}
+    assert stats.quantiles(spark.createDataFrame([(math.nan,), (1.0,), (None,)], "x double"), "x", {"m": 0.5}).first().m == 1.0
+    arms = spark.createDataFrame([(1.0, False), (math.nan, False), (1.0, True)], f"x double, {fidelity.ARM} boolean")
+    assert fidelity.ks_complement(arms, ["x"]).first().score == 1.0
+
+
+def test_ids_are_unique(spark):
+    for given, want in ((["a", "a", "a-2"], ["a", "a-2", "a-2-2"]), (["a-2", "a", "a"], ["a-2", "a", "a-3"]), (["x", "y"], ["x", "y"]), (["a", "a", "a"], ["a", "a-2", "a-3"])):
+        df = spark.createDataFrame(list(enumerate(given)), "n long, s string")
+        assert [r.column_id for r in audit.slugs(df, "n", "s").orderBy("n").collect()] == want
+
+
+def test_exact_places_and_splits_with_ties(spark):
+    r = np.random.default_rng(6)
+    rows = [(int(i), int(i % 2), int(r.integers(0, 3)) if i % 5 else None) for i in range(500)] + [(500, 0, 1)] * 3
+    df = spark.createDataFrame(rows, "id long, g long, k long")
+    got = stats.places(df.where("k is not null"), ["g"], F.col("k"), ["id"]).collect()
+    for g in (0, 1):
+        mine = sorted((x._place, x.k) for x in got if x.g == g)
+        assert [p for p, _ in mine] == list(range(len(mine))) and [k for _, k in mine] == sorted(k for _, k in mine) and {x._place_of for x in got if x.g == g} == {len(mine)}
+    two = spark.createDataFrame([(i, "c", i % 2) for i in range(100)], "id long, c string, k long")
+    sizes = {x.split: x["count"] for x in preprocess.stratified_split(two, "c", F.col("k")).groupBy("split").count().collect()}
+    assert sizes == {"train": 60, "val": 20, "test": 20}
+    same = preprocess.validation_rows(spark.createDataFrame([(1,)] * 90, "id long"), "id", 1).groupBy("split").count().collect()
+    assert {x.split: x["count"] for x in same} == {"val": 10, "train": 80}
+    made, _ = preprocess.covering_split(two, "id", ["c"])
+    assert made.where("split = 'train'").count() == 90
+
+
+def test_sentences_keep_commas(spark):
+    rows = [("x, b is 3", "y\\"), (None, "1, 2"), ("\\, a is 1", None), (",", ", ")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [tuple(r) for r in df.select(X.sentence(["a", "b"]).alias("s")).select(*X.from_sentence(F.col("s"), ["a", "b"])).collect()] == rows
+
+
+def plain_mixture(x, k, rounds, floor=1e-6, concentration=0.001):
+    """The variational mixture, row by row, digamma by differences."""
+    psi = lambda v: np.array([(math.lgamma(i + 1e-5) - math.lgamma(i - 1e-5)) / 2e-5 for i in v])
+    place = np.searchsorted(np.unique(np.quantile(x, [i / k for i in range(1, k)])), x, "left")
+    r = np.eye(k)[place]
+    center, variance = x.mean(), x.var(ddof=1)
+    for t in range(rounds + 1):
+        n = r.sum(0) + 10 * np.finfo(float).eps
+        m = (r * x[:, None]).sum(0) / n
+        s = (r * (x[:, None] - m) ** 2).sum(0) / n + floor
+        a, b = 1 + n, concentration + np.append(np.cumsum(n[::-1])[-2::-1], 0)
+        means = (center + n * m) / (1 + n)
+        var = (variance + n * s + n / (1 + n) * (m - center) ** 2) / (1 + n)
+        lw = psi(a) - psi(a + b) + np.append(0, np.cumsum(psi(b) - psi(a + b))[:-1])
+        log = -0.5 * (np.log(2 * np.pi * var) + (x[:, None] - means) ** 2 / var) + lw + 0.5 * (np.log(2) + psi((1 + n) / 2) - np.log(1 + n) - 1 / (1 + n))
+        r = np.exp(log - log.max(1, keepdims=True))
+        r /= r.sum(1, keepdims=True)
+    w = a / (a + b) * np.append(1, np.cumprod(b / (a + b))[:-1])
+    return w / w.sum(), means, np.sqrt(var), r
+
+
+def test_bayesian_mixture_against_numpy(spark):
+    r = np.random.default_rng(8)
+    x = np.round(np.concatenate([r.normal(-5, 0.5, 400), r.normal(3, 1.0, 800), r.normal(40, 2.0, 300)]), 2)
+    df = spark.createDataFrame([(int(i), float(v)) for i, v in enumerate([*x, *[0.0] * 200])] + [(-1, None), (-2, math.nan)], "id long, x double")
+    fitted = preprocess.fit_modes(df, "x", 10, modal=[0.0])
+    w, m, s, shares = plain_mixture(x[x != 0.0], 10, fitted.rounds)
+    likely = set(shares.argmax(1))
+    want = sorted(((w[k], m[k], s[k]) for k in range(10) if w[k] > 0.005 and k in likely), key=lambda p: p[1])
+    assert 3 <= len(want) < 10 and np.allclose(fitted.parts, want, rtol=1e-5)
+    rows = preprocess.mode_normalised(df, fitted, "id", 3).collect()
+    n = len(fitted.parts)
+    for row in rows:
+        if row.x is None or math.isnan(row.x):
+            assert row.x_mode is None and row.x_within is None
+        elif row.x == 0.0:
+            assert (row.x_mode, row.x_within) == (n, 0.0)
+        else:
+            _, mean, std = fitted.parts[row.x_mode]
+            assert math.isclose(row.x_within, max(-0.99, min(0.99, (row.x - mean) / (4 * std))), abs_tol=1e-9)
+    back = preprocess.mode_restored(preprocess.mode_normalised(df, fitted, "id", 3), fitted).where("x is not null and abs(x_within) < 0.99").collect()
+    assert all(math.isclose(row.x, dict(enumerate([*x, *[0.0] * 200]))[row.id], abs_tol=1e-6) for row in back)
+    drawn = np.array([row.x_mode for row in rows if row.id >= 0 and row.id < 1500])
+    kept = [k for _, k in sorted((m[k], k) for k in range(10) if w[k] > 0.005 and k in likely)]
+    assert np.abs(np.bincount(drawn, minlength=n)[:n] / 1500 - (shares[:, kept] / shares[:, kept].sum(1, keepdims=True)).mean(0)).max() < 0.03
+
+
 def test_quantiles_and_running_sums(spark):
     r = np.random.default_rng(3)
     rows = [(int(g), float(v)) for g, v in zip(r.integers(0, 3, 900), np.round(r.exponential(3, 900), 1))] + [(7, 1.0), (8, None)]
