@@ -5,9 +5,9 @@ distinct line is indexed under its t + 1 segments and its length, and probes the
 of a line up to t shorter could be. What meets is verified by a bit-parallel edit distance inside the band of width t.
 Distinct lines go through the join once, however many documents hold them.
 
-Pairs are spelled out for short lists only. The lines of a crowded list are linked where they meet: lines that are connected
-already are not compared again, and only links that connect go out. A list beyond ``crowd`` lines is split first: what
-is left of its lines without the common segment is partitioned anew, for the whole error budget is left to it.
+Pairs are spelled out for short lists only. The lines of a crowded list are linked where they meet, and only links that
+connect go out: what is left of its lines without what they share is partitioned anew, for the whole error budget is left to
+it, until few lines meet or little is left of them. A list beyond ``crowd`` lines is dealt over tasks by such a split first.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ class LineParams:
     line_chars: int = 24  # shorter lines meet by equality only
     rare_chars: int = 12  # a line shorter than that may repeat by chance: it goes if it stands in ``documents`` documents
     documents: int = 3
-    crowd: int = 4_096  # lines of one list beyond which it is split by a further common segment
+    crowd: int = 65_536  # lines of one list beyond which it is dealt over tasks by a further common segment
 
 
 def segments(length: int, count: int) -> list[tuple[int, int]]:
@@ -302,29 +302,87 @@ def _pairs(halves: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa
 def link_crowd(keys: list[bytes], lines: list[str], parent: dict, distance: int) -> list[tuple[bytes, bytes]]:
     """Links that connect the lines of a list, beyond what ``parent`` connects already.
 
-    A few pivots are compared with all first. Of the components then found, pairs inside the largest are done, so every
-    other line meets what is still apart from it.
+    What all lines begin and end with changes no distance and is put aside. What is left is partitioned anew, so that only
+    lines with a further common segment meet, without that segment; short rests meet where they agree after as many
+    deletions on either side as the distance allows. So lines that are alike but for a number or two are not compared with
+    one another, unless the numbers are alike.
     """
-    bits, sizes, out = parities(lines), np.array([len(x) for x in lines]), []
-    roots: dict[bytes, int] = {}
-    label = np.array([roots.setdefault(find_root(parent, k), len(roots)) for k in keys])
-
-    def meet(i: int, others: np.ndarray) -> None:
-        near = others[(label[others] != label[i]) & (np.abs(sizes[others] - sizes[i]) <= distance) & (np.bitwise_count(bits[others] ^ bits[i]) <= 2 * distance)]
-        for j in near.tolist():
-            if label[j] != label[i] and edit_within(lines[i], lines[j], distance) <= distance:
-                label[label == label[j]] = label[i]
-                join_roots(parent, keys[i], keys[j])
-                out.append((keys[i], keys[j]))
-
-    every = np.arange(len(keys))
-    for i in range(min(8, len(keys))):
-        meet(i, every)
-    found, counts = np.unique(label, return_counts=True)
-    if len(found) > 1:
-        largest = label == found[np.argmax(counts)]
-        for i in np.flatnonzero(~largest).tolist():
-            meet(i, np.flatnonzero(largest | (every > i)))
+    out: list[tuple[bytes, bytes]] = []
+    root = lambda i: find_root(parent, keys[i])
+
+    def meet(members: list[int]) -> None:
+        """Compares what is not connected yet, each with the members of other components."""
+        classes: dict[bytes, list[int]] = {}
+        for i in members:
+            classes.setdefault(root(i), []).append(i)
+        apart = sorted(classes.values(), key=len)
+        for k, mine in enumerate(apart[:-1]):
+            for other in apart[k + 1 :]:
+                for i, j in ((i, j) for i in mine for j in other):
+                    if abs(len(lines[i]) - len(lines[j])) <= distance and edit_within(lines[i], lines[j], distance) <= distance:
+                        if root(i) != root(j):
+                            join_roots(parent, keys[i], keys[j])
+                            out.append((keys[i], keys[j]))
+                        break
+
+    todo = [[(i, x) for i, x in enumerate(lines)]]
+    while todo:
+        entries = todo.pop()
+        members = {i for i, _ in entries}
+        if len({root(i) for i in members}) < 2:
+            continue
+        if len(members) <= _FEW:
+            meet(sorted(members))
+            continue
+        entries = _trimmed(entries)
+        longest = max(len(x) for _, x in entries)
+        met: dict = {}
+        if longest <= _SHORT:
+            for i, x in entries:
+                for rest in _shortened(x, distance):
+                    met.setdefault(rest, set()).add(i)
+            for _, group in sorted(met.items(), key=lambda x: -len(x[0])):  # the more is left, the nearer the lines are
+                if len(group) > 1:
+                    meet(sorted(group))
+            continue
+        for i, x in entries:
+            for k, (at, size) in enumerate(segments(len(x), distance + 1)):
+                met.setdefault((len(x), k, x[at : at + size]), ([], []))[0].append((i, x[:at] + x[at + size :]))
+        for i, x in entries:
+            for other, k, at, size in _probes(len(x), distance):
+                found = met.get((other, k, x[at : at + size]))
+                if found is not None:
+                    found[1].append((i, x[:at] + x[at + size :]))
+        for mine, others in met.values():
+            group = list(dict.fromkeys([*mine, *others]))
+            if len({i for i, _ in group}) > 1:
+                todo.append(group)
+    return out
+
+
+_FEW, _SHORT = 8, 12  # lists of so many lines are compared outright; rests of so many characters meet by deletions
+_probes = lru_cache(maxsize=4_096)(probes)
+
+
+def _trimmed(entries: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Without what all begin with and, of the rest, all end with."""
+
+    def shared(texts: list[str]) -> int:
+        low, high = min(texts), max(texts)
+        return next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+
+    start = shared([x for _, x in entries])
+    rests = [x[start:] for _, x in entries]
+    stop = shared([x[::-1] for x in rests])
+    return list(dict.fromkeys((i, x[: len(x) - stop]) for (i, _), x in zip(entries, rests)))
+
+
+def _shortened(text: str, deletions: int) -> set[str]:
+    """The text and whatever is left of it after up to so many deletions."""
+    out = now = {text}
+    for _ in range(deletions):
+        now = {x[:k] + x[k + 1 :] for x in now for k in range(len(x))}
+        out = out | now
     return out
 
 

@@ -121,7 +121,7 @@ def score(docs: DataFrame, params: QualityParams = QualityParams(), *, text: str
 
     The word histogram holds the share of each common word of the document's language, and the rest; the class histogram
     those of the character classes. Both are compared with the references of the language. Where none is told, the nearest
-    reference counts; a language without a reference is not judged by words, and by the English classes.
+    reference counts; a document in a language without a reference is not judged by distances.
     Null or blank text: no words, all counts 0, rejected by the word minimum. Empty table: empty result.
     Repeated rows are scored alike; other columns are not read. Long texts are read whole.
     """
@@ -149,7 +149,7 @@ def _scored(docs: DataFrame, params: QualityParams, text: str, lang: str) -> Dat
     out = out.withColumn("__q_shares", F.transform(F.array(*counts), lambda x: F.try_divide(x.cast("double"), c["long"].cast("double"))))
     languages = lambda each: {code: each(code) for code in COMMON_WORDS}
     by_class = languages(lambda code: _js(F.col("__q_shares"), F.array(*[F.lit(q) for q in CLASS_SHARES[code]])))
-    class_distance = F.coalesce(_by_language(F.col("__q_lang"), by_class, F.least(*by_class.values())).otherwise(by_class["en"]), F.lit(0.0))
+    class_distance = F.coalesce(_by_language(F.col("__q_lang"), by_class, F.least(*by_class.values())), F.lit(0.0))
     by_word = languages(lambda code: _word_distance(F.col("__q_words"), F.greatest(c["n"], F.lit(1)), code))
     word_distance = F.coalesce(_by_language(F.col("__q_lang"), by_word, F.least(*by_word.values())), F.lit(0.0))
     out = out.withColumns({"__q_class": class_distance, "__q_word": word_distance})

@@ -19,7 +19,7 @@ def quality(p: QualityParams = QualityParams()) -> str:
     full = lambda words: f"list_concat({bins(words)}, [(n_words - len(list_filter(w, lambda x: list_contains({words}, lower(x)))))::DOUBLE / greatest(n_words, 1)])"
     shares = "[" + ", ".join(f"({x})::DOUBLE / nullif(n_long, 0)" for x in ("joined_chars - digits - stops - n_symbols", "digits", "n_long - joined_chars", "stops", "n_symbols")) + "]"
     of = lambda made, untold: f"CASE WHEN lang IS NULL THEN least({', '.join(made.values())}) {' '.join(f"WHEN lang = '{code}' THEN {x}" for code, x in made.items())} {untold} END"
-    classes = of({code: _js("shares", q) for code, q in CLASS_SHARES.items()}, f"ELSE {_js('shares', CLASS_SHARES['en'])}")
+    classes = of({code: _js("shares", q) for code, q in CLASS_SHARES.items()}, "")
     words = of({code: _js(f"b_{code}", word_reference(code)) for code in COMMON_WORDS}, "")
     histograms = ", ".join(f"CASE WHEN lang IS NULL OR lang = '{code}' THEN {full(known)} END AS b_{code}" for code, known in COMMON_WORDS.items())
     return rf"""

@@ -287,7 +287,7 @@ def brute_quality(text, lang, p=quality.QualityParams()):
     low = [x.lower() for x in w]
     hist = lambda code: [low.count(x) / max(len(w), 1) for x in quality.COMMON_WORDS[code]] + [sum(x not in quality.COMMON_WORDS[code] for x in low) / max(len(w), 1)]
     codes = [lang] if lang in quality.COMMON_WORDS else list(quality.COMMON_WORDS) if lang is None else []
-    a = min(js(shares, quality.CLASS_SHARES[c]) for c in codes or ["en"]) if shares else 0.0
+    a = min((js(shares, quality.CLASS_SHARES[c]) for c in codes), default=0.0) if shares else 0.0
     b = min((js(hist(c), quality.word_reference(c)) for c in codes), default=0.0)
     failed = len(w) < p.min_words or 100 * len(inside) > p.max_repeat_percent * len(w)
     strays = len(w) >= p.guard_words and long >= p.guard_chars and (a > p.max_class_distance or b > p.max_word_distance + p.word_slack / max(len(w), 1) ** 0.5)
@@ -395,6 +395,44 @@ def test_crowded_list_is_linked_without_its_pairs():
     assert want == got
 
 
+def test_crowded_lists_against_all_pairs():
+    """Lines with changing numbers, and lines over a small alphabet, for each distance."""
+    r = np.random.default_rng(17)
+    lists = [(2, sorted({f"The order with the number {r.integers(0, 10**4):04d} of {r.integers(0, 99)} was sent" for _ in range(400)}))]
+    for k in range(30):
+        base, made = "".join(r.choice(list("ab "), 50)), set()
+        for _ in range(100):
+            line = list(base)
+            for _ in range(int(r.integers(0, 9))):
+                at = int(r.integers(0, len(line)))
+                line[at : at + int(r.integers(0, 2))] = r.choice(list("abc")) if r.random() < 0.7 else ""
+            made.add("".join(line))
+        lists.append((1 + k % 3, sorted(made)))
+    for distance, made in lists:
+        keys = [lines.line_key(x) for x in made]
+        near = [(i, j) for i in range(len(made)) for j in range(i) if lines.edit_within(made[i], made[j], distance) <= distance]
+        found = [(keys.index(a), keys.index(b)) for a, b in lines.link_crowd(keys, made, {}, distance)]
+        assert components.local_components(near) == components.local_components(found) and len(found) < len(made)
+
+
+@pytest.mark.parametrize("digits, most", [(8, 9), (5, 9)])
+def test_crowded_lists_take_linear_time(digits, most):
+    """Sixteen times the lines that differ in a number: far from 256 times the work."""
+    r, took = np.random.default_rng(18), []
+    for n in (1000, 16_000):
+        made = sorted({f"The order with the number {r.integers(0, 10**digits):0{digits}d} was sent to the customer today" for _ in range(n)})
+        began = time.process_time()
+        lines.link_crowd([lines.line_key(x) for x in made], made, {}, 2)
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * most * max(took[0], 0.05)
+
+
+def test_languages_without_a_reference_are_not_judged_by_distances(spark):
+    rows = [(0, "zh", "漢字仮名 交じり文 " * 40 + " ".join(f"語{i}" for i in range(80))), (1, "th", " ".join(f"ภาษา{i}ไทย" for i in range(90)))]
+    assert [r._q.class_distance for r in quality.score(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()] == [0.0, 0.0]
+    assert quality.keep(spark.createDataFrame(rows[1:], "doc_id long, lang string, text string")).count() == 1
+
+
 def test_clashing_names_of_line_dedup(spark):
     df = spark.createDataFrame([(1, "a line that stands twice here", "x"), (2, "a line that stands twice here\nmore", "y")], "doc_id long, text string, ident string")
     names = ("removed", "n_linked", "_ident", "_text", "text_", "own", "lines", "key", "n_lines")
