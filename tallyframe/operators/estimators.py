@@ -52,6 +52,17 @@ def _gbt(seed: int) -> object:
     return OneVsRest(classifier=GBTClassifier(maxIter=50, seed=seed))
 
 
+class Perceptron:
+    """A network with hidden layers, as wide at its ends as the features and the labels it is fitted on."""
+
+    def __init__(self, hidden: list[int], seed: int):
+        self.hidden, self.seed = list(hidden), seed
+
+    def fit(self, rows: DataFrame) -> object:
+        size, classes = rows.select(F.size(vector_to_array("features"))).first()[0], int(rows.agg(F.max("label")).first()[0]) + 1
+        return MultilayerPerceptronClassifier(layers=[size, *self.hidden, max(classes, 2)], seed=self.seed).fit(rows)
+
+
 #: Estimators by task and name, each made from a seed.
 EVALUATORS: dict[str, dict[str, Callable[[int], object]]] = {
     "classification": {
@@ -59,6 +70,7 @@ EVALUATORS: dict[str, dict[str, Callable[[int], object]]] = {
         "random-forest": lambda seed: RandomForestClassifier(numTrees=200, seed=seed),
         "gradient-boosting": _gbt,
         "decision-tree": lambda seed: DecisionTreeClassifier(maxDepth=28, seed=seed),
+        "perceptron": lambda seed: Perceptron([64, 32], seed),
     },
     "regression": {
         "linear-regression": lambda seed: LinearRegression(solver="normal"),
@@ -70,10 +82,6 @@ EVALUATORS: dict[str, dict[str, Callable[[int], object]]] = {
 }
 
 
-def perceptron(layers: list[int], seed: int) -> MultilayerPerceptronClassifier:
-    return MultilayerPerceptronClassifier(layers=layers, seed=seed)
-
-
 def dummy_predictions(train: DataFrame, test: DataFrame, target: str, task: str) -> DataFrame:
     """(label, prediction): the most frequent train class (the least of those as frequent), or the train mean."""
     counts = train.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("v")).agg(F.count(F.lit(1)).alias("n"))
@@ -254,8 +262,9 @@ def regression_target(c: Column, low: float = 1.0, high: float = 20000.0) -> Col
     return F.ln(F.least(F.greatest(c.cast("double"), F.lit(low)), F.lit(high)))
 
 
-def report_metrics(told: DataFrame, task: str, *, target_std: float = 1.0) -> DataFrame:
-    """(metric, value, score): accuracy, macro F1 and so on, or RMSE in the target's own units and R2; ``score`` is larger for better."""
+def report_metrics(told: DataFrame, task: str, *, target_std: float = 1.0, labels: list | None = None) -> DataFrame:
+    """(metric, value, score): accuracy, macro F1 and, of two ``labels`` with a column ``scores``, the ROC AUC of the second; or RMSE in
+    the target's own units and R2. ``score`` is larger for better."""
     if task == "regression":
         r = regression_scores(told, "label", "prediction")
         made = [("rmse", F.col("rmse") * F.lit(target_std), -F.col("rmse") * F.lit(target_std)), ("r2", F.col("r2"), F.col("r2"))]
@@ -263,6 +272,9 @@ def report_metrics(told: DataFrame, task: str, *, target_std: float = 1.0) -> Da
         m = class_metrics(told, "label", "prediction")
         r = m.agg(ratio(F.sum("hit"), F.sum("support")).alias("acc"), F.avg("f1").alias("f1"))
         made = [("acc", F.col("acc"), F.col("acc")), ("f1", F.col("f1"), F.col("f1"))]
+        if labels is not None and len(labels) == 2 and "scores" in told.columns:
+            r = r.join(ranking_scores(told.withColumn("_s", F.get("scores", F.lit(1))), F.col("label") == F.lit(labels[1]), "_s").select("roc_auc"))  # single rows
+            made.append(("roc_auc", F.col("roc_auc"), F.col("roc_auc")))
     return r.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value"), s.alias("score")) for n, v, s in made])).alias("x")).select("x.*")
 
 
@@ -299,10 +311,11 @@ def alpha_beta(real: DataFrame, synthetic: DataFrame, key: str, numeric: list[st
     against alpha. Recall: the share of real rows whose nearest synthetic row lies in the synthetic ball of share beta and
     is no farther than their own nearest real row. Distances are scaled by the real ranges.
     """
-    from tallyframe.operators.distance import _scales, nearest
+    from tallyframe.operators.distance import nearest
+    from tallyframe.operators.metric import ranges
     from tallyframe.operators.stats import quantiles
 
-    scales = [x or 1.0 for x in _scales(real, numeric)]
+    scales = [x or 1.0 for x in ranges(real, numeric)]
 
     def centred(df: DataFrame, of: DataFrame) -> DataFrame:
         row = of.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(numeric)]).first()

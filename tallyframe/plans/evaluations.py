@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.contracts import ColumnSpec, Profile
 from tallyframe.functions import expressions as X
-from tallyframe.operators import audit, distance, estimators, generate, preprocess, reports, rules, stats
+from tallyframe.operators import audit, boosted, distance, estimators, generate, preprocess, reports, rules, stats, tuning
 from tallyframe.plans import bundle, evaluate
 from tallyframe.plans.registry import _KS_BODY, _TV_BODY, CONSTRAINTS, _contingency_sql, r6, registered, table
 from tallyframe.sources import tables
@@ -197,6 +197,39 @@ def e16_grid_search(spark, d):
     return out.where("test is not null").select(F.lit("linear-regression").alias("evaluator"), F.round("test", 3).alias("rmse"))
 
 
+_PLACE = "(l_orderkey * 7919 + l_linenumber * 104729) % 1000003"
+
+
+@registered(f"WITH t AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, {_PLACE} AS o, l_extendedprice::DOUBLE AS y FROM lineitem), w AS (SELECT *, (SELECT avg(y) FROM t) AS p, coalesce(sum(y) OVER a, 0) AS sa, count(*) OVER a AS na, coalesce(sum(y) OVER b, 0) AS sb, count(*) OVER b AS nb FROM t WINDOW a AS (PARTITION BY l_returnflag ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (PARTITION BY l_linestatus ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT l_orderkey, l_linenumber, round((sa + 2 * p) / (na + 2), 4) AS flag_stat, round((sb + 2 * p) / (nb + 2), 4) AS status_stat FROM w")
+def e24_ordered_statistics(spark, d):
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice")
+    order, y = F.expr(_PLACE), F.col("l_extendedprice")
+    out = boosted.ordered_statistics(boosted.ordered_statistics(t, "l_returnflag", y, order, weight=2.0, name="f"), "l_linestatus", y, order, weight=2.0, name="s")
+    return out.select("l_orderkey", "l_linenumber", F.round("f", 4).alias("flag_stat"), F.round("s", 4).alias("status_stat"))
+
+
+@registered()
+def e24_boosted_trees(spark, d):
+    """Categories that decide the target, by ordered statistics and boosted trees; the scores of each split."""
+    t = _related(table(spark, d, "lineitem")).withColumn("l_linestatus", F.when(F.col("l_quantity") > 25, "O").otherwise(F.col("l_linestatus")))
+    arm = {k: t.where(F.col("l_orderkey") % 5 == i) for i, k in enumerate(("train", "val", "test", "synthetic"))}
+    out = boosted.evaluate(arm, "l_linestatus", "classification", ["l_quantity"], ["l_returnflag"], kind="merged", order=F.expr(_PLACE), rounds=5, depth=3)
+    return out.select("split", "metric", r6("value", "value"))
+
+
+@registered()
+def e25_search(spark, d):
+    """How much a category's statistic is drawn to the mean, searched on held-out rows."""
+    t = table(spark, d, "part").select("p_partkey", F.concat_ws("-", "p_brand", "p_type").alias("kind"), F.col("p_retailprice").alias("y"))
+    train, val = t.where("p_partkey % 4 > 0"), t.where("p_partkey % 4 = 0")
+
+    def objective(point: dict) -> float:
+        told = boosted.Statistics(train, "kind", F.col("y"), point["weight"]).apply(val)
+        return told.agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("kind_stat"), F.lit(2.0))))).first()[0]
+
+    return tuning.search(spark, objective, {"weight": tuning.Choice("log", 0.01, 1000.0)}, 8, seed=1, maximize=False, startup=4).select("trial", "state", r6("value", "value"), "parameters")
+
+
 @registered()
 def c12_detection(spark, d):
     t = table(spark, d, "lineitem").withColumn("row_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
