@@ -305,25 +305,29 @@ def link_crowd(keys: list[bytes], lines: list[str], parent: dict, distance: int)
     What all lines begin and end with changes no distance and is put aside. What is left is partitioned anew, so that only
     lines with a further common segment meet, without that segment; short rests meet where they agree after as many
     deletions on either side as the distance allows. So lines that are alike but for a number or two are not compared with
-    one another, unless the numbers are alike.
+    one another, unless the numbers are alike. Lists that have become short are compared outright, most pairs by the parities
+    of their grams alone: an edit changes no more than six.
     """
     out: list[tuple[bytes, bytes]] = []
     root = lambda i: find_root(parent, keys[i])
+    bits, sizes = gram_parities(lines), np.array([len(x) for x in lines])
 
     def meet(members: list[int]) -> None:
-        """Compares what is not connected yet, each with the members of other components."""
-        classes: dict[bytes, list[int]] = {}
-        for i in members:
-            classes.setdefault(root(i), []).append(i)
-        apart = sorted(classes.values(), key=len)
-        for k, mine in enumerate(apart[:-1]):
-            for other in apart[k + 1 :]:
-                for i, j in ((i, j) for i in mine for j in other):
-                    if abs(len(lines[i]) - len(lines[j])) <= distance and edit_within(lines[i], lines[j], distance) <= distance:
-                        if root(i) != root(j):
-                            join_roots(parent, keys[i], keys[j])
-                            out.append((keys[i], keys[j]))
-                        break
+        """Compares what is not connected yet and agrees in all but so few parities."""
+        at, names = np.array(members), {}
+        label = np.array([names.setdefault(root(i), len(names)) for i in members])
+        own, size = bits[at], sizes[at]
+        for k in range(len(members) - 1):
+            near = (label[k + 1 :] != label[k]) & (np.abs(size[k + 1 :] - size[k]) <= distance)
+            if not near.any():
+                continue
+            left = k + 1 + np.flatnonzero(near)
+            left = left[np.bitwise_count(own[left] ^ own[k]).sum(axis=1) <= 2 * _GRAM * distance]
+            for j in left.tolist():
+                if label[j] != label[k] and edit_within(lines[at[k]], lines[at[j]], distance) <= distance:
+                    label[label == label[j]] = label[k]
+                    join_roots(parent, keys[at[k]], keys[at[j]])
+                    out.append((keys[at[k]], keys[at[j]]))
 
     todo = [[(i, x) for i, x in enumerate(lines)]]
     while todo:
@@ -360,10 +364,28 @@ def link_crowd(keys: list[bytes], lines: list[str], parent: dict, distance: int)
     return out
 
 
-_FEW, _SHORT = 8, 12  # lists of so many lines are compared outright; rests of so many characters meet by deletions
+_FEW, _SHORT = 4_096, 12  # lists of so many lines are compared by parities; rests of so many characters meet by deletions
+_GRAM = 3
 _probes = lru_cache(maxsize=4_096)(probes)
 
 
+def gram_parities(lines: list[str]) -> np.ndarray:
+    """For each line, which of 256 classes of grams of three characters occur an odd number of times: four words a line."""
+    data, starts, sizes = _points(lines)
+    grams = np.zeros(len(data) + 1, dtype=np.uint64)
+    if len(data) >= _GRAM:
+        whole = mix(mix(mix(data[:-2]) ^ data[1:-1]) ^ data[2:])
+        grams[: len(whole)] = whole
+    kind = (grams >> np.uint64(56)).astype(np.int64)
+    there = np.ones(len(grams), dtype=bool)
+    for back in range(1, _GRAM):  # grams that would reach into the next line
+        there[(starts + sizes - back)[sizes >= back]] = False
+    there[-1] = False
+    flag = np.where(there, np.uint64(1) << (kind & 63).astype(np.uint64), np.uint64(0))
+    words = [np.bitwise_xor.reduceat(np.where(kind >> 6 == w, flag, np.uint64(0)), starts) for w in range(4)]
+    return np.where(sizes[:, None] > 0, np.stack(words, axis=1), np.uint64(0))
+
+
 def _trimmed(entries: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """Without what all begin with and, of the rest, all end with."""
 
