@@ -117,8 +117,9 @@ def nearest(candidate: DataFrame, reference: DataFrame, key: str, numeric: list[
     leaf = F.transform(F.arrays_zip("leaves", "most"), lambda x: F.struct(x["leaves"]["lo"].alias("lo"), x["leaves"]["hi"].alias("hi"), x["most"].alias("u")))
     bounded = mine.join(first.select(F.col("x").alias("block"), "most"), "block").withColumn("leaves", leaf)
     done = beside.select("x", F.explode(F.array("y", "z")).alias("y")).where("y IS NOT NULL")
-    pairs = working(metric.near_pairs(bounded, theirs, space).join(done, ["x", "y"], "left_anti"), "pairs")
+    pairs = metric.near_pairs(bounded, theirs, space).join(done, ["x", "y"], "left_anti")
     if report is not None:
+        pairs = working(pairs, "pairs")
         report.append((pairs.count() + done.count(), mine.count() * theirs.count()))
     more = pairs.join(payload(mine, "x", "mine"), "x").join(first.select("x", "bounds"), "x").join(theirs.select(F.col("block").alias("y"), "lo", "hi", F.col("payload").alias("theirs")), "y")
     rest = more.select("mine", "bounds", "lo", "hi", "theirs").mapInArrow(go_on, f"key {key_type}, found {found_type}")
@@ -137,6 +138,14 @@ def dcr(candidate: DataFrame, train: DataFrame, test: DataFrame, key: str, numer
     return a.join(nearest(candidate, test, key, numeric, categorical, **options).select(key, least().alias("dcr_test")), key)
 
 
+def fifth_percentiles(found: DataFrame) -> DataFrame:
+    """(dcr, nndr): the fifth percentiles of the least distance and of its ratio to the second (``nearest`` with two neighbours); a
+    ratio of 0 to 0 counts as missing."""
+    first, second = F.get("distances", F.lit(0)), F.get("distances", F.lit(1))
+    held = working(found.select(first.alias("a"), F.try_divide(first, second).alias("b")), "two-nearest")
+    return quantiles(held, "a", {"dcr": 0.05}).join(quantiles(held, "b", {"nndr": 0.05}))  # single rows
+
+
 def dcr_share(scored: DataFrame) -> DataFrame:
     """(share, n): of candidate rows nearer to the train arm than to the test arm."""
     return scored.agg(F.avg(F.when(F.col("dcr_train") < F.col("dcr_test"), 1.0).otherwise(0.0)).alias("share"), F.count(F.lit(1)).alias("n"))
@@ -170,7 +179,7 @@ def resample(rounds: list[DataFrame], distance: str, key: str, quantile: float,
 
 def privacy_curve(scored: DataFrame, distance: str, shares: list[float]) -> DataFrame:
     """(quantile, n_kept, median_distance) of what is left when the rows below each quantile of distances are dropped."""
-    scored = scored.select(distance).persist()  # read once for the levels and once for each share
+    scored = working(scored.select(distance), "distances")  # made once, read for the levels and once for each share
     levels = quantiles(scored, distance, {f"q{i}": s for i, s in enumerate(shares)})
     long = levels.select(F.explode(F.array(*[F.struct(F.lit(s).alias("quantile"), F.col(f"q{i}").alias("least")) for i, s in enumerate(shares)])).alias("x")).select("x.*")
     kept = scored.join(F.broadcast(long), F.col(distance) >= F.col("least")).select("quantile", distance)  # a row per share
@@ -211,8 +220,9 @@ def ball_counts(points: DataFrame, centres: DataFrame, space: Space, *, block: i
                 near = np.flatnonzero(held)
                 yield pa.RecordBatch.from_arrays([pa.array(["point"] * len(near), pa.string()), p.keys.take(pa.array(near)), pa.array(held[near])], names=["side", "key", "n"])
 
-    pairs = working(metric.near_pairs(mine, theirs, space), "ball-pairs")
+    pairs = metric.near_pairs(mine, theirs, space)
     if report is not None:
+        pairs = working(pairs, "ball-pairs")
         report.append((pairs.count(), mine.count() * theirs.count()))
     loaded = pairs.join(mine.select(F.col("block").alias("x"), F.col("payload").alias("mine")), "x").join(theirs.select(F.col("block").alias("y"), "lo", "hi", F.col("payload").alias("theirs")), "y")
     return loaded.select("mine", "lo", "hi", "theirs").mapInArrow(count, f"side string, key {key_type}, n long").groupBy("side", "key").agg(F.sum("n").alias("n"))

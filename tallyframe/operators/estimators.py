@@ -21,6 +21,7 @@ from tallyframe.contracts import GateError
 from tallyframe.functions.expressions import ratio
 from tallyframe.operators.preprocess import category_codes, fit_min_max, fit_standard, ordinal
 from tallyframe.operators.utility import class_metrics, class_support, ranking_scores, regression_scores
+from tallyframe.sources.working import working
 
 CARDINALITY = 256
 
@@ -138,7 +139,7 @@ def local_evaluation(arms: dict[str, DataFrame], target: str, task: str, numeric
     ``arms`` has train, synthetic and test. Features are fitted on the train arm; the test arm is only scored. Classes on
     one side only leave the synthetic arm without support.
     """
-    train, synthetic, test = (arms[a].persist() for a in ("train", "synthetic", "test"))
+    train, synthetic, test = (working(arms[a], a) for a in ("train", "synthetic", "test"))
     spark = train.sparkSession
     labels = codes_of(train, test, target) if task == "classification" else []
     features = Features(train, numeric, categorical, datetime)
@@ -182,7 +183,7 @@ def global_evaluation(reference: DataFrame, synthetic: DataFrame, test: DataFram
     for name, df in (("reference", reference), ("synthetic", synthetic), ("test", test)):
         for c, codes in coded.items():
             df = ordinal(df, codes, c)
-        frames[name] = df.persist()
+        frames[name] = working(df, "frame")
     for target in [*numeric, *categorical]:
         task = "classification" if target in categorical else "regression"
         inputs = [*[c for c in numeric if c != target], *[f"{c}_code" for c in categorical if c != target]]
@@ -217,7 +218,8 @@ def detection_score(real: DataFrame, synthetic: DataFrame, numeric: list[str], c
     Folds come from a seeded hash of the key. Out-of-fold scores are ranked together.
     """
     rows = real.withColumn("_arm", F.lit(0.0)).unionByName(synthetic.withColumn("_arm", F.lit(1.0)))
-    rows = rows.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("_arm")), F.lit(folds))).persist()
+    rows = rows.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("_arm")), F.lit(folds)))
+    rows = working(rows, "folds")
     told = None
     for k in range(folds):
         train, test = rows.where(F.col("_fold") != k), rows.where(F.col("_fold") == k)
@@ -294,7 +296,7 @@ def delta_presence(real: DataFrame, synthetic: DataFrame, numeric: list[str], *,
     from pyspark.ml.clustering import KMeans
 
     features = Features(real, numeric, [])
-    a, b = (features.apply(df, F.lit(0.0)).select("features").persist() for df in (real, synthetic))
+    a, b = (working(features.apply(df, F.lit(0.0)).select("features"), "features") for df in (real, synthetic))
     made = None
     for k in clusters:
         model = KMeans(k=k, seed=seed).fit(a)

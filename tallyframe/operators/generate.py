@@ -198,9 +198,30 @@ def shuffled_columns(df: DataFrame, key: str, columns: list[str], seed: int, lev
     return base.select(key, *columns)
 
 
+SPAN = 128  # ranks of a stretch, within which values and draws are matched
+
+
+def spans(places: DataFrame) -> DataFrame:
+    """Values with their ranks from ``start`` up to ``stop``, a row for each stretch of ranks that they reach into."""
+    return places.withColumn("span", F.explode(F.sequence(F.floor(F.col("start") / SPAN), F.floor((F.col("stop") - 1) / SPAN))))
+
+
 def independent(df: DataFrame, columns: list[str], rows: int, seed: int) -> DataFrame:
-    """Every column drawn by its own frequencies."""
-    return network_sample(df, {c: [] for c in columns}, rows, seed)
+    """Every column drawn by its own frequencies; missing values are left out.
+
+    A draw is a rank among the column's rows, and values hold as many ranks as rows. Values are counted and ranked in buckets,
+    and ranks meet values by stretches: no column's values are gathered or broadcast, however many they are.
+    """
+    ids = df.sparkSession.range(rows).withColumnRenamed("id", "row_id")
+    out = ids
+    for c in columns:
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).withColumn("_h", F.xxhash64("v"))
+        placed = working(running_sums(counts, [], "_h", ["n"]).select("v", (F.col("upto_n") - F.col("n")).alias("start"), F.col("upto_n").alias("stop"), "all_n"), "places")
+        whole = placed.agg(F.max("all_n").alias("_all"))  # one row
+        drawn = ids.join(F.broadcast(whole)).withColumn("at", F.floor(uniform(seed, F.lit(c), F.col("row_id")) * F.col("_all"))).withColumn("span", F.floor(F.col("at") / SPAN))
+        met = drawn.join(spans(placed), "span").where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("stop")))
+        out = out.join(met.select("row_id", F.col("v").alias(c)), "row_id")
+    return out
 
 
 class Generator(ABC):
@@ -270,8 +291,6 @@ class RankGenerator(Generator):
     Categories count in sorted order; rows with a missing value take no part.
     """
 
-    _SPAN = 128  # ranks of a stretch, within which rows and values are matched
-
     def __init__(self, numeric: list[str], categorical: list[str], rounds: int = 2):
         self.numeric, self.categorical, self.rounds = list(numeric), list(categorical), rounds
         self.names = [*self.numeric, *self.categorical]
@@ -304,9 +323,8 @@ class RankGenerator(Generator):
         scores = [sum((F.col(f"z{j}") * F.lit(float(mixed[i, j])) for j in range(d)), F.lit(0.0)) for i in range(d)]
         long = z.select("row_id", F.posexplode(F.array(*scores)).alias("c", "y")).withColumn("n", F.lit(1))
         at = running_sums(long, ["c"], "y", ["n"]).select("row_id", "c", F.floor((F.col("upto_n") - 1) * F.lit(self.rows) / F.lit(rows)).alias("at"))
-        at = at.withColumn("span", F.floor(F.col("at") / self._SPAN))
-        spans = self.places.select("c", "v", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / self._SPAN), F.floor((F.col("stop") - 1) / self._SPAN))).alias("span"))
-        met = at.join(spans, ["c", "span"]).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("stop")))
+        at = at.withColumn("span", F.floor(F.col("at") / SPAN))
+        met = at.join(spans(self.places.select("c", "v", "start", "stop")), ["c", "span"]).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("stop")))
         pick = lambda i, what: F.max(F.when(F.col("c") == i, what))
         return met.groupBy("row_id").agg(*[pick(i, F.col("v")).alias(f"v{i}") for i in range(d)], *[pick(i, (F.col("start") + F.col("stop") + 1) / 2).alias(f"r{i}") for i in range(d)])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.expressions import nested
 from tallyframe.operators.stats import quantiles
-from tallyframe.operators.utility import complete_mean, local_retention, target_ratio
+from tallyframe.operators.utility import complete_mean, local_retention, ranking_scores, target_ratio
 
 
 def moments(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
@@ -74,6 +74,26 @@ def votes(df: DataFrame, row: str, label: str, weight: Column | None = None) ->
     return counted.groupBy(row).agg(F.min_by(label, F.struct(-F.col("k"), F.col(label))).alias("voted"), F.sum("k").alias("votes"))
 
 
+def vote_scores(voted: DataFrame, truth: DataFrame, row: str, label: str) -> DataFrame:
+    """(micro_f1, micro_auc, n) of votes over trials, given as (row, label, k): for a label each, micro F1 is the share of rows whose
+    most voted label is the true one, and micro AUC ranks the shares of all rows and labels together against what is true.
+
+    Labels are those that are true of a row; a row without votes has share 0 for all.
+    """
+    shares = voted.groupBy(row).agg(F.sum("k").alias("_all"), F.map_from_entries(F.collect_list(F.struct(F.col(label).cast("string"), F.col("k")))).alias("_of"), F.min_by(label, F.struct(-F.col("k"), F.col(label))).cast("string").alias("_best"))  # labels of a declared column
+    known = truth.select(F.col(label).cast("string").alias("_l")).distinct()
+    held = truth.select(row, F.col(label).cast("string").alias("_true")).join(shares, row, "left")
+    micro = held.agg(F.avg(F.coalesce(F.col("_best") == F.col("_true"), F.lit(False)).cast("double")).alias("micro_f1"), F.count(F.lit(1)).alias("n"))
+    cells = held.join(F.broadcast(known)).select((F.col("_l") == F.col("_true")).alias("y"), F.coalesce(F.try_divide(F.try_element_at("_of", F.col("_l")).cast("double"), F.col("_all").cast("double")), F.lit(0.0)).alias("s"))
+    return micro.join(ranking_scores(cells, F.col("y"), "s").select(F.col("roc_auc").alias("micro_auc")))  # single rows
+
+
+def imputed_error(imputed: DataFrame, truth: DataFrame, row: str, value: str, low: float = 1.0, high: float = 20000.0) -> DataFrame:
+    """(rmse, n) of ``imputed_mean`` against the logarithm of the clipped true value."""
+    y = F.ln(F.least(F.greatest(F.col(value), F.lit(low)), F.lit(high)))
+    return truth.select(row, y.alias("_y")).join(imputed, row).agg(F.sqrt(F.avg(F.pow(F.col("imputed") - F.col("_y"), F.lit(2.0)))).alias("rmse"), F.count(F.lit(1)).alias("n"))
+
+
 def imputed_mean(df: DataFrame, row: str, value: str, low: float = 1.0, high: float = 20000.0) -> DataFrame:
     """(row, imputed): the mean over trials of the logarithm of the clipped value."""
     return df.groupBy(row).agg(F.avg(F.ln(F.least(F.greatest(F.col(value), F.lit(low)), F.lit(high)))).alias("imputed"))

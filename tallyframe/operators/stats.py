@@ -105,7 +105,10 @@ def by_value(df: DataFrame, counts: DataFrame, columns: list[str], size: str, sh
     """
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in columns]
     counts = working(counts, "counts")
-    total = counts.agg(F.sum(size)).first()[0] or 0
+    one = counts.agg(F.sum(size).alias("n"), F.max(size).alias("most")).first()
+    total = one.n or 0
+    if (one.most or 0) * share <= total:  # no frequent value: one join for all
+        return df.join(counts, same, "left").drop(*[f"_k_{c}" for c in columns])
     hot, cold = counts.where(F.col(size) * share > total), counts.where(F.col(size) * share <= total)
     found = df.join(F.broadcast(hot), same).unionByName(df.join(F.broadcast(hot), same, "left_anti").join(cold, same, "left"))
     return found.drop(*[f"_k_{c}" for c in columns])

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.contracts import ATOMIC, ColumnSpec, GateError, Profile
 from tallyframe.operators import audit, estimators, fidelity, reports, rules
+from tallyframe.operators.stats import seeded_sample
 from tallyframe.plans import bundle
+from tallyframe.sources.working import working
 
 # Identities of the metrics.
 SHAPES, TRENDS = "sdmetrics-column-shapes", "sdmetrics-column-pair-trends"
@@ -80,7 +82,7 @@ def trend_scores(arms: DataFrame, profile: Profile) -> DataFrame:
         found.append(scored.select(F.concat_ws("--", "left_column", "right_column").alias("scope_id"), "score", F.abs("real_rho").alias("strength"), F.lit(CORRELATION_LEAST).alias("least")))
     if mixed:
         cut = fidelity.binned(arms, sorted({c for p in mixed for c in p if kind[c] == "number"})) if any(kind[c] == "number" for p in mixed for c in p) else arms
-        cut = cut.persist()
+        cut = working(cut, "cut")
         name = lambda c: F.regexp_replace(c, r"\|", "--").alias("scope_id")
         similar = fidelity.contingency_similarity(cut, mixed).select(name("pair_name"), "score")
         strong = fidelity.cramers_vs(cut.where(~F.col(fidelity.ARM)), mixed).select(name("pair_name"), F.col("v").alias("strength"))
@@ -97,7 +99,7 @@ def _weighted(rows: DataFrame, counts: Column) -> DataFrame:
 
 def fidelity_atoms(reference: DataFrame, synthetic: DataFrame, profile: Profile) -> DataFrame:
     """Atomic rows of column shapes and pair trends."""
-    arms = _arms(reference, synthetic, profile).persist()
+    arms = working(_arms(reference, synthetic, profile), "arms")
     pairs = list(combinations(profile.columns, 2))
     counts = _counts(arms, profile, pairs)
     why = lambda unsupported, weak: F.when(~F.col("evaluated"), "unsupported_semantic_type").when(weak, "below_source_threshold").when(F.col("score").isNull(), "upstream_nonfinite_result")  # noqa: E731, ARG005
@@ -118,7 +120,7 @@ def fidelity_atoms(reference: DataFrame, synthetic: DataFrame, profile: Profile)
 
 def validity_atoms(synthetic: DataFrame, column_rules: Mapping[str, list[Mapping]], constraints: Mapping[str, Mapping], n_reference: int) -> DataFrame:
     """Atomic rows of column and constraint validity, judged on the synthetic arm as it came."""
-    found = rules.validity(synthetic, column_rules, constraints).where("scope_id <> 'fully_valid_rows'").persist()
+    found = working(rules.validity(synthetic, column_rules, constraints).where("scope_id <> 'fully_valid_rows'"), "validity")
     column = F.col("scope_type") == "column"
     n = synthetic.agg(F.count(F.lit(1)).alias("n_synthetic"))
     rows = found.join(F.broadcast(n)).select(F.when(column, COLUMN_VALIDITY).otherwise(CONSTRAINT_VALIDITY).alias("metric_id"), "scope_type", "scope_id", F.when(F.col("score").isNull(), "not_applicable").otherwise("computed").alias("state"), F.when(F.col("score").isNull(), "no_applicable_rows").alias("reason_code"), F.col("score").alias("raw_value"), F.col("score").alias("normalized_value"), "weight", (F.col("score") * F.col("weight")).alias("aggregate_contribution"), F.lit(n_reference).cast("long").alias("n_reference"), "n_synthetic", F.col("n_total").alias("n_valid"), (F.col("n_synthetic") - F.col("n_total")).alias("n_excluded"), F.array().cast("array<string>").alias("warning_codes"))
@@ -177,12 +179,17 @@ def terminal_status(atoms: DataFrame, scores: DataFrame, protocol: str) -> DataF
 
 def evaluate_table(
     reference: DataFrame, synthetic: DataFrame, profile: Profile, *, protocol: str = "p2", expected_rows: int | None = None, test: DataFrame | None = None,
-    definitions: list[Mapping] = (), constraints: Mapping[str, Mapping] | None = None, target: str | None = None, task: str | None = None, evaluators: list[str] = (), seeds: list[int] = (0,), identity: Mapping[str, object] | None = None,
+    subsample: int | None = None, seed: int = 0, definitions: list[Mapping] = (), constraints: Mapping[str, Mapping] | None = None, target: str | None = None, task: str | None = None, evaluators: list[str] = (), seeds: list[int] = (0,), identity: Mapping[str, object] | None = None,
 ) -> Outcome:
-    """One run of a protocol: ``p2`` fidelity, ``p3`` validity (the synthetic arm unrepaired), ``p4`` utility with a held-out ``test`` arm."""
+    """One run of a protocol: ``p2`` fidelity, ``p3`` validity (the synthetic arm unrepaired), ``p4`` utility with a held-out ``test`` arm.
+
+    ``p2`` reads whole arms; the source protocol's seeded subsample of 50,000 rows an arm is had by ``subsample``.
+    """
     known = {"protocol_version": "1.0.0", "dataset_id": profile.dataset_id, "metric_version": VERSION, "raw_direction": "maximize", "result_schema_version": "1.0.0"} | dict(identity or {})
     if protocol == "p2":
         arms = audit.gate(reference, profile), audit.gate(synthetic, profile, expected_rows)
+        if subsample is not None:
+            arms = tuple(seeded_sample(df.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in profile.names()])), "_h", subsample, seed).drop("_h") for df in arms)
         rows, known["dimension"] = fidelity_atoms(*arms, profile), "fidelity"
     elif protocol == "p3":
         rules.check_contract(profile, list(definitions), constraints or {})
@@ -197,7 +204,7 @@ def evaluate_table(
         rows, known["dimension"] = utility_atoms(runs, arms["test"].count(), arms["synthetic"].count()), "local-utility"
     else:
         raise GateError("invalid_protocol", protocol)
-    atoms = bundle.atomic(rows, **known).persist()
+    atoms = working(bundle.atomic(rows, **known), "atoms")
     scores = property_scores(atoms.where(F.col("metric_id") == RETENTION) if protocol == "p4" else atoms, (RETENTION,))
     return Outcome(atoms, scores, denominators(atoms), terminal_status(atoms, scores, protocol).first().status)
 

@@ -253,6 +253,13 @@ def c14_prdc(spark, d):
     return out.select(r6("precision", "precision"), r6("recall", "recall"), F.round("density", 3).alias("density"), r6("coverage", "coverage"))
 
 
+@registered("WITH c AS (SELECT *, c_custkey % 3 AS arm FROM customer), x AS (SELECT max(c_acctbal) - min(c_acctbal) AS r FROM c WHERE arm = 0), p AS (SELECT s.c_custkey, sqrt(pow(abs(s.c_acctbal - t.c_acctbal) / r, 2) + CASE WHEN s.c_mktsegment <> t.c_mktsegment THEN 1 ELSE 0 END) AS d FROM c s, c t, x WHERE s.arm = 2 AND t.arm = 0), n AS (SELECT c_custkey, d, row_number() OVER (PARTITION BY c_custkey ORDER BY d) AS k FROM p), w AS (SELECT c_custkey, max(d) FILTER (k = 1) AS a, max(d) FILTER (k = 2) AS b FROM n WHERE k <= 2 GROUP BY ALL) SELECT round(quantile_cont(a, 0.05), 6) AS dcr, round(quantile_cont(a / nullif(b, 0), 0.05), 6) AS nndr FROM w")
+def f05_fifth_percentiles(spark, d):
+    c = table(spark, d, "customer")
+    out = distance.nearest(c.where("c_custkey % 3 = 2"), c.where("c_custkey % 3 = 0"), "c_custkey", ["c_acctbal"], ["c_mktsegment"], kind="l2", mismatch=1.0, neighbours=2)
+    return distance.fifth_percentiles(out).select(r6("dcr", "dcr"), r6("nndr", "nndr"))
+
+
 _PARTS = "WITH p AS (SELECT p_partkey AS id, p_size AS a, p_retailprice AS b, p_brand AS g, p_partkey % 3 AS arm FROM part)"
 
 
@@ -472,6 +479,22 @@ def e22_votes(spark, d):
     return reports.votes(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", F.col("l_quantity")).select("l_orderkey", "voted", F.round("votes", 4).alias("votes"))
 
 
+@registered("WITH v AS (SELECT l_orderkey, l_returnflag, sum(l_quantity) AS k FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey, arg_min(l_returnflag, (-k, l_returnflag)) AS best, sum(k) AS whole FROM v GROUP BY ALL), t AS (SELECT l_orderkey, min(l_returnflag) AS true FROM lineitem GROUP BY ALL), c AS (SELECT l.l = t.true AS y, coalesce(k / whole, 0) AS s FROM t JOIN b USING (l_orderkey) CROSS JOIN (SELECT DISTINCT true AS l FROM t) l LEFT JOIN v ON v.l_orderkey = t.l_orderkey AND v.l_returnflag = l.l), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM c) SELECT round((SELECT avg((best = true)::INT) FROM b JOIN t USING (l_orderkey)), 6) AS micro_f1, round((sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 6) AS micro_auc, (SELECT count(*) FROM t) AS n FROM r")
+def e22_vote_scores(spark, d):
+    """Quantities vote for a flag; the least flag of an order is taken to be the true one."""
+    t = table(spark, d, "lineitem")
+    voted = t.groupBy("l_orderkey", "l_returnflag").agg(F.sum("l_quantity").alias("k"))
+    truth = t.groupBy("l_orderkey").agg(F.min("l_returnflag").alias("l_returnflag"))
+    return reports.vote_scores(voted, truth, "l_orderkey", "l_returnflag").select(r6("micro_f1", "micro_f1"), r6("micro_auc", "micro_auc"), "n")
+
+
+@registered("WITH i AS (SELECT l_orderkey, avg(ln(least(greatest(l_extendedprice, 1), 20000))) AS m FROM lineitem GROUP BY ALL) SELECT round(sqrt(avg(pow(m - ln(least(greatest(o_totalprice, 1), 20000)), 2))), 6) AS rmse, count(*) AS n FROM orders JOIN i ON l_orderkey = o_orderkey")
+def e22_imputed_error(spark, d):
+    truth = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    out = reports.imputed_error(reports.imputed_mean(table(spark, d, "lineitem"), "l_orderkey", "l_extendedprice"), truth, "l_orderkey", "o_totalprice")
+    return out.select(r6("rmse", "rmse"), "n")
+
+
 @registered("SELECT l_orderkey, round(avg(ln(least(greatest(l_extendedprice, 1), 20000))), 6) AS imputed FROM lineitem GROUP BY ALL")
 def e22_imputed_values(spark, d):
     return reports.imputed_mean(table(spark, d, "lineitem"), "l_orderkey", "l_extendedprice").select("l_orderkey", r6("imputed", "imputed"))

@@ -505,6 +505,27 @@ def test_rank_generator_keeps_ranks_and_marginals(spark, rows):
             assert sorted(again[c]) == sorted(train[c])[::3]
 
 
+def test_independent_draws_follow_the_frequencies(spark):
+    r = np.random.default_rng(15)
+    df = spark.createDataFrame([(float(v), "a" if v < 0.9 else "b", None if i % 10 == 0 else i % 3) for i, v in enumerate(r.random(2000))], "x double, g string, k long")
+    got = generate.MarginalGenerator(["x", "g", "k"]).fit(df).sample(3000, 5).toPandas()
+    known = df.toPandas()
+    assert len(got) == 3000 and got.row_id.nunique() == 3000 and set(got.x) <= set(known.x) and not got.isna().any().any()
+    assert abs((got.g == "a").mean() - (known.g == "a").mean()) < 0.03 and np.abs(got.k.value_counts(normalize=True) - known.k.value_counts(normalize=True)).max() < 0.04
+    assert abs(np.corrcoef(got.x, got.g == "a")[0, 1]) < 0.06 and abs(got.x.mean() - known.x.mean()) < 0.03
+
+
+def test_subsampled_evaluation(spark):
+    """The source protocol's subsample: the same rows for one seed, whole arms without it."""
+    r = np.random.default_rng(16)
+    profile = Profile("p", (ColumnSpec("a", "continuous"), ColumnSpec("g", "categorical")))
+    arm = lambda n, shift: spark.createDataFrame([(float(v) + shift, "xy"[i % 2]) for i, v in enumerate(r.normal(size=n))], "a double, g string")
+    real, fake = arm(400, 0.0), arm(300, 0.5)
+    one, two, other = (evaluate.evaluate_table(real, fake, profile, subsample=100, seed=k).atoms.where("scope_id = 'a'").first() for k in (1, 1, 2))
+    assert (one.n_reference, one.n_synthetic) == (100, 100) and one.raw_value == two.raw_value != other.raw_value
+    assert evaluate.evaluate_table(real, fake, profile).atoms.first().n_reference == 400
+
+
 def test_generators_keep_their_promises(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], "xyz"[i % 3] if i % 2 else "x", float(i % 7)) for i in range(60)], "id long, a string, b string, n double")
     drawn = generate.network_sample(df.withColumn("c", F.concat("a", "b")), {"a": [], "b": [], "c": ["a", "b"]}, 500, 1)
