@@ -152,7 +152,7 @@ def domain_checks(df: DataFrame, domains: dict[str, dict], by: str | None = None
     rows = []
     for name, domain in domains.items():
         c = F.col(f"`{name}`")
-        present = c.isNotNull() & (c.cast("string") != domain["marker"] if "marker" in domain else F.lit(True))
+        there = c.isNotNull() & (c.cast("string") != domain["marker"] if "marker" in domain else F.lit(True))
         shape = F.lit(True) if not domain.get("integer") else c.cast("string").rlike(r"\A(?:0|-?[1-9][0-9]*)\z")
         inside = F.lit(True)
         if "min" in domain or "max" in domain:
@@ -160,7 +160,7 @@ def domain_checks(df: DataFrame, domains: dict[str, dict], by: str | None = None
             inside = read.isNotNull() & (read >= domain.get("min", float("-inf"))) & (read <= domain.get("max", float("inf")))
         if "values" in domain:
             inside = inside & c.cast("string").isin(*domain["values"])
-        rows.append(F.struct(F.lit(name).alias("column_name"), F.count(F.lit(1)).alias("n"), F.count_if(present & ~shape).alias("n_not_integer"), F.count_if(present & ~inside).alias("n_outside")))
+        rows.append(F.struct(F.lit(name).alias("column_name"), F.count(F.lit(1)).alias("n"), F.count_if(there & ~shape).alias("n_not_integer"), F.count_if(there & ~inside).alias("n_outside")))
     group = df.groupBy(F.col(by).alias("by")) if by else df.groupBy()
     out = group.agg(F.array(*rows).alias("x")).select(*(["by"] if by else []), F.explode("x").alias("x"))
     return out.select(*(["by"] if by else []), "x.*")
