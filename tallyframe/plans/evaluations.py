@@ -479,7 +479,7 @@ def e22_votes(spark, d):
     return reports.votes(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", F.col("l_quantity")).select("l_orderkey", "voted", F.round("votes", 4).alias("votes"))
 
 
-@registered("WITH v AS (SELECT l_orderkey, l_returnflag, sum(l_quantity) AS k FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey, arg_min(l_returnflag, (-k, l_returnflag)) AS best, sum(k) AS whole FROM v GROUP BY ALL), t AS (SELECT l_orderkey, min(l_returnflag) AS true FROM lineitem GROUP BY ALL), c AS (SELECT l.l = t.true AS y, coalesce(k / whole, 0) AS s FROM t JOIN b USING (l_orderkey) CROSS JOIN (SELECT DISTINCT true AS l FROM t) l LEFT JOIN v ON v.l_orderkey = t.l_orderkey AND v.l_returnflag = l.l), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM c) SELECT round((SELECT avg((best = true)::INT) FROM b JOIN t USING (l_orderkey)), 6) AS micro_f1, round((sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 6) AS micro_auc, (SELECT count(*) FROM t) AS n FROM r")
+@registered("WITH v AS (SELECT l_orderkey, l_returnflag, sum(l_quantity) AS k FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey, arg_min(l_returnflag, (-k, l_returnflag)) AS best, sum(k) AS whole FROM v GROUP BY ALL), t AS (SELECT l_orderkey, min(l_returnflag) AS told FROM lineitem GROUP BY ALL), c AS (SELECT l.l = t.told AS y, coalesce(k / whole, 0) AS s FROM t JOIN b USING (l_orderkey) CROSS JOIN (SELECT DISTINCT told AS l FROM t) l LEFT JOIN v ON v.l_orderkey = t.l_orderkey AND v.l_returnflag = l.l), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM c) SELECT round((SELECT avg((best = told)::INT) FROM b JOIN t USING (l_orderkey)), 6) AS micro_f1, round((sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 6) AS micro_auc, (SELECT count(*) FROM t) AS n FROM r")
 def e22_vote_scores(spark, d):
     """Quantities vote for a flag; the least flag of an order is taken to be the true one."""
     t = table(spark, d, "lineitem")
