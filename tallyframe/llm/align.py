@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.packing import PATTERN, _stand_ins
-from tallyframe.llm.shared import grouped, materialize, narrow, rows
+from tallyframe.llm.shared import grouped, materialize, narrow, release, rows, trimmed
 
 _MOST = 1 << 16  # entries of a vocabulary; an id pair is one number
 
@@ -205,9 +205,20 @@ def spelled(ids_a: np.ndarray, ids_b: np.ndarray, of_a: np.ndarray, of_b: np.nda
 
 BLOCKS = pa.schema([
     ("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_a", pa.list_(pa.int64())), ("n_b", pa.list_(pa.int64())), ("n_groups", pa.list_(pa.int64())), ("n_links", pa.list_(pa.int64())),
-    ("groups_sha256", pa.list_(pa.string())), ("pairs", pa.list_(pa.int64())), ("holders", pa.list_(pa.int64())), ("held", pa.list_(pa.int32())), ("which", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())),
+    ("groups_sha256", pa.list_(pa.string())), ("pairs", pa.list_(pa.int64())), ("holders", pa.list_(pa.int64())), ("held", pa.list_(pa.int32())), ("which", pa.binary()), ("times", pa.binary()),
 ])
-_BLOCKS = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, pairs array<long>, holders array<long>, held array<int>, which array<int>, times array<long>"
+_BLOCKS = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, pairs array<long>, holders array<long>, held array<int>, which binary, times binary"
+
+
+def packed(values: Sequence[int]) -> bytes:
+    """Numbers from 0 on in as few bytes each as the greatest needs: a block has hundreds of thousands, most of them small."""
+    values = np.asarray(values, dtype=np.int64)
+    return values.astype(next(k for k in ("<u1", "<u2", "<u4", "<i8") if len(values) == 0 or values.max() <= np.iinfo(k).max)).tobytes()
+
+
+def unpacked(blob: bytes, count: int) -> np.ndarray:
+    """The ``count`` numbers of ``packed``."""
+    return np.frombuffer(blob, dtype={1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}[len(blob) // count] if count else "<u1").astype(np.int64)
 
 
 def aligned(texts: Sequence[str], params: AlignParams) -> dict:
@@ -251,11 +262,12 @@ def blocks(docs: DataFrame, params: AlignParams) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in grouped(batches, "text", params.block_bytes):
-            made = aligned(batch.column("text").to_pylist(), params) | {"doc_id": batch.column("doc_id").to_pylist(), "block": block}
+            made = aligned(batch.column("text").to_pylist(), params)
+            made |= {"doc_id": batch.column("doc_id").to_pylist(), "block": block, "which": packed(made["which"]), "times": packed(made["times"])}
             yield rows(BLOCKS, [[made[f.name]] for f in BLOCKS])
             block += 1
 
-    return narrow(docs, "doc_id", "text").mapInArrow(task, _BLOCKS)
+    return narrow(docs, "doc_id", "text").mapInArrow(trimmed(task), _BLOCKS)
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
@@ -274,20 +286,22 @@ RESULT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of blocks that have got their pairs' counts (``told``, in any order)."""
+    """Documents of blocks that have got their pairs' counts (``told``, in any order). The vocabularies are needed no more."""
+    _loaded.clear()
+    release()
     for batch in batches:
         for i in range(batch.num_rows):
             value = lambda c: batch.column(c)[i].values
             number = lambda c: np.asarray(value(c), dtype=np.int64)
-            told = batch.column("told")[i].values
+            told, held = batch.column("told")[i].values, number("held")
             if told is None or len(told) == 0:
                 best = total = np.zeros(0, dtype=np.int64)
             else:
                 pair, n, top = (np.asarray(told.field(k)) for k in range(3))
                 order = np.argsort(pair)
-                which, times = number("which"), number("times")
+                which, times = (unpacked(batch.column(c)[i].as_py(), int(held.sum())) for c in ("which", "times"))
                 best, total = times * top[order][which], times * n[order][which]
-            stops = np.append(0, np.cumsum(number("held")))
+            stops = np.append(0, np.cumsum(held))
             per = lambda x: np.diff(np.append(0, np.cumsum(x))[stops])
             yield rows(RESULT, [value("doc_id"), value("n_a"), value("n_b"), value("n_groups"), value("n_links"), per(best), per(total), value("groups_sha256")])
 
@@ -304,4 +318,4 @@ def align(docs: DataFrame, params: AlignParams = AlignParams()) -> DataFrame:
     asked = found.select("block", F.explode("pairs").alias("pair"))
     told = asked.join(pair_counts(found), "pair").groupBy("block").agg(F.collect_list(F.struct("pair", "n", "best")).alias("told"))  # bounded by a block's pairs
     schema = ", ".join(f"{f.name} {'string' if f.name == 'groups_sha256' else 'long'}" for f in RESULT)
-    return found.drop("pairs", "holders").join(told, "block", "left").mapInArrow(summed, schema)
+    return found.drop("pairs", "holders").join(told, "block", "left").mapInArrow(trimmed(summed), schema)

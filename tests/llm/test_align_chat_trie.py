@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyframe.llm import align, chat, queries, trie
+from tallyframe.llm import align, chat, queries, shared, trie
 
 SCHEMA = "doc_id long, text string, block int, pairs string, told int"
 CONV = "conv_id long, turn long, role string, text string, at int, real string, depth int, owner long, example int"
@@ -73,6 +73,22 @@ def test_ids_are_those_of_the_libraries(spark, sf, texts):
             assert [np.frombuffer(x, dtype="<u4").tolist() for x in told] == [found.a.ids(text), found.b.ids(text)], text
 
 
+def test_links_travel_in_few_bytes(spark, texts):
+    for values in ([], [0], [255, 3], [256], [65_536], [1 << 33, 0]):
+        blob = align.packed(values)
+        assert align.unpacked(blob, len(values)).tolist() == values
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = align.blocks(docs, align.AlignParams()).selectExpr("octet_length(which) + octet_length(times) AS size", "aggregate(held, 0L, (a, b) -> a + b) AS links").collect()
+    assert sum(r.links for r in found) > 0 and all(r.size <= 6 * r.links for r in found)
+
+
+def test_an_ended_task_gives_its_memory_back(monkeypatch):
+    seen = []
+    monkeypatch.setattr(shared, "release", lambda: seen.append("release"))
+    task = shared.trimmed(lambda batches: (seen.append(x) or x for x in batches))
+    assert list(task(iter("ab"))) == ["a", "b"] and seen == ["a", "b", "release"]
+
+
 def test_union_find():
     r = np.random.default_rng(4)
     for _ in range(50):
