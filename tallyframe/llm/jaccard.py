@@ -8,8 +8,8 @@ Shared prefix shingles are counted per pair, which leaves few pairs to verify.
 Frequent shingles have no lists. Each has a pivot, the least set that holds it, so near copies share one; a set is compared
 once with each pivot of its prefix, and its answers are then derived from the pivot's computed ones: from |a & p| and
 |b & p| follow bounds of |a & b|; pairs that are connected already, or whose bounds decide them, are skipped, and only the
-rest is verified, block against block of a pivot's sets. A list that turns out longer than ``longest`` makes its shingle
-a frequent one, and the index is built anew.
+rest is verified, block against block of a pivot's sets. So it goes with other shingles that more than ``longest`` sets hold:
+they keep their place in the order, but of their list only the least set, their pivot, makes pairs, one with each other set.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.components import components, find_root, join_roots
-from tallyframe.llm.shared import binary16, bound_batches, grouped, materialize, narrow, partitions, release, rows, small_side
+from tallyframe.llm.shared import binary16, bound_batches, grouped, materialize, narrow, partitions, release, rows, small_side, trimmed
 from tallyframe.llm.shingles import set_key, shingle_sets
 
 
@@ -41,7 +41,7 @@ class JaccardParams:
     frequent: int = 16  # sets that hold a shingle, from which on it may count as frequent
     locally: int = 2  # and of these within one worker's block of sets
     most_frequent: int = 1_000_000  # so many are broadcast at most (8 MB); the order stays exact with any choice
-    longest: int = 256  # sets in the list of a shingle that is not frequent; grows only if more shingles had longer ones than are broadcast
+    longest: int = 16  # sets that hold a shingle (254 at most), from which on its list makes pairs with a pivot only
     block_tokens: int = 1 << 19
     group: int = 2_000  # sets of one pivot that a task compares with as many others
 
@@ -95,7 +95,7 @@ def profile(docs: DataFrame, params: JaccardParams) -> DataFrame:
             none, zero = [None] * len(tokens), [None] * len(ids)
             yield rows(PROFILE, [idents + none, ids + none, keys + [distinct[k][0] for k in owner.tolist()], [len(s) for s in sets] + none, zero + tokens.tolist(), zero + held.tolist()])
 
-    return materialize(docs.mapInArrow(task, "ident binary, doc_id long, key binary, n long, token long, held long"), "sets")
+    return materialize(docs.mapInArrow(trimmed(task), "ident binary, doc_id long, key binary, n long, token long, held long"), "sets")
 
 
 class Frequent:
@@ -108,9 +108,6 @@ class Frequent:
         number = {k: i for i, k in enumerate(self.keys)}
         self.tokens, self.pivots = values[order], np.array([number[p] for p in pivots], dtype=np.int64)[order]
 
-    def with_more(self, tokens: list[int], pivots: list[bytes]) -> "Frequent":
-        return Frequent(self.tokens.view(np.int64).tolist() + tokens, [self.keys[i] for i in self.pivots] + pivots)
-
 
 def frequent_shingles(sets: DataFrame, params: JaccardParams) -> Frequent:
     """The most frequent shingles: a bounded list, which steers the order and nothing else."""
@@ -126,6 +123,7 @@ def _in_sorted(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 ENTRY = np.dtype([("token", "<u8"), ("key", "V16"), ("n", "<i4"), ("at", "<i4"), ("hot", "<i4")])
+_STAR, _LONG = -1, -2  # instead of a position: the token is a pivot's number, the token's list is a long one
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], params: JaccardParams) -> Iterator[tuple[int, dict[bytes, np.ndarray], list[str]]]:
@@ -201,13 +199,13 @@ def token_counts(docs: DataFrame, parts: int, params: JaccardParams) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "part", "told"])
 
     tasks = partitions(docs.sparkSession)
-    counted = docs.mapInArrow(ask, ASKED).repartition(tasks, "part").mapInArrow(tell, TOLD)
-    return docs.mapInArrow(home, TOLD).unionByName(counted).repartition(tasks, "block")
+    counted = docs.mapInArrow(trimmed(ask), ASKED).repartition(tasks, "part").mapInArrow(trimmed(tell), TOLD)
+    return docs.mapInArrow(trimmed(home), TOLD).unionByName(counted).repartition(tasks, "block")
 
 
 def prefix_index(counted: DataFrame, hot, parts: int, count_parts: int, params: JaccardParams) -> DataFrame:
     """Packed index entries: (part, entries). An entry is a prefix shingle that is in several sets, its set, the set's size, the shingle's
-    position and the number of frequent ones in the prefix. The frequent ones make one entry for each pivot: its number, at position -1."""
+    position and the number of those in the prefix that have pivots. Frequent ones make one entry for each pivot: its number, at _STAR; those with long lists are at _LONG."""
 
     def block_entries(texts: list[str], told: dict[int, bytes]) -> np.ndarray:
         sets, part, size = [], [], 0
@@ -241,10 +239,11 @@ def prefix_index(counted: DataFrame, hot, parts: int, count_parts: int, params:
             key = set_key(own)
             pivots = np.unique(frequent.pivots[np.searchsorted(frequent.tokens, common)]) if len(common) else np.empty(0, np.int64)
             pivots = pivots[[frequent.keys[i] != key for i in pivots.tolist()]] if len(pivots) else pivots
+            long = ranks[order[place]] > min(params.longest, 254)  # by exact counts, so in all blocks alike
             entry = np.empty(len(plain) + len(pivots), dtype=ENTRY)
             entry["token"] = np.concatenate([plain, pivots.astype(np.uint64)])
-            entry["at"] = np.concatenate([place, np.full(len(pivots), -1)])
-            entry["key"], entry["n"], entry["hot"] = np.void(key), n, len(common)
+            entry["at"] = np.concatenate([np.where(long, _LONG, place), np.full(len(pivots), _STAR)])
+            entry["key"], entry["n"], entry["hot"] = np.void(key), n, len(common) + int(long.sum())
             made.append(entry)
         return np.concatenate(made) if made else np.empty(0, dtype=ENTRY)
 
@@ -263,7 +262,7 @@ def prefix_index(counted: DataFrame, hot, parts: int, count_parts: int, params:
             if not len(entries):
                 continue
             # A pivot's sets are dealt out by their own keys, so that a hot pivot's do not meet in one task.
-            spread = np.where(entries["at"] < 0, np.ascontiguousarray(entries["key"]).view("<u8").reshape(-1, 2)[:, 0], entries["token"])
+            spread = np.where(entries["at"] == _STAR, np.ascontiguousarray(entries["key"]).view("<u8").reshape(-1, 2)[:, 0], entries["token"])
             part = ((spread >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             entries, part = entries[order], part[order]
@@ -272,7 +271,7 @@ def prefix_index(counted: DataFrame, hot, parts: int, count_parts: int, params:
             packed = [b"".join(np.ascontiguousarray(entries[name][a:b]).tobytes() for name in ENTRY.names) for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["part", "entries"])
 
-    return counted.mapInArrow(task, "part int, entries binary")
+    return counted.mapInArrow(trimmed(task), "part int, entries binary")
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
@@ -285,7 +284,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return out
 
 
-PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("na", pa.int32()), ("nb", pa.int32()), ("ha", pa.int32()), ("hb", pa.int32()), ("shared", pa.int32()), ("star", pa.int32()), ("token", pa.int64())])
+PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("na", pa.int32()), ("nb", pa.int32()), ("ha", pa.int32()), ("hb", pa.int32()), ("shared", pa.int32()), ("star", pa.int32())])
 
 
 def _passing(e: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -353,11 +352,17 @@ def _pair_rows(e: np.ndarray, keys: np.ndarray, left: np.ndarray, right: np.ndar
     counts = np.diff(np.append(first, len(left))).astype(np.int32)
     left, right = left[first], right[first]
     values = [np.ascontiguousarray(x) for x in (e["n"][left], e["n"][right], e["hot"][left], e["hot"][right], counts, np.zeros(len(first), np.int32))]
-    return rows(PAIRS, [binary16(e["key"][left]), binary16(e["key"][right]), *map(pa.array, values), pa.nulls(len(first), pa.int64())])
+    return rows(PAIRS, [binary16(e["key"][left]), binary16(e["key"][right]), *map(pa.array, values)])
+
 
+def _star_rows(pivots: pa.Array, e: np.ndarray) -> pa.RecordBatch:
+    """Pairs of a pivot and a set."""
+    none = np.zeros(len(e), np.int32)
+    return rows(PAIRS, [pivots, binary16(e["key"]), *map(pa.array, (none, np.ascontiguousarray(e["n"]), none, np.ascontiguousarray(e["hot"]), none, none + np.int32(1)))])
 
-def candidate_pairs(index: DataFrame, hot, longest: int, params: JaccardParams) -> DataFrame:
-    """Pairs of sets that share prefix shingles, with how many; pairs of a pivot and a set (star = 1); the shingles whose lists are too long, with the least set."""
+
+def candidate_pairs(index: DataFrame, hot, params: JaccardParams) -> DataFrame:
+    """Pairs of sets that share prefix shingles, with how many; pairs of a pivot and a set (star = 1)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -366,36 +371,38 @@ def candidate_pairs(index: DataFrame, hot, longest: int, params: JaccardParams)
             return
         e = np.concatenate(blobs)
         del blobs
-        halves = np.ascontiguousarray(e["key"]).view("<u8").reshape(-1, 2)
-        order = np.lexsort((halves[:, 1], halves[:, 0], e["token"], e["at"] < 0))
-        e, halves = e[order], halves[order]
-        star = e["at"] < 0
+        halves = np.ascontiguousarray(e["key"]).view(">u8").reshape(-1, 2).astype(np.uint64)  # in the order of the keys
+        kind = np.minimum(e["at"], 0)
+        order = np.lexsort((halves[:, 1], halves[:, 0], e["token"], kind))
+        e, halves, kind = e[order], halves[order], kind[order]
         new = np.ones(len(e), dtype=bool)
-        new[1:] = (e["token"][1:] != e["token"][:-1]) | (star[1:] != star[:-1])
+        new[1:] = (e["token"][1:] != e["token"][:-1]) | (kind[1:] != kind[:-1])
         fresh = new.copy()  # copies of a set from other blocks go
         fresh[1:] |= (halves[1:] != halves[:-1]).any(axis=1)
-        e, new, star, halves = e[fresh], new[fresh], star[fresh], halves[fresh]
-        pivots = e[star]
+        e, new, kind, halves = e[fresh], new[fresh], kind[fresh], halves[fresh]
+        pivots = e[kind == _STAR]
         for k in range(0, len(pivots), 200_000):
             x = pivots[k : k + 200_000]
-            of, none = [hot.value.keys[i] for i in x["token"].tolist()], np.zeros(len(x), np.int32)
-            yield rows(PAIRS, [of, binary16(x["key"]), *map(pa.array, (none, np.ascontiguousarray(x["n"]), none, np.ascontiguousarray(x["hot"]), none, none + np.int32(1))), pa.nulls(len(x), pa.int64())])
-        e, new, halves = e[~star], new[~star], halves[~star]
+            yield _star_rows(pa.array([hot.value.keys[i] for i in x["token"].tolist()], pa.binary()), x)
+        here = kind == _LONG
+        if here.any():
+            x, own, first = e[here], halves[here], np.flatnonzero(new[here])
+            of = np.repeat(first, np.diff(np.append(first, len(x))))  # a list begins with its least set
+            order = np.lexsort((own[:, 1], own[:, 0], own[of, 1], own[of, 0]))  # near copies share many lists: each pair once
+            x, own, to = x[order], own[order], own[of][order]
+            of = of[order]
+            keep = (own != to).any(axis=1)
+            keep[1:] &= ((own[1:] != own[:-1]) | (to[1:] != to[:-1])).any(axis=1)
+            least = e[here][of[keep]]
+            for k in range(0, len(least), 200_000):
+                yield _star_rows(binary16(least["key"][k : k + 200_000]), x[keep][k : k + 200_000])
+        e, new, halves = e[kind == 0], new[kind == 0], halves[kind == 0]
         several = np.concatenate([~new[1:], [False]])[: len(new)] | ~new
         e, new, halves = e[several], new[several], halves[several]
-        edges = np.append(np.flatnonzero(new), len(e))
-        long = np.diff(edges) > longest
-        if long.any():
-            lists = [(a, b) for a, b in zip(edges[:-1][long].tolist(), edges[1:][long].tolist())]
-            least = [min(e["key"][k].tobytes() for k in range(a, b)) for a, b in lists]
-            none = pa.nulls(len(lists), pa.int32())
-            yield rows(PAIRS, [least, pa.nulls(len(lists), pa.binary()), *[none] * 6, pa.array(np.array([e["token"][a] for a, _ in lists], np.uint64).view(np.int64))])
-            keep = ~np.repeat(long, np.diff(edges))
-            e, halves, edges = e[keep], halves[keep], np.concatenate([[0], np.cumsum(np.diff(edges)[~long])])
-        for left, right in _pairs_of(e, edges, params.percent):
+        for left, right in _pairs_of(e, np.append(np.flatnonzero(new), len(e)), params.percent):
             yield _pair_rows(e, halves, left, right)
 
-    return index.repartition(partitions(index.sparkSession), "part").mapInArrow(task, "a binary, b binary, na int, nb int, ha int, hb int, shared int, star int, token long")
+    return index.repartition(partitions(index.sparkSession), "part").mapInArrow(trimmed(task), "a binary, b binary, na int, nb int, ha int, hb int, shared int, star int")
 
 
 def _possible(percent: int, shared):
@@ -435,7 +442,7 @@ def verify(pairs: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFra
                 overlap.append(int(_in_sorted(s, t).sum()))
             yield rows(VERIFIED, [a, b, na, nb, ha, hb, star, overlap])
 
-    return both.mapInArrow(task, "a binary, b binary, na long, nb long, ha int, hb int, star int, overlap long")
+    return both.mapInArrow(trimmed(task), "a binary, b binary, na long, nb long, ha int, hb int, star int, overlap long")
 
 
 def derived_links(verified: DataFrame, joined: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFrame:
@@ -497,22 +504,11 @@ def _links(base: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame
     ``base`` is read several times and has to give the same partitions each time; else the run fails.
     """
     spark = base.sparkSession
-    frequent, longest, parts = frequent_shingles(sets, params), params.longest, 4 * partitions(spark)
-    counted = token_counts(base, parts, params)
-    while True:
-        hot = spark.sparkContext.broadcast(frequent)
-        found = candidate_pairs(prefix_index(counted, hot, parts, parts, params), hot, longest, params)
-        found = found.groupBy("a", "b", "token").agg(*[F.first(c).alias(c) for c in ("ha", "hb")], F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("star").alias("star"))
-        pairs = materialize(found.where((F.col("star") == 1) | F.col("token").isNotNull() | _possible(params.percent, F.col("shared"))).select("a", "b", "ha", "hb", "star", "token"), "pairs")
-        late = pairs.where("token is not null").select("token", "a").limit(max(0, params.most_frequent - len(frequent.tokens)) or 1).toArrow()
-        if not late.num_rows:
-            break
-        if len(frequent.tokens) < params.most_frequent:
-            frequent = frequent.with_more(late.column(0).to_pylist(), late.column(1).to_pylist())
-        else:
-            longest *= 4
-        hot.destroy()
-    pairs = pairs.drop("token")
+    parts = 4 * partitions(spark)
+    hot = spark.sparkContext.broadcast(frequent_shingles(sets, params))
+    found = candidate_pairs(prefix_index(token_counts(base, parts, params), hot, parts, parts, params), hot, params)
+    found = found.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("ha", "hb")], F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("star").alias("star"))
+    pairs = materialize(found.where((F.col("star") == 1) | _possible(params.percent, F.col("shared"))).select("a", "b", "ha", "hb", "star"), "pairs")
     texts = _texts(base, pairs, params)
     verified = materialize(verify(pairs, texts, params), "verified")
     similar = (100 * F.col("overlap") >= params.percent * (F.col("na") + F.col("nb") - F.col("overlap"))) & (F.col("overlap") > 0)
@@ -561,7 +557,7 @@ def _texts(base: DataFrame, pairs: DataFrame, params: JaccardParams) -> DataFram
                 seen.clear()
 
     wanted = small_side(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b"))).distinct())
-    return materialize(base.mapInArrow(task, "key binary, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    return materialize(base.mapInArrow(trimmed(task), "key binary, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
 
 
 def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:

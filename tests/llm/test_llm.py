@@ -237,6 +237,16 @@ def test_jaccard_with_one_hot_family(spark, params):
     assert sorted(got) == sorted(brute_components(rows))
 
 
+def test_candidates_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    """Near copies whose shingles no worker's block finds frequent."""
+    made, write = {}, jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, tag: made.__setitem__(tag, write(df, tag)) or made[tag])
+    for n in (40, 200):
+        docs = spark.createDataFrame([(i, f"{passage(9, 60)} own{i}") for i in range(n)], "doc_id long, text string")
+        assert {r.component_id for r in jaccard.near_duplicates(docs, jaccard.JaccardParams(locally=999)).collect()} == {0}
+        assert made["pairs"].count() < 2 * n
+
+
 def test_long_lists_skip_only_what_cannot_match():
     r = np.random.default_rng(6)
     e = np.zeros(300, dtype=jaccard.ENTRY)
