@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tallyframe.llm.components import components, find_root, join_roots
-from tallyframe.llm.shared import binary16, bound_batches, grouped, materialize, partitions, release, rows, small_side
+from tallyframe.llm.shared import binary16, bound_batches, grouped, materialize, partitions, release, rows, small_side, trimmed
 from tallyframe.llm.shingles import mix, powers
 
 
@@ -189,7 +189,7 @@ def occurrences(base: DataFrame, params: LineParams) -> DataFrame:
                     seen.add(key)
             yield rows(schema, out)
 
-    return base.select("ident", "doc_id", "text").mapInArrow(task, "key binary, ident binary, doc_id long, line long, lead boolean, rare boolean")
+    return base.select("ident", "doc_id", "text").mapInArrow(trimmed(task), "key binary, ident binary, doc_id long, line long, lead boolean, rare boolean")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], params: LineParams, chars: int) -> Iterator[tuple[list[str], list[bytes]]]:
@@ -224,7 +224,7 @@ def index(base: DataFrame, parts: int, params: LineParams) -> DataFrame:
             blobs = [b"".join(np.ascontiguousarray(e[n][a:b]).tobytes() for n in ENTRY.names) for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "entries"])
 
-    return base.select("text").mapInArrow(task, "part int, entries binary")
+    return base.select("text").mapInArrow(trimmed(task), "part int, entries binary")
 
 
 FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sign", pa.int64()), ("size", pa.int64())])
@@ -286,7 +286,7 @@ def candidates(indexed: DataFrame, params: LineParams) -> DataFrame:
         if out:
             yield _pairs(halves, out)
 
-    return indexed.repartition(partitions(indexed.sparkSession), "part").mapInArrow(task, "a binary, b binary, sign long, size long")
+    return indexed.repartition(partitions(indexed.sparkSession), "part").mapInArrow(trimmed(task), "a binary, b binary, sign long, size long")
 
 
 def _pairs(halves: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -444,7 +444,7 @@ def crowded_links(members: DataFrame, texts: DataFrame, params: LineParams) -> D
         yield done()
 
     spread = told.mapInArrow(finer, "sign long, key binary, text string").repartition(partitions(members.sparkSession), "sign").sortWithinPartitions("sign")
-    return spread.mapInArrow(task, "a binary, b binary")
+    return spread.mapInArrow(trimmed(task), "a binary, b binary")
 
 
 def links(base: DataFrame, params: LineParams) -> DataFrame:
@@ -458,7 +458,7 @@ def links(base: DataFrame, params: LineParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lines, pa.string())], names=["key", "text"])
 
     wanted = small_side(found.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-    texts = base.select("text").mapInArrow(told, "key binary, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    texts = base.select("text").mapInArrow(trimmed(told), "key binary, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"])
     texts = materialize(texts, "line-texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
 
