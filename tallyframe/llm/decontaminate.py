@@ -1,13 +1,14 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 An item with an error budget of k edits is split into k + 1 pieces: in any passage within k edits, at least one piece is
-intact. An automaton of all pieces scans each text; around each hit, a word count rules out places that no edits within the
-budget can mend, and Myers' bit-parallel distance decides the rest. Short items have no budget and match whole words.
+intact. An automaton of all pieces scans each text; around each hit, grams of the item that are missing near their places rule
+out what no edits within the budget can mend, and Myers' bit-parallel distance decides the rest, once where places of an item
+overlap. Short items have no budget and match whole words.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +19,12 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.shared import bound_batches, grouped, materialize, narrow
 
-# Signs that end a word: ASCII ones and the block of general punctuation.
-_SPACED = str.maketrans({chr(c): " " for c in [*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128), 0xA0, 0xA1, 0xAB, 0xBB, 0xBF, *range(0x2000, 0x2070), 0x3000]})
+# Signs that end a word: ASCII ones, some of Latin-1, the block of general punctuation and the ideographic space, in UTF-8.
+_ASCII = {*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)}
+_SPACED = bytes(32 if c in _ASCII else c for c in range(256))
+_WIDE = re.compile(rb"\xc2[\xa0\xa1\xab\xbb\xbf]|\xe2\x80[\x80-\xbf]|\xe2\x81[\x80-\xaf]|\xe3\x80\x80")
+
+_GRAM = 4  # characters; an edit spoils one of an item's disjoint grams at most
 
 
 @dataclass(frozen=True)
@@ -32,7 +37,26 @@ class DecontaminationParams:
 
 def normalise(text: str) -> str:
     """Lower case, words apart by one space."""
-    return " ".join(text.lower().translate(_SPACED).split())
+    data = text.lower().encode("utf-8", "surrogatepass").translate(_SPACED)
+    if not data.isascii():
+        data = _WIDE.sub(b" ", data)
+    return " ".join(data.decode("utf-8", "surrogatepass").split())
+
+
+def spoiled(grams: list[tuple[int, str]], text: str, start: int, limit: int) -> int:
+    """Grams of an item, counted up to limit + 1, that ``text`` lacks within ``limit`` of their places for an item at ``start``.
+
+    Each needs an edit of its own in a passage that has a piece of the item right at its place for ``start``: up to
+    ``limit`` edits move what they leave whole by ``limit`` characters at most.
+    """
+    missing = 0
+    for at, gram in grams:
+        here = start + at
+        if here + limit < 0 or text.find(gram, max(0, here - limit), here + limit + len(gram)) < 0:
+            missing += 1
+            if missing > limit:
+                break
+    return missing
 
 
 def myers(pattern: str, text: str, limit: int) -> int:
@@ -72,7 +96,8 @@ class Matcher:
             cuts = [len(text) * i // (budget + 1) for i in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 places.setdefault(text[a:b], []).append((len(self.items), a))
-            self.items.append((item_id, text, budget, Counter(text.split()), len(text) < params.short_chars))
+            grams = [(at, text[at : at + _GRAM]) for at in range(0, len(text) - _GRAM + 1, _GRAM)] if budget else []
+            self.items.append((item_id, text, budget, grams, len(text) < params.short_chars))
         self.automaton = ahocorasick.Automaton()
         for piece, found in places.items():
             self.automaton.add_word(piece, (len(piece), found))
@@ -86,39 +111,47 @@ class Matcher:
             return {}
         text = normalise(text)
         best: dict[int, int] = {}
+        near: dict[int, list[int]] = {}
         seen: set[tuple[int, int]] = set()
         for last, (size, places) in self.automaton.iter(text):
             for k, at in places:
-                _, item, budget, words, short = self.items[k]
                 if best.get(k) == 0:
                     continue
                 start = last + 1 - size - at
                 if (k, start) in seen:
                     continue
                 seen.add((k, start))
+                _, item, budget, grams, short = self.items[k]
                 if start >= 0 and text.startswith(item, start):
                     stop = start + len(item)
                     if not short or (start == 0 or text[start - 1] == " ") and (stop == len(text) or text[stop] == " "):
                         best[k] = 0
-                    continue
-                if not budget:
-                    continue
-                window = text[max(0, start - budget) : start + len(item) + budget]
-                # An edit changes two of the item's words at most (a lost space joins two); the outer two may be joined to neighbours.
-                least = words.total() - 2 * budget - 2
-                if least > 0:
-                    here = Counter(window.split())
-                    if sum(min(n, here[w]) for w, n in words.items()) < least:
-                        continue
-                distance = myers(item, window, budget)
-                if distance <= budget and distance < best.get(k, budget + 1):
-                    best[k] = distance
+                elif budget and spoiled(grams, text, start, budget) <= budget:
+                    near.setdefault(k, []).append(start)
+        for k, starts in near.items():
+            if best.get(k) == 0:
+                continue
+            _, item, budget, _, _ = self.items[k]
+            distance = min(myers(item, text[a:b], budget) for a, b in _windows(starts, budget, len(item) + budget))
+            if distance <= budget:
+                best[k] = distance
         out: dict[int, int] = {}
         for k, d in best.items():
             out[self.items[k][0]] = min(d, out.get(self.items[k][0], d))
         return out
 
 
+def _windows(starts: list[int], before: int, after: int) -> list[tuple[int, int]]:
+    """The ranges from ``before`` ahead of each start to ``after`` behind it, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for start in sorted(starts):
+        a, b = max(0, start - before), start + after
+        if out and a < out[-1][1]:
+            a = out.pop()[0]
+        out.append((a, b))
+    return out
+
+
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, so that what is broadcast never grows with the benchmark."""
     block, size = [], 0

@@ -555,6 +555,29 @@ def test_matcher_against_all_places():
     assert 100 < caught < 399
 
 
+def test_matcher_measures_few_places(monkeypatch):
+    """A piece of an item in another text is ruled out without a distance; an edited passage is measured once."""
+    item, other = passage(77, 24), passage(3, 30)
+    budget = int(len(item) * decontaminate.DecontaminationParams().error_share)
+    cuts = [len(item) * i // (budget + 1) for i in range(budget + 2)]
+    matcher = decontaminate.Matcher([(1, item)], decontaminate.DecontaminationParams())
+    calls, plain = [], decontaminate.myers
+    monkeypatch.setattr(decontaminate, "myers", lambda *a: calls.append(a) or plain(*a))
+    for a, b in zip(cuts, cuts[1:]):
+        assert matcher.find(other + item[a:b] + other) == {}
+    assert not calls
+    edited = item[:20] + "xx" + item[20:60] + item[61:90] + "zz" + item[92:120] + item[122:]
+    assert matcher.find(f"{other} {edited} {other}") == {1: plain(item, edited, len(item))} and len(calls) == 1
+    assert matcher.find(f"{edited} {other} {edited[:70]}x{edited[70:]}") == {1: plain(item, edited, len(item))} and len(calls) == 3
+
+
+def test_normalised_text_of_every_character():
+    spaced = str.maketrans({chr(c): " " for c in [*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128), 0xA0, 0xA1, 0xAB, 0xBB, 0xBF, *range(0x2000, 0x2070), 0x3000]})
+    for n in range(0, 0x110000, 64):
+        text = "a".join(chr(c) + "B" for c in range(n, n + 64))
+        assert decontaminate.normalise(text) == " ".join(text.lower().translate(spaced).split())
+
+
 def brute_removal(rows, length):
     data = [t.encode() for _, t in rows]
     seen = {}
