@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -146,3 +147,10 @@ def normal_quantile(p: Column) -> Column:
     q = p - 0.5
     r = q * q
     return F.when(p < 0.02425, _poly(_C, low) / _poly(_D, low)).when(p > 1 - 0.02425, -_poly(_C, high) / _poly(_D, high)).otherwise(_poly(_A, r) * q / _poly(_B, r))
+
+
+def normal_quantiles(p: np.ndarray) -> np.ndarray:
+    """``normal_quantile`` of an array, for use in tasks."""
+    tail, q = np.sqrt(-2 * np.log(np.minimum(p, 1 - p))), p - 0.5
+    ends, middle = np.polyval(_C, tail) / np.polyval(_D, tail), np.polyval(_A, q * q) * q / np.polyval(_B, q * q)
+    return np.where(p < 0.02425, ends, np.where(p > 1 - 0.02425, -ends, middle))

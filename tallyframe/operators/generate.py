@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.contracts import GateError
-from tallyframe.functions.expressions import normal_quantile
+from tallyframe.functions.expressions import normal_quantiles
 from tallyframe.operators.distance import nearest
 from tallyframe.operators.preprocess import category_codes, fit_quantile_bins, quantile_bins, quantile_bins_inverse
-from tallyframe.operators.stats import by_value, co_moments, places, rho, running_sums
+from tallyframe.operators.stats import average_ranks, co_moments, places, rho, running_sums, value_places
 from tallyframe.sources.working import working
 
 
@@ -199,6 +200,7 @@ def shuffled_columns(df: DataFrame, key: str, columns: list[str], seed: int, lev
 
 
 SPAN = 128  # ranks of a stretch, within which values and draws are matched
+PIECE = 50_000  # scores that a task sorts at once
 
 
 def spans(places: DataFrame) -> DataFrame:
@@ -301,66 +303,109 @@ class RankGenerator(Generator):
         for c in self.categorical:
             self.codes[c] = category_codes(coded, c)
             coded = coded.join(F.broadcast(self.codes[c]), F.col(c) == F.col("category")).drop("category", c).withColumnRenamed("code", c)  # declared categories
-        coded = working(coded.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(self.names)]), "coded")
-        long = coded.select(F.posexplode(F.array(*coded.columns)).alias("c", "v")).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-        self.places = working(running_sums(long, ["c"], "v", ["n"]).select("c", "v", (F.col("upto_n") - F.col("n")).alias("start"), F.col("upto_n").alias("stop"), "n", F.col("all_n").alias("rows")), "places")
-        self.rows = coded.count()
-        ranked = coded
-        for i in range(len(self.names)):
-            of = self.places.where(F.col("c") == i).select(F.col("v").alias(f"_k_v{i}"), F.col("n").alias("_n"), ((F.col("start") + F.col("stop") + 1) / 2).alias(f"r{i}"))
-            ranked = by_value(ranked, of, [f"v{i}"], "_n").drop("_n")
-        self.spearman = _matrix(ranked, [f"r{i}" for i in range(len(self.names))])
+        self.values = [f"v{i}" for i in range(len(self.names))]
+        coded = working(coded.select(F.monotonically_increasing_id().alias("id"), *[F.col(c).cast("double").alias(v) for v, c in zip(self.values, self.names)]), "coded")
+        self.places, self.rows = value_places(coded, self.values), coded.count()
+        self.spearman = _matrix(average_ranks(coded, "id", self.values, self.places), len(self.names), self.rows)
         return self
 
-    def _drawn(self, rows: int, seed: int, latent: np.ndarray) -> DataFrame:
-        """(row_id, v0.., r0..): values and their average ranks in the train table."""
-        d = len(self.names)
+    def _drawn(self, rows: int, seed: int, latent: np.ndarray, what: str) -> DataFrame:
+        """(row_id, v0.. or r0..): values, or their average ranks in the train table.
+
+        Scores are cut into pieces of like size, since their distribution is known; a piece is sorted in a task, and the rows
+        of those before it are added. Values go to the pieces whose ranks they reach into.
+        """
+        d, all_rows, pieces = len(self.names), self.rows, max(1, rows // PIECE)
         values, vectors = np.linalg.eigh(latent)
         near = (vectors * np.maximum(values, 1e-6)) @ vectors.T  # the nearest matrix that is one of correlations
         mixed = np.linalg.cholesky(near / np.sqrt(np.outer(np.diag(near), np.diag(near))))
-        ids = self.places.sparkSession.range(rows).withColumnRenamed("id", "row_id")
-        z = ids.withColumns({f"z{j}": normal_quantile(uniform(seed, F.lit(j), F.col("row_id")) + F.lit(2.0**-54)) for j in range(d)})
-        scores = [sum((F.col(f"z{j}") * F.lit(float(mixed[i, j])) for j in range(d)), F.lit(0.0)) for i in range(d)]
-        long = z.select("row_id", F.posexplode(F.array(*scores)).alias("c", "y")).withColumn("n", F.lit(1))
-        at = running_sums(long, ["c"], "y", ["n"]).select("row_id", "c", F.floor((F.col("upto_n") - 1) * F.lit(self.rows) / F.lit(rows)).alias("at"))
-        at = at.withColumn("span", F.floor(F.col("at") / SPAN))
-        met = at.join(spans(self.places.select("c", "v", "start", "stop")), ["c", "span"]).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("stop")))
-        pick = lambda i, what: F.max(F.when(F.col("c") == i, what))
-        return met.groupBy("row_id").agg(*[pick(i, F.col("v")).alias(f"v{i}") for i in range(d)], *[pick(i, (F.col("start") + F.col("stop") + 1) / 2).alias(f"r{i}") for i in range(d)])
+        ids = self.places.sparkSession.range(rows)
+        chances = ids.select(F.col("id").alias("row_id"), *[(uniform(seed, F.lit(j), F.col("id")) + F.lit(2.0**-54)).alias(f"u{j}") for j in range(d)])
+
+        def scored(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            """(column x row) scores and their pieces, by a curve near the normal distribution."""
+            y = mixed @ normal_quantiles(np.stack([batch.column(f"u{j}").to_numpy() for j in range(d)]))
+            return y, np.minimum(np.floor(pieces / (1 + np.exp(-1.702 * y))), pieces - 1).astype(np.int32)
+
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """How many scores each piece has."""
+            n = np.zeros((d, pieces), dtype=np.int64)
+            for batch in batches:
+                for c, piece in enumerate(scored(batch)[1]):
+                    n[c] += np.bincount(piece, minlength=pieces)
+            c, piece = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(piece, pa.int32()), pa.array(n[c, piece])], names=["c", "piece", "n"])
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row = batch.column("row_id")
+                for c, (y, piece) in enumerate(zip(*scored(batch))):
+                    yield pa.RecordBatch.from_arrays([row, pa.array(np.full(len(y), c), pa.int32()), pa.array(y), pa.array(piece)], names=["row_id", "c", "y", "piece"])
+
+        long = chances.mapInArrow(spread, "row_id long, c int, y double, piece int")
+        sizes = np.zeros((d, pieces), dtype=np.int64)
+        for x in chances.mapInArrow(tell, "c int, piece int, n long").groupBy("c", "piece").agg(F.sum("n").alias("n")).collect():  # a small row per piece
+            sizes[x.c, x.piece] = x.n
+        first = np.cumsum(sizes, axis=1) - sizes
+
+        def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Values for each piece that they reach into."""
+            for batch in batches:
+                column, start, stop, v = (batch.column(k).to_numpy() for k in ("c", "start", "stop", "v"))
+                for c in np.unique(column).tolist():
+                    there, own = np.flatnonzero(sizes[c]), np.flatnonzero(column == c)
+                    least, most = first[c, there] * all_rows // rows, (first[c, there] + sizes[c, there] - 1) * all_rows // rows
+                    low, high = np.searchsorted(most, start[own]), np.searchsorted(least, stop[own] - 1, side="right")
+                    times = np.maximum(high - low, 0)
+                    row = np.repeat(own, times)
+                    at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(row))
+                    x = v[row] if what == "v" else (start[row] + stop[row] + 1) / 2
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), c), pa.int32()), pa.array(there[at], pa.int32()), pa.array(start[row]), pa.array(x, pa.float64())], names=["c", "piece", "start", "x"])
+
+        def deal(scores: pa.Table, held: pa.Table) -> pa.Table:
+            """The values of a piece, by the order of its scores."""
+            y, row, start, x = scores["y"].to_numpy(), scores["row_id"].to_numpy(), held["start"].to_numpy(), held["x"].to_numpy()
+            if not len(y) or not len(start):
+                return pa.table({"row_id": pa.array([], pa.int64()), "c": pa.array([], pa.int32()), "x": pa.array([], pa.float64())})
+            c, order, by = scores["c"][0].as_py(), np.lexsort((row, y)), np.argsort(start)
+            at = (first[c, scores["piece"][0].as_py()] + np.arange(len(y))) * all_rows // rows
+            return pa.table({"row_id": row[order], "c": pa.array(np.full(len(y), c), pa.int32()), "x": x[by][np.searchsorted(start[by], at, side="right") - 1]})
+
+        held = self.places.select("c", "start", "stop", "v").mapInArrow(reach, "c int, piece int, start long, x double")
+        met = long.groupBy("c", "piece").cogroup(held.groupBy("c", "piece")).applyInArrow(deal, "row_id long, c int, x double")
+        return met.groupBy("row_id").agg(*[F.max(F.when(F.col("c") == i, F.col("x"))).alias(f"{what}{i}") for i in range(d)])
 
     def sample(self, rows: int, seed: int) -> DataFrame:
         latent = 2 * np.sin(np.pi / 6 * self.spearman)
         for _ in range(self.rounds):
-            made = _matrix(working(self._drawn(rows, seed, latent), "drawn"), [f"r{i}" for i in range(len(self.names))])
+            made = _matrix(self._drawn(rows, seed, latent, "r"), len(self.names), self.rows)
             latent = np.clip(latent + 2 * np.sin(np.pi / 6 * self.spearman) - 2 * np.sin(np.pi / 6 * made), -0.9999, 0.9999)
             np.fill_diagonal(latent, 1.0)
-        out = self._drawn(rows, seed, latent)
-        for i, c in enumerate(self.names):
+        out = self._drawn(rows, seed, latent, "v")
+        for v, c in zip(self.values, self.names):
             if c in self.codes:
-                out = out.join(F.broadcast(self.codes[c].select(F.col("category").alias(c), F.col("code").alias("_code"))), F.col(f"v{i}") == F.col("_code")).drop("_code")
+                out = out.join(F.broadcast(self.codes[c].select(F.col("category").alias(c), F.col("code").alias("_code"))), F.col(v) == F.col("_code")).drop("_code")
             else:
-                out = out.withColumn(c, F.col(f"v{i}"))
+                out = out.withColumn(c, F.col(v))
         return out.select("row_id", *self.names)
 
 
-def _matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Correlations of all pairs, 0 where a column is constant: a small matrix."""
-    out = np.eye(len(columns))
-    for r in co_moments(df, columns).select("i", "j", rho().alias("rho")).collect():
+def _matrix(df: DataFrame, columns: int, rows: int) -> np.ndarray:
+    """Correlations of all pairs of the ranks r0.. among ``rows`` rows, 0 where a column is constant: a small matrix."""
+    out = np.eye(columns)
+    for r in co_moments(df, [f"r{i}" for i in range(columns)], about=(rows + 1) / 2).select("i", "j", rho().alias("rho")).collect():
         out[r.i, r.j] = out[r.j, r.i] = r.rho or 0.0
     return out
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """(left_column, right_column, rho): rank correlations of all pairs of numeric columns over rows without missing values, ties by average ranks."""
-    coded = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).dropna()
-    counts = coded.select(F.posexplode(F.array(*coded.columns)).alias("c", "v")).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    places = working(running_sums(counts, ["c"], "v", ["n"]), "places")
-    for i in range(len(columns)):
-        of = places.where(F.col("c") == i).select(F.col("v").alias(f"_k_v{i}"), F.col("n").alias("_n"), (F.col("upto_n") - (F.col("n") - 1) / 2).alias(f"r{i}"))
-        coded = by_value(coded, of, [f"v{i}"], "_n").drop("_n")
+    values = [f"v{i}" for i in range(len(columns))]
+    coded = working(df.select(*[F.col(c).cast("double").alias(v) for v, c in zip(values, columns)]).dropna().select(F.monotonically_increasing_id().alias("id"), *values), "coded")
+    ranked = average_ranks(coded, "id", values, value_places(coded, values))
     names = F.array(*[F.lit(c) for c in columns])
-    return co_moments(coded, [f"r{i}" for i in range(len(columns))]).select(F.get(names, "i").alias("left_column"), F.get(names, "j").alias("right_column"), rho().alias("rho"))
+    moments = co_moments(ranked, [f"r{i}" for i in range(len(columns))], about=(coded.count() + 1) / 2)
+    return moments.select(F.get(names, "i").alias("left_column"), F.get(names, "j").alias("right_column"), rho().alias("rho"))
 
 
 #: Generators by name.

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,14 +141,70 @@ def places(df: DataFrame, group: list[str], value: Column, tie: list[str], name:
     return both.withColumn(name, F.col("_start") + F.col("_in")).drop("_v", "_h", "_n", "_start", "_in")
 
 
-def co_moments(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+def value_places(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(c, v, start, stop, n, rows): of each value of column c (a number, none missing) the places that its ``n`` rows take from
+    ``start`` on among all rows, in the order of values.
+
+    Values are counted, then sorted by range; sums run within a partition, and those of the partitions before are added.
+    """
+    counts = df.select(F.posexplode(F.array(*columns)).alias("c", "v")).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+
+    def upto(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, before = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, n = batch.column("c").to_numpy(), batch.column("n").to_numpy()
+            begins = np.append(0, np.flatnonzero(np.diff(c)) + 1)
+            start = np.cumsum(n) - n
+            start -= np.repeat(start[begins], np.diff(np.append(begins, len(c))))
+            if c[0] == last:
+                start[c == last] += before
+            last, before = c[-1], start[-1] + n[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start), pa.array(np.full(len(c), part, np.int32))], names=["c", "v", "n", "start", "part"])
+
+    placed = working(counts.repartitionByRange("c", "v").sortWithinPartitions("c", "v").mapInArrow(upto, "c int, v double, n long, start long, part int"), "places")
+    within = Window.partitionBy("c")  # a row per partition
+    totals = placed.groupBy("c", "part").agg(F.sum("n").alias("_n"))
+    totals = working(totals.select("c", "part", F.coalesce(F.sum("_n").over(within.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(within).alias("rows")), "totals")
+    return placed.join(F.broadcast(totals), ["c", "part"]).select("c", "v", (F.col("start") + F.col("_before")).alias("start"), (F.col("start") + F.col("_before") + F.col("n")).alias("stop"), "n", "rows")
+
+
+def average_ranks(df: DataFrame, key: str, columns: list[str], placed: DataFrame) -> DataFrame:
+    """``df`` with r0.., the ranks of its columns' values by ``value_places``, ties by average ranks.
+
+    Frequent values' ranks are broadcast. Where a column has others too, rows of frequent ones are dealt by ``key``, so none
+    meet in one task.
+    """
+    frequent = F.col("n") * 1000 > F.col("rows")
+    found = {x.c: x for x in placed.groupBy("c").agg(F.count_if(frequent).alias("hot"), F.count_if(~frequent).alias("cold")).collect()}
+    for i, c in enumerate(columns):
+        if i not in found:
+            df = df.withColumn(f"r{i}", F.lit(None).cast("double"))
+            continue
+        of = placed.where(F.col("c") == i)
+        hot, cold = (of.where(x).select(F.col("v").alias(f"_k{k}"), ((F.col("start") + F.col("stop") + 1) / 2).alias(f"_r{k}")) for k, x in enumerate((frequent, ~frequent)))
+        met = []
+        if found[i].hot:
+            df, met = df.join(F.broadcast(hot), F.col(c) == F.col("_k0"), "left").drop("_k0"), ["_r0"]
+        if found[i].cold:
+            same = F.col(c) == F.col("_k1")
+            if met:  # the rows that have a rank already
+                df = df.withColumn("_deal", F.when(F.col("_r0").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(key), F.lit(1 << 20)).cast("int")))
+                cold, same = cold.withColumn("_cold", F.lit(0)), (F.when(F.col("_deal") == 0, F.col(c)).otherwise(0.0) == F.col("_k1")) & (F.col("_deal") == F.col("_cold"))
+            df, met = df.join(cold, same, "left").drop("_k1", "_deal", "_cold"), [*met, "_r1"]
+        df = df.withColumn(f"r{i}", F.coalesce(*met)).drop("_r0", "_r1")
+    return df
+
+
+def co_moments(df: DataFrame, columns: list[str], by: str | None = None, about: float | None = None) -> DataFrame:
     """(by, i, j, n, x, y, xx, yy, xy): over the rows where columns i and j (i < j) are both present, their number, sums, sums of
-    squares and of products, relative to the columns' overall means.
+    squares and of products, relative to the columns' overall means, or to ``about``, which saves a pass where they are known.
 
     Each task sums whole matrices of its rows; the sums of tasks are added by pair. So the plan does not grow with the pairs.
     """
     value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
-    means = df.agg(*[F.avg(value(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    means = [about] * len(columns) if about is not None else df.agg(*[F.avg(value(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     plain = df.select((F.col(by).cast("string") if by else F.lit("")).alias("by"), *[(value(c) - F.lit(float(means[i] or 0.0))).alias(f"v{i}") for i, c in enumerate(columns)])
     i, j = np.triu_indices(len(columns), 1)
     names = ("n", "x", "y", "xx", "yy", "xy")

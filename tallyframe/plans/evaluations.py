@@ -15,6 +15,7 @@ from tallyframe.operators import audit, boosted, distance, estimators, generate,
 from tallyframe.plans import bundle, evaluate
 from tallyframe.plans.registry import _KS_BODY, _TV_BODY, CONSTRAINTS, _contingency_sql, r6, registered, table
 from tallyframe.sources import tables
+from tallyframe.sources.working import working
 
 COLUMNS = (ColumnSpec("l_quantity", "continuous"), ColumnSpec("l_extendedprice", "continuous"), ColumnSpec("l_returnflag", "categorical"), ColumnSpec("l_linestatus", "categorical"), ColumnSpec("l_partkey", "string"))
 PROFILE = Profile("lineitem", COLUMNS)
@@ -712,12 +713,13 @@ _RANKS = "r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OV
 def h_rank_generator(spark, d):
     """As many rows as the table: each rank correlation within 0.02 of the table's, and every value as often as there."""
     train = _related(table(spark, d, "lineitem")).select("l_quantity", "l_extendedprice", "l_returnflag")
-    made = generate.RankGenerator(["l_quantity", "l_extendedprice"], ["l_returnflag"]).fit(train).sample(train.count(), 3)
+    made = working(generate.RankGenerator(["l_quantity", "l_extendedprice"], ["l_returnflag"]).fit(train).sample(train.count(), 3), "made")
     coded = lambda df: df.withColumn("l_returnflag", F.ascii("l_returnflag"))
     told = lambda df, name: generate.spearman(coded(df), ["l_quantity", "l_extendedprice", "l_returnflag"]).select(F.concat_ws("--", "left_column", "right_column").alias("name"), F.col("rho").alias(name))
     pairs = told(train, "told").join(told(made, "made"), "name").select("name", r6("told", "told"), (F.abs(F.col("made") - F.col("told")) < 0.02).alias("kept"))
     names = lambda c: F.concat_ws(" ", F.lit(c), F.when(F.lit(c == "l_quantity"), F.col(c).cast("double").cast("long").cast("string")).otherwise(F.col(c).cast("string")))
-    values = lambda df, n: df.select(F.explode(F.array(names("l_returnflag"), names("l_quantity"))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias(n))
+    counted = lambda df, c: df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).select(names(c).alias("name"), "n")
+    values = lambda df, n: counted(df, "l_returnflag").unionByName(counted(df, "l_quantity")).groupBy("name").agg(F.sum("n").alias(n))
     both = values(train, "told").join(values(made, "made"), "name", "full").select("name", F.col("told").cast("double").alias("told"), F.coalesce(F.col("told") == F.col("made"), F.lit(False)).alias("kept"))
     return pairs.unionByName(both)
 

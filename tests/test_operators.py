@@ -519,6 +519,35 @@ def test_rank_generator_keeps_ranks_and_marginals(spark, rows):
             assert sorted(again[c]) == sorted(train[c])[::3]
 
 
+def test_rank_generator_reads_its_table_a_few_times(spark, monkeypatch):
+    """Each table is evaluated twice at most, not once more for each value join; frequent and rare values, several pieces of scores."""
+    monkeypatch.setattr(generate, "PIECE", 300)
+    r = np.random.default_rng(6)
+    a = r.normal(size=2500)
+    train = pd.DataFrame({"a": np.where(r.random(2500) < 0.4, 0.0, np.round(a, 2)), "b": a + r.normal(size=2500), "c": r.integers(0, 3, 2500).astype(float), "d": np.full(2500, 7.0), "g": np.where(a > 0, "y", "n")})
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(train).mapInArrow(tell, "a double, b double, c double, d double, g string")
+    got = {(x.left_column, x.right_column): x.rho for x in generate.spearman(df, ["a", "b", "c", "d"]).collect()}
+    assert seen.value <= 2 * len(train)
+    want = train[["a", "b", "c"]].rank().corr()
+    assert len(got) == 6 and all(v is None if "d" in k else math.isclose(v, want.loc[k], abs_tol=1e-9) for k, v in got.items())
+    seen.value = 0
+    made = generate.RankGenerator(["a", "b", "c"], ["g"]).fit(df)
+    assert seen.value <= 2 * len(train)
+    for rows in (2500, 4001):
+        out = made.sample(rows, 3).toPandas()
+        assert sorted(out.row_id) == list(range(rows))
+        for c in ("a", "b", "c", "g"):
+            assert sorted(out[c]) == [sorted(train[c])[i * 2500 // rows] for i in range(rows)]
+        assert np.abs(out[["a", "b", "c"]].rank().corr() - want).max().max() < 0.03
+
+
 def test_independent_draws_follow_the_frequencies(spark):
     r = np.random.default_rng(15)
     df = spark.createDataFrame([(float(v), "a" if v < 0.9 else "b", None if i % 10 == 0 else i % 3) for i, v in enumerate(r.random(2000))], "x double, g string, k long")
