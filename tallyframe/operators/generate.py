@@ -15,7 +15,7 @@ from tallyframe.contracts import GateError
 from tallyframe.functions.expressions import normal_quantiles
 from tallyframe.operators.distance import nearest
 from tallyframe.operators.preprocess import category_codes, fit_quantile_bins, quantile_bins, quantile_bins_inverse
-from tallyframe.operators.stats import average_ranks, co_moments, places, rho, running_sums, value_places
+from tallyframe.operators.stats import at_places, average_ranks, co_moments, places, rho, running_sums, value_places
 from tallyframe.sources.working import working
 
 
@@ -180,22 +180,30 @@ def topped_up(counts: dict[str, int]) -> dict[str, int]:
 def shuffled_columns(df: DataFrame, key: str, columns: list[str], seed: int, levels: int = 30) -> DataFrame:
     """Each column's values dealt anew among the rows of one level of the first column, so that marginals stay exactly and dependence on it roughly.
 
-    Rows are cut into ``levels`` ranges of the lead column's ranks; within a range the values of each further column follow
-    a seeded order. Rows and values are matched by exact ranks from running sums: every value is used once.
+    Rows are cut into ``levels`` ranges of the lead column's ranks, those without a value apart; within a range the values of
+    each further column follow a seeded order. Rows and values are matched by exact ranks: every value is used once. The order
+    is that of a hash, whose first byte cuts a level into pieces of like size; pieces are sorted and those before are counted.
     """
     lead = columns[0]
-    counts = df.groupBy(F.col(lead).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("n"))
-    level = running_sums(counts, [], "_v", ["n"]).select("_v", F.floor((F.col("upto_n") - F.col("n")) * levels / F.col("all_n")).cast("int").alias("_level"))
-    out = df.select(key, *columns).join(level, F.col(lead).cast("double") == F.col("_v")).drop("_v")
-
-    def placed(rows: DataFrame, order: Column) -> DataFrame:
-        """Rows with their rank by ``order`` within the level."""
-        return places(rows, ["_level"], order, [key], "_rank").drop("_rank_of")
-
-    base = placed(out.select(key, "_level", lead), F.xxhash64(F.lit(seed), F.lit("rows"), key))
-    for c in columns[1:]:
-        dealt = placed(out.select(key, "_level", c), F.xxhash64(F.lit(seed), F.lit(c), key)).select("_level", "_rank", c)
-        base = base.join(dealt, ["_level", "_rank"])
+    ends = at_places(df, lead, lambda n: [-(-k * n // levels) - 1 for k in range(1, levels)])
+    above = sum(((F.col(lead).cast("double") > F.lit(x)).cast("int") for x in ends), F.lit(0))
+    order = {c: F.xxhash64(F.lit(seed), F.lit("rows" if c == lead else c), key) for c in columns}
+    piece = lambda c: F.shiftrightunsigned(order[c], 56).cast("int")
+    held = df.select(key, *columns).withColumn("_level", F.coalesce(above, F.lit(-1)))
+    sizes = held.select("_level", F.posexplode(F.array(*[piece(c) for c in columns])).alias("_c", "_piece")).groupBy("_level", "_c", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_level", "_c").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row per piece
+    sizes = working(sizes.select("_level", "_c", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")), "sizes")
+
+    def placed(i: int, c: str) -> DataFrame:
+        """Rows with their rank by the column's order within the level."""
+        rows = held.select(key, "_level", c).withColumns({"_order": order[c], "_piece": piece(c)})
+        rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy("_level", "_piece").orderBy("_order", key, c)) - 1)
+        first = sizes.where(F.col("_c") == i).select("_level", "_piece", "_first")
+        return rows.join(F.broadcast(first), ["_level", "_piece"]).withColumn("_rank", F.col("_first") + F.col("_in"))
+
+    base = placed(0, lead).select(key, "_level", "_rank", lead)
+    for i, c in enumerate(columns[1:], 1):
+        base = base.join(placed(i, c).select("_level", "_rank", c), ["_level", "_rank"])
     return base.select(key, *columns)
 
 

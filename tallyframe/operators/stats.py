@@ -7,7 +7,7 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +83,47 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]
     return out.select(*keys, *[(F.col(f"_l_{k}") + (F.col(f"_h_{k}") - F.col(f"_l_{k}")) * F.col(f"_p_{k}")).alias(k) for k in shares])
 
 
+def at_places(df: DataFrame, value: str, wanted: Callable[[int], list[int]], pieces: int = 256) -> list[float]:
+    """The present values at the places that ``wanted`` asks of their number, from 0 in the order of values.
+
+    Approximate split points cut the values into pieces, which are counted; only those that hold a wanted place are sorted. The
+    table is not shuffled.
+    """
+    held = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    one = held.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 1000).alias("cuts")).first()
+    places = wanted(one.n) if one.n else []
+    if not places:
+        return []
+    cuts = np.unique(one.cuts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(cuts) + 1, dtype=np.int64)
+        for batch in batches:
+            n += np.bincount(np.searchsorted(cuts, batch.column("v").to_numpy()), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)), pa.int32()), pa.array(n)], names=["piece", "n"])
+
+    sizes = dict(held.mapInArrow(count, "piece int, n long").groupBy("piece").agg(F.sum("n")).collect())  # a small row per piece
+    upto = np.cumsum([sizes[k] for k in range(len(cuts) + 1)])
+    within = np.searchsorted(upto, places, side="right")
+    open_pieces = np.unique(within)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v").to_numpy()
+            piece = np.searchsorted(cuts, v)
+            there = np.isin(piece, open_pieces)
+            yield pa.RecordBatch.from_arrays([pa.array(piece[there], pa.int32()), pa.array(v[there])], names=["piece", "v"])
+
+    counts = held.mapInArrow(keep, "piece int, v double").groupBy("piece", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("last", F.sum("n").over(Window.partitionBy("piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    met = F.lit(False)
+    for piece in open_pieces:
+        inside = [int(k - (upto[piece - 1] if piece else 0)) for k, x in zip(places, within) if x == piece]
+        met = met | ((F.col("piece") == int(piece)) & F.exists(F.array(*[F.lit(x) for x in inside]), lambda x: (x <= F.col("last")) & (x > F.col("last") - F.col("n"))))
+    found = [(x.piece, x.last, x.v) for x in counts.where(met).collect()]  # a row per wanted place at most
+    return [min((last, v) for p, last, v in found if p == piece and last >= k - (upto[piece - 1] if piece else 0))[1] for k, piece in zip(places, within)]
+
+
 def ranked(counts: DataFrame, order: list[Column | str], *, name: str = "rank") -> DataFrame:
     """A small table (one row per category) numbered from 0 in ``order``. Its size is that of the categories, not of the rows."""
     return counts.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)

@@ -702,8 +702,9 @@ def h_shuffled_columns(spark, d):
     """The generator keeps every column's values exactly; only how they meet changes."""
     t = table(spark, d, "lineitem").withColumn("row_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
     out = generate.shuffled_columns(t, "row_key", ["l_extendedprice", "l_returnflag", "l_quantity"], 3)
-    long = out.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in ("l_returnflag", "l_quantity")])).alias("x")).select("x.*")
-    return long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
+    met = out.groupBy("l_returnflag", "l_quantity").agg(F.count(F.lit(1)).alias("n"))
+    long = met.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in ("l_returnflag", "l_quantity")])).alias("x")).select("x.*", "n")
+    return long.groupBy("name", "v").agg(F.sum("n").alias("n"))
 
 
 _RANKS = "r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r{i}" for i, c in enumerate(("l_quantity", "l_extendedprice", "l_returnflag"))) + f" FROM ({_RELATED}))"

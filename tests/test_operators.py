@@ -583,6 +583,30 @@ def test_generators_keep_their_promises(spark):
     assert generate.topped_up({"a": 5, "b": 2}) == {"a": 0, "b": 3}
 
 
+def test_shuffled_columns_deal_within_levels(spark):
+    """Values stay within their level, levels follow exact ranks, and rows without a lead value are dealt among themselves; keys may repeat."""
+    r = np.random.default_rng(8)
+    lead = [None if i % 11 == 0 else 0.0 if i % 3 == 0 else float(np.round(v, 1)) for i, v in enumerate(r.normal(size=900))]
+    rows = [(f"k{i // 2}", v, f"b{i}", i) for i, v in enumerate(lead)]
+    got = generate.shuffled_columns(spark.createDataFrame(rows, "k string, x double, b string, n long"), "k", ["x", "b", "n"], 4, levels=7).collect()
+    there = np.sort([v for v in lead if v is not None])
+    level = lambda v: -1 if v is None else int(np.searchsorted(there, v)) * 7 // len(there)
+    assert sorted((x.k, str(x.x)) for x in got) == sorted((k, str(v)) for k, v, _, _ in rows)
+    assert sorted((level(x.x), x.b) for x in got) == sorted((level(v), b) for _, v, b, _ in rows)
+    assert sorted((level(x.x), x.n) for x in got) == sorted((level(v), n) for _, v, _, n in rows)
+    assert sum(x.b == f"b{x.n}" for x in got) < 60
+
+
+@pytest.mark.parametrize("pieces", [4, 256])
+def test_values_at_places(spark, pieces):
+    r = np.random.default_rng(9)
+    v = np.where(r.random(3000) < 0.3, -0.5, np.round(r.normal(size=3000), 2)).tolist()
+    df = spark.createDataFrame([(x,) for x in [*v, None, float("inf")]], "v double")
+    asked = [0, 1, 700, 701, 1500, 2999, 3000]
+    assert stats.at_places(df, "v", lambda n: asked if n == 3001 else [], pieces) == [sorted([*v, math.inf])[k] for k in asked]
+    assert stats.at_places(df.where("v > 1e9 and v < 1e10"), "v", lambda n: asked) == []
+
+
 def test_bundle_verifier_recomputes(spark):
     df = spark.createDataFrame([(float(i), float(2 * i + i % 3), "abc"[i % 3]) for i in range(90)], "x double, y double, g string")
     profile = Profile("p", (ColumnSpec("x", "continuous"), ColumnSpec("y", "continuous"), ColumnSpec("g", "categorical")))
