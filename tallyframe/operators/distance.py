@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +42,50 @@ def _closest(space: Space, mine: Points, theirs: Points, count: int, skip_equal_
     return best, rows
 
 
+def _within(space: Space, mine: Points, theirs: Points, count: int, skip_equal_key: bool, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_closest`` up to a bound for each row, by small stretches of ``theirs``: a row meets those whose boxes come as near as its bound,
+    which falls with what is found. Of rows as near, the least key comes first."""
+    best, rows, kth = np.full((len(mine), count), np.inf), np.zeros((len(mine), count), dtype=np.int64), bound.copy()
+    if not len(theirs) or not len(mine):
+        return best, rows
+    by_key = compute.sort_indices(theirs.keys).to_numpy().astype(np.int64)
+    place = np.empty(len(theirs), dtype=np.int64)
+    place[by_key] = np.arange(len(theirs))
+    starts = np.arange(0, len(theirs), metric.SMALL)
+    low, high = np.minimum.reduceat(theirs.numbers, starts), np.maximum.reduceat(theirs.numbers, starts)
+    gaps = np.vstack([space.gaps(x.numbers[:, None], x.numbers[:, None], low[None], high[None]) for x in metric.slices(mine, len(starts))])
+    parts = [s + np.argsort(place[s : s + metric.SMALL]) for s in starts]
+    held = [theirs.at(x) for x in parts]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def meet(k: int, who: np.ndarray) -> None:
+        d, r = _closest(space, mine.at(who), held[k], count, skip_equal_key)
+        kth[who] = np.minimum(kth[who], d[:, -1])
+        row, at = np.nonzero(np.isfinite(d) & (d <= kth[who][:, None]))
+        found.append((who[row], d[row, at], place[parts[k][r[row, at]]]))
+
+    if np.isinf(kth).any():  # the nearest stretch first
+        first = np.where(np.isinf(kth), gaps.argmin(axis=1), -1)
+        for k in range(len(parts)):
+            if len(who := np.flatnonzero(first == k)):
+                meet(k, who)
+                gaps[who, k] = np.inf
+    for k in range(len(parts)):
+        if len(who := np.flatnonzero((gaps[:, k] <= kth) & np.isfinite(gaps[:, k]))):
+            meet(k, who)
+    if found:
+        who, d, at = (np.concatenate(x) for x in zip(*found))
+        left = np.flatnonzero(d <= kth[who])
+        left = left[np.lexsort((at[left], d[left], who[left]))]
+        who, d, at = who[left], d[left], at[left]
+        nth = np.arange(len(who)) - np.searchsorted(who, who)
+        kept = nth < count
+        best[who[kept], nth[kept]], rows[who[kept], nth[kept]] = d[kept], by_key[at[kept]]
+    return best, rows
+
+
 def _by_key(p: Points) -> Points:
-    return p.at(pa.compute.sort_indices(p.keys).to_numpy())
+    return p.at(compute.sort_indices(p.keys).to_numpy())
 
 
 def _found(best: np.ndarray, rows: np.ndarray, keys: pa.Array) -> pa.Array:
@@ -62,6 +105,9 @@ def _beside(mine: DataFrame, theirs: DataFrame) -> DataFrame:
 def index(candidate: DataFrame, reference: DataFrame, space: Space, block: int, **reach) -> tuple[DataFrame, DataFrame, Points]:
     """Blocks of both sides, given as ``metric.features``, over the same pivots of the reference, and the pivots."""
     rows = reference.count()
+    if space.boxed:
+        pivots, tree = metric.choose(reference, space, metric.BOUND_PIVOTS), metric.grow(reference, space, rows, block)
+        return metric.blocks(candidate, space, pivots, block, "candidate", tree=tree, **reach), metric.blocks(reference, space, pivots, block, "reference", tree=tree), pivots
     pivots = metric.choose(reference, space, min(metric.MOST_PIVOTS, max(8, int(rows**0.5) // 4)))
     return metric.blocks(candidate, space, pivots, block, "candidate", **reach), metric.blocks(reference, space, pivots, block, "reference"), pivots
 
@@ -90,8 +136,12 @@ def nearest(candidate: DataFrame, reference: DataFrame, key: str, numeric: list[
         for batch in batches:
             for x, a, *others in zip(*(batch.column(c) for c in ("x", "mine", "before", "after"))):
                 own = pickle.loads(a.as_py())
-                p = _by_key(metric.joined([pickle.loads(b.as_py()) for b in others if b.is_valid] or [own.at(slice(0, 0))]))
-                best, rows = _closest(space, own, p, neighbours, skip_equal_key)
+                p = metric.joined([pickle.loads(b.as_py()) for b in others if b.is_valid] or [own.at(slice(0, 0))])
+                if space.boxed:
+                    best, rows = _within(space, own, p, neighbours, skip_equal_key, np.full(len(own), np.inf))
+                else:
+                    p = _by_key(p)
+                    best, rows = _closest(space, own, p, neighbours, skip_equal_key)
                 found, whole = _found(best, rows, p.keys), pa.array([0, len(own)], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([x.as_py()]), pa.array([[float(best[rows, -1].max()) for rows in metric.leaf_rows(len(own))]]), pa.array([best[:, -1].tobytes()]), pa.ListArray.from_arrays(whole, own.keys), pa.ListArray.from_arrays(whole, found)], names=["x", "most", "bounds", "keys", "found"])
 
@@ -100,28 +150,40 @@ def nearest(candidate: DataFrame, reference: DataFrame, key: str, numeric: list[
         for batch in batches:
             for a, u, lo, hi, b in zip(*(batch.column(c) for c in ("mine", "bounds", "lo", "hi", "theirs"))):
                 own, bound = pickle.loads(a.as_py()), np.frombuffer(u.as_py())
+                if space.boxed:
+                    p = pickle.loads(b.as_py())
+                    left = np.flatnonzero(space.gaps(own.numbers, own.numbers, p.numbers.min(axis=0), p.numbers.max(axis=0)) <= bound)
+                    own, bound = own.at(left), bound[left]
                 d = space.distances(own, few, 2.0)
                 left = np.flatnonzero(metric.apart(d, d, np.array(lo.as_py()), np.array(hi.as_py())) <= bound)
                 if not len(left):
                     continue
-                own, bound, p = own.at(left), bound[left], _by_key(pickle.loads(b.as_py()))
-                best, rows = _closest(space, own, p, neighbours, skip_equal_key)
-                best[best > bound[:, None]] = np.inf
+                own, bound = own.at(left), bound[left]
+                if space.boxed:
+                    best, rows = _within(space, own, p, neighbours, skip_equal_key, bound)
+                else:
+                    p = _by_key(pickle.loads(b.as_py()))
+                    best, rows = _closest(space, own, p, neighbours, skip_equal_key)
+                    best[best > bound[:, None]] = np.inf
                 near = np.flatnonzero(np.isfinite(best[:, 0]))
                 yield pa.RecordBatch.from_arrays([own.keys.take(pa.array(near)), _found(best[near], rows[near], p.keys)], names=["key", "found"])
 
     payload = lambda df, c, name: df.select(F.col("block").alias(c), F.col("payload").alias(name))
+    # pairs of blocks are small rows with much work: without a told number the engine would put them into a few tasks
+    tasks = max(int(candidate.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * candidate.sparkSession.sparkContext.defaultParallelism)
+    tasks = min(tasks, max(mine.count(), theirs.count()))
     beside = working(_beside(mine, theirs), "beside")
-    loaded = beside.join(payload(mine, "x", "mine"), "x").join(payload(theirs, "y", "before"), "y", "left").join(payload(theirs, "z", "after"), "z", "left")
+    loaded = beside.repartition(tasks, "x").join(payload(mine, "x", "mine").repartition(tasks, "x"), "x").join(payload(theirs, "y", "before"), "y", "left").join(payload(theirs, "z", "after"), "z", "left")
     first = working(loaded.select("x", "mine", "before", "after").mapInArrow(begin, f"x long, most array<double>, bounds binary, keys array<{key_type}>, found array<{found_type}>"), "first")
-    leaf = F.transform(F.arrays_zip("leaves", "most"), lambda x: F.struct(x["leaves"]["lo"].alias("lo"), x["leaves"]["hi"].alias("hi"), x["most"].alias("u")))
+    leaf = F.transform(F.arrays_zip("leaves", "most"), lambda x: F.struct(*[x["leaves"][k].alias(k) for k in ("lo", "hi", "a", "b")], x["most"].alias("u")))
     bounded = mine.join(first.select(F.col("x").alias("block"), "most"), "block").withColumn("leaves", leaf)
     done = beside.select("x", F.explode(F.array("y", "z")).alias("y")).where("y IS NOT NULL")
     pairs = metric.near_pairs(bounded, theirs, space).join(done, ["x", "y"], "left_anti")
     if report is not None:
         pairs = working(pairs, "pairs")
         report.append((pairs.count() + done.count(), mine.count() * theirs.count()))
-    more = pairs.join(payload(mine, "x", "mine"), "x").join(first.select("x", "bounds"), "x").join(theirs.select(F.col("block").alias("y"), "lo", "hi", F.col("payload").alias("theirs")), "y")
+    more = pairs.repartition(tasks, "x").join(payload(mine, "x", "mine").join(first.select("x", "bounds"), "x").repartition(tasks, "x"), "x")
+    more = more.repartition(tasks, "y").join(theirs.select(F.col("block").alias("y"), "lo", "hi", F.col("payload").alias("theirs")).repartition(tasks, "y"), "y")
     rest = more.select("mine", "bounds", "lo", "hi", "theirs").mapInArrow(go_on, f"key {key_type}, found {found_type}")
     met = first.select(F.inline(F.arrays_zip("keys", "found"))).withColumnRenamed("keys", "key")
     merged = met.unionByName(rest).groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, neighbours).alias("found"))

@@ -4,6 +4,10 @@ Pivots, chosen far apart from a bounded sample of the reference, cut the space i
 pivot, then the second nearest, and packed into blocks. A block keeps the least and the greatest distance of its rows to the
 first pivots and the box of its values; the triangle inequality and the box tell how near two blocks can come, and only
 pairs of blocks that can come near enough are joined. Distances are computed block against block in tasks.
+
+Where a space has numbers only, two or more, cells are boxes instead: a tree of halves, fitted on a bounded sample, cuts the
+space, and rows of a block are put in the order of such a tree too. Stretches of a few rows then have small boxes, which leave
+a row few stretches of a block to look at.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ SAMPLE_ROWS = 4_000  # rows of the reference that pivots are chosen from, by lea
 MOST_PIVOTS = 256
 BOUND_PIVOTS = 32  # pivots whose distances bound a block
 LEAVES = 8  # stretches of a block that are bounded one by one where pairs are planned
+SMALL = 64  # rows of the smallest boxes within a block
+MOST_BOXES = 1024  # leaves of the tree of halves, 16 sampled rows each
 BOX_VALUES = 64  # a block with more distinct categories in a column has no bound there
 _CELLS = 2_000_000  # distances that a task holds at once
 
@@ -79,6 +85,15 @@ class Space:
         gap = np.minimum(gap, 1) if self.kind == "mean" else gap if cap is None else np.minimum(gap, cap)
         return gap * gap if self.kind == "l2" else gap
 
+    @property
+    def boxed(self) -> bool:
+        """Whether boxes of numbers alone tell rows apart."""
+        return len(self.numeric) > 1 and not self.categorical
+
+    def scaled(self, numbers: np.ndarray) -> np.ndarray:
+        """Numbers by their ranges, for the choice of cuts only."""
+        return np.nan_to_num(numbers / [r if r > 0 else np.inf for r in self.ranges], nan=-1.0)
+
     @property
     def _category(self) -> float:
         return 1.0 if self.kind == "mean" else self.mismatch
@@ -118,6 +133,14 @@ class Space:
             d += self._category if x is not None and y is not None and x.isdisjoint(y) else 0.0
         return float(self._total(np.float64(d)))
 
+    def gaps(self, lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray) -> np.ndarray:
+        """``box_gap`` of arrays of boxes of numbers, a little loosened against rounding."""
+        d = 0.0
+        for j in range(len(self.numeric)):
+            gap = np.fmax(np.maximum(lo_b[..., j] - hi_a[..., j], lo_a[..., j] - hi_b[..., j]), 0.0)
+            d = d + self._number(gap, j, None)
+        return self._total(d) * (1 - 1e-9) - 1e-12
+
 
 def ranges(df: DataFrame, numeric: list[str]) -> tuple[float, ...]:
     """The range of each numeric column: one small row."""
@@ -168,14 +191,59 @@ def choose(plain: DataFrame, space: Space, n: int) -> Points:
     return sample.at(taken)
 
 
-_LEAF = "struct<lo:array<double>,hi:array<double>,u:double>"
-BLOCK = f"block long, cell int, second int, near double, rows long, leaves array<{_LEAF}>, lo array<double>, hi array<double>, box binary, payload binary"
-_BLOCK = pa.schema([("block", pa.int64()), ("cell", pa.int32()), ("second", pa.int32()), ("near", pa.float64()), ("rows", pa.int64()), ("leaves", pa.list_(pa.struct([("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("u", pa.float64())]))), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("box", pa.binary()), ("payload", pa.binary())])
+@dataclass(frozen=True)
+class Tree:
+    """Halves of a space: row x goes right of node i if its number ``dims[i]`` is above ``cuts[i]``; the children of i are 2 i + 1 and 2 i + 2."""
+
+    dims: np.ndarray
+    cuts: np.ndarray
+    depth: int
+
+    def leaf(self, numbers: np.ndarray) -> np.ndarray:
+        at, each = np.zeros(len(numbers), dtype=np.int64), np.arange(len(numbers))
+        for _ in range(self.depth):
+            at = 2 * at + 1 + (numbers[each, self.dims[at]] > self.cuts[at])
+        return at - (2**self.depth - 1)
+
+
+def grow(plain: DataFrame, space: Space, rows: int, block: int) -> Tree:
+    """A tree with two leaves or more for each block of ``rows`` rows, cut at the medians of the widest numbers of a bounded sample."""
+    depth = int(np.ceil(np.log2(min(MOST_BOXES, max(2, 2 * rows / block)))))
+    sample = points(plain.orderBy(F.xxhash64(*names(space)), "key").limit(16 * 2**depth).toArrow(), space).numbers
+    dims, cuts, held = np.zeros(2**depth - 1, dtype=np.int64), np.full(2**depth - 1, np.inf), {0: sample}
+    for i in range(len(dims)):
+        own = held.pop(i)
+        if len(own) > 1:
+            dims[i] = np.ptp(space.scaled(own), axis=0).argmax()
+            cuts[i] = np.nanmedian(own[:, dims[i]]) if not np.isnan(own[:, dims[i]]).all() else np.inf
+        right = own[:, dims[i]] > cuts[i]
+        held[2 * i + 1], held[2 * i + 2] = own[~right], own[right]
+    return Tree(dims, cuts, depth)
+
+
+def halved(x: np.ndarray) -> np.ndarray:
+    """An order of rows in which stretches of ``SMALL`` are boxes: halved again and again by the widest column."""
+    done, todo = [], [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= SMALL:
+            done.append(own)
+            continue
+        j, left = np.ptp(x[own], axis=0).argmax(), -(-len(own) // SMALL // 2) * SMALL
+        own = own[np.argpartition(x[own, j], left)]
+        todo += [own[left:], own[:left]]
+    return np.concatenate(done) if done else np.arange(0)
+
+
+_LEAF = "struct<lo:array<double>,hi:array<double>,a:array<double>,b:array<double>,u:double>"
+BLOCK = f"block long, cell int, second int, near double, rows long, leaves array<{_LEAF}>, lo array<double>, hi array<double>, a array<double>, b array<double>, box binary, payload binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("cell", pa.int32()), ("second", pa.int32()), ("near", pa.float64()), ("rows", pa.int64()), ("leaves", pa.list_(pa.struct([("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("a", pa.list_(pa.float64())), ("b", pa.list_(pa.float64())), ("u", pa.float64())]))), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("a", pa.list_(pa.float64())), ("b", pa.list_(pa.float64())), ("box", pa.binary()), ("payload", pa.binary())])
 _GROUND = ("cell", "level", "second", "near")
 
 
-def blocks(plain: DataFrame, space: Space, pivots: Points, rows: int, tag: str, *, reach: str | None = None) -> DataFrame:
-    """Blocks of at most ``rows`` rows of one cell, and the bounds of the stretches (leaves) of each. With ``reach``, a column of
+def blocks(plain: DataFrame, space: Space, pivots: Points, rows: int, tag: str, *, reach: str | None = None, tree: Tree | None = None) -> DataFrame:
+    """Blocks of at most ``rows`` rows of one cell, and the bounds of the stretches (leaves) of each: distances to pivots from ``lo``
+    to ``hi``, numbers from ``a`` to ``b``. With a ``tree`` cells are its leaves, or a few that follow one another. With ``reach``, a column of
     radii, rows of a block have radii of one power of two, and a leaf's ``u`` is the greatest of them. Cells are cut by range,
     so a crowded one is dealt over many tasks."""
     few = pivots.at(slice(0, BOUND_PIVOTS))
@@ -186,10 +254,14 @@ def blocks(plain: DataFrame, space: Space, pivots: Points, rows: int, tag: str,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d = np.vstack([space.distances(own, pivots, 2.0) for own in slices(points(batch, space), len(pivots))])
-            cell, near = d.argmin(axis=1), d.min(axis=1)
-            d[np.arange(len(d)), cell] = np.inf
-            second = d.argmin(axis=1) if d.shape[1] > 1 else cell
+            if tree:
+                second = tree.leaf(points(batch, space).numbers)
+                cell, near = second >> max(0, tree.depth - 8), np.zeros(len(second))
+            else:
+                d = np.vstack([space.distances(own, pivots, 2.0) for own in slices(points(batch, space), len(pivots))])
+                cell, near = d.argmin(axis=1), d.min(axis=1)
+                d[np.arange(len(d)), cell] = np.inf
+                second = d.argmin(axis=1) if d.shape[1] > 1 else cell
             made = {"cell": pa.array(cell, pa.int32()), "second": pa.array(second, pa.int32()), "near": pa.array(near)}
             yield pa.RecordBatch.from_arrays([*batch.columns, *made.values()], names=[*batch.schema.names, *made])
 
@@ -205,10 +277,11 @@ def blocks(plain: DataFrame, space: Space, pivots: Points, rows: int, tag: str,
             nonlocal number, held, size
             table, held, size = pa.Table.from_batches(held), [], 0
             own = points(table, space, reach)
+            own = own.at(halved(space.scaled(own.numbers))) if tree else own
             d = np.vstack([space.distances(x, few, 2.0) for x in slices(own, len(few))])
             number += 1
-            leaves = [{"lo": d[x].min(axis=0), "hi": d[x].max(axis=0), "u": float(own.extra[x].max()) if reach else None} for x in leaf_rows(len(own))]
-            row = [number - 1, table.column("cell")[0].as_py(), table.column("second")[0].as_py(), float(np.mean(table.column("near").to_numpy())), len(own), leaves, d.min(axis=0), d.max(axis=0), pickle.dumps(space.box(own)), pickle.dumps(own, protocol=5)]
+            leaves = [{"lo": d[x].min(axis=0), "hi": d[x].max(axis=0), "a": own.numbers[x].min(axis=0), "b": own.numbers[x].max(axis=0), "u": float(own.extra[x].max()) if reach else None} for x in leaf_rows(len(own))]
+            row = [number - 1, table.column("cell")[0].as_py(), table.column("second")[0].as_py(), float(np.mean(table.column("near").to_numpy())), len(own), leaves, d.min(axis=0), d.max(axis=0), own.numbers.min(axis=0), own.numbers.max(axis=0), pickle.dumps(space.box(own)), pickle.dumps(own, protocol=5)]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK)], schema=_BLOCK)
 
         for batch in batches:
@@ -238,6 +311,7 @@ def slices(p: Points, others: int) -> Iterator[Points]:
 def leaf_rows(n: int) -> list[slice]:
     """The stretches of a block of ``n`` rows."""
     step = -(-n // LEAVES)
+    step = -(-step // SMALL) * SMALL if step > SMALL else step
     return [slice(at, at + step) for at in range(0, n, step)]
 
 
@@ -260,6 +334,10 @@ def near_pairs(mine: DataFrame, theirs: DataFrame, space: Space) -> DataFrame:
     found = sorted(map(tuple, ends.collect()))  # at most 256 cells times 32 pivots
     known = sorted({x[0] for x in found})
     lo, hi = (np.array([x[k] for x in found]).reshape(len(known), -1) for k in (2, 3))
+    if space.boxed:
+        boxes = theirs.select("cell", F.posexplode(F.arrays_zip("a", "b")).alias("p", "x")).groupBy("cell", "p").agg(F.min("x.a").alias("a"), F.max("x.b").alias("b"))
+        boxes = sorted(map(tuple, boxes.collect()))  # and as many boxes; with a missing value one end at least is NaN, which bounds nothing
+        least, most = (np.array([x[k] for x in boxes]).reshape(len(known), -1) for k in (2, 3))
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +345,11 @@ def near_pairs(mine: DataFrame, theirs: DataFrame, space: Space) -> DataFrame:
                 continue
             a, b, u = _floats(batch.column("lo")), _floats(batch.column("hi")), batch.column("u").to_numpy()
             for cut in range(0, len(u), 256):
-                x, c = np.nonzero(apart(a[cut : cut + 256, None, :], b[cut : cut + 256, None, :], lo[None], hi[None]) <= u[cut : cut + 256, None])
+                near = apart(a[cut : cut + 256, None, :], b[cut : cut + 256, None, :], lo[None], hi[None]) <= u[cut : cut + 256, None]
+                if space.boxed:
+                    ends = [_floats(batch.column(k))[cut : cut + 256, None, :] for k in ("a", "b")]
+                    near &= space.gaps(*ends, least[None], most[None]) <= u[cut : cut + 256, None]
+                x, c = np.nonzero(near)
                 yield batch.take(pa.array(x + cut)).append_column("cell", pa.array(np.array(known)[c], pa.int32()))
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,10 +358,14 @@ def near_pairs(mine: DataFrame, theirs: DataFrame, space: Space) -> DataFrame:
                 continue
             near = apart(*[_floats(batch.column(c)) for c in ("lo_a", "hi_a", "lo_b", "hi_b")]) <= batch.column("u").to_numpy()
             a, b, u = batch.column("box_a"), batch.column("box_b"), batch.column("u").to_numpy()
+            if space.boxed:
+                near &= space.gaps(*[_floats(batch.column(c)) for c in ("a_a", "b_a", "a_b", "b_b")]) <= u
+                yield batch.select(["x", "y"]).take(pa.array(np.flatnonzero(near)))
+                continue
             kept = [i for i in np.flatnonzero(near).tolist() if space.box_gap(pickle.loads(a[i].as_py()), pickle.loads(b[i].as_py())) * (1 - 1e-9) - 1e-12 <= u[i]]
             yield batch.select(["x", "y"]).take(pa.array(kept, pa.int64()))
 
     leaves = mine.select(F.col("block").alias("x"), "box", F.inline("leaves"))
-    reached = leaves.mapInArrow(to_cells, "x long, box binary, lo array<double>, hi array<double>, u double, cell int").withColumnsRenamed({k: f"{k}_a" for k in ("lo", "hi", "box")})
-    others = theirs.select(F.col("block").alias("y"), "cell", *[F.col(k).alias(f"{k}_b") for k in ("lo", "hi", "box")])
+    reached = leaves.mapInArrow(to_cells, "x long, box binary, lo array<double>, hi array<double>, a array<double>, b array<double>, u double, cell int").withColumnsRenamed({k: f"{k}_a" for k in ("lo", "hi", "a", "b", "box")})
+    others = theirs.select(F.col("block").alias("y"), "cell", *[F.col(k).alias(f"{k}_b") for k in ("lo", "hi", "a", "b", "box")])
     return reached.join(others, "cell").mapInArrow(to_blocks, "x long, y long").distinct()

@@ -298,7 +298,7 @@ _PROFILES = "SELECT c_custkey AS id, any_value(c_acctbal)::DOUBLE AS c_acctbal,
 def j02_nearest_eight_numbers(spark, d):
     held = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey")
     price = F.col("o_totalprice")
-    c = held.agg(F.first("c_acctbal").alias("c_acctbal"), F.count(F.lit(1)).alias("n"), F.sum(price).alias("total"), F.min(price).alias("least"), F.max(price).alias("most"), F.avg(price).alias("mean"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    c = working(held.agg(F.first("c_acctbal").alias("c_acctbal"), F.count(F.lit(1)).alias("n"), F.sum(price).alias("total"), F.min(price).alias("least"), F.max(price).alias("most"), F.avg(price).alias("mean"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")), "profiles")
     return distance.nearest(c.where("c_custkey % 3 = 1"), c.where("c_custkey % 3 = 0"), "c_custkey", list(_EIGHT), []).select("c_custkey", r6(distance.least(), "d"))
 
 

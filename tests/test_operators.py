@@ -453,6 +453,44 @@ def test_nearest_compares_few_blocks(spark, numeric, categorical):
             assert np.allclose(got[k].distances, d[i, first[i]]) and got[k].neighbours == b.k.values[first[i]].tolist()
 
 
+@pytest.mark.parametrize("kind", ["l1", "l2", "mean"])
+def test_nearest_of_numbers_only(spark, kind):
+    """Boxes of numbers: missing values, ties, equal rows, a column without range, the row itself left out."""
+    r = np.random.default_rng(13)
+    make = lambda n, first: [(first + int(i), *[None if r.random() < 0.03 else float(np.round(v, 1)) for v in r.normal(size=3)], 5.0) for i in r.permutation(n)]
+    a, b = make(150, 0), make(700, 1000)
+    schema = "id long, p double, q double, s double, flat double"
+    matrix = lambda rows: np.array([[np.nan if v is None else v for v in x[1:]] for x in rows])
+    keys, y = np.array([x[0] for x in b]), matrix(b)
+    spread = np.nanmax(y, axis=0) - np.nanmin(y, axis=0)
+    for left, own in ((a, False), (b, True)):
+        found = distance.nearest(spark.createDataFrame(left, schema), spark.createDataFrame(b, schema), "id", ["p", "q", "s", "flat"], [], kind=kind, neighbours=3, block=100, skip_equal_key=own)
+        got = {x.id: x for x in found.collect()}
+        assert len(got) == len(left)
+        for key, x in zip((z[0] for z in left), matrix(left)):
+            gap = np.abs(x - y) / np.where(spread > 0, spread, 1.0)
+            gap[np.isnan(x) ^ np.isnan(y)], gap[np.isnan(x) & np.isnan(y)] = 1.0, 0.0
+            d = gap.sum(1) if kind == "l1" else np.sqrt((gap**2).sum(1)) if kind == "l2" else np.minimum(gap, 1).mean(1)
+            d[(keys == key) & own] = np.inf
+            assert np.allclose(got[key].distances, np.sort(d)[:3])
+            assert np.allclose(d[[int(np.flatnonzero(keys == k)[0]) for k in got[key].neighbours]], np.sort(d)[:3])
+
+
+def test_boxes_leave_few_distances(spark, monkeypatch):
+    """Independent numbers, where distances to pivots exclude nearly nothing: a row meets a small share of the rows."""
+    r = np.random.default_rng(14)
+    numbers = lambda n: distance.Points(distance.pa.array(range(n)), r.random((n, 6)), [])
+    space = distance.Space(tuple("abcdef"), (), "l1", 2.0, (1.0,) * 6)
+    own, there = numbers(500), numbers(16_000)
+    there = there.at(distance.metric.halved(space.scaled(there.numbers)))
+    whole = space.distances(own, there)
+    met, plain = [], distance.Space.distances
+    monkeypatch.setattr(distance.Space, "distances", lambda self, a, b, cap=None: met.append(len(a) * len(b)) or plain(self, a, b, cap))
+    best, rows = distance._within(space, own, there, 2, False, np.full(len(own), np.inf))
+    assert sum(met) < 0.2 * whole.size
+    assert np.allclose(best, np.sort(whole, axis=1)[:, :2]) and np.allclose(whole[np.arange(500)[:, None], rows], best)
+
+
 def test_one_wide_ball_widens_no_search(spark):
     """Balls of all sizes against all pairs; an outlier adds its own block pairs only; equal rows count once each."""
     r = np.random.default_rng(12)
